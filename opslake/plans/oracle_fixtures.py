@@ -94,15 +94,22 @@ FIX["x3"] = f"""
 
 FIX["x4"] = f"""
   SELECT event_id AS id,
-         CASE WHEN user_id % 13 = 0 THEN 'rdsadmin' WHEN user_id % 17 = 0 THEN 'event_scheduler'
-              ELSE 'u' || user_id END AS "user",
+         CASE WHEN user_id % 11 = 0 THEN 'system user' WHEN user_id % 13 = 0 THEN 'rdsadmin'
+              WHEN user_id % 17 = 0 THEN 'event_scheduler' ELSE 'u' || user_id END AS "user",
          'h' || (user_id % 7) || ':' || (3306 + event_id % 100) AS host, 'db' || (user_id % 10) AS db,
-         CASE event_type WHEN 'view' THEN 'Sleep' WHEN 'signup' THEN 'Connect' ELSE 'Query' END AS command,
+         CASE WHEN user_id % 11 = 0 THEN 'Connect' WHEN event_type = 'view' THEN 'Sleep'
+              WHEN event_type = 'signup' THEN 'Binlog Dump' ELSE 'Query' END AS command,
          {c('value')} // 10 AS "time",
-         CASE event_type WHEN 'click' THEN 'Sending data'
-              WHEN 'purchase' THEN 'Waiting for table metadata lock'
-              WHEN 'error' THEN 'Locked' WHEN 'view' THEN '' ELSE 'executing' END AS state,
-         CASE WHEN event_id % 11 = 0 THEN NULL ELSE props END AS info, ts AS sample_time
+         CASE WHEN user_id % 11 = 0 THEN
+                CASE event_id % 5 WHEN 0 THEN 'Waiting for master' WHEN 1 THEN 'Reading event from the relay log'
+                     WHEN 2 THEN '' WHEN 3 THEN 'Queueing master event to the relay log'
+                     ELSE 'Slave has read all relay log' END
+              WHEN event_type = 'click' THEN 'Sending data'
+              WHEN event_type = 'purchase' THEN 'Waiting for table metadata lock'
+              WHEN event_type = 'error' THEN 'executing' WHEN event_type = 'view' THEN '' ELSE 'starting' END AS state,
+         CASE WHEN event_id % 11 = 0 THEN NULL
+              WHEN event_id % 13 = 0 THEN props || ' /* IGNORE_KILL_QUERY_ON_DATABASE_TIMEOUT */'
+              ELSE props END AS info, ts AS sample_time
   FROM events"""
 
 FIX["x5"] = f"""

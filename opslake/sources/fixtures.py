@@ -168,20 +168,32 @@ def backups(spark: SparkSession, d: str) -> DataFrame:
 
 # X4 ---------------------------------------------------------------------------
 def processlist(spark: SparkSession, d: str) -> DataFrame:
-    """Process-list samples: one row per event."""
+    """Process-list samples: one row per event.
+
+    Users with ``user_id % 11 = 0`` are replication threads (``system user``)
+    whose state is a prefix of a known replication state ('' matches all).
+    """
     ev = table(spark, d, "events")
     u, e, t = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    sysu = (u % 11 == 0)
+    repl_state = (F.when(e % 5 == 0, "Waiting for master").when(e % 5 == 1, "Reading event from the relay log")
+                  .when(e % 5 == 2, "").when(e % 5 == 3, "Queueing master event to the relay log")
+                  .otherwise("Slave has read all relay log"))
     return ev.select(
         e.alias("id"),
-        F.when(u % 13 == 0, "rdsadmin").when(u % 17 == 0, "event_scheduler")
+        F.when(sysu, "system user").when(u % 13 == 0, "rdsadmin").when(u % 17 == 0, "event_scheduler")
          .otherwise(_s("u", u)).alias("user"),
         F.concat(F.lit("h"), (u % 7).cast("string"), F.lit(":"), (3306 + e % 100).cast("string")).alias("host"),
         _s("db", u % 10).alias("db"),
-        F.when(t == "view", "Sleep").when(t == "signup", "Connect").otherwise("Query").alias("command"),
+        F.when(sysu, "Connect").when(t == "view", "Sleep").when(t == "signup", "Binlog Dump")
+         .otherwise("Query").alias("command"),
         F.call_function("div", cents("value"), F.lit(10)).alias("time"),
-        F.when(t == "click", "Sending data").when(t == "purchase", "Waiting for table metadata lock")
-         .when(t == "error", "Locked").when(t == "view", "").otherwise("executing").alias("state"),
-        F.when(e % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("props")).alias("info"),
+        F.when(sysu, repl_state).when(t == "click", "Sending data")
+         .when(t == "purchase", "Waiting for table metadata lock")
+         .when(t == "error", "executing").when(t == "view", "").otherwise("starting").alias("state"),
+        F.when(e % 11 == 0, F.lit(None).cast("string"))
+         .when(e % 13 == 0, F.concat(F.col("props"), F.lit(" /* IGNORE_KILL_QUERY_ON_DATABASE_TIMEOUT */")))
+         .otherwise(F.col("props")).alias("info"),
         F.col("ts").alias("sample_time"))
 
 
