@@ -36,9 +36,9 @@ def datediff(unit: str, start, end) -> Column:
         # weeks start on Sunday in the default T-SQL setting
         s = F.date_trunc("day", F.date_sub(col_(start), F.dayofweek(col_(start)) - 1))
         e = F.date_trunc("day", F.date_sub(col_(end), F.dayofweek(col_(end)) - 1))
-        return F.timestampdiff("WEEK", s, e)
+        return F.timestamp_diff("WEEK", s, e)
     trunc = {"MILLISECOND": "millisecond"}.get(u, u.lower())
-    return F.timestampdiff(u, F.date_trunc(trunc, col_(start)), F.date_trunc(trunc, col_(end)))
+    return F.timestamp_diff(u, F.date_trunc(trunc, col_(start)), F.date_trunc(trunc, col_(end)))
 
 
 def safe_div(num, den) -> Column:

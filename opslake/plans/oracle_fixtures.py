@@ -243,3 +243,40 @@ def ctes(*names: str) -> str:
     for n in names:
         add(n)
     return ",\n".join(f"{n} AS ({FIX[n]})" for n in order)
+
+
+# plan cache (for age / single-use shares): one plan per (user, event type, day)
+FIX["xpc"] = f"""
+  SELECT user_id * 100 + day(ts) AS plan_handle, event_type || '_' || (user_id % 10) AS query_hash,
+         MIN(ts) AS creation_time, MAX(ts) AS last_execution_time, COUNT(*) AS execution_count,
+         CAST(SUM({c('value')}) AS BIGINT) AS total_worker_time
+  FROM events GROUP BY user_id, event_type, day(ts)"""
+
+# findings log (for roll-ups): one finding per event
+FIX["xfi"] = """
+  SELECT event_id AS id, (user_id % 4 + 1) * 10 AS priority, event_type AS findings_group,
+         'finding ' || (user_id % 3) AS finding, 'srv' || (user_id % 5) AS server_name, ts AS check_date,
+         'details ' || event_id AS details
+  FROM events"""
+
+
+def sql_round_div(num: str, den: str, scale: int = 0) -> str:
+    """DuckDB twin of ``semantics.round_div`` (integer half-up, as double)."""
+    m = 10 ** scale
+    return f"(CAST((({num}) * {m} * 2 + ({den})) // (({den}) * 2) AS DOUBLE) / {m}.0)"
+
+
+def sql_fixed(num: str, den: str, scale: int) -> str:
+    """DuckDB twin of ``semantics.fixed_text``."""
+    m = 10 ** scale
+    k = f"((({num}) * {m} * 2 + ({den})) // (({den}) * 2))"
+    if scale == 0:
+        return f"CAST({k} AS VARCHAR)"
+    return f"(CAST({k} // {m} AS VARCHAR) || '.' || lpad(CAST({k} % {m} AS VARCHAR), {scale}, '0'))"
+
+
+def sql_human(x: str, gb_scale: int = 1, sep: str = "") -> str:
+    kb, mb, gb = 1024, 1024 ** 2, 1024 ** 3
+    return (f"CASE WHEN {x} >= {gb} THEN {sql_fixed(x, str(gb), gb_scale)} || '{sep}GB' "
+            f"WHEN {x} >= {mb} THEN {sql_fixed(x, str(mb), 2)} || '{sep}MB' "
+            f"ELSE {sql_fixed(x, str(kb), 2)} || '{sep}KB' END")

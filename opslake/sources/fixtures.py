@@ -404,3 +404,25 @@ def database_files(spark: SparkSession, d: str) -> DataFrame:
     return doc.select(F.col("source").alias("database_name"), F.col("doc_id").alias("file_id"),
                       F.when(F.col("lang") == "en", "ROWS").otherwise("LOG").alias("type_desc"),
                       F.col("n_chars").alias("size_pages"))
+
+
+# plan cache -------------------------------------------------------------------
+def plan_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Cached plans: one per (user, event type, day); same query hash across days and users."""
+    ev = table(spark, d, "events")
+    return (ev.groupBy("user_id", "event_type", F.dayofmonth("ts").alias("dom"))
+            .agg(F.min("ts").alias("creation_time"), F.max("ts").alias("last_execution_time"),
+                 F.count(F.lit(1)).alias("execution_count"), F.sum(cents("value")).alias("total_worker_time"))
+            .select((F.col("user_id") * 100 + F.col("dom")).alias("plan_handle"),
+                    F.concat(F.col("event_type"), F.lit("_"), (F.col("user_id") % 10).cast("string")).alias("query_hash"),
+                    "creation_time", "last_execution_time", "execution_count", "total_worker_time"))
+
+
+def findings_log(spark: SparkSession, d: str) -> DataFrame:
+    """Findings written by the snapshot collector: one per event."""
+    ev = table(spark, d, "events")
+    u = F.col("user_id")
+    return ev.select(F.col("event_id").alias("id"), ((u % 4 + 1) * 10).alias("priority"),
+                     F.col("event_type").alias("findings_group"), _s("finding ", u % 3).alias("finding"),
+                     _s("srv", u % 5).alias("server_name"), F.col("ts").alias("check_date"),
+                     _s("details ", F.col("event_id")).alias("details"))
