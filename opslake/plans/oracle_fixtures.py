@@ -32,8 +32,8 @@ FIX["x1"] = f"""
                ORDER BY check_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 FIX["x1w"] = """
-  SELECT server_name, check_date, metric AS wait_type, wait_time_ms, signal_wait_time_ms,
-         waiting_tasks_count, num_of_writes FROM x1"""
+  SELECT server_name, check_date, metric AS wait_type, wait_time_ms * 256 AS wait_time_ms,
+         signal_wait_time_ms * 256 AS signal_wait_time_ms, waiting_tasks_count, num_of_writes FROM x1"""
 
 FIX["x1f"] = """
   SELECT server_name, check_date, metric AS file_name,

@@ -57,7 +57,10 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wait_snapshots(spark, d):
-    return snapshots(spark, d).withColumnRenamed("metric", "wait_type")
+    """Wait snapshots; wait times are scaled x256 so an hour's waits are of the order of the hour."""
+    return (snapshots(spark, d).withColumnRenamed("metric", "wait_type")
+            .withColumn("wait_time_ms", F.col("wait_time_ms") * 256)
+            .withColumn("signal_wait_time_ms", F.col("signal_wait_time_ms") * 256))
 
 
 def file_snapshots(spark, d):
