@@ -166,7 +166,7 @@ FIX["x6"] = f"""
          CASE WHEN l_discount < 0.03 THEN 'S' WHEN l_discount < 0.06 THEN 'U' ELSE 'X' END AS lockmode,
          l_linenumber % 3 AS trancount,
          CASE WHEN l_tax = 0 THEN 'implicit_transaction' ELSE 'user_transaction' END AS transactionname,
-         {c('l_extendedprice')} % 65536 AS clientoption1, l_partkey % 1024 AS clientoption2,
+         {c('l_extendedprice')} % 65536 AS clientoption1, (l_partkey % 128) * 8388608 AS clientoption2,
          CASE WHEN l_partkey % 3 = 0 THEN 'adhoc' ELSE 'db.dbo.proc' || (l_partkey % 20) END AS procname,
          '0x' || l_partkey AS sqlhandle,
          rn = n_lines AS is_victim, rn, n_lines,

@@ -290,7 +290,7 @@ def deadlock_xml(spark: SparkSession, d: str) -> DataFrame:
         _attr("waittime", cents("l_quantity")), _attr("lockMode", mode),
         _attr("trancount", F.col("l_linenumber") % 3), _attr("transactionname", tran),
         _attr("clientoption1", cents("l_extendedprice") % 65536),
-        _attr("clientoption2", F.col("l_partkey") % 1024),
+        _attr("clientoption2", (F.col("l_partkey") % 128) * 8388608),
         F.lit("><executionStack><frame"), _attr("procname", proc),
         _attr("sqlhandle", F.concat(F.lit("0x"), F.col("l_partkey").cast("string"))),
         F.lit("/></executionStack></process>"))
