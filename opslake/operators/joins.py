@@ -91,7 +91,7 @@ def anti_skip_list(df: DataFrame, skip: DataFrame, keys: list[str]) -> DataFrame
             out = out.filter(~part.select(F.lit(True)).exists())
         else:
             out = out.join(part.distinct(), set_keys, "left_anti")
-    return out
+    return out.select(*df.columns)
 
 
 def has_other_value(df: DataFrame, group: list[str], value: str) -> DataFrame:
