@@ -176,7 +176,11 @@ def processlist(spark: SparkSession, d: str) -> DataFrame:
     Users with ``user_id % 11 = 0`` are replication threads (``system user``)
     whose state is a prefix of a known replication state ('' matches all).
     """
-    ev = table(spark, d, "events")
+    return processlist_from(table(spark, d, "events"))
+
+
+def processlist_from(ev: DataFrame) -> DataFrame:
+    """Process-list columns from an events DataFrame (batch or streaming)."""
     u, e, t = F.col("user_id"), F.col("event_id"), F.col("event_type")
     sysu = (u % 11 == 0)
     repl_state = (F.when(e % 5 == 0, "Waiting for master").when(e % 5 == 1, "Reading event from the relay log")
@@ -423,7 +427,10 @@ def plan_cache(spark: SparkSession, d: str) -> DataFrame:
 
 def findings_log(spark: SparkSession, d: str) -> DataFrame:
     """Findings written by the snapshot collector: one per event."""
-    ev = table(spark, d, "events")
+    return findings_from(table(spark, d, "events"))
+
+
+def findings_from(ev: DataFrame) -> DataFrame:
     u = F.col("user_id")
     return ev.select(F.col("event_id").alias("id"), ((u % 4 + 1) * 10).alias("priority"),
                      F.col("event_type").alias("findings_group"), _s("finding ", u % 3).alias("finding"),
