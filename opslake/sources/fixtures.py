@@ -256,14 +256,18 @@ def deadlock_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lineitems numbered within their order (the processes of one deadlock)."""
     li = table(spark, d, "lineitem")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
-            .withColumn("rn", F.row_number().over(w))
+            .withColumn("rn", F.row_number().over(_line_order()))
             .withColumn("n_lines", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))))
 
 
+def _line_order():
+    """Total order of an order's lines (ties in l_linenumber exist in the data)."""
+    return Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
 def _attr(name: str, c) -> F.Column:
     return F.concat(F.lit(f' {name}="'), c.cast("string"), F.lit('"'))
 
@@ -302,7 +306,7 @@ def deadlock_xml(spark: SparkSession, d: str) -> DataFrame:
                                            "rowgrouplock", "exchangeEvent")])
     kind = F.element_at(kinds, (F.col("l_partkey") % 6 + 1).cast("int"))
     prev_pid = F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("_"), (F.col("rn") - 1).cast("string"))
-    prev_mode = F.lag(mode).over(Window.partitionBy("l_orderkey").orderBy("rn"))
+    prev_mode = F.lag(mode).over(_line_order())      # same ordering as rn: no second sort
     resource = F.when(F.col("rn") > 1, F.concat(
         F.lit("<"), kind,
         _attr("dbid", F.col("l_partkey") % 5 + 5),
