@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from opslake.functions.scalar import parsename
 from opslake.operators.joins import broadcast_if_small
+from opslake.operators.timeseries import row_number
 
 LOCK_KINDS = ["keylock", "pagelock", "objectlock", "ridlock", "rowgrouplock", "exchangeEvent"]
 
@@ -117,6 +118,13 @@ def count_events_by(df: DataFrame, dim: str, label: str, value_col: str = "value
             .agg(F.countDistinct("event_id").alias("events")).withColumn("dimension", F.lit(label)))
 
 
+def with_event_number(procs: DataFrame) -> DataFrame:
+    """Add ``event_number``: dense rank of the event time, computed on the distinct times."""
+    dates = procs.select("event_date").distinct()
+    ranked = dates.withColumn("event_number", F.dense_rank().over(Window.orderBy("event_date")).cast("bigint"))
+    return procs.join(broadcast_if_small(ranked), "event_date")
+
+
 def event_numbers(procs: DataFrame) -> DataFrame:
     """Event number (dense rank of the event time), zero-based query number within an event,
     and a running number per session id.
@@ -124,14 +132,13 @@ def event_numbers(procs: DataFrame) -> DataFrame:
     The dense rank is computed on the distinct event times (one row per time,
     broadcast after a size check) instead of a window over every process row.
     """
-    dates = procs.select("event_date").distinct()
-    ranked = dates.withColumn("event_number", F.dense_rank().over(Window.orderBy("event_date")).cast("bigint"))
-    p = procs.join(broadcast_if_small(ranked), "event_date")
-    wq = Window.partitionBy("event_id").orderBy("process_id")
-    wi = Window.partitionBy("spid").orderBy("event_date", "event_id", "process_id")
-    return p.select("event_number", "event_id", "event_date", "process_id", "spid",
-                    (F.row_number().over(wq) - 1).cast("bigint").alias("query_number"),
-                    F.row_number().over(wi).cast("bigint").alias("id_number"))
+    p = with_event_number(procs)
+    wq = Window.partitionBy("event_id").orderBy("process_id")       # a deadlock has few processes
+    p = p.withColumn("query_number", (F.row_number().over(wq) - 1).cast("bigint"))
+    # one session id can appear in a large share of all deadlocks: number it per (spid, month)
+    p = row_number(p, ["spid"], ["event_date", "event_id", "process_id"], F.date_trunc("month", "event_date"),
+                   "id_number")
+    return p.select("event_number", "event_id", "event_date", "process_id", "spid", "query_number", "id_number")
 
 
 def object_database(objectname: str = "objectname") -> Column:

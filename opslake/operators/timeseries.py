@@ -68,3 +68,47 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
     filled = fill_last(u, by, ["__t", "__side", "__tie"], "__r", F.date_trunc(bucket_unit, "__t"), "__m")
     return (filled.filter("__isleft")
             .select(*[F.col(c) for c in lcols], *[F.col("__m").getField(c).alias(c) for c in right_cols]))
+
+
+def row_number(df: DataFrame, by: list[str], order: list[str], bucket: Column, out: str = "rn") -> DataFrame:
+    """``row_number() over (partition by by order by order)`` without one task per group.
+
+    Rows are numbered inside (group, bucket) and offset by the row counts of
+    the group's earlier buckets (a prefix sum over the small per-bucket count
+    table).  ``bucket`` must be non-decreasing in ``order``.
+    """
+    d = df.withColumn("__b", bucket)
+    d = d.withColumn("__lr", F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)))
+    cnt = d.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).select(*by, "__b", "__off")
+    return (d.join(off, [*by, "__b"]).withColumn(out, (F.col("__lr") + F.col("__off")).cast("bigint"))
+            .drop("__b", "__lr", "__off"))
+
+
+def dense_rank(df: DataFrame, by: list[str], value: str, bucket: Column, out: str = "drk") -> DataFrame:
+    """``dense_rank() over (partition by by order by value)`` without one task per group.
+
+    ``bucket`` must be a non-decreasing function of ``value`` (equal values
+    share a bucket); the offset is the number of distinct values in earlier buckets.
+    """
+    d = df.withColumn("__b", bucket)
+    d = d.withColumn("__lr", F.dense_rank().over(Window.partitionBy(*by, "__b").orderBy(value)))
+    cnt = d.groupBy(*by, "__b").agg(F.countDistinct(value).alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).select(*by, "__b", "__off")
+    return (d.join(off, [*by, "__b"]).withColumn(out, (F.col("__lr") + F.col("__off")).cast("bigint"))
+            .drop("__b", "__lr", "__off"))
+
+
+def ntile(df: DataFrame, by: list[str], order: list[str], bucket: Column, n: int, out: str = "tile") -> DataFrame:
+    """``ntile(n)``: the first ``N mod n`` tiles get one row more, as the SQL function."""
+    r = row_number(df, by, order, bucket, "__k")
+    r = r.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__N")), by)
+    q = F.call_function("div", F.col("__N"), F.lit(n))
+    rem = F.col("__N") % n
+    big = rem * (q + 1)
+    k = F.col("__k")
+    tile = F.when(k <= big, F.call_function("div", k - 1, q + 1) + 1).otherwise(
+        rem + F.call_function("div", k - big - 1, F.greatest(q, F.lit(1))) + 1)
+    return r.withColumn(out, tile.cast("int")).drop("__k", "__N")

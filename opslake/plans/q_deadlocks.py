@@ -146,7 +146,7 @@ def deadlock_report(spark, d):
     parsed = _parsed(spark, d).cache()
     p = X.processes(parsed)
     ow = X.owner_waiter(parsed)
-    nums = X.event_numbers(p).select("event_id", "process_id", "event_number")
+    nums = X.with_event_number(p).select("event_id", "process_id", "event_number")
     w = ow.select("event_id", F.col("waiter_id").alias("process_id"), F.col("objectname").alias("waiting_on"),
                   "waiter_mode")
     o = ow.select("event_id", F.col("owner_id").alias("process_id"), F.col("objectname").alias("owning"),

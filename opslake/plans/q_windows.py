@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opslake.functions.semantics import cents, round_div
 from opslake.operators import ranking as R
 from opslake.operators import snapshots as T
+from opslake.operators import timeseries as TS
 from opslake.plans.oracle_fixtures import ctes, sql_round_div
 from opslake.plans.q_aggregates import A
 from opslake.plans.q_snapshots import _WD, _wd
@@ -109,8 +110,10 @@ SELECT server_name, AVG(wait_time_ms_delta) AS middle_avg_ms, COUNT(*) AS middle
   SELECT *, ntile(3) OVER (PARTITION BY server_name ORDER BY wait_time_ms_delta, check_date, wait_type) AS tile FROM wd)
 WHERE tile = 2 GROUP BY server_name""")
 def ntile_mid(spark, d):
-    w = Window.partitionBy("server_name").orderBy("wait_time_ms_delta", "check_date", "wait_type")
-    t = _wd(spark, d).withColumn("tile", F.ntile(3).over(w)).filter("tile = 2")
+    wd = _wd(spark, d)
+    # ntile per server without a per-server task: bucket the ordering measure by its magnitude
+    t = TS.ntile(wd, ["server_name"], ["wait_time_ms_delta", "check_date", "wait_type"],
+                 F.floor(F.log2(F.greatest(F.col("wait_time_ms_delta"), F.lit(1)))), 3).filter("tile = 2")
     return t.groupBy("server_name").agg(F.avg("wait_time_ms_delta").alias("middle_avg_ms"),
                                         F.count(F.lit(1)).alias("middle_rows"))
 
@@ -182,8 +185,10 @@ def restore_rank(spark, d):
     f = f.select("database_name", F.concat_ws("_", "database_name", "type",
                                               F.date_format("backup_start_date", "yyyyMMddHHmmss"),
                                               F.concat(F.col("p").cast("string"), F.lit(".bak"))).alias("file_name"))
-    w = Window.partitionBy("database_name").orderBy(F.regexp_extract("file_name", r"_(\d{14})_", 1))
-    return f.withColumn("file_rank", F.dense_rank().over(w).cast("bigint"))
+    stamp = F.regexp_extract("file_name", r"_(\d{14})_", 1)
+    f = f.withColumn("__stamp", stamp)
+    # dense rank per database, bucketed by day of the stamp (skew-safe for a database with most files)
+    return TS.dense_rank(f, ["database_name"], "__stamp", F.substring("__stamp", 1, 8), "file_rank").drop("__stamp")
 
 
 @query("report_group_breaks", f"""WITH {ctes('xfi')},
