@@ -212,3 +212,12 @@ def cdc_apply(spark, d):
                .select("id", F.when(F.col("id") % 5 == 0, "D").otherwise("U").alias("op"),
                        F.col("action_date").alias("changed_at"), "customer_id", F.lit("F").alias("action")))
     return X.apply_changes(base, changes, ["id"], "changed_at")
+
+
+@query("tenant_lake_load", HOP3_SQL)
+def tenant_lake_load(spark, d):
+    """The flagship extraction written to the lake: one write job, all tenants, partitioned by tenant."""
+    out = hop3(spark, d)
+    path = scratch_path(spark, "lake-lineitem")
+    sinks.replace_target(out, path, "parquet", partition_by=["tenant_id"])
+    return spark.read.parquet(path).select(*out.columns)

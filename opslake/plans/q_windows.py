@@ -120,7 +120,7 @@ def ntile_mid(spark, d):
 
 @query("full_frame_totals", """
 SELECT l_orderkey, l_linenumber, l_linestatus, l_partkey, l_quantity,
-       COUNT(*) OVER w AS total_rows, SUM(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) OVER w AS workers
+       COUNT(*) OVER w AS total_rows, CAST(SUM(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS workers
 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linestatus ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def full_frame(spark, d):
     li = table(spark, d, "lineitem")
