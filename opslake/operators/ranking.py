@@ -61,7 +61,11 @@ def greedy_top_n(df: DataFrame, metrics: dict[str, Column], n: int, key: str = "
     """Top ``n`` per metric in order; a key taken by an earlier metric is skipped by later ones.
 
     The accumulator of taken keys is at most ``n * len(metrics)`` rows and is broadcast.
+    The input is scanned once per metric, so it is persisted (memory, spilling to disk).
     """
+    from pyspark import StorageLevel
+    if not df.storageLevel.useMemory:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     taken = None
     out = None
     for name, m in metrics.items():
