@@ -31,8 +31,24 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return file_stream(spark, f"{sf_dir.rstrip('/')}/{name}*.parquet", schema)
 
 
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(c) -> F.Column:
+    """Naive wall-clock time -> instant, reading the wall clock as UTC (independent of the session zone)."""
+    epoch = F.lit(_EPOCH).cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(c) if isinstance(c, str) else c))
+
+
+def instant_to_ntz(c) -> F.Column:
+    """Instant -> naive UTC wall-clock time (inverse of ``ntz_to_instant``)."""
+    epoch = F.lit(_EPOCH).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.col(c) if isinstance(c, str) else c), epoch)
+
+
 def event_time(df: DataFrame, col: str, out: str = "event_time") -> DataFrame:
-    return df.withColumn(out, F.col(col).cast("timestamp_ltz"))
+    """Watermarks need an instant (``TimestampType``); naive times are read as UTC."""
+    return df.withColumn(out, ntz_to_instant(col))
 
 
 def run_available_now(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 900) -> DataFrame:
@@ -60,8 +76,8 @@ def tumbling_counts(stream: DataFrame, ts: str, keys: list[str], size: str, dela
     """Counts per tumbling window; a window is emitted once the watermark passes its end."""
     s = event_time(stream, ts).withWatermark("event_time", delay)
     g = s.groupBy(F.window("event_time", size).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "n")
+    return g.select(instant_to_ntz("w.start").alias("window_start"),
+                    instant_to_ntz("w.end").alias("window_end"), *keys, "n")
 
 
 def sliding_rate(stream: DataFrame, ts: str, keys: list[str], flag, size: str, slide: str, delay: str) -> DataFrame:
@@ -69,8 +85,8 @@ def sliding_rate(stream: DataFrame, ts: str, keys: list[str], flag, size: str, s
     s = event_time(stream, ts).withWatermark("event_time", delay).withColumn("__f", flag.cast("int"))
     g = s.groupBy(F.window("event_time", size, slide).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum("__f").alias("breaches"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "n",
+    return g.select(instant_to_ntz("w.start").alias("window_start"),
+                    instant_to_ntz("w.end").alias("window_end"), *keys, "n",
                     F.col("breaches").cast("bigint").alias("breaches"),
                     (F.col("breaches") / F.col("n")).alias("breach_rate"))
 
@@ -80,8 +96,8 @@ def session_latest(stream: DataFrame, ts: str, key: str, id_col: str, gap: str,
     s = event_time(stream, ts).withWatermark("event_time", delay)
     g = s.groupBy(F.session_window("event_time", gap).alias("w"), key).agg(
         F.count(F.lit(1)).alias("sightings"), F.max_by(id_col, "event_time").alias("last_" + id_col))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("session_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("session_end"), key, "sightings", "last_" + id_col)
+    return g.select(instant_to_ntz("w.start").alias("session_start"),
+                    instant_to_ntz("w.end").alias("session_end"), key, "sightings", "last_" + id_col)
 
 
 def dedupe(stream: DataFrame, ts: str, keys: list[str], delay: str) -> DataFrame:

@@ -52,7 +52,11 @@ def main():
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in args if not a.startswith("/")]
     registry.load_all()
-    spark = get_session()
+    extra = {}
+    if os.environ.get("CHECK_TZ"):
+        # mimic a foreign session: other zone, default (LTZ) timestamp type
+        extra = {"spark.sql.session.timeZone": os.environ["CHECK_TZ"], "spark.sql.timestampType": "TIMESTAMP_LTZ"}
+    spark = get_session(extra=extra)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
