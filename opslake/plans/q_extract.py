@@ -160,17 +160,17 @@ SELECT doc_id, CASE WHEN length(text) > 30000 THEN substr(text, 1, 30000) ELSE t
        lang, source, n_chars, coalesce(length(text) > 30000, false) AS text_truncated
 FROM documents""")
 def long_text(spark, d):
-    main, side = X_long(spark, d)
-    return main
+    return _long_text(spark, d)[0]
 
 
-def X_long(spark, d):
+def _long_text(spark, d):
+    """Cells over 30,000 characters: main output cut at the limit, full text in the side output."""
     return sinks.long_text_split(table(spark, d, "documents"), "text", 30000)
 
 
 @query("long_text_side", "SELECT * FROM documents WHERE length(text) > 30000")
 def long_text_side(spark, d):
-    return X_long(spark, d)[1]
+    return _long_text(spark, d)[1]
 
 
 @query("window_copy_6m", f"""

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from opslake.functions.semantics import cents, round_div
+from opslake.functions.semantics import cents
 from opslake.operators import ranking as R
-from opslake.operators import snapshots as T
 from opslake.operators import timeseries as TS
 from opslake.plans.oracle_fixtures import ctes, sql_round_div
 from opslake.plans.q_aggregates import A

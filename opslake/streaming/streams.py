@@ -8,8 +8,6 @@ on output so batch and stream results compare directly.
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
