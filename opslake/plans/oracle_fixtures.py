@@ -28,7 +28,7 @@ FIX["x1"] = f"""
         FROM (SELECT *, {c('value')} AS v FROM events) e
         GROUP BY 1, 2, 3) cell
   WINDOW w AS (PARTITION BY server_id, metric,
-               CASE WHEN server_id = 0 AND check_date >= TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 0 END
+               CASE WHEN server_id = 0 THEN day(check_date) // 5 ELSE -1 END
                ORDER BY check_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 FIX["x1w"] = """

@@ -17,7 +17,6 @@ from opslake.sources.tables import table
 # Fixed values of the fixtures (reference dates for "now").
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 AS_OF_AUDIT = "2001-08-02 00:00:00"
-RESTART_AFTER = "2024-01-16 00:00:00"
 
 
 def _s(prefix: str, c) -> F.Column:
@@ -32,9 +31,9 @@ def _add(unit: str, n, ts) -> F.Column:
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative counters per (server, metric, hourly check_date).
 
-    Server 0 restarts its counters on day 16, so the first snapshot after that
-    has falling counters (restart guard); hours without events for a server
-    are missing snapshots (gap guard).
+    Server 0 restarts its counters every 5 days, so the first snapshot after a
+    restart has falling counters (restart guard); hours without events for a
+    server are missing snapshots (gap guard).
     """
     ev = table(spark, d, "events")
     v = cents("value")
@@ -45,7 +44,8 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
             .agg(F.sum("v").alias("dv"), F.count(F.lit(1)).alias("dn"),
                  F.sum(F.call_function("div", F.col("v"), F.lit(4))).alias("ds"),
                  F.sum(F.when(F.col("v") % 2 == 0, 1).otherwise(0)).alias("dw")))
-    epoch = ((F.col("server_id") == 0) & (F.col("check_date") >= ts_lit(RESTART_AFTER))).cast("int")
+    # server 0 restarts its counters every 5 days (a restart needs consecutive snapshots to be seen)
+    epoch = F.when(F.col("server_id") == 0, F.call_function("div", F.dayofmonth("check_date"), F.lit(5))).otherwise(-1)
     w = (Window.partitionBy("server_id", "metric", epoch).orderBy("check_date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return cell.select(
