@@ -9,7 +9,6 @@ write job has finished.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,41 +37,56 @@ def gate(count_df: DataFrame, limit: int = LIMIT) -> DataFrame:
                            (F.col("total") > limit).alias("proceed"))
 
 
-def id_threshold(df: DataFrame, key: str, n: int, buckets: int = 4096) -> int | None:
-    """Largest key among the ``n`` smallest keys of ``df`` (keys unique), exactly.
+def id_thresholds(df: DataFrame, key: str, targets: list[int], buckets: int = 4096) -> dict[int, int | None]:
+    """For each n in ``targets``: the largest key among the n smallest keys of ``df`` (keys unique), exactly.
 
-    Avoids a global sort: a bucket histogram of the key (at most ``buckets``
-    rows reach the driver) locates the bucket holding the n-th key, and the
-    search narrows into that bucket until it is small enough to sort.
+    No global sort: each pass counts rows per bucket of the key for all
+    pending ranges at once (at most ``buckets`` rows per range reach the
+    driver) and narrows every target to the bucket holding it; a range of
+    at most ``buckets`` keys is counted key by key.  A 64-bit key space needs
+    at most a handful of passes.  Targets beyond the row count get the maximum key.
     """
-    lo_hi = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if lo_hi is None or lo_hi["lo"] is None:
-        return None
-    lo, hi, need = int(lo_hi["lo"]), int(lo_hi["hi"]), n
-    while True:
-        part = df.filter((F.col(key) >= lo) & (F.col(key) <= hi))
-        span = hi - lo + 1
-        if span <= buckets:
-            # few distinct keys left: exact counts per key
-            rows = part.groupBy(F.col(key).alias("k")).count().orderBy("k").collect()
-            run = 0
-            for r in rows:
-                run += r["count"]
-                if run >= need:
-                    return int(r["k"])
-            return int(rows[-1]["k"]) if rows else None
-        width = -(-span // buckets)
-        b = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("bigint")
-        hist = part.groupBy(b.alias("b")).count().orderBy("b").collect()
-        run = 0
-        for r in hist:
-            if run + r["count"] >= need:
-                need -= run
-                lo, hi = lo + int(r["b"]) * width, min(hi, lo + (int(r["b"]) + 1) * width - 1)
-                break
-            run += r["count"]
-        else:
-            return hi
+    st = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if st is None or st["lo"] is None:
+        return {t: None for t in targets}
+    out: dict[int, int | None] = {t: int(st["hi"]) for t in targets if t >= st["n"]}
+    # pending: (lo, hi, [(target, residual rank within the range)])
+    pending = [(int(st["lo"]), int(st["hi"]), [(t, t) for t in targets if t < st["n"]])]
+    while pending:
+        widths = [max(1, -(-(hi - lo + 1) // buckets)) for lo, hi, _ in pending]
+        rid = None
+        bid = None
+        for i, ((lo, hi, _), w) in enumerate(zip(pending, widths)):
+            inr = (F.col(key) >= lo) & (F.col(key) <= hi)
+            rid = F.when(inr, F.lit(i)) if rid is None else rid.when(inr, F.lit(i))
+            b = F.floor((F.col(key) - F.lit(lo)) / F.lit(w)).cast("bigint")
+            bid = F.when(inr, b) if bid is None else bid.when(inr, b)
+        hist = (df.select(rid.alias("r"), bid.alias("b")).filter(F.col("r").isNotNull())
+                .groupBy("r", "b").count().collect())
+        per: dict[int, list] = {}
+        for row in hist:
+            per.setdefault(row["r"], []).append((row["b"], row["count"]))
+        nxt: dict[tuple, list] = {}
+        for i, ((lo, hi, tg), w) in enumerate(zip(pending, widths)):
+            cells = sorted(per.get(i, []))
+            for t, need in tg:
+                run = 0
+                for b, c in cells:
+                    if run + c >= need:
+                        blo, bhi = lo + b * w, min(hi, lo + (b + 1) * w - 1)
+                        if w == 1:
+                            out[t] = blo
+                        else:
+                            nxt.setdefault((blo, bhi), []).append((t, need - run))
+                        break
+                    run += c
+        pending = [(lo, hi, tg) for (lo, hi), tg in nxt.items()]
+    return out
+
+
+def id_threshold(df: DataFrame, key: str, n: int, buckets: int = 4096) -> int | None:
+    """Largest key among the ``n`` smallest keys of ``df`` (keys unique), exactly."""
+    return id_thresholds(df, key, [n], buckets)[n]
 
 
 def oldest_batch(df: DataFrame, as_of: str, limit: int = LIMIT, key: str = "id",
@@ -99,49 +113,66 @@ def remove_ids(source: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return source.join(ids.select(F.col(key).alias("__id")), F.col(key) == F.col("__id"), "left_anti")
 
 
-@dataclass
-class RunLog:
-    run_no: int
-    eligible_before: int
-    archived_rows: int
-    source_rows_after: int
-    min_id: int
-    max_id: int
+def plan_runs(eligible_total: int, limit: int = LIMIT, max_runs: int = MAX_RUNS) -> int:
+    """Batches the bounded loop executes: batch r runs while the eligible rows left exceed ``limit``."""
+    r = 0
+    while r < max_runs and eligible_total - r * limit > limit:
+        r += 1
+    return r
 
 
 def purge_cycle(source: DataFrame, as_of: str, base_path: str, limit: int = LIMIT,
                 max_runs: int = MAX_RUNS, key: str = "id", ts_col: str = "action_date") -> DataFrame:
-    """Run up to ``max_runs`` batches; returns one log row per executed batch.
-
-    Every batch is written to the archive and a new source version before
-    the next starts (lineage stays one step long, and a lost executor only
-    re-runs the current batch).  The invariant rows_in = kept + archived is
-    checked after each batch.
+    """One purge cycle of up to ``max_runs`` batches; returns one log row per batch.
+
+    The loop's outcome is fixed by counts known up front (each batch removes
+    ``limit`` eligible rows), so the cycle runs as a few whole-table passes
+    instead of one rewrite per batch:
+
+    1. count the rows and the eligible rows (one scan each);
+    2. find every batch's exact id threshold in one histogram search;
+    3. write all batches to the archive in one job, partitioned by ``move_date``;
+    4. write the new source version once: source minus the archived ids
+       (a broadcast anti join; at most ``max_runs * limit`` ids, a bound fixed by
+       the parameters).
+
+    Each write is a single job into its own folder (overwrite), so a retry
+    after a lost executor or a failed job starts that step again.  The
+    invariant rows_in = kept + archived is checked on the written tables.
     """
     spark = source.sparkSession
-    archive_path = f"{base_path.rstrip('/')}/archive"
-    src = source
-    total_in = src.count()
-    archived_total = 0
-    logs: list[RunLog] = []
-    for run in range(1, max_runs + 1):
-        total = eligible_count(src, as_of, ts_col).first()["total"]
-        if not total > limit:
-            break
-        stamp = f"{as_of[:10]} 00:00:{run:02d}"
-        batch = oldest_batch(src, as_of, limit, key, ts_col, move_date=stamp)
-        batch.write.mode("append").parquet(archive_path)
-        archive = spark.read.parquet(archive_path)
-        ids = latest_batch_ids(archive, key)
-        path = sinks.write_version(spark, remove_ids(src, ids, key), f"{base_path}/source", run)
-        src = spark.read.parquet(path)
-        kept = src.count()
-        st = archive.filter(F.col("move_date") == ts_lit(stamp)).agg(
-            F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-        archived_total += st["n"]
-        if kept + archived_total != total_in:
-            raise AssertionError(f"purge lost rows: {total_in} != {kept} + {archived_total}")
-        logs.append(RunLog(run, total, st["n"], kept, st["lo"], st["hi"]))
+    base = base_path.rstrip("/")
+    rows_in = source.count()
+    el = eligible(source, as_of, ts_col)
+    total = el.count()
+    runs = plan_runs(total, limit, max_runs)
     schema = ("run_no int, eligible_before bigint, archived_rows bigint, source_rows_after bigint, "
               "min_id bigint, max_id bigint")
-    return spark.createDataFrame([tuple(vars(x).values()) for x in logs], schema)
+    if runs == 0:
+        return spark.createDataFrame([], schema)
+    ths = id_thresholds(el.select(key), key, [r * limit for r in range(1, runs + 1)])
+    # batch number of each archived row: the first threshold at or above its id
+    batch_no = None
+    for r in range(runs, 0, -1):
+        c = F.col(key) <= F.lit(ths[r * limit])
+        batch_no = F.when(c, F.lit(r)) if batch_no is None else F.when(c, F.lit(r)).otherwise(batch_no)
+    stamp = F.concat(F.lit(as_of[:10] + " 00:00:"), F.lpad(batch_no.cast("string"), 2, "0")).cast("timestamp_ntz")
+    archive_path = f"{base}/archive"
+    (el.filter(F.col(key) <= F.lit(ths[runs * limit]))
+     .withColumn("move_date", stamp)
+     .write.mode("overwrite").partitionBy("move_date").parquet(archive_path))
+    archive = spark.read.parquet(archive_path)
+    ids = F.broadcast(archive.select(F.col(key).alias("__id")))
+    new_path = sinks.write_version(spark, source.join(ids, F.col(key) == F.col("__id"), "left_anti"),
+                                   f"{base}/source", 1)
+    kept = spark.read.parquet(new_path).count()
+    stats = {r["move_date"]: r for r in archive.groupBy("move_date").agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
+    archived = sum(r["n"] for r in stats.values())
+    if kept + archived != rows_in:
+        raise AssertionError(f"purge lost rows: {rows_in} != {kept} + {archived}")
+    logs = []
+    for i, md in enumerate(sorted(stats), start=1):
+        r = stats[md]
+        logs.append((i, total - (i - 1) * limit, r["n"], rows_in - i * limit, r["lo"], r["hi"]))
+    return spark.createDataFrame(logs, schema)

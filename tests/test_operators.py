@@ -63,3 +63,13 @@ def test_anti_skip_list_null_wildcards(spark):
     assert got == [("db1", 2), ("db2", 1)]
     everything = spark.createDataFrame([(None, None)], "database_name string, check_id int")
     assert J.anti_skip_list(f, everything, ["database_name", "check_id"]).count() == 0
+
+
+def test_id_thresholds_many_targets_wide_keys(spark):
+    import random
+    rnd = random.Random(3)
+    ids = sorted(set(rnd.randrange(0, 2 ** 62) for _ in range(5000)) | {7, 8, 9})
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    targets = [1, 2, 3, 100, 2500, 4999, len(ids), len(ids) + 10]
+    got = P.id_thresholds(df, "id", targets, buckets=64)
+    assert got == {t: ids[min(t, len(ids)) - 1] for t in targets}
