@@ -44,16 +44,16 @@ def to_finding(rule: Rule, df: DataFrame, as_of: str) -> DataFrame:
 
 
 def run_rules(inputs: dict, rules: list[Rule], as_of: str, skip: DataFrame | None = None,
-              max_priority: int | None = None, persist_inputs: bool = True) -> DataFrame:
+              max_priority: int | None = None, materialize_inputs: bool = True) -> DataFrame:
     """Evaluate ``rules``; ``skip`` has columns ``scope`` and ``check_id`` (NULL = any).
 
-    Inputs are read by many rules; with ``persist_inputs`` each is derived
-    once and kept (memory, spilling to disk) instead of re-derived per rule.
+    Every input is read by many rules.  With ``materialize_inputs`` each is
+    written once to the shared checkpoint folder (``checkpoint()``): the rules
+    then plan against a small scan instead of re-deriving the input, and a
+    lost executor does not recompute the derivation.
     """
-    if persist_inputs:
-        from pyspark import StorageLevel
-        inputs = {k: (v if v.storageLevel.useMemory or v.isStreaming else v.persist(StorageLevel.MEMORY_AND_DISK))
-                  for k, v in inputs.items()}
+    if materialize_inputs:
+        inputs = {k: v.checkpoint(eager=True) for k, v in inputs.items()}
     active = [r for r in rules if max_priority is None or r.priority <= max_priority]
     out = None
     for r in active:
