@@ -77,3 +77,18 @@ def long_text_split(df: DataFrame, text_col: str, limit: int = 30000):
 
 def with_load_stamp(df: DataFrame, as_of: str, col: str = "load_date") -> DataFrame:
     return df.withColumn(col, F.lit(as_of).cast("timestamp_ntz"))
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", batchsize: int = 1000,
+               truncate: bool = True, num_partitions: int | None = None, **options) -> None:
+    """Full-refresh copy into a relational table: truncate (keep the table), then batched inserts.
+
+    Each task inserts its rows in ``batchsize`` statements per round trip;
+    ``num_partitions`` caps the concurrent connections to the target.
+    """
+    w = df.coalesce(num_partitions) if num_partitions else df
+    wr = (w.write.format("jdbc").option("url", url).option("dbtable", table)
+          .option("batchsize", batchsize).option("truncate", str(truncate).lower()))
+    for k, v in options.items():
+        wr = wr.option(k, v)
+    wr.mode(mode).save()

@@ -38,3 +38,12 @@ def test_long_text_split_keeps_all_rows(spark):
     assert main.count() == d.count()
     assert side.count() == d.filter(F.length("text") > 1000).count()
     assert main.agg(F.max(F.length("text"))).first()[0] <= 1000
+
+
+def test_jdbc_full_refresh_copy(spark):
+    s = table(spark, SF_SMALL, "supplier")
+    opts = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    sinks.write_jdbc(s, URL, "SUPPLIER_COPY", **opts)
+    sinks.write_jdbc(s.limit(7), URL, "SUPPLIER_COPY", **opts)          # truncate keeps only the new rows
+    back = read_source(spark, {"format": "jdbc", "url": URL, "dbtable": "SUPPLIER_COPY", **opts})
+    assert back.count() == 7
