@@ -221,3 +221,18 @@ def tenant_lake_load(spark, d):
     path = scratch_path(spark, "lake-lineitem")
     sinks.replace_target(out, path, "parquet", partition_by=["tenant_id"])
     return spark.read.parquet(path).select(*out.columns)
+
+
+@query("report_export", f"""WITH {ctes('x4')}
+SELECT 'long_running' AS report_name, 'long_running_20240131' AS file_name, COUNT(*) AS row_count FROM x4
+WHERE lower(command) = 'query' AND "time" > 420 AND lower(state) = 'executing'
+  AND lower("user") NOT IN ('rdsadmin', 'rdsrepladmin', 'system user', 'event_scheduler')
+  AND (info IS NULL OR info NOT LIKE '%IGNORE_KILL_QUERY_ON_DATABASE_TIMEOUT%')
+UNION ALL
+SELECT 'documents', 'documents_20240131', COUNT(*) FROM documents""")
+def report_export(spark, d):
+    """Two result sets exported to dated CSV files (text cells kept whole)."""
+    from opslake.operators.filters import long_running
+    reports = {"long_running": long_running(fx.processlist(spark, d), 420),
+               "documents": table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")}
+    return sinks.export_reports(reports, scratch_path(spark, "reports"), AS_OF)

@@ -92,3 +92,25 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", bat
     for k, v in options.items():
         wr = wr.option(k, v)
     wr.mode(mode).save()
+
+
+def export_reports(reports: dict[str, DataFrame], base: str, as_of: str, fmt: str = "csv") -> DataFrame:
+    """Write each result set to ``{base}/{name}_{yyyymmdd}`` (one write job each, header row for CSV).
+
+    Returns one row per report: name, path and the row count read back from the written files.
+    """
+    stamp = as_of[:10].replace("-", "")
+    rows = []
+    spark = None
+    for name, df in reports.items():
+        spark = df.sparkSession
+        path = f"{base.rstrip('/')}/{name}_{stamp}"
+        w = df.write.mode("overwrite").format(fmt)
+        if fmt == "csv":
+            w = w.option("header", "true")
+        w.save(path)
+        r = spark.read.format(fmt)
+        if fmt == "csv":
+            r = r.option("header", "true")
+        rows.append((name, f"{name}_{stamp}", r.load(path).count()))
+    return spark.createDataFrame(rows, "report_name string, file_name string, row_count bigint")
