@@ -110,12 +110,14 @@ def retention_keep(df: DataFrame, ts_col: str, as_of: str, days: int, by: str |
     """Rows to keep after a retention purge (``ts >= as_of - days``).
 
     With ``per_server_days`` (columns ``by``, ``retention_days``) every server
-    has its own horizon; that table is one row per server and is broadcast.
+    has its own horizon; that table is one row per server and is broadcast
+    after a size check.
     """
+    from opslake.operators.joins import broadcast_if_small
     end = F.lit(as_of).cast("timestamp_ntz")
     if per_server_days is None:
         return df.filter(F.col(ts_col) >= F.timestamp_add("DAY", F.lit(-days), end))
-    d = F.broadcast(per_server_days.select(by, "retention_days"))
+    d = broadcast_if_small(per_server_days.select(by, "retention_days"))
     return (df.join(d, by, "left")
             .filter(F.col(ts_col) >= F.timestamp_add(
                 "DAY", -F.coalesce(F.col("retention_days"), F.lit(days)), end))
@@ -128,7 +130,8 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], order_co
 
     The latest change per key wins (``max_by`` on the order column, a
     partial aggregate before the shuffle); base rows with a change are
-    replaced or removed (``left_anti`` + union).  ``op`` is ``I``, ``U`` or ``D``.
+    replaced or removed (``left_anti`` + union).  ``op`` is ``I``, ``U`` or ``D``;
+    ``order_col`` must order the changes of one key strictly (a sequence or LSN).
     """
     data_cols = [c for c in base.columns]
     latest = (changes.groupBy(*keys)

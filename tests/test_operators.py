@@ -73,3 +73,22 @@ def test_id_thresholds_many_targets_wide_keys(spark):
     targets = [1, 2, 3, 100, 2500, 4999, len(ids), len(ids) + 10]
     got = P.id_thresholds(df, "id", targets, buckets=64)
     assert got == {t: ids[min(t, len(ids)) - 1] for t in targets}
+
+
+def test_retention_per_server(spark):
+    from opslake.operators.extract import retention_keep
+    rows = [("a", dt.datetime(2024, 1, d)) for d in range(1, 31)] + [("b", dt.datetime(2024, 1, d)) for d in range(1, 31)]
+    df = spark.createDataFrame(rows, "server_name string, check_date timestamp_ntz")
+    per = spark.createDataFrame([("a", 3)], "server_name string, retention_days int")
+    got = {r.server_name: r.n for r in retention_keep(df, "check_date", "2024-01-31 00:00:00", 7, "server_name", per)
+           .groupBy("server_name").count().withColumnRenamed("count", "n").collect()}
+    assert got == {"a": 3, "b": 7}
+
+
+def test_apply_changes(spark):
+    from opslake.operators.extract import apply_changes
+    base = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, v string")
+    ch = spark.createDataFrame([(1, "U", 1, "x1"), (1, "U", 2, "x2"), (2, "D", 1, None), (4, "I", 1, "w")],
+                               "id int, op string, seq int, v string")
+    got = sorted(tuple(r) for r in apply_changes(base, ch, ["id"], "seq").collect())
+    assert got == [(1, "x2"), (3, "z"), (4, "w")]
