@@ -112,6 +112,25 @@ def bit_names(c: Column, table: list[tuple[int, str]]) -> Column:
     return F.array_join(F.filter(parts, lambda x: x.isNotNull()), ", ")
 
 
+def distinct_counts(parts: list[DataFrame], keys: list[str], counted: str = "k", out: str = "events") -> DataFrame:
+    """One ``countDistinct`` aggregation over stacked (keys..., counted) rows from many sources.
+
+    Each part is already filtered and projected to the same columns; the
+    union is narrow, so all checks share one shuffle instead of one each.
+    """
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    return stacked.groupBy(*keys).agg(F.countDistinct(counted).alias(out))
+
+
+def dims_long(df: DataFrame, dims: list[str], id_col: str = "event_id") -> DataFrame:
+    """(dimension, value, id) rows for several dimension columns in one pass (explode of an array)."""
+    arr = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dims])
+    return (df.select(F.col(id_col).alias("k"), F.explode(arr).alias("d"))
+            .select("d.dimension", "d.value", "k").filter(F.col("value").isNotNull()))
+
+
 def count_events_by(df: DataFrame, dim: str, label: str, value_col: str = "value") -> DataFrame:
     """Distinct deadlock events per value of a dimension (one kernel for every dimension)."""
     return (df.filter(F.col(dim).isNotNull()).groupBy(F.col(dim).alias(value_col))

@@ -81,37 +81,30 @@ def deadlock_findings(spark, d):
     ow = X.owner_waiter(parsed)
     fr = X.frames(parsed).filter(F.col("procname") != "adhoc")
 
-    def chk(df, check, group, finding, count_col="event_id"):
-        return (df.groupBy(finding.alias("finding")).agg(F.countDistinct(count_col).alias("events"))
-                .select(F.lit(check).alias("check_id"), F.lit(group).alias("finding_group"), "finding", "events"))
+    def part(df, check, group, finding, counted="event_id"):
+        return df.select(F.lit(check).alias("check_id"), F.lit(group).alias("finding_group"),
+                         finding.alias("finding"), F.col(counted).cast("string").alias("k"))
 
     sel = ow.filter(F.col("owner_mode").isin("S", "IS") | F.col("waiter_mode").isin("S", "IS"))
     parts = [
-        chk(p, 1, "Total database locks", F.col("currentdbname")),
-        chk(sel, 2, "Total database deadlocks involving selects", F.split_part("objectname", F.lit("."), F.lit(1))),
-        chk(ow, 3, "Total object deadlocks", F.col("objectname")),
-        chk(p.filter(F.col("isolationlevel").startswith("serializable")), 4, "Serializable deadlocks",
-            F.col("currentdbname")),
-        chk(p.filter(F.col("isolationlevel").startswith("repeatable")), 5, "Repeatable read deadlocks",
-            F.col("currentdbname")),
-        chk(fr, 9, "Stored procedure deadlocks", F.col("procname"), "process_id"),
-        chk(p, 13, "Login deadlocks", F.col("loginname")),
+        part(p, 1, "Total database locks", F.col("currentdbname")),
+        part(sel, 2, "Total database deadlocks involving selects", F.split_part("objectname", F.lit("."), F.lit(1))),
+        part(ow, 3, "Total object deadlocks", F.col("objectname")),
+        part(p.filter(F.col("isolationlevel").startswith("serializable")), 4, "Serializable deadlocks",
+             F.col("currentdbname")),
+        part(p.filter(F.col("isolationlevel").startswith("repeatable")), 5, "Repeatable read deadlocks",
+             F.col("currentdbname")),
+        part(fr, 9, "Stored procedure deadlocks", F.col("procname"), "process_id"),
+        part(p, 13, "Login deadlocks", F.col("loginname")),
+        # single-finding checks: a finding with no rows is simply absent (kept only when > 0)
+        part(ow.filter(F.col("lock_kind") == "exchangeEvent"), 14, "Parallel deadlocks", F.lit("exchangeEvent")),
+        part(p.filter(F.col("status") == "sleeping"), 15, "Sleeping deadlocks", F.lit("sleeping")),
+        part(p.filter(F.col("status") == "background"), 15, "Background deadlocks", F.lit("background")),
+        part(p.filter(F.col("transactionname") == "implicit_transaction"), 16, "Implicit transaction deadlocks",
+             F.lit("implicit_transaction")),
     ]
-    single = [
-        (ow.filter(F.col("lock_kind") == "exchangeEvent"), 14, "Parallel deadlocks", "exchangeEvent"),
-        (p.filter(F.col("status") == "sleeping"), 15, "Sleeping deadlocks", "sleeping"),
-        (p.filter(F.col("status") == "background"), 15, "Background deadlocks", "background"),
-        (p.filter(F.col("transactionname") == "implicit_transaction"), 16, "Implicit transaction deadlocks",
-         "implicit_transaction"),
-    ]
-    for df, check, group, finding in single:
-        parts.append(df.agg(F.countDistinct("event_id").alias("events")).filter(F.col("events") > 0)
-                     .select(F.lit(check).alias("check_id"), F.lit(group).alias("finding_group"),
-                             F.lit(finding).alias("finding"), "events"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    # one shuffle for all checks (the shared distinct-count kernel)
+    return X.distinct_counts(parts, ["check_id", "finding_group", "finding"])
 
 
 @query("lock_types_text", _OW + """
@@ -175,11 +168,8 @@ _DIMS = ["currentdbname", "loginname", "clientapp", "hostname", "isolationlevel"
 def event_counts(spark, d):
     parsed = _parsed(spark, d).cache()
     p, ow = X.processes(parsed), X.owner_waiter(parsed)
-    parts = [X.count_events_by(p, c, c) for c in _DIMS] + [X.count_events_by(ow, c, c) for c in ("objectname", "indexname")]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    long = X.dims_long(p, _DIMS).unionByName(X.dims_long(ow, ["objectname", "indexname"]))
+    return X.distinct_counts([long], ["dimension", "value"])
 
 
 _WT = "lpad(CAST({x} AS VARCHAR), {n}, '0')"
