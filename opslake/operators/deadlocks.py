@@ -35,19 +35,32 @@ CLIENT_OPTIONS_2 = [
 _RES = ("struct<_dbid: bigint, _objectname: string, _indexname: string, _mode: string, _associatedObjectId: bigint, "
         "`owner-list`: struct<owner: array<struct<_id: string, _mode: string>>>, "
         "`waiter-list`: struct<waiter: array<struct<_id: string, _mode: string, _requestType: string>>>>")
-SCHEMA = (
-    "struct<`victim-list`: struct<victimProcess: array<struct<_id: string>>>, "
-    "`process-list`: struct<process: array<struct<_id: string, _spid: bigint, _currentdbname: string, "
-    "_isolationlevel: string, _status: string, _clientapp: string, _hostname: string, _loginname: string, "
-    "_waittime: bigint, _lockMode: string, _trancount: bigint, _transactionname: string, "
-    "_clientoption1: bigint, _clientoption2: bigint, "
-    "executionStack: struct<frame: array<struct<_procname: string, _sqlhandle: string>>>>>>, "
-    "`resource-list`: struct<" + ", ".join(f"{k}: array<{_RES}>" for k in LOCK_KINDS) + ">>")
-
-
-def parse(df: DataFrame, xml_col: str = "deadlock_graph") -> DataFrame:
-    """Parse each deadlock graph once; keeps ``event_id``/``event_date`` and the struct ``d``."""
-    return df.select("event_id", "event_date", F.from_xml(F.col(xml_col), SCHEMA).alias("d"))
+_SECTIONS = {
+    "victims": "`victim-list`: struct<victimProcess: array<struct<_id: string>>>",
+    "processes": ("`process-list`: struct<process: array<struct<_id: string, _spid: bigint, _currentdbname: string, "
+                  "_isolationlevel: string, _status: string, _clientapp: string, _hostname: string, _loginname: string, "
+                  "_waittime: bigint, _lockMode: string, _trancount: bigint, _transactionname: string, "
+                  "_clientoption1: bigint, _clientoption2: bigint, "
+                  "executionStack: struct<frame: array<struct<_procname: string, _sqlhandle: string>>>>>>"),
+    "resources": "`resource-list`: struct<" + ", ".join(f"{k}: array<{_RES}>" for k in LOCK_KINDS) + ">",
+}
+ALL_SECTIONS = ("victims", "processes", "resources")
+
+
+def schema_for(sections=ALL_SECTIONS) -> str:
+    """``from_xml`` schema with only the named sections (fewer fields to convert)."""
+    return "struct<" + ", ".join(_SECTIONS[s] for s in sections) + ">"
+
+
+SCHEMA = schema_for()
+
+
+def parse(df: DataFrame, xml_col: str = "deadlock_graph", sections=ALL_SECTIONS) -> DataFrame:
+    """Parse each deadlock graph once, keeping only the ``sections`` a query reads.
+
+    Keeps ``event_id``/``event_date`` and the parsed struct ``d``.
+    """
+    return df.select("event_id", "event_date", F.from_xml(F.col(xml_col), schema_for(sections)).alias("d"))
 
 
 def event_filter(parsed: DataFrame, start: str, end: str, database: str | None = None) -> DataFrame:

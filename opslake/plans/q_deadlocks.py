@@ -22,8 +22,8 @@ ow AS (SELECT * EXCLUDE (rn) FROM (
          FROM x6 WINDOW e AS (PARTITION BY event_id ORDER BY rn)) WHERE rn > 1)"""
 
 
-def _parsed(spark, d):
-    return X.parse(fx.deadlock_xml(spark, d))
+def _parsed(spark, d, sections=X.ALL_SECTIONS):
+    return X.parse(fx.deadlock_xml(spark, d), sections=sections)
 
 
 @query("xml_event_filter", f"""WITH {ctes('x6')}
@@ -31,7 +31,7 @@ SELECT event_id, event_date, COUNT(*) AS processes FROM x6
 WHERE event_date >= TIMESTAMP '1997-01-01 00:00:00' AND event_date < TIMESTAMP '1998-01-01 00:00:00'
 GROUP BY event_id, event_date HAVING bool_or(currentdbname = 'db3')""")
 def event_filter(spark, d):
-    return X.event_filter(_parsed(spark, d), "1997-01-01 00:00:00", "1998-01-01 00:00:00", "db3")
+    return X.event_filter(_parsed(spark, d, ("processes",)), "1997-01-01 00:00:00", "1998-01-01 00:00:00", "db3")
 
 
 _PCOLS = ("event_id, event_date, process_id, spid, currentdbname, isolationlevel, status, clientapp, hostname, "
@@ -41,17 +41,17 @@ _PCOLS = ("event_id, event_date, process_id, spid, currentdbname, isolationlevel
 
 @query("xml_processes", f"WITH {ctes('x6')} SELECT {_PCOLS} FROM x6")
 def xml_processes(spark, d):
-    return X.processes(_parsed(spark, d)).drop("frames")
+    return X.processes(_parsed(spark, d, ("victims", "processes"))).drop("frames")
 
 
 @query("xml_frames", f"WITH {ctes('x6')} SELECT DISTINCT event_id, event_date, process_id, procname, sqlhandle FROM x6")
 def xml_frames(spark, d):
-    return X.frames(_parsed(spark, d))
+    return X.frames(_parsed(spark, d, ("victims", "processes")))
 
 
 @query("xml_owner_waiter", _OW + " SELECT * FROM ow")
 def xml_owner_waiter(spark, d):
-    return X.owner_waiter(_parsed(spark, d))
+    return X.owner_waiter(_parsed(spark, d, ("resources",)))
 
 
 @query("deadlock_findings", _OW + """,
@@ -110,7 +110,7 @@ def deadlock_findings(spark, d):
 @query("lock_types_text", _OW + """
 SELECT objectname, string_agg(DISTINCT lock_kind, ', ' ORDER BY lock_kind) AS lock_kinds FROM ow GROUP BY objectname""")
 def lock_types(spark, d):
-    ow = X.owner_waiter(_parsed(spark, d))
+    ow = X.owner_waiter(_parsed(spark, d, ("resources",)))
     return ow.groupBy("objectname").agg(F.array_join(F.array_sort(F.collect_set("lock_kind")), ", ").alias("lock_kinds"))
 
 
@@ -123,7 +123,7 @@ SELECT event_id, process_id, clientoption1, clientoption2,
        {_bits_sql('clientoption1', X.CLIENT_OPTIONS_1)} AS client_option_1,
        {_bits_sql('clientoption2', X.CLIENT_OPTIONS_2)} AS client_option_2 FROM x6""")
 def bitmask(spark, d):
-    p = X.processes(_parsed(spark, d))
+    p = X.processes(_parsed(spark, d, ("victims", "processes")))
     return p.select("event_id", "process_id", "clientoption1", "clientoption2",
                     X.bit_names(F.col("clientoption1"), X.CLIENT_OPTIONS_1).alias("client_option_1"),
                     X.bit_names(F.col("clientoption2"), X.CLIENT_OPTIONS_2).alias("client_option_2"))
@@ -155,7 +155,7 @@ SELECT dense_rank() OVER (ORDER BY event_date) AS event_number, event_id, event_
        row_number() OVER (PARTITION BY event_id ORDER BY process_id) - 1 AS query_number,
        row_number() OVER (PARTITION BY spid ORDER BY event_date, event_id, process_id) AS id_number FROM x6""")
 def event_numbering(spark, d):
-    return X.event_numbers(X.processes(_parsed(spark, d)))
+    return X.event_numbers(X.processes(_parsed(spark, d, ("victims", "processes"))))
 
 
 _DIMS = ["currentdbname", "loginname", "clientapp", "hostname", "isolationlevel"]
