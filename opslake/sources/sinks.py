@@ -114,3 +114,19 @@ def export_reports(reports: dict[str, DataFrame], base: str, as_of: str, fmt: st
             r = r.option("header", "true")
         rows.append((name, f"{name}_{stamp}", r.load(path).count()))
     return spark.createDataFrame(rows, "report_name string, file_name string, row_count bigint")
+
+
+def write_partitioned(df: DataFrame, path: str, part_col: str, salt_buckets: int = 16,
+                      salt_cols: list[str] | None = None, fmt: str = "parquet") -> None:
+    """Write partitioned by ``part_col`` with about ``salt_buckets`` files per partition value.
+
+    Rows are shuffled on (part_col, salt) where the salt is a hash of
+    ``salt_cols`` (all columns by default) modulo ``salt_buckets``: a hot
+    partition value is written by ``salt_buckets`` tasks, and the file count
+    stays near values x buckets instead of tasks x values.  The salt is a
+    hash, not a random number, so a retried task reproduces the same rows.
+    """
+    cols = salt_cols or df.columns
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets))
+    (df.repartition(F.col(part_col), salt).write.mode("overwrite").format(fmt)
+     .partitionBy(part_col).save(path))
