@@ -47,3 +47,16 @@ def test_jdbc_full_refresh_copy(spark):
     sinks.write_jdbc(s.limit(7), URL, "SUPPLIER_COPY", **opts)          # truncate keeps only the new rows
     back = read_source(spark, {"format": "jdbc", "url": URL, "dbtable": "SUPPLIER_COPY", **opts})
     assert back.count() == 7
+
+
+def test_write_partitioned_salted(spark, tmp_path):
+    import os
+    o = table(spark, SF_SMALL, "orders").withColumn("tenant_id", F.col("o_custkey") % 3)
+    path = str(tmp_path / "lake")
+    sinks.write_partitioned(o, path, "tenant_id", salt_buckets=4)
+    back = spark.read.parquet(path).select(*o.columns)
+    assert back.exceptAll(o).count() == 0 and o.exceptAll(back).count() == 0
+    for part in os.listdir(path):
+        if part.startswith("tenant_id="):
+            files = [f for f in os.listdir(os.path.join(path, part)) if f.endswith(".parquet")]
+            assert 1 <= len(files) <= 4
