@@ -173,9 +173,8 @@ def findings_engine(spark, d):
         F.concat(F.lit("db"), (k % 4).cast("string"))).alias("scope"),
         F.when(k % 12 == 1, F.lit(None)).otherwise(k % 13 + 1).cast("int").alias("check_id"))
     inputs = dict(_idx_inputs(spark, d), backups=fx.backups(spark, d))
-    idx = RE.run_rules(inputs, INDEX_RULES, AS_OF, skip, CEILING)
-    bk = RE.run_rules(inputs, BACKUP_RULES, AS_OF, skip, CEILING)
-    return idx.unionByName(bk)
+    # one engine run over both packs: each input is materialised once
+    return RE.run_rules(inputs, INDEX_RULES + BACKUP_RULES, AS_OF, skip, CEILING)
 
 
 @query("unindexed_fk", f"""WITH {ctes('x5')},
