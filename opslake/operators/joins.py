@@ -88,7 +88,8 @@ def anti_skip_list(df: DataFrame, skip: DataFrame, keys: list[str]) -> DataFrame
         part = skip.filter(cond).select(*set_keys)
         if not set_keys:
             # an all-NULL row skips every row
-            out = out.filter(~part.select(F.lit(True)).exists())
+            # an all-NULL row skips every row: a scalar flag, not a join
+            out = out.filter(~part.select((F.count(F.lit(1)) > 0).alias("f")).scalar())
         else:
             out = out.join(part.distinct(), set_keys, "left_anti")
     return out.select(*df.columns)

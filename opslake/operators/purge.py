@@ -101,11 +101,11 @@ def oldest_batch(df: DataFrame, as_of: str, limit: int = LIMIT, key: str = "id",
 def latest_batch_ids(archive: DataFrame, key: str = "id") -> DataFrame:
     """Ids of the most recent archive batch (``move_date = max(move_date)``).
 
-    The maximum is a one-row aggregate joined back as a semi join, so no
-    window pulls the archive into one partition.
+    The maximum is a scalar subquery (a one-row aggregate), so no window
+    pulls the archive into one partition and no join is needed.
     """
-    last = archive.agg(F.max("move_date").alias("move_date"))
-    return archive.join(F.broadcast(last), "move_date", "left_semi").select(key)
+    last = archive.select(F.max("move_date")).scalar()
+    return archive.filter(F.col("move_date") == last).select(key)
 
 
 def remove_ids(source: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
