@@ -20,10 +20,11 @@ No pair is capped or sampled.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,9 +45,11 @@ def _bounds(upto: int) -> list[int]:
     return out
 
 
-BOUNDS = np.array(_bounds(1 << 40), np.int64)
+_BOUNDS = _bounds(1 << 40)
+BOUNDS = np.array(_BOUNDS, np.int64)
 
 
+@lru_cache(None)
 def _groups(c: int, t: Fraction) -> tuple[int, int]:
     """(number of groups, empty groups allowed) of size class ``c``."""
     diff = math.floor(2 * int(BOUNDS[c]) * (1 - t) / (1 + t))
@@ -56,13 +59,17 @@ def _groups(c: int, t: Fraction) -> tuple[int, int]:
 
 def _classes(n: int, t: Fraction) -> list[int]:
     """Own size class and, if a set as similar as ``t`` can lie in it, the next ones."""
-    c = int(np.searchsorted(BOUNDS, n))
-    out = [c]
-    while int(BOUNDS[out[-1]]) + 1 <= n / t:
+    out = [bisect_left(_BOUNDS, n)]
+    while (_BOUNDS[out[-1]] + 1) * t.numerator <= n * t.denominator:
         out.append(out[-1] + 1)
     return out
 
 
+@lru_cache(None)
+def _names(c: int, m: int) -> np.ndarray:
+    return T.mix(np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c))
+
+
 def count_vector(s: np.ndarray, c: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Group boundaries in the sorted hash set and the counts per group."""
     m, _ = _groups(c, t)
@@ -74,13 +81,14 @@ def count_vector(s: np.ndarray, c: int, t: Fraction) -> tuple[np.ndarray, np.nda
 def _cells(s: np.ndarray, t: Fraction) -> np.ndarray:
     """Cell keys of a set: one per size class and non-empty group (empty groups only if more than the spare)."""
     out = []
-    sums = np.r_[np.uint64(0), np.cumsum(T.mix(s + np.uint64(77)))]
+    sums = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(T.mix(s + np.uint64(77)), out=sums[1:])
     for c in _classes(len(s), t):
         m, spare = _groups(c, t)
         if m == 1:  # no difference is allowed: only equal sets link, and they are one class already
             continue
         at, n = count_vector(s, c, t)
-        keys = T.mix((sums[at[1:]] - sums[at[:-1]]) ^ T.mix(np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c)))
+        keys = T.mix((sums[at[1:]] - sums[at[:-1]]) ^ _names(c, m))
         out.append(keys if (n == 0).sum() > spare else keys[n > 0])
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
@@ -181,18 +189,49 @@ class RTree:
         return out
 
 
+def _search_bucket(pts, n, comp, cid, side, num: int, den: int) -> set[tuple[int, int]]:
+    """Pairs of a bucket (or of two of its blocks: side 0 is indexed, side 1 asks, side 2 does both)."""
+    tree, probe = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(tree) or not len(probe):
+        return set()
+    found = RTree(pts[tree], n[tree], comp[tree]).search(pts[probe], n[probe], comp[probe], num, den)
+    ends = ((int(cid[probe[i]]), int(cid[tree[j]])) for i, j in found)
+    return {(min(e), max(e)) for e in ends}
+
+
 def _search(num: int, den: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = np.stack([np.frombuffer(x, np.uint16) for x in pdf.vec])
-        n, comp, cid = (pdf[c].to_numpy() for c in ("n", "comp", "cid"))
-        tree, probe = np.flatnonzero(pdf.side.to_numpy() != 1), np.flatnonzero(pdf.side.to_numpy() != 0)
-        if not len(tree) or not len(probe):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        r = RTree(pts[tree], n[tree], comp[tree])
-        found = r.search(pts[probe], n[probe], comp[probe], num, den)
-        a = [cid[probe[i]] for i, _ in found]
-        b = [cid[tree[j]] for _, j in found]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64").drop_duplicates()
+    """Over rows sorted by bucket: one R-tree per bucket, also if a bucket spans batches."""
+    def bucket(rows: pa.RecordBatch | pa.Table) -> set[tuple[int, int]]:
+        col = {c: rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()
+               for c in ("n", "comp", "cid", "side")}
+        pts = np.stack([np.frombuffer(x, np.uint16) for x in rows.column("vec").to_pylist()])
+        return _search_bucket(pts, col["n"], col["comp"], col["cid"], col["side"], num, den)
+
+    def out(pairs):
+        pairs = sorted(pairs)
+        return pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last, pairs = None, set()
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy() for c in ("cell", "i", "j")])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi == lo:
+                    continue
+                now = tuple(key[:, lo])
+                if now != last and held:
+                    pairs |= bucket(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                last = now
+                held.append(b.slice(lo, hi - lo))
+            if len(pairs) > 50_000:
+                yield out(pairs)
+                pairs = set()
+        if held:
+            pairs |= bucket(pa.Table.from_batches(held).combine_chunks())
+        yield out(pairs)
     return run
 
 
@@ -277,8 +316,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
                        F.when(F.col("blk") == F.col("oth"), 2).when(F.col("blk") < F.col("oth"), 0).otherwise(1).alias("side"))
     vec = (left.select("cid", "c").distinct().join(sets, "cid").select("cid", "c", "hashes")
            .mapInArrow(_vectors(t), "cid long, c int, n long, vec binary"))
-    cand = (left.join(vec, ["cid", "c"]).groupBy("cell", "i", "j")
-            .applyInPandas(_search(num, den), "a long, b long").distinct())
+    cand = left.join(vec, ["cid", "c"]).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    cand = (cand.select("cell", "i", "j", "side", "cid", "comp", "n", "vec")
+            .mapInArrow(_search(num, den), "a long, b long").distinct())
     more = _pairs_with_sets(cand, sets).mapInArrow(_verify(num, den), "a long, b long")
     more = materialize(more, "jaccard-links")
     hook = comp.select(F.col("id").alias("a"), F.col("label").alias("b"))

@@ -104,9 +104,15 @@ def words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACE_WORDS,
     last[:-1] &= ~w[1:]
     last[cuts - 1] = w[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    return doc, starts, ends, span_hashes(raw, starts, ends, lower)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the byte spans (in text order, not overlapping), by prefix sums of a polynomial."""
     out = np.empty(len(starts), np.uint64)
     at = 0
-    while at < len(starts):  # pieces of bounded size, cut between words
+    while at < len(starts):  # pieces of bounded size, cut between spans
         base = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, base + PIECE_BYTES, side="right")))
         stop = ends[to - 1]
@@ -120,8 +126,18 @@ def words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACE_WORDS,
         s, e = starts[at:to] - base, ends[at:to] - base
         out[at:to] = mix((acc[e] - acc[s]) * inv[s])
         at = to
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-    return doc, starts, ends, out
+    return out
+
+
+def stem_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` code points of every word; 0 for shorter words."""
+    chars = np.flatnonzero((raw & 0xC0) != 0x80)
+    nth = np.searchsorted(chars, starts) + size
+    stop = np.r_[chars, np.full(size + 1, len(raw))][nth]
+    ok = stop <= ends
+    out = np.zeros(len(starts), np.uint64)
+    out[ok] = span_hashes(raw, starts[ok], stop[ok])
+    return out
 
 
 def shingles(doc: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,8 +8,9 @@ an insult or threat are never run.  A document's matched clauses give a few
 features, and logistic regression on the training labels (gradients and Hessians
 summed per partition) turns them into a probability.
 
-Besides the fixed word lists, words that mark toxic training documents are learned
-as insults from a bounded sample of labelled rows.
+Besides the fixed word lists, words that mark toxic training documents, and stems
+(first letters of words) that mark them when they occur twice, are learned as insults
+from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ sagte nannte schrieb zitiert angeblich disait écrit appelé dijo llamó escribi
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[ord(c) for c in ".!?;\n"]] = True
-FEATURES = ("weight", "strongest", "clauses", "targeted", "threats", "softened", "rate")
+FEATURES = ("weight", "strongest", "clauses", "targeted", "threats", "softened", "rate", "stems", "repeated")
+STEMS = (4, 5, 6, 7)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -103,74 +105,116 @@ def clause_score(symbols: list[int], weights: list[float]) -> tuple[float, bool,
 
 @dataclass
 class Lexicon:
-    """Sorted word hashes with their symbol and weight; a learned word has the weight of its log-odds, 1 at most."""
+    """Sorted word hashes with their symbol and weight (a learned word: its log-odds, 1 at most), and learned stems."""
     hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     symbols: np.ndarray = field(default_factory=lambda: np.empty(0, np.int8))
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    stems: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    stem_weights: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     @staticmethod
-    def build(learned: dict[int, float] | None = None) -> Lexicon:
+    def build(learned: dict[int, float] | None = None, stems: dict[int, float] | None = None) -> Lexicon:
         entry = {int(h): (INSULT, w) for h, w in (learned or {}).items()}
         for symbol, words in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             entry.update({int(h): (symbol, 1.0) for h in hash_words(words)})
         keys = sorted(entry)
-        return Lexicon(np.array(keys, np.uint64), np.array([entry[k][0] for k in keys], np.int8), np.array([entry[k][1] for k in keys]))
+        return Lexicon(np.array(keys, np.uint64), np.array([entry[k][0] for k in keys], np.int8), np.array([entry[k][1] for k in keys]),
+                       np.array(sorted(stems or {}), np.uint64), np.array([stems[k] for k in sorted(stems or {})]))
+
+
+def _look_up(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into h, index into the sorted keys) of the hashes that are keys."""
+    if not len(keys) or not len(h):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    seen = np.zeros(1 << 16, bool)
+    seen[(keys >> np.uint64(48)).astype(np.int64)] = True
+    maybe = np.flatnonzero(seen[(h >> np.uint64(48)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
+    ok = keys[at] == h[maybe]
+    return maybe[ok], at[ok]
 
 
 def _words(text: pa.Array):
     raw, off = T.flat(pc.utf8_lower(pc.fill_null(text.cast(pa.large_string()), "")))
-    doc, s, e, h = T.words(raw, off, T.ALNUM_WORDS, lower=False)
-    return raw, off, doc, s, h
+    return raw, off, *T.words(raw, off, T.ALNUM_WORDS, lower=False)
 
 
 def features(text: pa.Array, lex: Lexicon) -> np.ndarray:
     """(documents, len(FEATURES)) from the matched clauses of every whole text; zeros if none matches."""
-    raw, off, doc, s, h = _words(text)
+    raw, off, doc, s, e, h = _words(text)
     out = np.zeros((len(off) - 1, len(FEATURES)))
     if not len(h):
         return out
-    seen = np.zeros(1 << 16, bool)
-    seen[(lex.hashes >> np.uint64(48)).astype(np.int64)] = True
-    maybe = np.flatnonzero(seen[(h >> np.uint64(48)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(lex.hashes, h[maybe]), len(lex.hashes) - 1)
-    ok = lex.hashes[at] == h[maybe]
     symbol, weight = np.zeros(len(h), np.int8), np.zeros(len(h))
-    symbol[maybe[ok]], weight[maybe[ok]] = lex.symbols[at[ok]], lex.weights[at[ok]]
+    if len(lex.stems):
+        for size in STEMS:
+            at, key = _look_up(lex.stems, T.stem_hashes(raw, s, e, size))
+            symbol[at], weight[at] = INSULT, np.maximum(weight[at], lex.stem_weights[key])
+        out[:, 7] = np.bincount(doc[symbol == INSULT], minlength=len(out))
+        out[:, 8] = out[:, 7] >= 2
+    at, key = _look_up(lex.hashes, h)
+    symbol[at], weight[at] = lex.symbols[key], lex.weights[key]
     clause = np.r_[0, np.cumsum(_SPLIT[raw])][s] + doc  # a document border also ends a clause
     hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
     n_words = np.diff(T.by_doc(doc, len(off) - 1))
     for c in np.unique(clause[hits]):
         a, b = np.searchsorted(clause, [c, c + 1])
         w, target, threat, soft = clause_score(symbol[a:b].tolist(), weight[a:b].tolist())
-        out[doc[a]] += (w, 0, 1, target, threat, soft, 0)
-        out[doc[a], 1] = max(out[doc[a], 1], w)
+        row = out[doc[a]]
+        row[[0, 2, 3, 4, 5]] += (w, 1, target, threat, soft)
+        row[1] = max(row[1], w)
     out[:, 6] = 100 * out[:, 0] / np.maximum(n_words, 20)
     return np.log1p(out)
 
 
-def learn_words(labelled: DataFrame, min_share: float = 0.03, least: int = 5) -> dict[int, float]:
-    """Word hashes that mark toxic rows of ``labelled`` (text, label): hash -> weight.
+def _marks(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, occurrences) of the distinct words and stems of every text."""
+    raw, off, doc, s, e, h = _words(text)
+    parts = [(doc, h)]
+    for size in STEMS:
+        x = T.stem_hashes(raw, s, e, size)
+        parts.append((doc[x > 0], x[x > 0]))
+    d, k = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((k, d))
+    d, k = d[order], k[order]
+    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])]) if len(d) else np.empty(0, np.int64)
+    return d[new], k[new], np.diff(np.r_[new, len(d)])
+
+
+def learn_lexicon(labelled: DataFrame, min_share: float = 0.03, least: int = 5, precision: float = 0.8) -> Lexicon:
+    """Lexicon with words and stems that mark the toxic rows of ``labelled`` (text, label 0/1).
 
     A word counts if it is in at least ``least`` and ``min_share`` of the toxic rows
-    and four of five rows with it (smoothed) are toxic.  At most
-    (words per row / min_share) words can qualify, so the collected result is bounded.
+    and ``precision`` of the rows with it (smoothed) are toxic; a stem likewise among the
+    rows that have it twice.  At most (words per row / min_share) of them can reach the
+    share of toxic rows, so what the driver collects is bounded.
     """
-    def run(batches):
-        for b in T.slices(batches):
-            _, off, doc, _, h = _words(b.column("text"))
-            y = b.column("label").to_numpy(zero_copy_only=False)
-            cut = T.by_doc(doc, len(off) - 1)
-            u = [np.unique(h[cut[i]:cut[i + 1]]) for i in range(len(y))]
-            w, inv = np.unique(np.concatenate(u), return_inverse=True)
-            bad = np.repeat(y == 1, [len(x) for x in u])
-            yield pa.record_batch([pa.array(w.view(np.int64)), pa.array(np.bincount(inv, bad, len(w)).astype(np.int64)),
-                                   pa.array(np.bincount(inv, minlength=len(w)).astype(np.int64))], ["word", "bad", "n"])
-    n_bad = labelled.where("label = 1").count()
-    floor = max(least, int(min_share * n_bad))
-    got = (labelled.select("text", "label").mapInArrow(run, "word long, bad long, n long").groupBy("word")
-           .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("bad") >= floor)
-           .where((F.col("bad") + 1) / (F.col("n") + 2) >= 0.8).collect())
-    return {int(np.int64(r["word"]).view(np.uint64)): min(1.0, np.log((r["bad"] + 1) / (r["n"] - r["bad"] + 1)) / 3) for r in got}
+    def count(keys: np.ndarray | None):
+        def run(batches):
+            for b in T.slices(batches):
+                y = b.column("label").to_numpy(zero_copy_only=False) == 1
+                d, k, n = _marks(b.column("text"))
+                if keys is not None:
+                    d, k, n = (x[np.isin(k, keys)] for x in (d, k, n))
+                u, inv = np.unique(k, return_inverse=True)
+                sums = [np.bincount(inv, w, len(u)).astype(np.int64) for w in (y[d], np.ones(len(d)), y[d] & (n > 1), n > 1)]
+                yield pa.record_batch([pa.array(u.view(np.int64)), *map(pa.array, sums)], ["mark", "bad", "n", "bad2", "n2"])
+        return run
+    total = [F.sum(c).alias(c) for c in ("bad", "n", "bad2", "n2")]
+    schema = "mark long, bad long, n long, bad2 long, n2 long"
+    rows = labelled.select("text", "label")
+    floor = max(least, int(min_share * rows.where("label = 1").count()))
+    often = rows.where("label = 1").mapInArrow(count(None), schema).groupBy("mark").agg(*total).where(F.col("bad") >= floor)
+    keys = np.array([r["mark"] for r in often.select("mark").collect()], np.int64).view(np.uint64)
+    got = rows.mapInArrow(count(keys), schema).groupBy("mark").agg(*total).collect()
+    words, stems = {}, {}
+    for r in got:
+        key, odds = int(np.int64(r["mark"]).view(np.uint64)), np.log((r["bad"] + 1) / (r["n"] - r["bad"] + 1)) / 3
+        if (r["bad"] + 1) / (r["n"] + 2) >= precision:
+            words[key] = float(min(1.0, odds))
+        if r["bad2"] >= floor and (r["bad2"] + 1) / (r["n2"] + 2) >= precision:
+            stems[key] = float(min(1.0, max(0.1, odds)))
+    return Lexicon.build(words, stems)
 
 
 def _rows(batches):
@@ -206,8 +250,8 @@ def fit_logistic(rows: DataFrame, rounds: int = 8, ridge: float = 1.0) -> np.nda
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
     """doc_id, score (0 to 1), matched_clauses, weight for every row of ``docs`` (doc_id, text).
 
-    ``labels`` (doc_id, label 0/1) are training labels only.  Words are learned
-    from at most ``sample_rows`` of them (picked by a hash of doc_id), the
+    ``labels`` (doc_id, label 0/1) are training labels only.  Words and stems are
+    learned from at most ``sample_rows`` of them (picked by a hash of doc_id), the
     calibration uses all.  Null and empty texts have no clause and get the score
     of a text without matches; repeated rows give equal results; without labels
     every score is 0.5; extra columns are ignored.
@@ -215,7 +259,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_00
     labels = labels.where("label is not null").select("doc_id", "label")
     picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
     # a bounded number of (doc_id, label) rows
-    lex = Lexicon.build(learn_words(docs.select("doc_id", "text").join(F.broadcast(materialize(picked, "toxic-sample")), "doc_id")))
+    picked = F.broadcast(materialize(picked, "toxic-picked"))
+    lex = learn_lexicon(materialize(docs.select("doc_id", "text").join(picked, "doc_id"), "toxic-sample"))
 
     def run(batches):
         for b in T.slices(batches):
