@@ -13,8 +13,10 @@ Hot groups.  Equal sets are one class (one point) from the start.  Members of a
 bucket are first tried against its two extreme members; what that connects is one
 component, and a bucket of one component needs nothing more.  The rest goes to the
 R-tree, which only looks for pairs of different components; a bucket of more than
-``bucket_rows`` points is cut into blocks that are searched block against block.
-No pair is capped or sampled.
+``bucket_rows`` points is cut into blocks that are searched block against block.  A
+search reports a forest of the pairs that pass the bound; buckets whose forest has a
+pair that fails the exact test are searched again with the exact test inside.  No pair
+is capped or sampled, and no group's pairs are all written out.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from opslake.llm.graph import connected_components
 from opslake.sources.sinks import materialize
 
 CLASS_RATIO = 2 ** 0.5
+#: coordinates of an indexed point for each cell group: about one shingle a coordinate, which makes the bound tight
+FINE = 8
 
 
 def _bounds(upto: int) -> list[int]:
@@ -70,12 +74,14 @@ def _names(c: int, m: int) -> np.ndarray:
     return T.mix(np.arange(m, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(c))
 
 
-def count_vector(s: np.ndarray, c: int, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Group boundaries in the sorted hash set and the counts per group."""
-    m, _ = _groups(c, t)
+def _counts(s: np.ndarray, m: int) -> np.ndarray:
+    """Count vector of a sorted hash set over ``m`` groups of equal hash ranges."""
+    return np.diff(_edges(s, m))
+
+
+def _edges(s: np.ndarray, m: int) -> np.ndarray:
     g = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    at = np.searchsorted(g, np.arange(m + 1, dtype=np.uint64))
-    return at, np.diff(at)
+    return np.searchsorted(g, np.arange(m + 1, dtype=np.uint64))
 
 
 def _cells(s: np.ndarray, t: Fraction) -> np.ndarray:
@@ -87,7 +93,8 @@ def _cells(s: np.ndarray, t: Fraction) -> np.ndarray:
         m, spare = _groups(c, t)
         if m == 1:  # no difference is allowed: only equal sets link, and they are one class already
             continue
-        at, n = count_vector(s, c, t)
+        at = _edges(s, m)
+        n = np.diff(at)
         keys = T.mix((sums[at[1:]] - sums[at[:-1]]) ^ _names(c, m))
         out.append(keys if (n == 0).sum() > spare else keys[n > 0])
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
@@ -129,19 +136,12 @@ def _sets(k: int):
 
 
 def _verify(num: int, den: int):
-    """Keep the pairs whose sets reach the similarity; the size ratio is looked at first."""
+    """``ok`` per pair: whether its sets reach the similarity."""
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("ha"), b.column("hb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok = den * min(len(p), len(q)) >= num * max(len(p), len(q))
-                if ok:
-                    both = np.sort(np.concatenate([p, q]), kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    ok = den * same >= num * (len(p) + len(q) - same)
-                keep.append(ok)
-            yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            ok = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den)
+                  for x, y in zip(b.column("ha"), b.column("hb"), strict=True)]
+            yield pa.record_batch([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
     return run
 
 
@@ -156,8 +156,8 @@ class RTree:
 
     def _build(self, ids):
         p = self.points[ids]
-        node = {"max": p.max(0), "n": self.sizes[ids].min(),
-                "comp": self.comps[ids[0]] if (self.comps[ids] == self.comps[ids[0]]).all() else None, "ids": ids}
+        node = {"max": p.max(0), "n": self.sizes[ids].min(), "ids": ids,
+                "comp": self.comps[ids[0]] if (self.comps[ids] == self.comps[ids[0]]).all() else None}
         if len(ids) > self.LEAF:
             axis = int(np.argmax(p.max(0).astype(np.int64) - p.min(0)))
             order = ids[np.argsort(p[:, axis], kind="stable")]
@@ -166,8 +166,8 @@ class RTree:
         return node
 
     def search(self, q, qn, qc, num, den):
-        """Index pairs (query, point) of different components whose overlap bound reaches the needed overlap."""
-        stack, out = [(self.root, np.arange(len(q)))], []
+        """(query, points) whose overlap bound reaches the needed overlap, the query's own component left out."""
+        stack = [(self.root, np.arange(len(q)))]
         while stack:
             node, at = stack.pop()
             if node["comp"] is not None:
@@ -176,62 +176,80 @@ class RTree:
                 continue
             bound = np.minimum(q[at], node["max"]).sum(1, dtype=np.int64)
             at = at[bound * (num + den) >= num * (qn[at] + node["n"])]
-            if not len(at):
-                continue
             if "kids" in node:
                 stack += [(x, at) for x in node["kids"]]
                 continue
+            ids = node["ids"]
             for i in at:
-                ids = node["ids"]
                 bound = np.minimum(q[i], self.points[ids]).sum(1, dtype=np.int64)
                 ok = (bound * (num + den) >= num * (qn[i] + self.sizes[ids])) & (self.comps[ids] != qc[i])
-                out += [(i, j) for j in ids[ok]]
-        return out
+                if ok.any():
+                    yield i, ids[ok]
+
+
+def _similar(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    """Exact test on two sorted hash sets; the size ratio is looked at first."""
+    if den * min(len(p), len(q)) < num * max(len(p), len(q)):
+        return False
+    both = np.sort(np.concatenate([p, q]), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return den * same >= num * (len(p) + len(q) - same)
+
 
+def _search_bucket(rows: pa.Table, num: int, den: int, exact: bool) -> list[tuple[int, int]]:
+    """Forest of the pairs of a bucket (or of two of its blocks: side 0 is indexed, side 1 asks, side 2 does both).
 
-def _search_bucket(pts, n, comp, cid, side, num: int, den: int) -> set[tuple[int, int]]:
-    """Pairs of a bucket (or of two of its blocks: side 0 is indexed, side 1 asks, side 2 does both)."""
+    A pair is reported unless pairs reported before connect it already.  With
+    ``exact`` a pair has to pass the exact test, else only the bound.
+    """
+    n, comp, cid, side = (rows.column(c).to_numpy() for c in ("n", "comp", "cid", "side"))
     tree, probe = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(tree) or not len(probe):
-        return set()
-    found = RTree(pts[tree], n[tree], comp[tree]).search(pts[probe], n[probe], comp[probe], num, den)
-    ends = ((int(cid[probe[i]]), int(cid[tree[j]])) for i, j in found)
-    return {(min(e), max(e)) for e in ends}
+        return []
+    pts = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("vec").to_pylist()])
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()] if exact else None
+    root, out = comp.copy(), []
+    for i, js in RTree(pts[tree], n[tree], comp[tree]).search(pts[probe], n[probe], comp[probe], num, den):
+        x = probe[i]
+        for y in tree[js]:
+            if root[x] != root[y] and (sets is None or _similar(sets[x], sets[y], num, den)):
+                root[root == root[y]] = root[x]
+                out.append((int(cid[x]), int(cid[y])))
+    return out
 
 
-def _search(num: int, den: int):
+def _search(num: int, den: int, exact: bool):
     """Over rows sorted by bucket: one R-tree per bucket, also if a bucket spans batches."""
-    def bucket(rows: pa.RecordBatch | pa.Table) -> set[tuple[int, int]]:
-        col = {c: rows.column(c).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy()
-               for c in ("n", "comp", "cid", "side")}
-        pts = np.stack([np.frombuffer(x, np.uint16) for x in rows.column("vec").to_pylist()])
-        return _search_bucket(pts, col["n"], col["comp"], col["cid"], col["side"], num, den)
-
-    def out(pairs):
-        pairs = sorted(pairs)
-        return pa.record_batch([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
-
     def run(batches):
         held: list[pa.RecordBatch] = []
-        last, pairs = None, set()
+        last, pairs = None, []
+
+        def close():
+            got = _search_bucket(pa.Table.from_batches(held).combine_chunks(), num, den, exact)
+            pairs.extend((*last, min(p), max(p)) for p in got)
+
+        def out():
+            cols = list(zip(*pairs, strict=True)) or [()] * 5
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()),
+                                                                   strict=True)], ["cell", "i", "j", "a", "b"])
         for b in batches:
             key = np.stack([b.column(c).to_numpy() for c in ("cell", "i", "j")])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), b.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi == lo:
                     continue
-                now = tuple(key[:, lo])
+                now = tuple(int(x) for x in key[:, lo])
                 if now != last and held:
-                    pairs |= bucket(pa.Table.from_batches(held).combine_chunks())
+                    close()
                     held = []
                 last = now
                 held.append(b.slice(lo, hi - lo))
             if len(pairs) > 50_000:
-                yield out(pairs)
-                pairs = set()
+                yield out()
+                pairs.clear()
         if held:
-            pairs |= bucket(pa.Table.from_batches(held).combine_chunks())
-        yield out(pairs)
+            close()
+        yield out()
     return run
 
 
@@ -242,7 +260,7 @@ def _vectors(t: Fraction):
             for x, c in zip(b.column("hashes"), b.column("c").to_pylist(), strict=True):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
                 n.append(len(s))
-                vec.append(np.minimum(count_vector(s, c, t)[1], 65535).astype(np.uint16).tobytes())
+                vec.append(np.minimum(_counts(s, FINE * _groups(c, t)[0]), 255).astype(np.uint8).tobytes())
             yield pa.record_batch([b.column("cid"), b.column("c"), pa.array(n, pa.int64()), pa.array(vec, pa.binary())],
                                   ["cid", "c", "n", "vec"])
     return run
@@ -293,7 +311,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
 
     star = multi.select(F.col("cid").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialize(_pairs_with_sets(star, sets).mapInArrow(_verify(num, den), "a long, b long"), "jaccard-links")
+    tested = "a long, b long, ok boolean"
+    links = _pairs_with_sets(star, sets).mapInArrow(_verify(num, den), tested).where("ok").select("a", "b")
+    links = materialize(links, "jaccard-links")
     comp = connected_components(links)
 
     comped = (multi.select("cid", "cell").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
@@ -316,11 +336,20 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
                        F.when(F.col("blk") == F.col("oth"), 2).when(F.col("blk") < F.col("oth"), 0).otherwise(1).alias("side"))
     vec = (left.select("cid", "c").distinct().join(sets, "cid").select("cid", "c", "hashes")
            .mapInArrow(_vectors(t), "cid long, c int, n long, vec binary"))
-    cand = left.join(vec, ["cid", "c"]).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    cand = (cand.select("cell", "i", "j", "side", "cid", "comp", "n", "vec")
-            .mapInArrow(_search(num, den), "a long, b long").distinct())
-    more = _pairs_with_sets(cand, sets).mapInArrow(_verify(num, den), "a long, b long")
-    more = materialize(more, "jaccard-links")
+    points = materialize(left.join(vec, ["cid", "c"]).select("cell", "i", "j", "side", "cid", "comp", "n", "vec"), "jaccard-points")
+    pair = "cell long, i int, j int, a long, b long"
+
+    def search(rows, exact):
+        rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+        return rows.mapInArrow(_search(num, den, exact), pair)
+    # forests of the pairs that pass the bound; if all pairs of a bucket's forest are links, the bucket is settled
+    cand = materialize(search(points, False), "jaccard-forest")
+    more = materialize(_pairs_with_sets(cand.select("a", "b").distinct(), sets).mapInArrow(_verify(num, den), tested), "jaccard-links")
+    # buckets with a pair that is no link are searched again with the exact test inside
+    again = cand.join(more.where("not ok"), ["a", "b"]).select("cell", "i", "j").distinct()
+    redo = points.join(again, ["cell", "i", "j"]).join(sets, "cid")
+    redo = materialize(search(redo, True).select("a", "b").distinct(), "jaccard-links")
+    more = more.where("ok").select("a", "b").unionByName(redo)
     hook = comp.select(F.col("id").alias("a"), F.col("label").alias("b"))
     final = connected_components(hook.unionByName(more)).withColumnRenamed("id", "cid")
 
