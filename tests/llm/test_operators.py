@@ -1,0 +1,395 @@
+"""Every operator on a small hostile fixture (nulls, empty and long texts, ties, repeated rows, clashing columns), on an
+empty table, and against a brute-force version."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from opslake.llm import (chat, decontaminate, graph, jaccard_join, lang_id, licenses, order_minhash, packing, quality, sharding,
+                         textops, toxicity)
+from opslake.llm.queries import TOKENIZER
+
+SCHEMA = "doc_id long, text string, lang string, cid long, bucket int, score double, salt int, `class` string"
+VOCAB = [f"{a}{b}" for a in ("al", "be", "cor", "du", "em", "fi") for b in ("ra", "lo", "mi", "nust", "ke", "ix", "ton")]
+
+
+def prose(r, n):
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+def edited(r, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = r.choice(VOCAB)
+    return " ".join(w)
+
+
+def texts():
+    r = random.Random(3)
+    base = [prose(r, n) for n in (6, 30, 120, 400)]
+    out = [None, "", "   \n", "One", "one two", "Äpfel, Öl!", "x" * 3000, prose(r, 20_000), "日本語 の テキスト", "a\\b <|end|> </s>[INST]"]
+    for b in base:
+        out += [b, b, b.upper(), *(edited(r, b, k) for k in (0, 1, 1, 2, 3, 6, 12))]
+    out += [prose(r, r.randrange(5, 200)) for _ in range(30)]
+    out += [edited(r, base[2], r.randrange(1, 4)) for _ in range(60)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else None, 1, 2, 0.5, 3, "k") for i, t in enumerate(texts())]
+    rows += [rows[12], rows[12], (None, rows[11][1], "en", 1, 2, 0.5, 3, "k")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def table(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def word_sets(rows, k):
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    out = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        out[i] = {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    return out
+
+
+def brute_components(sets, t):
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12:
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize(("ngram", "similarity", "block"), [(3, 0.9, 2048), (5, 0.8, 2048), (2, 0.6, 7)])
+def test_jaccard_components(docs, ngram, similarity, block):
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").distinct().collect() if r["doc_id"] is not None]
+    sets = word_sets(rows, ngram)
+    want = brute_components(sets, similarity)
+    got = jaccard_join.jaccard_components(docs, ngram, similarity, bucket_rows=block).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
+    assert {r["component_id"] for r in got if r["doc_id"] is None} == {want[11]}
+
+
+def test_jaccard_edges(none, docs):
+    assert jaccard_join.jaccard_components(none).count() == 0
+    kept = jaccard_join.one_per_group(docs)
+    assert kept.columns == docs.columns
+    comp = jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct().count()
+    assert kept.where("doc_id is not null").select("doc_id").distinct().count() == len(texts()) - comp
+    assert kept.where("doc_id is null").count() == 1
+
+
+def test_cells_never_miss_a_pair():
+    r = np.random.default_rng(1)
+    for t in ("0.9", "0.8", "0.5"):
+        f = jaccard_join.Fraction(t)
+        for n in (1, 2, 9, 10, 40, 500):
+            a = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+            b = a.copy()
+            while True:
+                c = b.copy()
+                c[r.integers(len(c))] = r.integers(0, 1 << 63, dtype=np.uint64)
+                c = np.unique(c)
+                if not jaccard_join._similar(a, c, f.numerator, f.denominator):
+                    break
+                b = c
+            same = np.array_equal(a, b)
+            assert same or len(np.intersect1d(jaccard_join._cells(a, f), jaccard_join._cells(b, f)))
+
+
+def test_connected_components(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
+    got = {r["id"]: r["label"] for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 90: 90, 95: 90, 100: 90}
+
+
+def test_lang_id(spark, docs, none):
+    r = random.Random(5)
+    kinds = {"en": "the and ing tion with", "de": "der und ung keit nicht", "fr": "la et é eau que"}
+    rows = [(i, " ".join(r.choice(w.split()) + r.choice(w.split()) for _ in range(r.randrange(3, 60))), k)
+            for i, (k, w) in enumerate(list(kinds.items()) * 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = lang_id.fit(df.where("doc_id % 4 <> 2"), rows_per_lang=80)
+    got = table(lang_id.identify(df.where("doc_id % 4 = 2"), m))
+    assert sum(got[i]["lang_pred"] == k for i, _, k in rows if i % 4 == 2) >= 0.95 * len(got)
+    seen = table(lang_id.identify(docs, m))
+    assert all(seen[i]["lang_pred"] == "und" and seen[i]["rejected"] and seen[i]["score"] == 0 for i in (0, 1, 2))
+    assert all(0 <= x["score"] <= 1 for x in seen.values()) and seen[3]["lang_pred"] in kinds
+    empty = lang_id.fit(none)
+    assert {x["lang_pred"] for x in lang_id.identify(docs, empty).collect()} == {"und"}
+    assert lang_id.identify(none, m).count() == 0
+    kept = lang_id.keep_identified(docs, m)
+    assert kept.columns == docs.columns and kept.where("doc_id in (0, 1, 2)").count() == 0
+
+
+def test_quality(spark, docs, none):
+    r = random.Random(6)
+    rows = []
+    for i in range(600):
+        t, good = prose(r, r.randrange(30, 300)), i % 3 > 0
+        rows.append((i, t if good else r.choice([t.upper().replace(" ", "!! "), t.replace(" ", " | "), " ".join([t.split()[0]] * 60)]), int(good)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = table(quality.quality_scores(df, df.where("doc_id % 5 <> 0")))
+    assert sum((got[i]["score"] >= 0.5) == bool(y) for i, _, y in rows if i % 5 == 0) >= 0.97 * 120
+    some = quality.quality_scores(docs, df).collect()
+    assert len(some) == docs.count() and all(0 <= x["score"] <= 1 for x in some)
+    assert quality.quality_scores(none, df).count() == 0
+    assert {x["score"] for x in quality.quality_scores(docs, df.where("false")).collect()} == {0.5}
+    assert quality.keep_good(docs, df.where("false"), 0.4).count() == docs.count()
+
+
+def test_isotonic():
+    s, v = quality.isotonic(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
+    assert np.allclose(s, [0, 1.5, 3.5]) and np.allclose(v, [0, 0.5, 1])
+
+
+def test_sharding(docs, none):
+    n = docs.count()
+    got = sharding.shard(docs, shards=7, virtual_nodes=8).collect()
+    count = Counter(r["shard"] for r in got)
+    assert len(got) == n and max(count.values()) - min(count.values()) <= 1 and set(count) == set(range(7))
+    for s in range(7):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(count[s]))
+    text = dict(enumerate(texts()))
+    for r in got:
+        if r["doc_id"] is not None:
+            raw = (text[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+    assert sharding.shard(none).count() == 0
+
+
+def test_sharding_moves_little():
+    r = np.random.default_rng(2)
+
+    def place(shards):
+        owner = r2.integers(0, shards, 64 * shards)
+        return owner
+    r2 = np.random.default_rng(3)
+    arcs = [(i, int(o), int(c)) for i, (o, c) in enumerate(zip(place(10), r.poisson(50, 640), strict=True))]
+    seg = sharding.settle(arcs, 10)
+    owner = {a: o for a, o, _ in arcs}
+    assert sum(hi - lo for _, lo, hi, _, _ in seg) == sum(c for _, _, c in arcs)
+    assert sum(hi - lo for a, lo, hi, s, _ in seg if owner[a] == s) >= 0.8 * sum(c for _, _, c in arcs)
+
+
+def test_tokenizer_equals_library():
+    tok = packing.tokenizer(TOKENIZER)
+    odd = [*texts(), "<|endoftext|> hi", "İstanbul ΑΣ σ", "áb", "x\x00y\x1cz", "1²3½ a_b--c's", "  a\xa0b ", "don't'S 'd''s..!!'re"]
+    assert tok.by_word and tok.ids(pa.array(odd, pa.string())) == tok._encode([x or "" for x in odd])
+
+
+def test_cuts():
+    for n in range(1, 5000):
+        c = packing.cuts(n, 2048, 0.02)
+        assert sum(x for x, _ in c) == n and all(k * x <= 2048 < (k + 1) * x or k * x <= 2048 and 2048 // x == k for x, k in c)
+
+
+def test_packing(docs, none):
+    want = {r["doc_id"]: packing.tokenizer(TOKENIZER).ids(pa.array([r["text"]], pa.string()))[0] + b"\1\0\0\0" for r in docs.collect()}
+    got = packing.pack_documents(docs, TOKENIZER, group_rows=30).collect()
+    seq, doc = defaultdict(list), defaultdict(dict)
+    for r in got:
+        assert len(r["ids"]) == 4 * r["length"] and r["doc_tokens"] * 4 == len(want[r["doc_id"]])
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        doc[r["doc_id"]][r["start"]] = bytes(r["ids"])
+    assert {i: b"".join(v[k] for k in sorted(v)) for i, v in doc.items()} == want
+    for v in seq.values():
+        at = 0
+        for off, n in sorted(v):
+            assert off == at
+            at += n
+        assert at <= 2048
+    tokens = sum(r["length"] for r in got)
+    assert len(seq) <= 1.1 * tokens / 2048 + 2
+    rows = packing.packed_sequences(packing.pack_documents(docs, TOKENIZER)).collect()
+    assert all(len(r["input_ids"]) == 4 * 2048 for r in rows)
+    assert packing.pack_documents(none, TOKENIZER).count() == 0
+
+
+def brute_contained(rows, items, k=5, c=0.8):
+    def words(t):
+        return re.findall("[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    out = set()
+    for j, item in items:
+        w = words(item)
+        n = min(k, len(w))
+        s = {tuple(w[x:x + n]) for x in range(len(w) - n + 1)} if n else set()
+        for i, t in rows:
+            d = words(t)
+            g = {tuple(d[x:x + n]) for x in range(len(d) - n + 1)} if n else set()
+            if s and len(s & g) >= c * len(s) - 1e-9:
+                out.add((i, j, len(s & g)))
+    return out
+
+
+def test_decontaminate(spark, docs, none):
+    r = random.Random(9)
+    long_ = texts()[7].split()
+    items = [(0, " ".join(long_[500:540])), (1, edited(r, " ".join(long_[100:160]), 1)), (2, prose(r, 30)), (3, None), (4, ""),
+             (5, "One"), (6, "ÄPFEL öl"), (7, " ".join(long_[500:540])), (8, "日本語 の テキスト")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").distinct().collect()]
+    for block in (16 << 20, 300):
+        got = decontaminate.contained_items(docs, bench, block_bytes=block)
+        assert {(x["doc_id"], x["item_id"], x["n_shared"]) for x in got.collect()} == brute_contained(rows, items)
+        bad = {i for i, _, _ in brute_contained(rows, items)}
+        kept = decontaminate.remove_contaminated(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns
+        assert {x["doc_id"] for x in kept.collect()} == {x["doc_id"] for x in docs.collect()} - bad
+    assert decontaminate.contained_items(none, bench).count() == 0
+    assert decontaminate.contained_items(docs, bench.where("false")).count() == 0
+
+
+def test_licenses(spark, docs, none):
+    r = random.Random(10)
+    rows, want = [], set()
+    for i in range(60):
+        t = prose(r, r.randrange(0, 300))
+        if i % 3 == 0:
+            j = r.randrange(len(licenses.LICENSE_TEMPLATES))
+            t = t + "\n" + licenses.LICENSE_TEMPLATES[j][1].upper() + "\n" + prose(r, r.randrange(0, 50))
+            want.add((i, j))
+        rows.append((i, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.license_matches(df).collect()
+    assert want <= {(x["doc_id"], x["template"]) for x in got}
+    assert brute_contained(rows, [(j, t) for j, (_, t) in enumerate(licenses.LICENSE_TEMPLATES)]) >= {
+        (x["doc_id"], x["template"], n) for x in got for n in [round(x["containment"] * len(licenses.TemplateIndex(
+            licenses.LICENSE_TEMPLATES, 5, 0.8, 0.99).sets[x["template"]]))]}
+    low = dict(rows)
+    for x in got:
+        span = low[x["doc_id"]].lower().encode()[x["start"]:x["end"]].decode()
+        assert re.findall(r"\w+", span)[0] in licenses.LICENSE_TEMPLATES[x["template"]][1].lower()
+    assert licenses.license_matches(docs).count() == 0 and licenses.license_matches(none).count() == 0
+    assert licenses.bands(1, 1, 0.8, 0.999) >= 1
+
+
+def test_chat(spark):
+    say = "</s>[INST] ok [/INST] \\ <|turn|> <\\| [\\INST] <"
+    rows = [(1, 0, "system", "Be brief."), (1, 1, "user", say), (1, 2, "assistant", say), (1, 2, "assistant", "tie é"), (2, 0, "user", None),
+            (2, None, None, "x"), (None, 0, "assistant", ""), (3, 5, "<|end|>", "odd"), (3, 5, "<|end|>", "odd"),
+            *[(4, i, "assistant" if i % 2 else "user", f"{i} " + "ü" * 5000) for i in range(300)]]
+    df = spark.createDataFrame([(*x, "n", 1) for x in rows], "conv_id long, turn long, role string, text string, loss string, formatted int")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    for c in (None, 1, 2, 3, 4):
+        mine = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] or ""))
+        text = "".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in mine)
+        loss = "".join(x[3] or "" for x in mine if x[2] == "assistant")
+        r = got[c]
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (
+            len(mine), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert len(got) == 5 and chat.format_chats(df.where("false")).count() == 0
+    assert -7 in {r["conv_id"] for r in chat.format_chats(chat.with_probe(df)).collect()}
+
+
+def test_toxicity_grammar():
+    s = {w: x for x, ws in ((toxicity.INSULT, toxicity.INSULTS), (toxicity.THREAT, toxicity.THREATS), (toxicity.TARGET, toxicity.TARGETS),
+                            (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS)) for w in ws}
+
+    def score(text):
+        sym = [s.get(w, toxicity.OTHER) for w in text.split()]
+        return toxicity.clause_score(sym, [1.0] * len(sym))[0]
+    assert score("you are an idiot") > score("an idiot") > score("he said idiot") > 0
+    assert score("you are not an idiot") < score("you are an idiot")
+    assert score("i will kill you") > score("kill the process") > 0 == score("a fine day")
+
+
+def test_toxicity(spark, docs, none):
+    r = random.Random(12)
+    rows = []
+    for i in range(500):
+        w = prose(r, r.randrange(20, 150)).split()
+        if i % 5 == 1 or i % 7 == 1:
+            for _ in range(3):
+                w.insert(r.randrange(len(w)), r.choice(["idiot", "zorgach" + r.choice(VOCAB)]))
+        rows.append((i, " ".join(w), int(i % 5 == 1 or i % 7 == 1)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = table(toxicity.toxicity_scores(df, df.where("doc_id % 3 <> 0")))
+    assert sum((got[i]["score"] >= 0.5) == bool(y) for i, _, y in rows if i % 3 == 0) >= 0.95 * 167
+    some = toxicity.toxicity_scores(docs, df).collect()
+    assert len(some) == docs.count() and all(0 <= x["score"] <= 1 for x in some)
+    assert toxicity.toxicity_scores(none, df).count() == 0
+    assert {x["score"] for x in toxicity.toxicity_scores(docs, df.where("false")).collect()} == {0.5}
+
+
+def test_order_minhash(spark, docs, none):
+    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    t = sorted((r["doc_id"], r["text"] or "") for r in one.collect())
+    got = table(order_minhash.edited_fingerprints(one))
+    by_text = defaultdict(set)
+    for i, (k, x) in enumerate(t):
+        q = len(x) // 4
+        want = x[:len(x) - q] + t[(i + 1) % len(t)][1][:q]
+        r = got[k]
+        assert (r["n_chars"], r["edited"]) == (len(x), want)
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        by_text[x].add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values()) and got[0]["fingerprint"] == "" and got[0]["near_next"] == 1
+    long_ = [k for k, x in t if len(x) > 600]
+    assert np.mean([got[k]["near_edited"] for k in long_]) > 0.35
+    assert order_minhash.edited_fingerprints(docs).count() == docs.count()
+    assert order_minhash.edited_fingerprints(none).count() == 0
+    alone = order_minhash.edited_fingerprints(docs.where("doc_id = 5")).first()
+    assert alone["near_next"] == 1 and alone["edited"] == "Äpfel, Öl!"[:8] + "Äp"
+
+
+def test_order_minhash_brute_force(spark):
+    """The native expression against a plain version built on the same k-mer hashes."""
+    words = "a b a b a b c d e f g h i j k l m n o p a b a".split()
+    df = spark.createDataFrame([(0, " ".join(words))], "doc_id long, text string")
+    tok = re.findall(r"\S{1,16}\s*|\s+", " ".join(words))
+    hs = [r[0] for r in spark.createDataFrame([(i, *(tok[i + k] if i + k < len(tok) else None for k in range(3))) for i in range(len(tok))],
+                                              "i int, a string, b string, c string").orderBy("i").select(F.xxhash64("a", "b", "c")).collect()]
+    pos = (1 << order_minhash.POS_BITS) - 1
+    u = lambda x: x & ((1 << 64) - 1)
+    seen, numbered = Counter(), []
+    for i, h in enumerate(hs):
+        numbered.append((u(h) >> order_minhash.POS_BITS, seen[u(h) >> order_minhash.POS_BITS], i))
+        seen[u(h) >> order_minhash.POS_BITS] += 1
+    sel = spark.createDataFrame(numbered, "h long, occ int, i int").select("i", F.xxhash64("h", "occ").alias("p")).collect()
+    bins = defaultdict(list)
+    for r in sel:
+        packed = u(r["p"]) & ~pos | r["i"]
+        bins[packed >> (64 - order_minhash.BIN_BITS)].append((packed - (1 << 64) if packed >> 63 else packed, r["i"]))
+    want = set()
+    for b, v in bins.items():
+        kept = sorted(i for _, i in sorted(v)[:order_minhash.ORDER])
+        code = spark.range(1).select(F.xxhash64(F.array(*[F.lit(hs[i]) for i in kept]))).first()[0]
+        want.add(f"{b:02x}{u(code):016x}"[:2] + f"{u(code):016x}"[8:])
+    assert set(df.select(order_minhash.fingerprint(F.col("text"))).first()[0].split()) == want
+
+
+def test_words_of_long_texts(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(5000))
+    raw, off = textops.flat(pa.array([text, None, "a b"]))
+    a = textops.words(raw, off)
+    monkeypatch.setattr(textops, "PIECE_BYTES", 64)
+    b = textops.words(raw, off)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True)) and math.isclose(len(a[0]), 5002)
