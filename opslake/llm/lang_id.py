@@ -68,14 +68,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _sgd(x: np.ndarray, y: np.ndarray, n_lang: int, dim: int, epochs: int, seed: int):
+def _sgd(x: np.ndarray, y: np.ndarray, use: np.ndarray, n_lang: int, dim: int, epochs: int, seed: int):
     r = np.random.default_rng(seed)
     emb = r.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
     w, b = r.normal(0, 0.1, (dim, n_lang)).astype(np.float32), np.zeros(n_lang, np.float32)
     for epoch in range(epochs):
         rate = 20.0 * (1 - epoch / epochs)
-        order = r.permutation(len(x))
-        for at in range(0, len(x), 32):
+        order = r.permutation(use)
+        for at in range(0, len(order), 32):
             i = order[at:at + 32]
             hid = x[i] @ emb
             g = _softmax(hid @ w + b)
@@ -88,12 +88,12 @@ def _sgd(x: np.ndarray, y: np.ndarray, n_lang: int, dim: int, epochs: int, seed:
     return emb, w, b
 
 
-def fit(labelled: DataFrame, rows_per_lang: int = 1000, reject_rate: float = 0.001, dim: int = 16, epochs: int = 20,
+def fit(labelled: DataFrame, rows_per_lang: int = 500, reject_rate: float = 0.001, dim: int = 16, epochs: int = 20,
         seed: int = 7) -> Model:
     """Train on ``labelled`` (doc_id, text, lang).
 
-    At most about ``rows_per_lang`` rows of each language are used, picked by a
-    hash of doc_id; a quarter of them is kept for calibration.  Rows without
+    About ``rows_per_lang`` rows of each language at most are used, picked by a hash
+    of doc_id; a quarter of them is kept for calibration.  Rows without
     language or without text are not used; without any row the model knows no
     language.
     """
@@ -112,17 +112,18 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1000, reject_rate: float = 0.0
                                    pa.array([v[a] for v, a in zip(x, at, strict=True)], pa.list_(pa.float32()))],
                                   ["doc_id", "lang", "at", "share"])
     got = (pick.select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at array<int>, share array<float>")
-           .limit(2 * rows_per_lang * len(n)).toPandas().sort_values(["doc_id", "lang"], kind="stable"))
+           .toPandas().sort_values(["doc_id", "lang"], kind="stable", ignore_index=True))
     langs = sorted(set(got["lang"]))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, (a, s) in enumerate(zip(got["at"], got["share"], strict=True)):
         x[i, a] = s
     y = np.array([langs.index(v) for v in got["lang"]], np.int64)
+    del got
     if not len(x):
         return Model()
     held = np.arange(len(x)) % 4 == 3
     use = ~held if held.any() else np.ones(len(x), bool)
-    m = Model(langs, *_sgd(x[use], y[use], len(langs), dim, epochs, seed))
+    m = Model(langs, *_sgd(x, y, np.flatnonzero(use), len(langs), dim, epochs, seed))
     if held.any():
         z, t = m.logits(x[held]), y[held]
         grid = np.geomspace(0.2, 20, 60)
