@@ -36,6 +36,7 @@ def main():
     registry.load_all()
     times = {}
     for name in names:
+        spark.catalog.clearCache()  # nothing that an earlier query kept may be read
         fn = registry.QUERIES[name]
         fn(spark, sf).write.format("noop").mode("overwrite").save()       # warm-up
         ts = []

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.scalar import parsename
-from opslake.operators.joins import broadcast_if_small
 from opslake.operators.timeseries import row_number
 
 LOCK_KINDS = ["keylock", "pagelock", "objectlock", "ridlock", "rowgrouplock", "exchangeEvent"]
@@ -154,7 +153,7 @@ def with_event_number(procs: DataFrame) -> DataFrame:
     """Add ``event_number``: dense rank of the event time, computed on the distinct times."""
     dates = procs.select("event_date").distinct()
     ranked = dates.withColumn("event_number", F.dense_rank().over(Window.orderBy("event_date")).cast("bigint"))
-    return procs.join(broadcast_if_small(ranked), "event_date")
+    return procs.join(ranked, "event_date")
 
 
 def event_numbers(procs: DataFrame) -> DataFrame:

@@ -99,8 +99,8 @@ def semi_join_ids(child: DataFrame, ids: DataFrame, key: str, id_key: str | None
 
 
 def window_rows(df: DataFrame, ts_col: str, as_of: str, months: int = 6) -> DataFrame:
-    """Rows in the half-open window ``[as_of - months, as_of)``."""
-    end = F.lit(as_of).cast("timestamp_ntz")
+    """Rows in the half-open window of whole days ``[date(as_of) - months, date(as_of))``."""
+    end = F.lit(as_of[:10]).cast("timestamp_ntz")
     start = F.add_months(end, -months).cast("timestamp_ntz")
     return df.filter((F.col(ts_col) >= start) & (F.col(ts_col) < end))
 
@@ -110,14 +110,13 @@ def retention_keep(df: DataFrame, ts_col: str, as_of: str, days: int, by: str |
     """Rows to keep after a retention purge (``ts >= as_of - days``).
 
     With ``per_server_days`` (columns ``by``, ``retention_days``) every server
-    has its own horizon; that table is one row per server and is broadcast
-    after a size check.
+    has its own horizon; that table is one row per server; Spark
+    broadcasts it if its size allows.
     """
-    from opslake.operators.joins import broadcast_if_small
     end = F.lit(as_of).cast("timestamp_ntz")
     if per_server_days is None:
         return df.filter(F.col(ts_col) >= F.timestamp_add("DAY", F.lit(-days), end))
-    d = broadcast_if_small(per_server_days.select(by, "retention_days"))
+    d = per_server_days.select(by, "retention_days")
     return (df.join(d, by, "left")
             .filter(F.col(ts_col) >= F.timestamp_add(
                 "DAY", -F.coalesce(F.col("retention_days"), F.lit(days)), end))

@@ -34,20 +34,10 @@ REPLICATION_STATES = [
     ("Waiting for the slave SQL thread to free enough relay log space", "replication_io_thread"),
 ]
 
-# A lookup side is broadcast only below this many rows (checked, not assumed).
-BROADCAST_ROWS = 1_000_000
-
-
 def known_states(spark) -> DataFrame:
     return spark.createDataFrame(REPLICATION_STATES, "state string, state_type string")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is within ``max_rows``; else leave it to AQE."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def prefix_join(left: DataFrame, left_col: str, patterns: DataFrame, pattern_col: str,
                 how: str = "left") -> DataFrame:
     """``JOIN patterns ON pattern LIKE CONCAT(left_col, '%')`` without a nested loop.
@@ -63,7 +53,7 @@ def prefix_join(left: DataFrame, left_col: str, patterns: DataFrame, pattern_col
             .drop("__i"))
     wild = F.col(left_col).contains("%") | F.col(left_col).contains("_")
     plain = left.filter(F.col(left_col).isNull() | ~wild)
-    out = plain.join(broadcast_if_small(pref), plain[left_col] == pref["__prefix"], how).drop("__prefix")
+    out = plain.join(pref, plain[left_col] == pref["__prefix"], how).drop("__prefix")
     special = left.filter(wild)
     lk = special.join(F.broadcast(patterns),
                       F.call_function("like", patterns[pattern_col], F.concat(special[left_col], F.lit("%"))), how)

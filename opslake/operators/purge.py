@@ -59,7 +59,9 @@ def id_thresholds(df: DataFrame, key: str, targets: list[int], buckets: int = 40
         for i, ((lo, hi, _), w) in enumerate(zip(pending, widths)):
             inr = (F.col(key) >= lo) & (F.col(key) <= hi)
             rid = F.when(inr, F.lit(i)) if rid is None else rid.when(inr, F.lit(i))
-            b = F.floor((F.col(key) - F.lit(lo)) / F.lit(w)).cast("bigint")
+            # integer division (a double would put wide keys into a neighbouring bucket); decimals if a difference overflows
+            k = f"cast(`{key}` as decimal(38,0))" if hi - lo >= 1 << 63 else f"cast(`{key}` as bigint)"
+            b = F.expr(f"cast(({k} - ({lo})) div ({w}) as bigint)")
             bid = F.when(inr, b) if bid is None else bid.when(inr, b)
         hist = (df.select(rid.alias("r"), bid.alias("b")).filter(F.col("r").isNotNull())
                 .groupBy("r", "b").count().collect())
@@ -133,12 +135,13 @@ def purge_cycle(source: DataFrame, as_of: str, base_path: str, limit: int = LIMI
     2. find every batch's exact id threshold in one histogram search;
     3. write all batches to the archive in one job, partitioned by ``move_date``;
     4. write the new source version once: source minus the archived ids
-       (a broadcast anti join; at most ``max_runs * limit`` ids, a bound fixed by
-       the parameters).
+       (an anti join on the id).
 
-    Each write is a single job into its own folder (overwrite), so a retry
-    after a lost executor or a failed job starts that step again.  The
-    invariant rows_in = kept + archived is checked on the written tables.
+    A cycle writes the next free source version and its own archive folder
+    (``archive/cycle=<version>``), so earlier archives and versions stay as they are
+    and ``{base}/archive`` reads as one table.  A failed job leaves no
+    ``_SUCCESS`` and its number is used again.  The invariant rows_in = kept +
+    archived is checked on the written tables.
     """
     spark = source.sparkSession
     base = base_path.rstrip("/")
@@ -157,14 +160,15 @@ def purge_cycle(source: DataFrame, as_of: str, base_path: str, limit: int = LIMI
         c = F.col(key) <= F.lit(ths[r * limit])
         batch_no = F.when(c, F.lit(r)) if batch_no is None else F.when(c, F.lit(r)).otherwise(batch_no)
     stamp = F.concat(F.lit(as_of[:10] + " 00:00:"), F.lpad(batch_no.cast("string"), 2, "0")).cast("timestamp_ntz")
-    archive_path = f"{base}/archive"
+    version = sinks.last_version(spark, f"{base}/source") + 1
+    archive_path = f"{base}/archive/cycle={version:06d}"
     (el.filter(F.col(key) <= F.lit(ths[runs * limit]))
      .withColumn("move_date", stamp)
      .write.mode("overwrite").partitionBy("move_date").parquet(archive_path))
     archive = spark.read.parquet(archive_path)
-    ids = F.broadcast(archive.select(F.col(key).alias("__id")))
+    ids = archive.select(F.col(key).alias("__id"))
     new_path = sinks.write_version(spark, source.join(ids, F.col(key) == F.col("__id"), "left_anti"),
-                                   f"{base}/source", 1)
+                                   f"{base}/source", version)
     kept = spark.read.parquet(new_path).count()
     stats = {r["move_date"]: r for r in archive.groupBy("move_date").agg(
         F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslake.sources.sinks import materialize
+
 from opslake.functions.semantics import datediff, safe_div
 
 
@@ -61,17 +63,16 @@ def greedy_top_n(df: DataFrame, metrics: dict[str, Column], n: int, key: str = "
     """Top ``n`` per metric in order; a key taken by an earlier metric is skipped by later ones.
 
     The accumulator of taken keys is at most ``n * len(metrics)`` rows and is broadcast.
-    The input is scanned once per metric, so it is persisted (memory, spilling to disk).
+    The input is scanned once per metric, so it is written once to the shared
+    folder; nothing stays cached.
     """
-    from pyspark import StorageLevel
-    if not df.storageLevel.useMemory:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialize(df, "greedy")
     taken = None
     out = None
     for name, m in metrics.items():
         cand = df if taken is None else df.join(F.broadcast(taken), key, "left_anti")
         t = top_n(cand.withColumn("metric_value", m.cast("double")), F.col("metric_value"), key, n)
-        t = t.select(F.lit(name).alias("metric"), key, "metric_value", "rk").cache()
+        t = materialize(t.select(F.lit(name).alias("metric"), key, "metric_value", "rk"), "greedy-top")
         taken = t.select(key) if taken is None else taken.unionByName(t.select(key))
         out = t if out is None else out.unionByName(t)
     return out

@@ -13,6 +13,7 @@ from opslake.operators import deadlocks as X
 from opslake.plans.oracle_fixtures import ctes
 from opslake.plans.registry import query
 from opslake.sources import fixtures as fx
+from opslake.sources.sinks import materialize
 
 _OW = f"""WITH {ctes('x6')},
 ow AS (SELECT * EXCLUDE (rn) FROM (
@@ -76,7 +77,7 @@ f AS (
             WHERE transactionname = 'implicit_transaction')
 SELECT * FROM f WHERE check_id NOT IN (14, 15, 16) OR events > 0""")
 def deadlock_findings(spark, d):
-    parsed = _parsed(spark, d).cache()
+    parsed = materialize(_parsed(spark, d), "deadlocks")
     p = X.processes(parsed)
     ow = X.owner_waiter(parsed)
     fr = X.frames(parsed).filter(F.col("procname") != "adhoc")
@@ -136,7 +137,7 @@ SELECT dense_rank() OVER (ORDER BY p.event_date) AS event_number, p.event_id, p.
 FROM x6 p LEFT JOIN ow w ON w.event_id = p.event_id AND w.waiter_id = p.process_id
 LEFT JOIN ow o ON o.event_id = p.event_id AND o.owner_id = p.process_id""")
 def deadlock_report(spark, d):
-    parsed = _parsed(spark, d).cache()
+    parsed = materialize(_parsed(spark, d), "deadlocks")
     p = X.processes(parsed)
     ow = X.owner_waiter(parsed)
     nums = X.with_event_number(p).select("event_id", "process_id", "event_number")
@@ -166,7 +167,7 @@ _DIMS = ["currentdbname", "loginname", "clientapp", "hostname", "isolationlevel"
     + [f"SELECT {c} AS value, COUNT(DISTINCT event_id) AS events, '{c}' AS dimension FROM ow GROUP BY {c}"
        for c in ("objectname", "indexname")]))
 def event_counts(spark, d):
-    parsed = _parsed(spark, d).cache()
+    parsed = materialize(_parsed(spark, d), "deadlocks")
     p, ow = X.processes(parsed), X.owner_waiter(parsed)
     long = X.dims_long(p, _DIMS).unionByName(X.dims_long(ow, ["objectname", "indexname"]))
     return X.distinct_counts([long], ["dimension", "value"])
@@ -183,7 +184,7 @@ SELECT objectname, wait_ms,
        {_WT.format(x='(wait_ms // 60000) % 60', n=2)} || ':' || {_WT.format(x='(wait_ms // 1000) % 60', n=2)} || ':' ||
        {_WT.format(x='wait_ms % 1000', n=3)} AS wait_text FROM t""")
 def wait_by_object(spark, d):
-    parsed = _parsed(spark, d).cache()
+    parsed = materialize(_parsed(spark, d), "deadlocks")
     p, ow = X.processes(parsed), X.owner_waiter(parsed)
     j = ow.join(p.select("event_id", F.col("process_id").alias("waiter_id"), "waittime"), ["event_id", "waiter_id"])
     t = j.groupBy("objectname").agg(F.sum("waittime").alias("wait_ms"))
@@ -194,7 +195,7 @@ def wait_by_object(spark, d):
 SELECT DISTINCT p.event_id, p.process_id, ow.lock_kind, ow.objectname FROM x6 p
 JOIN ow ON ow.event_id = p.event_id AND (ow.owner_id = p.process_id OR ow.waiter_id = p.process_id)""")
 def or_join(spark, d):
-    parsed = _parsed(spark, d).cache()
+    parsed = materialize(_parsed(spark, d), "deadlocks")
     p = X.processes(parsed).select("event_id", "process_id")
     ow = X.owner_waiter(parsed)
     # OR of two equi conditions = union of two equi joins, then distinct

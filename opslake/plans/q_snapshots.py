@@ -295,10 +295,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY check_date ORDER BY wait_time_ms
 SELECT server_name, check_date, wait_type, wait_time_ms_delta, date_rank, overall_rank FROM r WHERE overall_rank <= 20""")
 def dual_rank(spark, d):
     w = _wd(spark, d).filter(F.col("wait_time_ms_delta") > 0)
-    w = T.top_n_per(w, ["check_date"], [F.col("wait_time_ms_delta").desc(), "server_name", "wait_type"],
-                    1 << 30, "date_rank")
     order = [F.col("wait_time_ms_delta").desc(), "server_name", "check_date", "wait_type"]
-    top = w.orderBy(*order).limit(20).withColumn("__one", F.lit(1))   # rank only the global top 20
+    # the rows before one of the global top 20 within its date are among the 20 themselves
+    top = w.orderBy(*order).limit(20)
+    top = T.top_n_per(top, ["check_date"], [F.col("wait_time_ms_delta").desc(), "server_name", "wait_type"], 20, "date_rank")
+    top = top.withColumn("__one", F.lit(1))
     return T.top_n_per(top, ["__one"], order, 20, "overall_rank").select(
         "server_name", "check_date", "wait_type", "wait_time_ms_delta", "date_rank", "overall_rank")
 

@@ -53,6 +53,18 @@ def write_version(spark: SparkSession, df: DataFrame, base: str, version: int) -
     return path
 
 
+def last_version(spark: SparkSession, base: str) -> int:
+    """Highest version folder of ``base`` whose write has finished (``_SUCCESS``); 0 without one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    done = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()
+            and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
+    return max(done, default=0)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage by writing to the shared checkpoint folder and reading back."""
     from opslake.session import scratch_path

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opslake.session import scratch_path
+from opslake.sources.sinks import last_version
 
 
 def file_stream(spark: SparkSession, path_glob: str, schema, max_files: int | None = None) -> DataFrame:
@@ -49,19 +50,28 @@ def event_time(df: DataFrame, col: str, out: str = "event_time") -> DataFrame:
     return df.withColumn(out, ntz_to_instant(col))
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 900) -> DataFrame:
+def _finish(q) -> None:
+    """Wait for the query without a limit; it is stopped and its error raised if it failed."""
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    if q.exception() is not None:
+        raise q.exception()
+
+
+def run_available_now(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
     """Run a streaming query over everything available into a Parquet table; return the table.
 
-    Output and checkpoint live under the shared checkpoint folder, so a
-    restarted query resumes from its committed offsets.
+    Output and checkpoint live in ``path`` (a new folder under the shared
+    checkpoint folder if not given); a run with the same path resumes from its
+    committed offsets.  Waits until everything available is processed.
     """
     spark = df.sparkSession
-    base = scratch_path(spark, f"stream-{name}")
+    base = path or scratch_path(spark, f"stream-{name}")
     q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start(f"{base}/out"))
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
+    _finish(q)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
@@ -151,7 +161,7 @@ def stateful_deltas(stream: DataFrame, min_gap: int = 1, max_gap: int = 60) -> D
 
 # change apply -----------------------------------------------------------------
 def cdc_foreach_batch(changes: DataFrame, base: DataFrame, keys: list[str], order_col: str, name: str,
-                      timeout_s: int = 900) -> DataFrame:
+                      path: str | None = None) -> DataFrame:
     """Apply a change stream batch by batch to versioned Parquet copies of ``base``.
 
     Batch ``b`` writes version ``b + 1`` from version ``b``; a re-run of a
@@ -160,8 +170,9 @@ def cdc_foreach_batch(changes: DataFrame, base: DataFrame, keys: list[str], orde
     """
     from opslake.operators.extract import apply_changes
     spark = changes.sparkSession
-    root = scratch_path(spark, f"cdc-{name}")
-    base.write.mode("overwrite").parquet(f"{root}/v=000000")
+    root = path or scratch_path(spark, f"cdc-{name}")
+    if not _exists(spark, f"{root}/v=000000/_SUCCESS"):
+        base.write.mode("overwrite").parquet(f"{root}/v=000000")
     schema = base.schema
 
     def version(n):
@@ -178,11 +189,8 @@ def cdc_foreach_batch(changes: DataFrame, base: DataFrame, keys: list[str], orde
 
     q = (changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise q.exception()
-    last = max(_versions(spark, root))
-    return spark.read.schema(schema).parquet(version(last))
+    _finish(q)
+    return spark.read.schema(schema).parquet(version(last_version(spark, root)))
 
 
 def _fs(spark, path: str):
@@ -196,13 +204,6 @@ def _exists(spark, path: str) -> bool:
     return fs.exists(p)
 
 
-def _versions(spark, root: str) -> list[int]:
-    """Version numbers of ``root/v=<n>`` folders (any Hadoop file system)."""
-    p, fs = _fs(spark, root)
-    return [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(p)
-            if st.getPath().getName().startswith("v=")]
-
-
 # late rows --------------------------------------------------------------------
 def late_rows(df: DataFrame, arrival: str, ts: str, delay_seconds: int, bucket_rows: int = 100_000) -> DataFrame:
     """Rows whose event time is older than (latest event time seen before them - delay).

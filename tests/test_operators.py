@@ -92,3 +92,32 @@ def test_apply_changes(spark):
                                "id int, op string, seq int, v string")
     got = sorted(tuple(r) for r in apply_changes(base, ch, ["id"], "seq").collect())
     assert got == [(1, "x2"), (3, "z"), (4, "w")]
+
+
+def test_purge_two_cycles_keep_both_archives(spark, tmp_path):
+    src = spark.range(1000).select(F.col("id"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz").alias("action_date"))
+    first = P.purge_cycle(src, "2001-08-02 00:00:00", str(tmp_path), limit=60, max_runs=5)
+    second = P.purge_cycle(spark.read.parquet(f"{tmp_path}/source/v=000001"), "2001-08-02 00:00:00", str(tmp_path), limit=60, max_runs=5)
+    assert first.count() == second.count() == 5
+    archive = spark.read.parquet(f"{tmp_path}/archive")
+    left = spark.read.parquet(f"{tmp_path}/source/v=000002")
+    assert archive.count() == archive.select("id").distinct().count() == 600 and left.count() == 400
+    assert left.agg(F.min("id")).first()[0] == 600
+    assert archive.groupBy("cycle").count().count() == 2
+
+
+def test_id_thresholds_on_wide_keys(spark):
+    keys = sorted(x for k in range(-8, 9) for x in (k * 2**50 - 1, k * 2**50)) + [2**62 - 1, 2**62, 2**63 - 1]
+    keys = sorted(set(keys) | {-2**63})
+    df = spark.createDataFrame([(k,) for k in keys], "id long")
+    want = {n: keys[n - 1] for n in range(1, len(keys) + 1)}
+    assert P.id_thresholds(df, "id", list(want), buckets=16) == want
+
+
+def test_no_query_leaves_a_cache(spark):
+    from opslake.plans import registry
+    registry.load_all()
+    spark.catalog.clearCache()
+    for name in ("greedy_topn", "deadlock_findings"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

@@ -60,3 +60,12 @@ def test_cdc_foreach_batch_is_idempotent_result(spark):
     got = ST.cdc_foreach_batch(s, base, ["id"], "changed_at", "t")
     assert got.count() == base.count()
     assert got.filter("action = 'Z'").count() == ch.count()
+
+
+def test_stream_resumes_from_its_path(spark, tmp_path):
+    schema = "k long, v long"
+    spark.createDataFrame([(1, 1), (2, 2)], schema).write.parquet(str(tmp_path / "in/a.parquet"))
+    stream = lambda: ST.file_stream(spark, f"{tmp_path}/in/*.parquet", spark.read.parquet(str(tmp_path / "in/a.parquet")).schema)
+    assert ST.run_available_now(stream(), "t-resume", path=str(tmp_path / "out")).count() == 2
+    spark.createDataFrame([(3, 3)], schema).write.parquet(str(tmp_path / "in/b.parquet"))
+    assert _rows(ST.run_available_now(stream(), "t-resume", path=str(tmp_path / "out"))) == [(1, 1), (2, 2), (3, 3)]
