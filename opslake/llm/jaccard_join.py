@@ -36,8 +36,6 @@ from opslake.llm.graph import connected_components
 from opslake.sources.sinks import materialize
 
 CLASS_RATIO = 2 ** 0.5
-#: coordinates of an indexed point for each cell group: about one shingle a coordinate, which makes the bound tight
-FINE = 8
 
 
 def _bounds(upto: int) -> list[int]:
@@ -53,6 +51,11 @@ _BOUNDS = _bounds(1 << 40)
 BOUNDS = np.array(_BOUNDS, np.int64)
 
 
+def _fine(t: Fraction) -> int:
+    """Coordinates of an indexed point for each cell group: about one shingle a coordinate makes the bound tight."""
+    return max(2, round(0.85 / max(0.01, float(2 * (1 - t) / (1 + t)))))
+
+
 @lru_cache(None)
 def _groups(c: int, t: Fraction) -> tuple[int, int]:
     """(number of groups, empty groups allowed) of size class ``c``."""
@@ -260,7 +263,7 @@ def _vectors(t: Fraction):
             for x, c in zip(b.column("hashes"), b.column("c").to_pylist(), strict=True):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
                 n.append(len(s))
-                vec.append(np.minimum(_counts(s, FINE * _groups(c, t)[0]), 255).astype(np.uint8).tobytes())
+                vec.append(np.minimum(_counts(s, _fine(t) * _groups(c, t)[0]), 255).astype(np.uint8).tobytes())
             yield pa.record_batch([b.column("cid"), b.column("c"), pa.array(n, pa.int64()), pa.array(vec, pa.binary())],
                                   ["cid", "c", "n", "vec"])
     return run
@@ -298,8 +301,8 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
         F.first("cells").alias("cells")), "jaccard-class")
 
     w = Window.partitionBy("cell")
-    multi = (reps.select("cid", F.explode("cells").alias("cell"))
-             .select("cid", "cell", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"))
+    multi = (reps.select("cid", F.size("cells").alias("k"), F.explode("cells").alias("cell"))
+             .select("cid", "k", "cell", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"))
              .where("lo <> hi"))
     multi = materialize(multi, "jaccard-cells")
     need = (multi.select("cid").distinct().join(reps, "cid")
@@ -309,7 +312,9 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
     sets = materialize(sets.select("cid", "text").mapInArrow(_sets(ngram), "cid long, hashes binary")
                        .dropDuplicates(["cid"]), "jaccard-sets")
 
-    star = multi.select(F.col("cid").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+    # only likely pairs are tried here (an eighth of the cells shared); the R-tree search looks at all others
+    star = multi.select(F.col("cid").alias("a"), "k", F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+    star = star.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("k").alias("k")).where("8 * shared >= k")
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = "a long, b long, ok boolean"
     links = _pairs_with_sets(star, sets).mapInArrow(_verify(num, den), tested).where("ok").select("a", "b")
@@ -336,7 +341,7 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
                        F.when(F.col("blk") == F.col("oth"), 2).when(F.col("blk") < F.col("oth"), 0).otherwise(1).alias("side"))
     vec = (left.select("cid", "c").distinct().join(sets, "cid").select("cid", "c", "hashes")
            .mapInArrow(_vectors(t), "cid long, c int, n long, vec binary"))
-    points = materialize(left.join(vec, ["cid", "c"]).select("cell", "i", "j", "side", "cid", "comp", "n", "vec"), "jaccard-points")
+    points = left.join(vec, ["cid", "c"]).select("cell", "i", "j", "side", "cid", "comp", "n", "vec")
     pair = "cell long, i int, j int, a long, b long"
 
     def search(rows, exact):
