@@ -15,7 +15,8 @@ component, and a bucket of one component needs nothing more.  The rest goes to t
 R-tree, which only looks for pairs of different components; a bucket of more than
 ``bucket_rows`` points is cut into blocks that are searched block against block.  A
 search reports a forest of the pairs that pass the bound; buckets whose forest has a
-pair that fails the exact test are searched again with the exact test inside.  No pair
+pair that fails the exact test are searched again with the exact test inside, by
+families of components that such forests connect, in blocks of the same size.  No pair
 is capped or sampled, and no group's pairs are all written out.
 """
 
@@ -49,11 +50,13 @@ def _bounds(upto: int) -> list[int]:
 
 _BOUNDS = _bounds(1 << 40)
 BOUNDS = np.array(_BOUNDS, np.int64)
+#: number of a set's cells and size class travel as one number: cells * KC + class
+KC = 128
 
 
 def _fine(t: Fraction) -> int:
-    """Coordinates of an indexed point for each cell group: about one shingle a coordinate makes the bound tight."""
-    return max(2, round(0.85 / max(0.01, float(2 * (1 - t) / (1 + t)))))
+    """Coordinates of an indexed point for each cell group: some three shingles a coordinate bound the overlap well enough."""
+    return max(1, round(0.3 / max(0.01, float(2 * (1 - t) / (1 + t)))))
 
 
 @lru_cache(None)
@@ -87,54 +90,78 @@ def _edges(s: np.ndarray, m: int) -> np.ndarray:
     return np.searchsorted(g, np.arange(m + 1, dtype=np.uint64))
 
 
-def _cells(s: np.ndarray, t: Fraction) -> np.ndarray:
-    """Cell keys of a set: one per size class and non-empty group (empty groups only if more than the spare)."""
-    out = []
+def _cells(s: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, size classes) of a set's cells: one per size class and non-empty group (empty groups only if more than the spare)."""
+    out, of = [np.empty(0, np.uint64)], [0]
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(T.mix(s + np.uint64(77)), out=sums[1:])
-    for c in _classes(len(s), t):
+    classes = _classes(len(s), t)
+    for c in classes:
         m, spare = _groups(c, t)
         if m == 1:  # no difference is allowed: only equal sets link, and they are one class already
+            of.append(0)
             continue
         at = _edges(s, m)
         n = np.diff(at)
         keys = T.mix((sums[at[1:]] - sums[at[:-1]]) ^ _names(c, m))
         out.append(keys if (n == 0).sum() > spare else keys[n > 0])
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+        of.append(len(out[-1]))
+    return np.concatenate(out).view(np.int64), np.repeat(np.array([0, *classes], np.int64), of)
 
 
-def _signatures(k: int, t: Fraction):
+def _hash_sets(b: pa.RecordBatch, k: int):
+    """Sorted shingle hashes of every text of a batch."""
+    raw, off = T.flat(b.column("text"))
+    doc, _, _, h = T.words(raw, off)
+    at, sh = T.shingles(doc, h, k)
+    cut = T.by_doc(doc[at], b.num_rows)
+    return (np.unique(sh[cut[i]:cut[i + 1]]) for i in range(b.num_rows))
+
+
+def _set_id(s: np.ndarray) -> int | None:
+    """64-bit id of a hash set; None for the empty set."""
+    if not len(s):
+        return None
+    f = np.array([s.sum(dtype=np.uint64), T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(s)], np.uint64)
+    return int(T.mix(T.mix(T.mix(f[:1]) + f[1:2]) + f[2:]).view(np.int64)[0])
+
+
+def _signatures(k: int):
     def run(batches):
         for b in T.slices(batches):
-            raw, off = T.flat(b.column("text"))
-            doc, _, _, h = T.words(raw, off)
-            at, sh = T.shingles(doc, h, k)
-            cut = T.by_doc(doc[at], b.num_rows)
-            n, f1, f2, cells = [], [], [], []
-            for i in range(b.num_rows):
-                s = np.unique(sh[cut[i]:cut[i + 1]])
-                n.append(len(s))
-                f1.append(s.sum(dtype=np.uint64))
-                f2.append(T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                cells.append(_cells(s, t))
+            sets = [(len(s), _set_id(s)) for s in _hash_sets(b, k)]
             yield pa.record_batch([
-                b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()),
-                pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in cells])], pa.int32()),
-                                         pa.array(np.concatenate(cells) if cells else np.empty(0, np.int64)))],
-                ["doc_id", "text_hash", "n_shingles", "f1", "f2", "cells"])
+                b.column("doc_id"), b.column("text_hash"), pa.array([n for n, _ in sets], pa.int64()),
+                pa.array([c for _, c in sets], pa.int64())], ["doc_id", "text_hash", "n_shingles", "cid"])
+    return run
+
+
+def _cell_rows(k: int, t: Fraction, remember: int = 200_000):
+    """One row per set and cell; a task leaves out sets it has emitted before, as far as it remembers them."""
+    def run(batches):
+        seen: set[int] = set()
+        for b in T.slices(batches):
+            cids, cells, kc = [], [], []
+            for s in _hash_sets(b, k):
+                cid = _set_id(s)
+                if cid is not None and cid not in seen:
+                    if len(seen) >= remember:
+                        seen.clear()
+                    seen.add(cid)
+                    keys, classes = _cells(s, t)
+                    cids.append(np.full(len(keys), cid, np.int64))
+                    cells.append(keys)
+                    kc.append(len(keys) * KC + classes)
+            yield pa.record_batch([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (cids, kc, cells)],
+                                  ["cid", "kc", "cell"])
     return run
 
 
 def _sets(k: int):
     def run(batches):
         for b in T.slices(batches):
-            raw, off = T.flat(b.column("text"))
-            doc, _, _, h = T.words(raw, off)
-            at, sh = T.shingles(doc, h, k)
-            cut = T.by_doc(doc[at], b.num_rows)
-            yield pa.record_batch([b.column("cid"), pa.array(
-                [np.unique(sh[cut[i]:cut[i + 1]]).tobytes() for i in range(b.num_rows)], pa.binary())], ["cid", "hashes"])
+            yield pa.record_batch([b.column("cid"), b.column("copies"),
+                                   pa.array([x.tobytes() for x in _hash_sets(b, k)], pa.binary())], ["cid", "copies", "hashes"])
     return run
 
 
@@ -199,7 +226,7 @@ def _similar(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
     return den * same >= num * (len(p) + len(q) - same)
 
 
-def _search_bucket(rows: pa.Table, num: int, den: int, exact: bool) -> list[tuple[int, int]]:
+def _search_bucket(rows: pa.Table, num: int, den: int, exact: bool) -> list[tuple[int, int, int, int]]:
     """Forest of the pairs of a bucket (or of two of its blocks: side 0 is indexed, side 1 asks, side 2 does both).
 
     A pair is reported unless pairs reported before connect it already.  With
@@ -209,15 +236,21 @@ def _search_bucket(rows: pa.Table, num: int, den: int, exact: bool) -> list[tupl
     tree, probe = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(tree) or not len(probe):
         return []
-    pts = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("vec").to_pylist()])
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()] if exact else None
+    if exact:  # sets of several size classes: points of one size for all of them
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+        m = int(np.clip(n.max() // 4, 64, 4096))
+        pts = np.stack([_counts(x, m).astype(np.int32) for x in sets])
+    else:
+        sets = None
+        pts = np.stack([np.frombuffer(x, np.uint8) for x in rows.column("vec").to_pylist()])
     root, out = comp.copy(), []
     for i, js in RTree(pts[tree], n[tree], comp[tree]).search(pts[probe], n[probe], comp[probe], num, den):
         x = probe[i]
         for y in tree[js]:
             if root[x] != root[y] and (sets is None or _similar(sets[x], sets[y], num, den)):
                 root[root == root[y]] = root[x]
-                out.append((int(cid[x]), int(cid[y])))
+                (a, ca), (b, cb) = sorted([(int(cid[x]), int(comp[x])), (int(cid[y]), int(comp[y]))])
+                out.append((a, b, ca, cb))
     return out
 
 
@@ -229,12 +262,12 @@ def _search(num: int, den: int, exact: bool):
 
         def close():
             got = _search_bucket(pa.Table.from_batches(held).combine_chunks(), num, den, exact)
-            pairs.extend((*last, min(p), max(p)) for p in got)
+            pairs.extend((*last, *p) for p in got)
 
         def out():
-            cols = list(zip(*pairs, strict=True)) or [()] * 5
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()),
-                                                                   strict=True)], ["cell", "i", "j", "a", "b"])
+            kinds = {"cell": pa.int64(), "i": pa.int32(), "j": pa.int32(), "a": pa.int64(), "b": pa.int64(), "ca": pa.int64(), "cb": pa.int64()}
+            cols = list(zip(*pairs, strict=True)) or [()] * len(kinds)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
         for b in batches:
             key = np.stack([b.column(c).to_numpy() for c in ("cell", "i", "j")])
             cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), b.num_rows]
@@ -257,18 +290,33 @@ def _search(num: int, den: int, exact: bool):
 
 
 def _vectors(t: Fraction):
+    """Points of every set, one for each of its size classes."""
     def run(batches):
         for b in batches:
-            n, vec = [], []
-            for x, c in zip(b.column("hashes"), b.column("c").to_pylist(), strict=True):
+            cid, cls, n, vec = [], [], [], []
+            for i, x in zip(b.column("cid").to_pylist(), b.column("hashes"), strict=True):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
-                n.append(len(s))
-                vec.append(np.minimum(_counts(s, _fine(t) * _groups(c, t)[0]), 255).astype(np.uint8).tobytes())
-            yield pa.record_batch([b.column("cid"), b.column("c"), pa.array(n, pa.int64()), pa.array(vec, pa.binary())],
-                                  ["cid", "c", "n", "vec"])
+                for c in _classes(len(s), t):
+                    counts = _counts(s, _fine(t) * _groups(c, t)[0])
+                    cid.append(i)
+                    cls.append(c)
+                    n.append(len(s))
+                    vec.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+            yield pa.record_batch([pa.array(cid, pa.int64()), pa.array(cls, pa.int32()), pa.array(n, pa.int64()),
+                                   pa.array(vec, pa.binary())], ["cid", "c", "n", "vec"])
     return run
 
 
+def _in_blocks(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows of buckets (``cell``, of ``m`` rows) dealt into blocks i and j that are searched against each other; see ``_search_bucket``."""
+    parts = F.ceil(F.col("m") / F.lit(bucket_rows)).cast("int")
+    rows = rows.select("*", F.pmod(F.xxhash64("cid"), parts).cast("int").alias("blk"), parts.alias("nb")).drop("m")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("oth"))
+    return rows.select("*", F.least("blk", "oth").alias("i"), F.greatest("blk", "oth").alias("j"),
+                       F.when(F.col("blk") == F.col("oth"), 2).when(F.col("blk") < F.col("oth"), 0).otherwise(1).alias("side")
+                       ).drop("blk", "nb", "oth")
+
+
 def _pairs_with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return (pairs.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a")
             .join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb"))
@@ -293,24 +341,28 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
     t = Fraction(str(similarity))
     num, den = t.numerator, t.denominator
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sig = src.mapInArrow(_signatures(ngram, t), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, cells array<long>")
-    sig = sig.withColumn("cid", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "f1", "f2")))
-    sig = materialize(sig.drop("f1", "f2"), "jaccard-sig")
-    reps = materialize(sig.where("cid is not null").groupBy("cid").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"),
-        F.first("cells").alias("cells")), "jaccard-class")
+    sig = materialize(src.mapInArrow(_signatures(ngram), "doc_id long, text_hash long, n_shingles long, cid long"), "jaccard-sig")
+    reps = (sig.where("cid is not null").groupBy("cid", "doc_id", "text_hash")
+            .agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n")))
+    reps = materialize(reps.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"),
+                                               F.min(F.struct("doc_id", "text_hash", "copies")).alias("rep")), "jaccard-class")
 
+    # cells are never stored: of all of them only those that several sets share are written
     w = Window.partitionBy("cell")
-    multi = (reps.select("cid", F.size("cells").alias("k"), F.explode("cells").alias("cell"))
-             .select("cid", "k", "cell", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"))
-             .where("lo <> hi"))
+    multi = (src.select("text").mapInArrow(_cell_rows(ngram, t), "cid long, kc long, cell long")
+             .select("*", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"))
+             .where("lo <> hi").dropDuplicates(["cid", "cell"])
+            .select("cid", "cell", "lo", "hi", F.expr(f"kc div {KC}").alias("k"), (F.col("kc") % KC).cast("int").alias("c")))
     multi = materialize(multi, "jaccard-cells")
-    need = (multi.select("cid").distinct().join(reps, "cid")
-            .select("cid", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash")))
+    # written first, so that Spark knows its size when it chooses the join that follows
+    need = materialize(multi.select("cid").distinct().join(reps, "cid").select(
+        "cid", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"), F.col("rep.copies").alias("copies")), "jaccard-need")
     sets = src.join(need, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")))
-    # rows repeated in full give the same set twice
-    sets = materialize(sets.select("cid", "text").mapInArrow(_sets(ngram), "cid long, hashes binary")
-                       .dropDuplicates(["cid"]), "jaccard-sets")
+    sets = materialize(sets.select("cid", "copies", "text").mapInArrow(_sets(ngram), "cid long, copies long, hashes binary"),
+                       "jaccard-sets")
+    twice = sets.where("copies > 1")
+    if not twice.isEmpty():  # rows repeated in full give the same set twice
+        sets = materialize(sets.where("copies = 1").unionByName(twice.dropDuplicates(["cid"])), "jaccard-sets")
 
     # only likely pairs are tried here (an eighth of the cells shared); the R-tree search looks at all others
     star = multi.select(F.col("cid").alias("a"), "k", F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
@@ -321,28 +373,15 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
     links = materialize(links, "jaccard-links")
     comp = connected_components(links)
 
-    comped = (multi.select("cid", "cell").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
-              .select("cid", "cell", F.coalesce("label", "cid").alias("comp")))
+    comped = (multi.select("cid", "cell", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
+              .select("cid", "cell", "c", F.coalesce("label", "cid").alias("comp")))
     left = (comped.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"),
                           F.count("*").over(w).alias("m")).where("lo <> hi").drop("lo", "hi"))
-    # the size class is part of a cell; it follows from the sizes of the members
-    size = sig.where("cid is not null").groupBy("cid").agg(F.first("n_shingles").alias("n"))
-    left = materialize(left.join(size, "cid"), "jaccard-left")
-    mx = Window.partitionBy("cell")
-    own = F.max("n").over(mx)
-    c = F.lit(0)
-    for b in BOUNDS[BOUNDS < (1 << 31)]:
-        c = c + (own > F.lit(int(b))).cast("int")
-    left = left.select("cid", "cell", "comp", "m", c.alias("c"))
-    blocks = F.ceil(F.col("m") / F.lit(bucket_rows)).cast("int")
-    left = left.select("*", F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("blk"), blocks.alias("nb"))
-    left = left.select("cid", "cell", "comp", "c", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("oth"))
-    left = left.select("cid", "cell", "comp", "c", F.least("blk", "oth").alias("i"), F.greatest("blk", "oth").alias("j"),
-                       F.when(F.col("blk") == F.col("oth"), 2).when(F.col("blk") < F.col("oth"), 0).otherwise(1).alias("side"))
-    vec = (left.select("cid", "c").distinct().join(sets, "cid").select("cid", "c", "hashes")
-           .mapInArrow(_vectors(t), "cid long, c int, n long, vec binary"))
+    left = materialize(left, "jaccard-left")
+    left = _in_blocks(left, bucket_rows)
+    vec = materialize(sets.mapInArrow(_vectors(t), "cid long, c int, n long, vec binary"), "jaccard-points")
     points = left.join(vec, ["cid", "c"]).select("cell", "i", "j", "side", "cid", "comp", "n", "vec")
-    pair = "cell long, i int, j int, a long, b long"
+    pair = "cell long, i int, j int, a long, b long, ca long, cb long"
 
     def search(rows, exact):
         rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
@@ -350,9 +389,17 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
     # forests of the pairs that pass the bound; if all pairs of a bucket's forest are links, the bucket is settled
     cand = materialize(search(points, False), "jaccard-forest")
     more = materialize(_pairs_with_sets(cand.select("a", "b").distinct(), sets).mapInArrow(_verify(num, den), tested), "jaccard-links")
-    # buckets with a pair that is no link are searched again with the exact test inside
+    # buckets with a pair that is no link are searched again with the exact test inside.  Pairs that pass the bound lie
+    # between components that the bucket's forest connects, so the search goes by such families: a set travels once
+    # for its family, not once for every bucket
     again = cand.join(more.where("not ok"), ["a", "b"]).select("cell", "i", "j").distinct()
-    redo = points.join(again, ["cell", "i", "j"]).join(sets, "cid")
+    again = materialize(cand.join(again, ["cell", "i", "j"]).select("cell", "i", "j", "ca", "cb").distinct(), "jaccard-again")
+    family = connected_components(again, "ca", "cb").select(F.col("id").alias("comp"), F.col("label").alias("cell"))
+    ends = again.select("cell", "i", "j", F.explode(F.array("ca", "cb")).alias("comp")).distinct()
+    members = left.join(ends, ["cell", "i", "j", "comp"]).select("cid", "comp").distinct().join(family, "comp")
+    members = _in_blocks(members.select("*", F.count("*").over(w).alias("m")), bucket_rows)
+    redo = members.join(sets, "cid").select("cell", "i", "j", "side", "cid", "comp", "hashes",
+                                            F.expr("octet_length(hashes) div 8").alias("n"))
     redo = materialize(search(redo, True).select("a", "b").distinct(), "jaccard-links")
     more = more.where("ok").select("a", "b").unionByName(redo)
     hook = comp.select(F.col("id").alias("a"), F.col("label").alias("b"))
