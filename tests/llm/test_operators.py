@@ -393,3 +393,29 @@ def test_words_of_long_texts(monkeypatch):
     monkeypatch.setattr(textops, "PIECE_BYTES", 64)
     b = textops.words(raw, off)
     assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True)) and math.isclose(len(a[0]), 5002)
+
+
+def test_connected_components_match_union_find(spark):
+    """Paths, hot stars, random graphs, repeated edges, self loops and nulls; every end of an edge gets the smallest id."""
+    import random
+
+    from opslake.llm.graph import connected_components
+    rnd = random.Random(3)
+    path = rnd.sample(range(300), 300)
+    cases = [[], [(1, 1), (None, 2), (3, None)], list(zip(path, path[1:], strict=False)),
+             [(rnd.randrange(900), rnd.randrange(900)) for _ in range(700)],
+             [(-5, i) for i in range(200)] + [(-7, 200), (200, -5), (200, -5)]]
+    for edges in cases:
+        parent = {}
+
+        def find(x, parent=parent):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for a, b in edges:
+            if a is not None and b is not None and a != b:
+                a, b = sorted((find(a), find(b)))
+                parent[b] = a
+        got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in parent)
