@@ -6,18 +6,22 @@ from pyspark.sql import functions as F
 
 from opslake.functions.semantics import ts_lit
 from opslake.operators.aggregate import majority_and_others
-from opslake.operators.backups import FULL, big_diff_log
+from opslake.operators.backups import FULL, KEY, big_diff_log
 from opslake.operators.rules import Rule
 
 
+def _name():
+    return F.concat_ws(".", "server_name", "database_name", "database_guid")
+
+
 def _db(df, details, num):
-    return df.select(F.col("database_name").alias("scope"), F.col("database_name").alias("object_name"),
+    return df.select(F.col("database_name").alias("scope"), _name().alias("object_name"),
                      details.alias("details"), num.alias("details_num"))
 
 
 def _flag(col):
     def build(i, as_of):
-        g = (i["backups"].filter(F.col(col)).groupBy("database_name")
+        g = (i["backups"].filter(F.col(col)).groupBy(*KEY)
              .agg(F.count(F.lit(1)).alias("n")))
         return _db(g, F.lit(col), F.col("n"))
     return build
@@ -28,39 +32,39 @@ def _recent(i, as_of, days=30):
 
 
 def other_users(i, as_of):
-    o = majority_and_others(i["backups"], ["database_name"], "user_name", exclude=["svc_agent"])
-    return o.select(F.col("database_name").alias("scope"), F.col("user_name").alias("object_name"),
+    o = majority_and_others(i["backups"], KEY, "user_name", exclude=["svc_agent"])
+    return o.select(F.col("database_name").alias("scope"), F.concat_ws(".", _name(), "user_name").alias("object_name"),
                     F.concat(F.lit("most backups by "), F.col("majority_user_name")).alias("details"),
                     F.col("n").alias("details_num"))
 
 
 def level_changes(i, as_of):
-    g = (i["backups"].groupBy("database_name").agg(F.countDistinct("compatibility_level").alias("n"))
+    g = (i["backups"].groupBy(*KEY).agg(F.countDistinct("compatibility_level").alias("n"))
          .filter("n > 2"))
     return _db(g, F.lit("compatibility levels"), F.col("n"))
 
 
 def no_checksum(i, as_of):
-    g = (_recent(i, as_of).filter(~F.col("has_backup_checksums")).groupBy("database_name")
+    g = (_recent(i, as_of).filter(~F.col("has_backup_checksums")).groupBy(*KEY)
          .agg(F.count(F.lit(1)).alias("n")))
     return _db(g, F.lit("backups without checksum in 30 days"), F.col("n"))
 
 
 def encrypted(i, as_of):
     g = (i["backups"].filter(F.col("encryptor_type").isNotNull())
-         .groupBy("database_name", "encryptor_type").agg(F.count(F.lit(1)).alias("n")))
+         .groupBy(*KEY, "encryptor_type").agg(F.count(F.lit(1)).alias("n")))
     return _db(g, F.col("encryptor_type"), F.col("n"))
 
 
 def model_switches(i, as_of, more_than=4):
-    g = (i["backups"].filter(F.col("recovery_model") != "BULK-LOGGED").groupBy("database_name")
+    g = (i["backups"].filter(F.col("recovery_model") != "BULK-LOGGED").groupBy(*KEY)
          .agg(F.countDistinct("recovery_model").alias("n")).filter(F.col("n") > more_than))
     return _db(g, F.lit("recovery models"), F.col("n"))
 
 
 def uncompressed(i, as_of):
     g = (_recent(i, as_of).filter((F.col("type") == FULL) & (F.col("backup_size") == F.col("compressed_backup_size")))
-         .groupBy("database_name").agg(F.count(F.lit(1)).alias("n")))
+         .groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")))
     return _db(g, F.lit("uncompressed full backups in 30 days"), F.col("n"))
 
 

@@ -26,16 +26,14 @@ def fill_last(df: DataFrame, by: list[str], order: list[str], value: Column | st
     hi = -1 if strict else 0
     w_in = (Window.partitionBy(*by, "__b").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, hi))
-    d = d.withColumn("__local", F.last("__v", ignorenulls=True).over(w_in))
-    # one row per (group, bucket): the bucket's last non-null value
-    key = F.struct(*[F.col(c) for c in order])
-    per_bucket = (d.filter(F.col("__v").isNotNull())
-                  .groupBy(*by, "__b").agg(F.max_by("__v", key).alias("__bl")))
+    # one row per (group, bucket): the bucket's last non-null value (max_by ignores null orderings)
+    key = F.when(F.col("__v").isNotNull(), F.struct(*[F.col(c) for c in order]))
+    per_bucket = d.groupBy(*by, "__b").agg(F.max_by("__v", key).alias("__bl"))
     # every bucket takes the value of the latest earlier bucket that has one (small table)
     w_b = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    allb = (d.select(*by, "__b").distinct().join(per_bucket, [*by, "__b"], "left")
-            .withColumn("__carry2", F.last("__bl", ignorenulls=True).over(w_b)))
-    res = d.join(allb.select(*by, "__b", "__carry2"), [*by, "__b"], "left")
+    carry = per_bucket.select(*by, "__b", F.last("__bl", ignorenulls=True).over(w_b).alias("__carry2"))
+    d = d.withColumn("__local", F.last("__v", ignorenulls=True).over(w_in))
+    res = d.join(carry, [*by, "__b"], "left")
     return res.withColumn(out, F.coalesce("__local", "__carry2")).drop("__b", "__v", "__local", "__carry2")
 
 

@@ -72,8 +72,8 @@ FIX["x2b"] = """
   FROM x2 WHERE session_id % 4 <> 0"""
 
 FIX["x3"] = f"""
-  SELECT 'srv' || (user_id % 2) AS server_name, 'db' || (user_id % 10) AS database_name,
-         event_id AS backup_set_id,
+  SELECT 'srv' || (user_id % 3) AS server_name, 'guid' || ((user_id // 60) % 2) AS database_guid,
+         'db' || (user_id % 10) AS database_name, event_id AS backup_set_id,
          CASE event_type WHEN 'signup' THEN 'D' WHEN 'purchase' THEN 'I' ELSE 'L' END AS type,
          ts AS backup_start_date, ts + to_milliseconds({c('value')} * 10) AS backup_finish_date,
          event_id * 1000 AS first_lsn, event_id * 1000 + 1000 AS last_lsn,

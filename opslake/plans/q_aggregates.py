@@ -9,6 +9,7 @@ from opslake.functions.scalar import dirname
 from opslake.functions.semantics import cents, ts_lit
 from opslake.operators import aggregate as A
 from opslake.operators import joins as J
+from opslake.operators.backups import KEY as BACKUP_KEY
 from opslake.plans.oracle_fixtures import ctes, sql_human, sql_round_div
 from opslake.plans.q_joins import STATES_SQL
 from opslake.plans.registry import query
@@ -156,25 +157,26 @@ def finding_counts(spark, d):
 
 def _bk_measures(df):
     dur = F.timestamp_diff("MILLISECOND", F.col("backup_start_date"), F.col("backup_finish_date"))
-    return df.select("database_name", "type",
+    return df.select(*BACKUP_KEY, "type",
                      F.call_function("div", F.col("backup_size"), F.lit(1048576)).alias("mb"),
                      F.when(dur > 0, F.call_function("div", F.call_function(
                          "div", F.col("backup_size"), F.lit(1024)) * 1000, dur)).alias("kbps"))
 
 
+BK = "server_name, database_guid, database_name"      # a database of one server
 _BK = f"""WITH {ctes('x3')},
-m AS (SELECT database_name, type, backup_size // 1048576 AS mb,
+m AS (SELECT {BK}, type, backup_size // 1048576 AS mb,
              CASE WHEN date_diff('millisecond', backup_start_date, backup_finish_date) > 0
                   THEN (backup_size // 1024) * 1000 // date_diff('millisecond', backup_start_date, backup_finish_date)
              END AS kbps FROM x3)"""
 _TYPES = {"full": "D", "diff": "I", "log": "L"}
 
 
-@query("backup_throughput", _BK + " SELECT database_name, " + ", ".join(
+@query("backup_throughput", _BK + f" SELECT {BK}, " + ", ".join(
     f"avg(CASE WHEN type = '{t}' THEN {m} END) AS {n}_avg_{m}, "
     f"max(CASE WHEN type = '{t}' THEN {m} END) AS {n}_max_{m}, "
     f"min(CASE WHEN type = '{t}' THEN {m} END) AS {n}_min_{m}"
-    for n, t in _TYPES.items() for m in ("mb", "kbps")) + " FROM m GROUP BY database_name")
+    for n, t in _TYPES.items() for m in ("mb", "kbps")) + f" FROM m GROUP BY {BK}")
 def backup_throughput(spark, d):
     m = _bk_measures(fx.backups(spark, d))
     aggs = []
@@ -182,55 +184,55 @@ def backup_throughput(spark, d):
         for c in ("mb", "kbps"):
             v = F.when(F.col("type") == t, F.col(c))
             aggs += [F.avg(v).alias(f"{n}_avg_{c}"), F.max(v).alias(f"{n}_max_{c}"), F.min(v).alias(f"{n}_min_{c}")]
-    return m.groupBy("database_name").agg(*aggs)
+    return m.groupBy(*BACKUP_KEY).agg(*aggs)
 
 
-@query("backup_avg_by_type", _BK + " SELECT database_name, " + ", ".join(
+@query("backup_avg_by_type", _BK + f" SELECT {BK}, " + ", ".join(
     f"avg(CASE WHEN type = '{t}' THEN mb END) AS avg_{n}_mb" for n, t in _TYPES.items()) +
-    " FROM m GROUP BY database_name")
+    f" FROM m GROUP BY {BK}")
 def backup_avg_by_type(spark, d):
     m = _bk_measures(fx.backups(spark, d))
-    return m.groupBy("database_name").agg(
+    return m.groupBy(*BACKUP_KEY).agg(
         *[F.avg(F.when(F.col("type") == t, F.col("mb"))).alias(f"avg_{n}_mb") for n, t in _TYPES.items()])
 
 
 @query("duplicate_keys", f"""WITH {ctes('x5')}
-SELECT database_name, table_name, key_columns, COUNT(*) AS dup_count,
+SELECT database_name, schema_name, table_name, key_columns, COUNT(*) AS dup_count,
        string_agg(CAST(index_id AS VARCHAR), ', ' ORDER BY index_id) AS index_ids
 FROM x5 WHERE NOT is_primary_key AND NOT is_disabled AND index_type IN ('CLUSTERED', 'NONCLUSTERED')
   AND total_pages * 8 >= 250 * 1024
-GROUP BY database_name, table_name, key_columns HAVING COUNT(*) > 1""")
+GROUP BY database_name, schema_name, table_name, key_columns HAVING COUNT(*) > 1""")
 def duplicate_keys(spark, d):
     x5 = fx.index_inventory(spark, d).filter(
         ~F.col("is_primary_key") & ~F.col("is_disabled") & F.col("index_type").isin("CLUSTERED", "NONCLUSTERED")
         & (F.col("total_pages") * 8 >= 250 * 1024))
-    g = x5.groupBy("database_name", "table_name", "key_columns").agg(
+    g = x5.groupBy("database_name", "schema_name", "table_name", "key_columns").agg(
         F.count(F.lit(1)).alias("dup_count"), F.array_sort(F.collect_list("index_id")).alias("ids"))
     return g.filter(F.col("dup_count") > 1).select(
-        "database_name", "table_name", "key_columns", "dup_count",
+        "database_name", "schema_name", "table_name", "key_columns", "dup_count",
         F.array_join(F.transform("ids", lambda x: x.cast("string")), ", ").alias("index_ids"))
 
 
 @query("distinct_change_count", f"""WITH {ctes('x3')}
-SELECT database_name, COUNT(DISTINCT compatibility_level) AS levels,
+SELECT {BK}, COUNT(DISTINCT compatibility_level) AS levels,
        COUNT(DISTINCT CASE WHEN recovery_model <> 'BULK-LOGGED' THEN recovery_model END) AS models
-FROM x3 GROUP BY database_name HAVING COUNT(DISTINCT compatibility_level) > 2""")
+FROM x3 GROUP BY {BK} HAVING COUNT(DISTINCT compatibility_level) > 2""")
 def distinct_change(spark, d):
     b = fx.backups(spark, d)
-    g = b.groupBy("database_name").agg(
+    g = b.groupBy(*BACKUP_KEY).agg(
         F.countDistinct("compatibility_level").alias("levels"),
         F.countDistinct(F.when(F.col("recovery_model") != "BULK-LOGGED", F.col("recovery_model"))).alias("models"))
     return g.filter(F.col("levels") > 2)
 
 
 @query("out_of_band_actors", f"""WITH {ctes('x3')},
-c AS (SELECT database_name, user_name, COUNT(*) AS n FROM x3 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY database_name ORDER BY n DESC, user_name) AS rk FROM c)
-SELECT o.database_name, o.user_name, o.n, m.user_name AS majority_user_name
-FROM r o JOIN r m ON m.database_name = o.database_name AND m.rk = 1
+c AS (SELECT {BK}, user_name, COUNT(*) AS n FROM x3 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {BK} ORDER BY n DESC, user_name) AS rk FROM c)
+SELECT {BK}, o.user_name, o.n, m.user_name AS majority_user_name
+FROM r o JOIN (SELECT {BK}, user_name FROM r WHERE rk = 1) m USING ({BK})
 WHERE o.rk > 1 AND o.n >= 2 AND o.user_name NOT IN ('svc_agent')""")
 def out_of_band(spark, d):
-    return A.majority_and_others(fx.backups(spark, d), ["database_name"], "user_name", exclude=["svc_agent"])
+    return A.majority_and_others(fx.backups(spark, d), BACKUP_KEY, "user_name", exclude=["svc_agent"])
 
 
 @query("monthly_pivot", """

@@ -76,42 +76,44 @@ INDEX_SQL = {
 }
 
 RECENT = f"backup_start_date >= {TS} - INTERVAL 30 DAY"
-BIG = """(SELECT database_name, avg(CASE WHEN type = 'D' THEN backup_size // 1048576 END) AS f,
+BK = "server_name, database_guid, database_name"
+DB = "server_name || '.' || database_name || '.' || database_guid"
+BIG = f"""(SELECT {BK}, avg(CASE WHEN type = 'D' THEN backup_size // 1048576 END) AS f,
           avg(CASE WHEN type = 'I' THEN backup_size // 1048576 END) AS i,
-          avg(CASE WHEN type = 'L' THEN backup_size // 1048576 END) AS l FROM x3 GROUP BY 1)"""
+          avg(CASE WHEN type = 'L' THEN backup_size // 1048576 END) AS l FROM x3 GROUP BY {BK})"""
 
 
 def _flag_sql(c):
-    return f"SELECT database_name, database_name, '{c}', COUNT(*) FROM x3 WHERE {c} GROUP BY 1"
+    return f"SELECT database_name, {DB}, '{c}', COUNT(*) FROM x3 WHERE {c} GROUP BY {BK}"
 
 
 BACKUP_SQL = {
-    "Backups by a non-majority user": """SELECT o.database_name, o.user_name, 'most backups by ' || m.user_name, o.n
-        FROM (SELECT *, row_number() OVER (PARTITION BY database_name ORDER BY n DESC, user_name) AS rk
-              FROM (SELECT database_name, user_name, COUNT(*) AS n FROM x3 GROUP BY ALL)) o
-        JOIN (SELECT database_name, user_name FROM (SELECT *, row_number() OVER (PARTITION BY database_name
-              ORDER BY n DESC, user_name) AS rk FROM (SELECT database_name, user_name, COUNT(*) AS n FROM x3 GROUP BY ALL))
-              WHERE rk = 1) m USING (database_name)
+    "Backups by a non-majority user": f"""SELECT database_name, {DB} || '.' || o.user_name, 'most backups by ' || m.user_name, o.n
+        FROM (SELECT *, row_number() OVER (PARTITION BY {BK} ORDER BY n DESC, user_name) AS rk
+              FROM (SELECT {BK}, user_name, COUNT(*) AS n FROM x3 GROUP BY ALL)) o
+        JOIN (SELECT {BK}, user_name FROM (SELECT *, row_number() OVER (PARTITION BY {BK}
+              ORDER BY n DESC, user_name) AS rk FROM (SELECT {BK}, user_name, COUNT(*) AS n FROM x3 GROUP BY ALL))
+              WHERE rk = 1) m USING ({BK})
         WHERE o.rk > 1 AND o.n >= 2 AND o.user_name NOT IN ('svc_agent')""",
-    "Compatibility level changed more than twice": """SELECT database_name, database_name, 'compatibility levels',
-        COUNT(DISTINCT compatibility_level) FROM x3 GROUP BY 1 HAVING COUNT(DISTINCT compatibility_level) > 2""",
+    "Compatibility level changed more than twice": f"""SELECT database_name, {DB}, 'compatibility levels',
+        COUNT(DISTINCT compatibility_level) FROM x3 GROUP BY {BK} HAVING COUNT(DISTINCT compatibility_level) > 2""",
     "Password-protected backups": _flag_sql("is_password_protected"),
     "Snapshot backups": _flag_sql("is_snapshot"),
     "Read-only database backups": _flag_sql("is_readonly"),
     "Single-user database backups": _flag_sql("is_single_user"),
-    "Backups without checksums": f"""SELECT database_name, database_name, 'backups without checksum in 30 days', COUNT(*)
-        FROM x3 WHERE {RECENT} AND NOT has_backup_checksums GROUP BY 1""",
+    "Backups without checksums": f"""SELECT database_name, {DB}, 'backups without checksum in 30 days', COUNT(*)
+        FROM x3 WHERE {RECENT} AND NOT has_backup_checksums GROUP BY {BK}""",
     "Damaged backups": _flag_sql("is_damaged"),
-    "Encrypted backups": """SELECT database_name, database_name, encryptor_type, COUNT(*) FROM x3
-        WHERE encryptor_type IS NOT NULL GROUP BY database_name, encryptor_type""",
+    "Encrypted backups": f"""SELECT database_name, {DB}, encryptor_type, COUNT(*) FROM x3
+        WHERE encryptor_type IS NOT NULL GROUP BY {BK}, encryptor_type""",
     "Bulk-logged data in backups": _flag_sql("has_bulk_logged_data"),
-    "Recovery model switched often": """SELECT database_name, database_name, 'recovery models', COUNT(DISTINCT recovery_model)
-        FROM x3 WHERE recovery_model <> 'BULK-LOGGED' GROUP BY 1 HAVING COUNT(DISTINCT recovery_model) > 4""",
-    "Uncompressed full backups": f"""SELECT database_name, database_name, 'uncompressed full backups in 30 days', COUNT(*)
-        FROM x3 WHERE {RECENT} AND type = 'D' AND backup_size = compressed_backup_size GROUP BY 1""",
-    "Large differential backups": f"""SELECT database_name, database_name, 'average differential vs full MB', i FROM {BIG}
+    "Recovery model switched often": f"""SELECT database_name, {DB}, 'recovery models', COUNT(DISTINCT recovery_model)
+        FROM x3 WHERE recovery_model <> 'BULK-LOGGED' GROUP BY {BK} HAVING COUNT(DISTINCT recovery_model) > 4""",
+    "Uncompressed full backups": f"""SELECT database_name, {DB}, 'uncompressed full backups in 30 days', COUNT(*)
+        FROM x3 WHERE {RECENT} AND type = 'D' AND backup_size = compressed_backup_size GROUP BY {BK}""",
+    "Large differential backups": f"""SELECT database_name, {DB}, 'average differential vs full MB', i FROM {BIG}
         WHERE f > 10240 AND i * 100 >= f * 40""",
-    "Large log backups": f"""SELECT database_name, database_name, 'average log vs full MB', l FROM {BIG}
+    "Large log backups": f"""SELECT database_name, {DB}, 'average log vs full MB', l FROM {BIG}
         WHERE f > 10240 AND l * 100 >= f * 20""",
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opslake.functions.semantics import cents
 from opslake.operators import ranking as R
 from opslake.operators import timeseries as TS
+from opslake.operators.backups import KEY as BACKUP_KEY
 from opslake.plans.oracle_fixtures import ctes, sql_round_div
 from opslake.plans.q_aggregates import A
 from opslake.plans.q_snapshots import _WD, _wd
@@ -171,23 +172,23 @@ def topk(spark, d):
 
 
 @query("restore_file_rank", f"""WITH {ctes('x3')},
-f AS (SELECT database_name, database_name || '_' || type || '_' || strftime(backup_start_date, '%Y%m%d%H%M%S') || '_'
+f AS (SELECT server_name, database_guid, database_name, database_name || '_' || type || '_' || strftime(backup_start_date, '%Y%m%d%H%M%S') || '_'
              || p || '.bak' AS file_name
       FROM x3, LATERAL (SELECT unnest(range(1, 2 + backup_set_id % 3)) AS p))
-SELECT database_name, file_name,
-       dense_rank() OVER (PARTITION BY database_name ORDER BY regexp_extract(file_name, '_(\\d{{14}})_', 1)) AS file_rank
+SELECT server_name, database_guid, database_name, file_name,
+       dense_rank() OVER (PARTITION BY server_name, database_guid, database_name ORDER BY regexp_extract(file_name, '_(\\d{{14}})_', 1)) AS file_rank
 FROM f""")
 def restore_rank(spark, d):
     b = fx.backups(spark, d)
-    f = b.select("database_name", "type", "backup_start_date",
+    f = b.select(*BACKUP_KEY, "type", "backup_start_date",
                  F.explode(F.sequence(F.lit(1).cast("bigint"), 1 + F.col("backup_set_id") % 3)).alias("p"))
-    f = f.select("database_name", F.concat_ws("_", "database_name", "type",
+    f = f.select(*BACKUP_KEY, F.concat_ws("_", "database_name", "type",
                                               F.date_format("backup_start_date", "yyyyMMddHHmmss"),
                                               F.concat(F.col("p").cast("string"), F.lit(".bak"))).alias("file_name"))
     stamp = F.regexp_extract("file_name", r"_(\d{14})_", 1)
     f = f.withColumn("__stamp", stamp)
     # dense rank per database, bucketed by day of the stamp (skew-safe for a database with most files)
-    return TS.dense_rank(f, ["database_name"], "__stamp", F.substring("__stamp", 1, 8), "file_rank").drop("__stamp")
+    return TS.dense_rank(f, BACKUP_KEY, "__stamp", F.substring("__stamp", 1, 8), "file_rank").drop("__stamp")
 
 
 @query("report_group_breaks", f"""WITH {ctes('xfi')},

@@ -140,13 +140,17 @@ def sessions_pass2(spark: SparkSession, d: str) -> DataFrame:
 
 # X3 ---------------------------------------------------------------------------
 def backups(spark: SparkSession, d: str) -> DataFrame:
-    """Backup history: one backup per event; type by event type; LSN from event_id."""
+    """Backup history: one backup per event; type by event type; LSN from event_id.
+
+    Every database name is on three servers, and on each of them under two guids.
+    """
     ev = table(spark, d, "events")
     e = F.col("event_id")
     v = cents("value")
     size = v * 1048576
     return ev.select(
-        _s("srv", F.col("user_id") % 2).alias("server_name"),
+        _s("srv", F.col("user_id") % 3).alias("server_name"),
+        _s("guid", F.call_function("div", F.col("user_id"), F.lit(60)) % 2).alias("database_guid"),
         _s("db", F.col("user_id") % 10).alias("database_name"),
         e.alias("backup_set_id"),
         F.when(F.col("event_type") == "signup", "D").when(F.col("event_type") == "purchase", "I")
