@@ -139,3 +139,33 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], order_co
     kept = base.join(latest.select(*keys), keys, "left_anti")
     upserts = latest.filter(F.col(op_col) != "D").select(*data_cols)
     return kept.unionByName(upserts)
+
+
+def change_state(base: DataFrame, changes: DataFrame, order_col: str, op_col: str = "op") -> DataFrame:
+    """``base`` with the columns that ``merge_changes`` keeps: no change applied yet."""
+    order = F.lit(None).cast(changes.schema[order_col].dataType)
+    return base.withColumns({order_col: order, op_col: F.lit("I")})
+
+
+def merge_changes(state: DataFrame, changes: DataFrame, keys: list[str], order_col: str,
+                  op_col: str = "op") -> DataFrame:
+    """Apply one batch of changes to a state that remembers the last change of every key.
+
+    A change that is older than (or as old as) the one its key has already seen,
+    in this batch or an earlier one, is ignored; a deleted key stays as a row with
+    ``op`` ``D``, so a late upsert does not bring it back.
+    """
+    latest = (changes.groupBy(*keys)
+              .agg(F.max_by(F.struct(*[c for c in changes.columns if c not in keys]), F.col(order_col)).alias("__c"))
+              .select(*keys, "__c.*").select(*state.columns))
+    seen = state.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(order_col).alias("__seen"))
+    stale = F.col("__seen") >= F.col(order_col)
+    for k in keys:
+        stale = stale & (F.col(f"__{k}") == F.col(k))
+    newer = latest.join(seen, stale, "left_anti")
+    return state.join(newer.select(*keys), keys, "left_anti").unionByName(newer)
+
+
+def current_rows(state: DataFrame, order_col: str, op_col: str = "op") -> DataFrame:
+    """The table that a change state stands for."""
+    return state.filter(F.col(op_col) != "D").drop(order_col, op_col)

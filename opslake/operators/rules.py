@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from opslake.functions.semantics import ts_lit
 from opslake.operators.joins import anti_skip_list
+from opslake.sources.sinks import materialize
 
 FINDING = T.StructType([
     T.StructField("check_id", T.IntegerType()), T.StructField("priority", T.IntegerType()),
@@ -48,12 +49,13 @@ def run_rules(inputs: dict, rules: list[Rule], as_of: str, skip: DataFrame | Non
     """Evaluate ``rules``; ``skip`` has columns ``scope`` and ``check_id`` (NULL = any).
 
     Every input is read by many rules.  With ``materialize_inputs`` each is
-    written once to the shared checkpoint folder (``checkpoint()``): the rules
-    then plan against a small scan instead of re-deriving the input, and a
-    lost executor does not recompute the derivation.
+    written once as Parquet to the shared checkpoint folder, so a rule reads
+    only its columns and pushes its filters.  The findings are written once too
+    before the skip list is applied: as the rules' ids are constants, Catalyst
+    would else push the anti joins into every rule, without a key.
     """
     if materialize_inputs:
-        inputs = {k: v.checkpoint(eager=True) for k, v in inputs.items()}
+        inputs = {k: materialize(v, f"rules-{k}") for k, v in inputs.items()}
     active = [r for r in rules if max_priority is None or r.priority <= max_priority]
     out = None
     for r in active:
@@ -64,7 +66,7 @@ def run_rules(inputs: dict, rules: list[Rule], as_of: str, skip: DataFrame | Non
         spark = next(iter(inputs.values())).sparkSession
         return spark.createDataFrame([], FINDING)
     if skip is not None:
-        out = anti_skip_list(out, skip.select(F.col("scope").cast("string"), F.col("check_id").cast("int")),
+        out = anti_skip_list(materialize(out, "findings"), skip.select(F.col("scope").cast("string"), F.col("check_id").cast("int")),
                              ["scope", "check_id"])
     return out
 

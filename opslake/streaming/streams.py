@@ -166,14 +166,16 @@ def cdc_foreach_batch(changes: DataFrame, base: DataFrame, keys: list[str], orde
 
     Batch ``b`` writes version ``b + 1`` from version ``b``; a re-run of a
     batch whose version already exists (``_SUCCESS``) is skipped, so retries
-    after a failure are idempotent.
+    after a failure are idempotent.  A version keeps every key's last change, so
+    a change that arrives in a later batch than a newer one is ignored.
     """
-    from opslake.operators.extract import apply_changes
+    from opslake.operators.extract import change_state, current_rows, merge_changes
     spark = changes.sparkSession
     root = path or scratch_path(spark, f"cdc-{name}")
+    state = change_state(base, changes, order_col)
     if not _exists(spark, f"{root}/v=000000/_SUCCESS"):
-        base.write.mode("overwrite").parquet(f"{root}/v=000000")
-    schema = base.schema
+        state.write.mode("overwrite").parquet(f"{root}/v=000000")
+    schema = state.schema
 
     def version(n):
         return f"{root}/v={n:06d}"
@@ -185,12 +187,12 @@ def cdc_foreach_batch(changes: DataFrame, base: DataFrame, keys: list[str], orde
         if done(batch_id + 1):
             return
         cur = spark.read.schema(schema).parquet(version(batch_id))
-        apply_changes(cur, batch, keys, order_col).write.mode("overwrite").parquet(version(batch_id + 1))
+        merge_changes(cur, batch, keys, order_col).write.mode("overwrite").parquet(version(batch_id + 1))
 
     q = (changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     _finish(q)
-    return spark.read.schema(schema).parquet(version(last_version(spark, root)))
+    return current_rows(spark.read.schema(schema).parquet(version(last_version(spark, root))), order_col)
 
 
 def _fs(spark, path: str):

@@ -94,6 +94,39 @@ def test_apply_changes(spark):
     assert got == [(1, "x2"), (3, "z"), (4, "w")]
 
 
+def test_merge_changes_ignores_late_changes_of_later_batches(spark):
+    from opslake.operators.extract import change_state, current_rows, merge_changes
+    cols = "id int, op string, seq int, v string"
+    first = spark.createDataFrame([(1, "U", 5, "new"), (2, "D", 5, None), (3, "U", 1, "a")], cols)
+    late = spark.createDataFrame([(1, "U", 3, "old"), (2, "U", 4, "back"), (3, "U", 2, "b"), (4, "I", 1, "w"), (5, "D", 9, None)], cols)
+    state = change_state(spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (6, "k")], "id int, v string"), first, "seq")
+    for batch in (first, late, late):
+        state = merge_changes(state, batch, ["id"], "seq")
+    got = sorted(tuple(r) for r in current_rows(state, "seq").collect())
+    assert got == [(1, "new"), (3, "b"), (4, "w"), (6, "k")]
+
+
+def test_chains_keep_servers_and_guids_apart(spark):
+    """One name on two servers, and twice on one of them: no backup is counted to another database's full."""
+    import datetime as dt
+
+    from opslake.operators import backups as B
+    rows = []
+    for s, g in (("a", "g1"), ("a", "g2"), ("b", "g1")):
+        for i, t in enumerate("LDLILLDL"):
+            at = dt.datetime(2024, 1, 1, i)
+            rows.append((s, g, "db", i, t, i * 10, at, at + dt.timedelta(seconds=60), (i + 1) << 20))
+    b = spark.createDataFrame(rows, "server_name string, database_guid string, database_name string, backup_set_id long, type string, "
+                                    "first_lsn long, backup_start_date timestamp_ntz, backup_finish_date timestamp_ntz, backup_size long")
+    got = [r.asDict() for r in B.chains(b).orderBy("server_name", "database_guid", "full_id").collect()]
+    assert len(got) == 6
+    for one, two in zip(got[::2], got[1::2], strict=True):
+        assert (one["full_id"], one["next_full_id"], one["log_count"], one["latest_diff_id"], one["logs_to_apply"]) == (1, 6, 3, 3, 2)
+        assert (one["total_mb"], one["total_seconds"], one["worst_log_mb"]) == (2 + 4 + 5 + 6, 240, 6)
+        assert (two["full_id"], two["next_full_id"], two["log_count"], two["latest_diff_id"], two["total_mb"]) == (6, None, 1, None, 15)
+    assert [r["rpo_worst_minutes"] for r in B.rpo_worst(b).collect()] == [60, 60, 60]
+
+
 def test_purge_two_cycles_keep_both_archives(spark, tmp_path):
     src = spark.range(1000).select(F.col("id"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz").alias("action_date"))
     first = P.purge_cycle(src, "2001-08-02 00:00:00", str(tmp_path), limit=60, max_runs=5)

@@ -9,10 +9,8 @@ from conftest import SF_SMALL
 registry.load_all()
 
 # Nested loops allowed only where the build side is small configuration data:
-# - the LIKE-with-wildcard branch joins against the fixed replication-state table;
-# - the findings engine's skip list: Catalyst pushes the anti join into each rule's union branch, where
-#   check_id is a literal, so that comparison has no join key; the build side is the skip list.
-NESTED_LOOP_OK = {"state_pattern_join", "replica_lag_status", "replica_lag_alert", "findings_engine"}
+# the LIKE-with-wildcard branch joins against the fixed replication-state table.
+NESTED_LOOP_OK = {"state_pattern_join", "replica_lag_status", "replica_lag_alert"}
 
 
 def test_no_cartesian_products(spark):
@@ -30,3 +28,10 @@ def test_no_cartesian_products(spark):
         assert not bad, bad
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_scans_of_chain_totals(spark):
+    """Two look-backs of two scans each, however many columns a chain has."""
+    for name in ("chain_totals", "rto_worst"):
+        plan = registry.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= 4, (name, plan.count("Relation ["))
