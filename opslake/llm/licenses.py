@@ -1,8 +1,11 @@
 """License scan: MinHash bands over overlapping text windows, exact shingle containment.
 
+A template of fewer than ``ngram`` words is looked for by shingles of all its words,
+the others by shingles of ``ngram`` words; each shingle length has its own bands.
 Templates are grouped by their number of word shingles.  For a group of at most
 ``L`` shingles a document's shingle stream is cut into blocks of ``L``; two
-neighbouring blocks are a window, so every run of L shingles lies inside a window.
+neighbouring blocks are a window, so every run of L shingles lies inside a window
+(for ``L`` = 1 the block itself, which one band finds for certain).
 A window that holds the wanted share ``c`` of a template of n shingles has Jaccard
 similarity of at least ``c n / (2 L + (1 - c) n)`` with it; the number of one-row
 bands is the least one whose collision probability at that similarity is
@@ -39,6 +42,12 @@ LICENSE_TEMPLATES = [
             "following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC0-1.0", "CC0 1.0"),
 ]
 
 
@@ -50,53 +59,68 @@ def bands(n: int, block: int, containment: float, probability: float) -> int:
 
 class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]], ngram: int, containment: float, probability: float, seed: int = 5):
-        self.names, self.ngram, self.containment = [x for x, _ in templates], ngram, containment
-        at, h = self._shingles(pa.array([x for _, x in templates], pa.string()))[:2]
-        self.sets = [np.unique(h[at[i]:at[i + 1]]) for i in range(len(templates))]
+        self.names, self.containment = [x for x, _ in templates], containment
+        words = self._words(pa.array([x for _, x in templates], pa.string()))
+        size = np.minimum(np.diff(T.by_doc(words[0], len(templates))), ngram)
+        self.sets = [np.empty(0, np.uint64)] * len(templates)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for k in sorted({int(x) for x in size if x}):
+            at, h = self._shingles(words, k)[:2]
+            for i in np.flatnonzero(size == k):
+                self.sets[i] = s = np.unique(h[at[i]:at[i + 1]])
+                # group sizes grow by a half
+                block = math.ceil(1.5 ** math.ceil(math.log(len(s), 1.5) - 1e-9) - 1e-9)
+                groups.setdefault((k, block), []).append(int(i))
         self.need = [math.ceil(containment * len(s) - 1e-9) for s in self.sets]
-        groups: dict[int, list[int]] = {}
-        for i, s in enumerate(self.sets):
-            if len(s):  # group sizes grow by a half
-                groups.setdefault(math.ceil(1.5 ** math.ceil(math.log(len(s), 1.5) - 1e-9) - 1e-9), []).append(i)
         r = np.random.default_rng(seed)
-        self.groups = []
-        for block, rows in sorted(groups.items()):
-            b = bands(min(len(self.sets[i]) for i in rows), block, containment, probability)
+        self.groups: dict[int, list[tuple]] = {}
+        for (k, block), rows in sorted(groups.items()):
+            b = bands(min(len(self.sets[i]) for i in rows), block, containment, probability) if block > 1 else 1
             mul = r.integers(0, 1 << 63, b, np.uint64) * np.uint64(2) + np.uint64(1)
             mins = np.array([[(self.sets[i] * m).min() for m in mul] for i in rows])
-            self.groups.append((block, rows, mul, mins))
+            self.groups.setdefault(k, []).append((block, rows, mul, mins))
 
-    def _shingles(self, text: pa.Array):
+    def _words(self, text: pa.Array):
         raw, off = T.flat(pc.utf8_lower(pc.fill_null(text.cast(pa.large_string()), "")))
-        doc, s, e, h = T.words(raw, off, T.ALNUM_WORDS, lower=False)
-        at, sh = T.shingles(doc, h, self.ngram)
-        return T.by_doc(doc[at], len(off) - 1), sh, at, doc, s, e, off
+        return *T.words(raw, off, T.ALNUM_WORDS, lower=False), off
+
+    def _shingles(self, words: tuple, k: int):
+        doc, _, _, h, off = words
+        at, sh = T.shingles(doc, h, k)
+        return T.by_doc(doc[at], len(off) - 1), sh, at
 
     def matches(self, text: pa.Array):
         """(document, template, containment, start byte, end byte in the lower-cased text) of verified windows."""
-        cut, sh, at, doc, s, e, off = self._shingles(text)
-        if not len(sh):
-            return
-        for block, rows, mul, mins in self.groups:
+        words = self._words(text)
+        if len(words[0]):
+            for k, groups in self.groups.items():
+                yield from self._matches(words, k, groups)
+
+    def _matches(self, words: tuple, k: int, groups: list[tuple]):
+        doc, s, e, _, off = words
+        cut, sh, at = self._shingles(words, k)
+        for block, rows, mul, mins in groups:
             n = -(-len(sh) // block)
             padded = np.full(n * block, np.iinfo(np.uint64).max, np.uint64)
             found = set()
             for b, m in enumerate(mul):
                 padded[:len(sh)] = sh * m
-                low = padded.reshape(n, block).min(1) if block > 1 else padded.copy()
-                low[:-1] = np.minimum(low[:-1], low[1:])
+                low = padded
+                if block > 1:
+                    low = padded.reshape(n, block).min(1)
+                    low[:-1] = np.minimum(low[:-1], low[1:])
                 for t in range(len(rows)):
                     found.update((int(x), rows[t]) for x in np.flatnonzero(low == mins[t, b]))
             best: dict[tuple[int, int], tuple] = {}
             for x, t in found:
-                lo, hi = x * block, min((x + 2) * block, len(sh))
+                lo, hi = x * block, min((x + min(block, 2)) * block, len(sh))
                 for d in range(doc[at[lo]], doc[at[hi - 1]] + 1):
                     a, z = max(lo, cut[d]), min(hi, cut[d + 1])
                     hit = a + np.flatnonzero(np.isin(sh[a:z], self.sets[t]))
                     shared = len(np.unique(sh[hit]))
                     if shared < self.need[t]:
                         continue
-                    last = min(at[hit[-1]] + self.ngram, np.searchsorted(doc, d, "right")) - 1
+                    last = min(at[hit[-1]] + k, np.searchsorted(doc, d, "right")) - 1
                     got = (shared / len(self.sets[t]), -int(s[at[hit[0]]] - off[d]), -int(e[last] - off[d]))
                     best[d, t] = max(best.get((d, t), got), got)
             for (d, t), (c, start, end) in best.items():
@@ -109,9 +133,9 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] | None = N
 
     One row per document and template with the best (then first) window; start
     and end are byte positions in the lower-cased text.  Words are runs of
-    letters, digits and non-ASCII characters, lower case; a text or template of
-    fewer than ``ngram`` words is one shingle and matches only a text of the same
-    words.  Null and empty texts have no match, repeated rows give repeated
+    letters, digits and non-ASCII characters, lower case; a template of fewer than
+    ``ngram`` words is one shingle of all its words and is found in any text that
+    holds them in sequence.  Null and empty texts have no match, repeated rows give repeated
     matches, extra columns are ignored.  ``templates`` is a fixed short list.
     """
     index = TemplateIndex(templates or LICENSE_TEMPLATES, ngram, containment, probability)

@@ -291,6 +291,20 @@ def test_licenses(spark, docs, none):
     assert licenses.bands(1, 1, 0.8, 0.999) >= 1
 
 
+def test_short_licenses(spark):
+    r = random.Random(11)
+    body = prose(r, 400)
+    rows = [(0, body + "\nAll rights reserved."), (1, "All rights"), (2, "ALL RIGHTS RESERVED"), (3, body),
+            (4, "All rights are reserved. " + body), (5, body + " all"), (6, "rights reserved " + body), (7, None),
+            (8, f"SPDX-License-Identifier: MIT\n{body} All rights reserved. {body}"), (9, body + " CC0 1.0")]
+    got = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["license"]) for x in got) == [
+        (0, "All-Rights-Reserved"), (2, "All-Rights-Reserved"), (8, "All-Rights-Reserved"), (8, "MIT"), (9, "CC0-1.0")]
+    spans = {(x["doc_id"], x["license"]): dict(rows)[x["doc_id"]][x["start"]:x["end"]] for x in got}
+    assert spans[0, "All-Rights-Reserved"] == spans[8, "All-Rights-Reserved"] == "All rights reserved"
+    assert spans[8, "MIT"] == "SPDX-License-Identifier: MIT" and spans[9, "CC0-1.0"] == "CC0 1.0"
+
+
 def test_chat(spark):
     say = "</s>[INST] ok [/INST] \\ <|turn|> <\\| [\\INST] <"
     rows = [(1, 0, "system", "Be brief."), (1, 1, "user", say), (1, 2, "assistant", say), (1, 2, "assistant", "tie é"), (2, 0, "user", None),
