@@ -338,6 +338,16 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
 
     Sets are compared by 64-bit shingle hashes.
     """
+    sig, labelled = _labelled(docs, ngram, similarity, bucket_rows)
+    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = labelled.join(least, "label").select("cid", "component_id")
+    return (sig.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
+            .select("doc_id", "n_shingles", F.col("cid").alias("set_id"),
+                    F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n_shingles, cid) and sets (cid, first_id: smallest doc_id, label: set that names the component)."""
     t = Fraction(str(similarity))
     num, den = t.numerator, t.denominator
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -405,20 +415,33 @@ def jaccard_components(docs: DataFrame, ngram: int = 5, similarity: float = 0.8,
     hook = comp.select(F.col("id").alias("a"), F.col("label").alias("b"))
     final = connected_components(hook.unionByName(more)).withColumnRenamed("id", "cid")
 
-    labelled = reps.select("cid", "first_id").join(final, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(least, "label").select("cid", "component_id")
-    return (sig.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
-            .select("doc_id", "n_shingles", F.col("cid").alias("set_id"),
-                    F.coalesce("component_id", "doc_id").alias("component_id")))
+    return sig, reps.select("cid", "first_id").join(final, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
 def one_per_group(docs: DataFrame, ngram: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, all columns unchanged.
+    """One row of ``docs`` of each component, that of the smallest (doc_id, text hash), all columns unchanged.
 
-    Rows without shingles and rows with a null doc_id stay; rows that repeat a
-    doc_id are one document and stay or go together.
+    Rows are decided by doc_id and text, so a doc_id with several texts loses
+    only those that are copies; a row repeated in full stays once.  Rows without
+    shingles stay.  A row with a null doc_id does not count as a copy of one with
+    an id: of those in a component one stays, beside the one with the smallest id.
     """
-    comp = jaccard_components(docs, ngram, similarity)
-    gone = materialize(comp.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    sig, labelled = _labelled(docs, ngram, similarity, 2048)
+    rows = sig.where("cid is not null").groupBy("cid", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    row = F.struct("doc_id", "text_hash", "copies")
+    kept = (rows.join(labelled.select("cid", "label"), "cid").groupBy("label")
+            .agg(F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("id"), F.min(F.when(F.col("doc_id").isNull(), row)).alias("no_id"))
+            .select(F.explode(F.array("id", "no_id")).alias("row")).where("row is not null").select("row.*"))
+    kept = materialize(kept, "jaccard-kept")
+
+    def matching(left, right, how):
+        right = right.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        return left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), how)
+    gone = rows.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")),
+                     F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
+    out = matching(docs, materialize(gone.select("doc_id", "text_hash"), "jaccard-gone"), "left_anti")
+    twice = kept.where("copies > 1")
+    if not twice.isEmpty():
+        once = matching(out, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = matching(out, twice, "left_anti").unionByName(once)
+    return out

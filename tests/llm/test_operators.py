@@ -106,6 +106,22 @@ def test_jaccard_edges(none, docs):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_one_per_group_by_row(spark):
+    r = random.Random(4)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    rows = [(1, a), (2, edited(r, a, 1)), (2, b), (3, c), (3, edited(r, c, 1)), (3, c), (4, c), (5, None), (5, None),
+            (None, d), (None, edited(r, d, 1)), (None, d), (None, c), (None, c), (None, None), (6, ""), (6, "")]
+    df = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = jaccard_join.one_per_group(df)
+    assert kept.columns == df.columns
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    assert [t for i, t in got if i == 1] == [a] and [t for i, t in got if i == 2] == [b]
+    assert [t in (c, rows[4][1]) for i, t in got if i == 3] == [True] and not [1 for i, _ in got if i == 4]
+    assert got.count((5, None)) == 2 and got.count((6, "")) == 2
+    assert sorted(t in (d, rows[10][1]) for i, t in got if i is None and t) == [False, True] and got.count((None, c)) == 1
+    assert got.count((None, None)) == 1 and len(got) == 10
+
+
 def test_cells_never_miss_a_pair():
     r = np.random.default_rng(1)
     for t in ("0.9", "0.8", "0.5"):
