@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.llm import textops as T
@@ -88,12 +88,33 @@ def _sgd(x: np.ndarray, y: np.ndarray, use: np.ndarray, n_lang: int, dim: int, e
     return emb, w, b
 
 
+def _sample(rows: DataFrame, n: dict[str, int], size: int) -> DataFrame:
+    """The ``size`` rows of the smallest ``h`` of every language (all, if it has fewer); rows of equal ``h`` count once.
+
+    Only hashes are ranked.  Those that are surely too large for the ``n`` rows
+    of a language are left out first; if too few are left, all are ranked.
+    """
+    def least(part):
+        by = Window.partitionBy("lang").orderBy("h")
+        rank = part.select("lang", "h").distinct().select("*", F.row_number().over(by).alias("rank")).where(F.col("rank") <= size)
+        return {r["lang"]: (r["n"], r["h"]) for r in rank.groupBy("lang").agg(F.count("*").alias("n"), F.max("h").alias("h")).collect()}
+
+    def upto(limit):
+        return rows.where(F.col("h") <= F.element_at(F.create_map(*[F.lit(v) for k in sorted(limit) for v in (k, limit[k])]), F.col("lang")))
+    limit = {k: -(1 << 63) + min((1 << 64) - 1, ((2 * size + 64) << 64) // v) for k, v in n.items()}
+    got = least(upto(limit))
+    if any(got.get(k, (0,))[0] < min(size, v) for k, v in n.items()):
+        got = least(rows)
+    return upto({k: h for k, (_, h) in got.items()}).dropDuplicates(["lang", "h"])
+
+
 def fit(labelled: DataFrame, rows_per_lang: int = 500, reject_rate: float = 0.001, dim: int = 16, epochs: int = 20,
         seed: int = 7) -> Model:
     """Train on ``labelled`` (doc_id, text, lang).
 
-    About ``rows_per_lang`` rows of each language at most are used, picked by a hash
-    of doc_id; a quarter of them is kept for calibration.  Rows without
+    ``rows_per_lang`` rows of each language (all, if it has fewer) are used, those
+    of the smallest hash of doc_id and text, repeated rows once; a quarter of them
+    is kept for calibration.  Rows without
     language or without text are not used; without any row the model knows no
     language.
     """
@@ -101,18 +122,18 @@ def fit(labelled: DataFrame, rows_per_lang: int = 500, reject_rate: float = 0.00
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Model()
-    share = F.create_map(*[F.lit(v) for k in sorted(n) for v in (k, int(1_000_000 * min(1.0, rows_per_lang / n[k])))])
-    pick = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")))
+    pick = _sample(rows.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")), n, rows_per_lang)
 
     def features(batches):
         for b in T.slices(batches):
             x = subword_counts(b.column("text"))
             at = [np.flatnonzero(v) for v in x]
-            yield pa.record_batch([b.column("doc_id"), b.column("lang"), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
+            yield pa.record_batch([b.column("doc_id"), b.column("lang"), b.column("h"), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
                                    pa.array([v[a] for v, a in zip(x, at, strict=True)], pa.list_(pa.float32()))],
-                                  ["doc_id", "lang", "at", "share"])
-    got = (pick.select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at array<int>, share array<float>")
-           .toPandas().sort_values(["doc_id", "lang"], kind="stable", ignore_index=True))
+                                  ["doc_id", "lang", "h", "at", "share"])
+    schema = "doc_id long, lang string, h long, at array<int>, share array<float>"
+    got = (pick.select("doc_id", "lang", "h", "text").mapInArrow(features, schema)
+           .toPandas().sort_values(["doc_id", "lang", "h"], kind="stable", ignore_index=True))
     langs = sorted(set(got["lang"]))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, (a, s) in enumerate(zip(got["at"], got["share"], strict=True)):

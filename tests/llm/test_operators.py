@@ -165,6 +165,20 @@ def test_lang_id(spark, docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id in (0, 1, 2)").count() == 0
 
 
+def test_lang_id_sample(spark):
+    # one doc_id (or null) holds most rows of a language; a language of 600 million rows has a share of 0 in a million
+    rows = [(7, f"one {i}", "en") for i in range(300)] + [(None, f"deux {i}", "fr") for i in range(300)] + [(9, "drei", "de")] * 50
+    rows += [(i, f"uno {i}", "es") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    df = df.select("*", F.xxhash64("doc_id", "text", F.lit(7)).alias("h"))
+    n = {"en": 300, "fr": 300, "de": 50, "es": 20}
+    want = {k: sorted({r["h"] for r in df.collect() if r["lang"] == k})[:40] for k in n}
+    for counts in (n, dict.fromkeys(n, 600_000_000)):
+        got = lang_id._sample(df, counts, 40).collect()
+        assert {k: sorted(r["h"] for r in got if r["lang"] == k) for k in n} == want
+    assert lang_id.fit(df, rows_per_lang=40).langs == ["de", "en", "es", "fr"]
+
+
 def test_quality(spark, docs, none):
     r = random.Random(6)
     rows = []
