@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslake.llm import (chat, decontaminate, jaccard_join, lang_id, licenses, order_minhash, packing, quality, sharding,
-                         toxicity)
+                         toxicity, whitening)
 from opslake.sources.tables import table
 
 #: vocabulary file of the packing query; a parameter, never copied into the repository
@@ -78,6 +78,11 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, components=4, scale=256), scale=256)
+
+
 QUERIES = {f.__name__: f for f in (op1_lang_id, op2_jaccard_join, op3_quality, op4_sharding, op5_packing, op6_decontaminate,
-                                   op7_licenses, op8_chat_format, op9_toxicity, op10_order_minhash)}
+                                   op7_licenses, op8_chat_format, op9_toxicity, op10_order_minhash, op11_whitening)}
 ORACLES: dict[str, str] = {}
