@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opslake.llm import (chat, decontaminate, jaccard_join, lang_id, licenses, order_minhash, packing, quality, sharding,
-                         toxicity, whitening)
+                         topk, toxicity, whitening)
 from opslake.sources.tables import table
 
 #: vocabulary file of the packing query; a parameter, never copied into the repository
@@ -83,6 +83,20 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors, components=4, scale=256), scale=256)
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 QUERIES = {f.__name__: f for f in (op1_lang_id, op2_jaccard_join, op3_quality, op4_sharding, op5_packing, op6_decontaminate,
-                                   op7_licenses, op8_chat_format, op9_toxicity, op10_order_minhash, op11_whitening)}
-ORACLES: dict[str, str] = {}
+                                   op7_licenses, op8_chat_format, op9_toxicity, op10_order_minhash, op11_whitening, op12_topk)}
+ORACLES: dict[str, str] = {
+    "op12_topk": """
+        with v as (select vec_id, list_transform(embedding, e -> floor(64 * e::double)::bigint) as x
+                   from embeddings where embedding is not null
+                   and len(list_filter(embedding, e -> e is null or not isfinite(e))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id,
+                     list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2]))::bigint as score
+              from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+        r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 20""",
+}

@@ -19,15 +19,15 @@ BOUND = 1 << 62
 _WIDTHS = (1, 2, 4, 8)
 
 
-def usable(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -> tuple[DataFrame, int]:
-    """(rows that take part as (vec_id, v array of double), their dimension); dimension 0 without any."""
+def usable(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -> tuple[DataFrame, int, int]:
+    """(rows that take part as (vec_id, v array of double), their dimension, their number); 0 without any."""
     v = F.col(vector).cast("array<double>")
     # NaN counts as larger than infinity, so one comparison finds both
     ok = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < F.lit(float("inf")))))
     top = (ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect())
     dim = top[0]["d"] if top else 0
-    return ok.where(F.size("v") == dim), dim
+    return ok.where(F.size("v") == dim), dim, top[0]["count"] if dim else 0
 
 
 def floored(col: pa.Array, dim: int, scale: int) -> np.ndarray:

@@ -219,7 +219,7 @@ def _size_and_sums(rows: DataFrame, dim: int) -> tuple[int, list[int]]:
 
 def fit(df: DataFrame, components: int = 4, scale: int = 256, vector: str = "embedding", id_col: str = "vec_id") -> Whitening:
     """Whitening fitted on every distinct integer vector of ``df`` (see ``vectors.usable`` for the rows that take part)."""
-    rows, dim = vectors.usable(df, vector, id_col)
+    rows, dim, _ = vectors.usable(df, vector, id_col)
     if not dim:
         return Whitening(0, 0, [], np.empty(0), np.empty((0, 0)), 0.0)
     # equal vectors fall together before the shuffle; the list is read three times, so it is written once
