@@ -120,7 +120,7 @@ ORACLES: dict[str, str] = {
         cut as (select lang, ph, k, a, unnest(range(1, k)) as j from kept),
         sc as (select cut.lang, cut.ph, cut.a, x.a as l, y.a as r, j, 2000000 * cut.a // (x.a + y.a) as score
                from cut join f x on x.lang = cut.lang and x.ph = cut.ph[1:j]
-               join f y on y.lang = cut.lang and y.ph = cut.ph[j + 1:k]),
+               join f y on y.lang = cut.lang and y.ph = cut.ph[j + 1:cut.k]),
         low as (select *, row_number() over (partition by lang, ph order by score, j) as o from sc),
         ranked as (select lang, array_to_string(ph, ' ') as phrase, a, l, r, score from low where o = 1),
         top as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked)
