@@ -123,24 +123,6 @@ def retention_keep(df: DataFrame, ts_col: str, as_of: str, days: int, by: str |
             .drop("retention_days"))
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, keys: list[str], order_col: str,
-                  op_col: str = "op") -> DataFrame:
-    """Apply a change stream to a base table (upsert / delete by key).
-
-    The latest change per key wins (``max_by`` on the order column, a
-    partial aggregate before the shuffle); base rows with a change are
-    replaced or removed (``left_anti`` + union).  ``op`` is ``I``, ``U`` or ``D``;
-    ``order_col`` must order the changes of one key strictly (a sequence or LSN).
-    """
-    data_cols = [c for c in base.columns]
-    latest = (changes.groupBy(*keys)
-              .agg(F.max_by(F.struct(*[c for c in changes.columns if c not in keys]), F.col(order_col)).alias("__c"))
-              .select(*keys, "__c.*"))
-    kept = base.join(latest.select(*keys), keys, "left_anti")
-    upserts = latest.filter(F.col(op_col) != "D").select(*data_cols)
-    return kept.unionByName(upserts)
-
-
 def change_state(base: DataFrame, changes: DataFrame, order_col: str, op_col: str = "op") -> DataFrame:
     """``base`` with the columns that ``merge_changes`` keeps: no change applied yet."""
     order = F.lit(None).cast(changes.schema[order_col].dataType)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.semantics import ts_lit
 from opslake.operators import extract as X
 from opslake.plans.oracle_fixtures import ctes
 from opslake.plans.registry import query
 from opslake.session import scratch_path
 from opslake.sources import fixtures as fx
 from opslake.sources import sinks
+from opslake.sources.lake import BucketedTable, Lake, archive_and_clear, purge_days, timed_copy, write_by_day
 from opslake.sources.tables import table
 
 AS_OF = fx.AS_OF_EVENTS
@@ -136,23 +139,48 @@ def full_refresh(spark, d):
     return spark.read.parquet(path)
 
 
-@query("gated_history_append", f"""
-SELECT * FROM (
-  SELECT o_custkey AS cod_cliente, COUNT(*) AS qtd, CAST(max(o_orderpriority) AS VARCHAR) AS contract,
+_CONTRACTS = f"""SELECT o_custkey AS cod_cliente, COUNT(*) AS qtd, CAST(max(o_orderpriority) AS VARCHAR) AS contract,
          TIMESTAMP '{AS_OF}' AS date_insert
-  FROM orders GROUP BY o_custkey)
+  FROM orders GROUP BY o_custkey"""
+
+
+def _archived(spark, d):
+    """Two monthly runs of archive-and-clear over the contract and the account table; the second finds them empty."""
+    contracts = (table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cod_cliente"))
+                 .agg(F.count(F.lit(1)).alias("qtd"), F.max("o_orderpriority").alias("contract")))
+    accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("cod_cliente"), F.col("c_mktsegment").alias("segment"))
+    lake = Lake(spark, scratch_path(spark, "archive-lake"))
+    base = lake.current()
+    lake.commit(base, {"contracts": [lake.write(base, "contracts", contracts)], "accounts": [lake.write(base, "accounts", accounts)]})
+    schemas = {"contracts": contracts.schema, "accounts": accounts.schema}
+    histories = {"contracts_hist": ("contracts", lambda df: sinks.with_load_stamp(df, AS_OF, "date_insert")),
+                 "accounts_hist": ("accounts", lambda df: sinks.with_load_stamp(df, AS_OF, "date_insert"))}
+    for _ in range(2):
+        archive_and_clear(lake, schemas, histories)
+    stamp = {"contracts": "contracts_hist", "accounts": "accounts_hist"}
+    schemas |= {h: sinks.with_load_stamp(spark.createDataFrame([], schemas[t]), AS_OF, "date_insert").schema for t, h in stamp.items()}
+    return lake, schemas
+
+
+@query("gated_history_append", f"""
+SELECT * FROM ({_CONTRACTS})
 WHERE (SELECT COUNT(*) FROM orders) > 0 AND (SELECT COUNT(*) FROM customer) > 0""")
 def gated_history(spark, d):
-    """Append the current contract snapshot to history only if both inputs have rows."""
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    snap = (o.groupBy(F.col("o_custkey").alias("cod_cliente"))
-            .agg(F.count(F.lit(1)).alias("qtd"), F.max("o_orderpriority").alias("contract"))
-            .withColumn("date_insert", ts_lit(AS_OF)))
-    hist = scratch_path(spark, "history")
-    if not o.isEmpty() and not c.isEmpty():
-        sinks.append(snap, hist)
-        return spark.read.parquet(hist)
-    return snap.limit(0)
+    """History of the contracts: appended once, though the job ran twice."""
+    lake, schemas = _archived(spark, d)
+    return lake.read(lake.current(), "contracts_hist", schemas["contracts_hist"])
+
+
+@query("archive_and_clear", f"""
+SELECT 'contracts' AS table_name, 0 AS row_count UNION ALL SELECT 'accounts', 0
+UNION ALL SELECT 'contracts_hist', COUNT(*) FROM ({_CONTRACTS}) UNION ALL SELECT 'accounts_hist', COUNT(*) FROM customer""")
+def archive_and_clear_state(spark, d):
+    """Rows of the four tables afterwards: the sources are cleared by the commit that shows the append."""
+    lake, schemas = _archived(spark, d)
+    now = lake.current()
+    parts = [lake.read(now, t, schema).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+             for t, schema in schemas.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("long_text_split", f"""
@@ -181,11 +209,46 @@ def window_copy(spark, d):
     return X.window_rows(fx.audit_trail(spark, d), "action_date", fx.AS_OF_AUDIT, 6)
 
 
+@query("timed_load", f"""
+WITH {ctes('x10')}
+SELECT 'audit' AS load_name, COUNT(*) AS row_count, MIN(action_date) AS first_row, MAX(action_date) AS last_row, true AS timed FROM x10
+WHERE action_date >= TIMESTAMP '2001-02-02 00:00:00' AND action_date < TIMESTAMP '2001-08-02 00:00:00'""")
+def timed_load(spark, d):
+    """The log of the six-month copy; counts and times are observed by the copy's own job."""
+    rows = X.window_rows(fx.audit_trail(spark, d), "action_date", fx.AS_OF_AUDIT, 6)
+    base = scratch_path(spark, "timed")
+    log = timed_copy(rows, f"{base}/copy", f"{base}/log", "audit", "action_date")
+    return log.select("load_name", "row_count", "first_row", "last_row",
+                      (F.col("end_time") >= F.col("start_time")).alias("timed"))
+
+
+def _purged(spark, d, as_of, days, per_server=None):
+    snaps = fx.wait_snapshots(spark, d)
+    path = scratch_path(spark, "retention")
+    write_by_day(snaps, path, "server_name", "check_date")
+    purge_days(spark, path, "server_name", "check_date", as_of, days, per_server)
+    return spark.read.schema(snaps.withColumn("day", F.to_date("check_date")).schema).parquet(path).select(*snaps.columns)
+
+
 @query("retention_purge", f"""
 WITH {ctes('x1w')}
 SELECT * FROM x1w WHERE check_date >= TIMESTAMP '2024-01-24 00:00:00'""")
 def retention(spark, d):
-    return X.retention_keep(fx.wait_snapshots(spark, d), "check_date", AS_OF, 7)
+    """Old days lose their folders; what is left is read back."""
+    return _purged(spark, d, AS_OF, 7)
+
+
+@query("retention_per_server", f"""
+WITH {ctes('x1w')},
+own AS (SELECT DISTINCT 'srv' || user_id % 5 AS server_name, 4 + 3 * (user_id % 5) AS keep FROM events WHERE user_id % 5 < 3)
+SELECT x1w.* FROM x1w LEFT JOIN own USING (server_name)
+WHERE check_date >= TIMESTAMP '2024-01-30 13:30:00' - to_days(CAST(coalesce(keep, 7) AS INTEGER))""")
+def retention_per_server(spark, d):
+    """A horizon per server, inside a day: that day's folder is rewritten, newer ones are not touched."""
+    k = F.col("user_id") % 5
+    own = (table(spark, d, "events").where(k < 3).select(F.concat(F.lit("srv"), k.cast("string")).alias("server_name"),
+                                                         (4 + 3 * k).alias("retention_days")).distinct())
+    return _purged(spark, d, "2024-01-30 13:30:00", 7, own)
 
 
 @query("snapshot_append", f"""
@@ -211,7 +274,16 @@ def cdc_apply(spark, d):
     changes = (a.filter(F.col("path_name") == "1-URGENT")
                .select("id", F.when(F.col("id") % 5 == 0, "D").otherwise("U").alias("op"),
                        F.col("action_date").alias("changed_at"), "customer_id", F.lit("F").alias("action")))
-    return X.apply_changes(base, changes, ["id"], "changed_at")
+    lake = BucketedTable(Lake(spark, scratch_path(spark, "cdc-lake")), "audit", ["id"], "changed_at", buckets=16)
+    lake.create(base, changes)
+    schema = lake.schema(base, changes)
+    # newer changes first: the older ones of the second batch must not win
+    newer = F.col("changed_at") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    older = changes.where(F.col("id") % 3 == 0).select("id", F.lit("U").alias("op"), F.date_sub("changed_at", 1).cast("timestamp_ntz").alias("changed_at"),
+                                                       "customer_id", F.lit("X").alias("action"))
+    lake.apply(changes.where(newer), schema, 0)
+    lake.apply(changes.where(~newer).unionByName(older), schema, 1)
+    return lake.rows(schema)
 
 
 @query("tenant_lake_load", HOP3_SQL)

@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opslake.plans.oracle_fixtures import ctes
+from opslake.plans.q_snapshots import sql_delta
 from opslake.plans.registry import query
 from opslake.session import scratch_path
 from opslake.sources import fixtures as fx
 from opslake.sources.tables import table
+from opslake.streaming import snapshot_deltas as SD
 from opslake.streaming import streams as ST
 
 DELAY = "1 hour"
@@ -69,22 +71,19 @@ def stream_session(spark, d):
     return ST.run_available_now(ST.session_latest(s, "ts", "user_id", "event_id", "30 minutes", DELAY), "session")
 
 
-@query("stream_deltas", f"""WITH {ctes('x1w')},
-l AS (SELECT server_name, check_date, wait_type, wait_time_ms, waiting_tasks_count,
-             lag(check_date) OVER w AS prev_check_date, lag(wait_time_ms) OVER w AS pw,
-             lag(waiting_tasks_count) OVER w AS pt
-      FROM x1w WINDOW w AS (PARTITION BY server_name, wait_type ORDER BY check_date))
-SELECT server_name, check_date, wait_type, prev_check_date, date_diff('second', prev_check_date, check_date) AS elapsed_seconds,
-       wait_time_ms - pw AS wait_time_ms_delta, waiting_tasks_count - pt AS waiting_tasks_count_delta FROM l
-WHERE prev_check_date IS NOT NULL AND date_diff('minute', prev_check_date, check_date) BETWEEN 1 AND 60
-  AND wait_time_ms >= pw""")
+_SD = f"""WITH {ctes('x1w')},
+dd AS ({sql_delta('x1w', ['wait_type'], ['wait_time_ms', 'waiting_tasks_count'], monotonic=['wait_time_ms'])})
+SELECT server_name, check_date, wait_type, prev_check_date, elapsed_seconds, wait_time_ms_delta, waiting_tasks_count_delta FROM dd
+WHERE check_date <= (SELECT MAX(check_date) FROM x1w) - INTERVAL 2 HOUR"""
+
+
+@query("stream_deltas", _SD)
 def stream_deltas(spark, d):
-    # the snapshot table is derived by a batch job once, then consumed as a stream
+    """The snapshots arrive shuffled over the files; one is compared once the watermark has passed it."""
     path = scratch_path(spark, "wait-snapshots")
-    fx.wait_snapshots(spark, d).write.mode("overwrite").parquet(path)
-    schema = spark.read.parquet(path).schema
-    s = ST.file_stream(spark, f"{path}/*.parquet", schema)
-    return ST.run_available_now(ST.stateful_deltas(s), "deltas")
+    fx.wait_snapshots(spark, d).repartition(4, F.xxhash64("check_date", "wait_type")).write.mode("overwrite").parquet(path)
+    s = ST.file_stream(spark, f"{path}/*.parquet", spark.read.parquet(path).schema)
+    return SD.run(s, "2 hours")[0]
 
 
 @query("stream_cdc_apply", f"""

@@ -1,5 +1,5 @@
 """Structured Streaming forms of the polling jobs: file sources with ``availableNow``,
-watermarked windows, stateful deltas and idempotent change apply.
+watermarked windows and idempotent change apply (stateful deltas: ``snapshot_deltas``).
 
 Event time must be ``TimestampType`` for watermarks; the naive source times
 are cast with the session time zone (UTC), and cast back to naive timestamps
@@ -8,13 +8,10 @@ on output so batch and stream results compare directly.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opslake.session import scratch_path
-from opslake.sources.sinks import last_version
 
 
 def file_stream(spark: SparkSession, path_glob: str, schema, max_files: int | None = None) -> DataFrame:
@@ -114,96 +111,30 @@ def dedupe(stream: DataFrame, ts: str, keys: list[str], delay: str) -> DataFrame
     return s.dropDuplicatesWithinWatermark(keys)
 
 
-# stateful counter deltas -------------------------------------------------------
-DELTA_SCHEMA = ("server_name string, check_date timestamp_ntz, wait_type string, prev_check_date timestamp_ntz, "
-                "elapsed_seconds bigint, wait_time_ms_delta bigint, waiting_tasks_count_delta bigint")
-STATE_SCHEMA = "last_date timestamp_ntz, last_wait bigint, last_tasks bigint"
-
-
-def _delta_fn(min_gap: int, max_gap: int):
-    def fn(key, pdfs, state: GroupState):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("check_date")
-        if state.exists:
-            last_date, last_wait, last_tasks = state.get
-            last_date = pd.Timestamp(last_date)
-        else:
-            last_date = last_wait = last_tasks = None
-        out = []
-        for r in pdf.itertuples(index=False):
-            cur = pd.Timestamp(r.check_date)
-            if last_date is not None and cur > last_date:
-                gap = (cur.floor("min") - last_date.floor("min")).total_seconds() // 60
-                if min_gap <= gap <= max_gap and r.wait_time_ms >= last_wait:
-                    out.append((key[0], cur, key[1], last_date,
-                                int((cur.floor("s") - last_date.floor("s")).total_seconds()),
-                                int(r.wait_time_ms - last_wait), int(r.waiting_tasks_count - last_tasks)))
-            if last_date is None or cur > last_date:
-                last_date, last_wait, last_tasks = cur, int(r.wait_time_ms), int(r.waiting_tasks_count)
-        state.update((last_date.to_pydatetime(), last_wait, last_tasks))
-        cols = ["server_name", "check_date", "wait_type", "prev_check_date", "elapsed_seconds",
-                "wait_time_ms_delta", "waiting_tasks_count_delta"]
-        yield pd.DataFrame(out, columns=cols)
-    return fn
-
-
-def stateful_deltas(stream: DataFrame, min_gap: int = 1, max_gap: int = 60) -> DataFrame:
-    """Wait deltas against the previous snapshot of the same (server, wait type), kept in state.
-
-    The restart guard drops falling counters; the gap guard keeps 1-60 minute
-    gaps.  State holds one row per key, so it stays small however long the
-    stream runs.
-    """
-    return (stream.select("server_name", "check_date", "wait_type", "wait_time_ms", "waiting_tasks_count")
-            .groupBy("server_name", "wait_type")
-            .applyInPandasWithState(_delta_fn(min_gap, max_gap), DELTA_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
 # change apply -----------------------------------------------------------------
 def cdc_foreach_batch(changes: DataFrame, base: DataFrame, keys: list[str], order_col: str, name: str,
-                      path: str | None = None) -> DataFrame:
-    """Apply a change stream batch by batch to versioned Parquet copies of ``base``.
+                      path: str | None = None, buckets: int = 64) -> DataFrame:
+    """Apply a change stream batch by batch to a bucketed lake table that starts as ``base``.
 
-    Batch ``b`` writes version ``b + 1`` from version ``b``; a re-run of a
-    batch whose version already exists (``_SUCCESS``) is skipped, so retries
-    after a failure are idempotent.  A version keeps every key's last change, so
-    a change that arrives in a later batch than a newer one is ignored.
+    A batch rewrites only the buckets its changes touch and commits them
+    together with its number, so a batch that is run again after a failure is
+    skipped if it is in.  The table keeps every key's last change: one that
+    arrives in a later batch than a newer one is ignored.
     """
-    from opslake.operators.extract import change_state, current_rows, merge_changes
+    from opslake.sources.lake import BucketedTable, Lake
     spark = changes.sparkSession
     root = path or scratch_path(spark, f"cdc-{name}")
-    state = change_state(base, changes, order_col)
-    if not _exists(spark, f"{root}/v=000000/_SUCCESS"):
-        state.write.mode("overwrite").parquet(f"{root}/v=000000")
-    schema = state.schema
-
-    def version(n):
-        return f"{root}/v={n:06d}"
-
-    def done(n):
-        return _exists(spark, version(n) + "/_SUCCESS")
+    table = BucketedTable(Lake(spark, f"{root}/lake"), name, keys, order_col, buckets=buckets)
+    table.create(base, changes)
+    schema = table.schema(base, changes)
 
     def apply(batch: DataFrame, batch_id: int):
-        if done(batch_id + 1):
-            return
-        cur = spark.read.schema(schema).parquet(version(batch_id))
-        merge_changes(cur, batch, keys, order_col).write.mode("overwrite").parquet(version(batch_id + 1))
+        table.apply(batch, schema, batch_id)
 
     q = (changes.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     _finish(q)
-    return current_rows(spark.read.schema(schema).parquet(version(last_version(spark, root))), order_col)
-
-
-def _fs(spark, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _exists(spark, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
+    return table.rows(schema)
 
 
 # late rows --------------------------------------------------------------------

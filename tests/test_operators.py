@@ -85,15 +85,6 @@ def test_retention_per_server(spark):
     assert got == {"a": 3, "b": 7}
 
 
-def test_apply_changes(spark):
-    from opslake.operators.extract import apply_changes
-    base = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, v string")
-    ch = spark.createDataFrame([(1, "U", 1, "x1"), (1, "U", 2, "x2"), (2, "D", 1, None), (4, "I", 1, "w")],
-                               "id int, op string, seq int, v string")
-    got = sorted(tuple(r) for r in apply_changes(base, ch, ["id"], "seq").collect())
-    assert got == [(1, "x2"), (3, "z"), (4, "w")]
-
-
 def test_merge_changes_ignores_late_changes_of_later_batches(spark):
     from opslake.operators.extract import change_state, current_rows, merge_changes
     cols = "id int, op string, seq int, v string"

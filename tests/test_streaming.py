@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from opslake.operators import snapshots as T
 from opslake.sources import fixtures as fx
 from opslake.streaming import streams as ST
 
@@ -20,23 +19,6 @@ def test_stream_collector_equals_batch(spark):
     assert _rows(got) == _rows(collector(fx.processlist(spark, SF_SMALL)))
 
 
-def test_stateful_deltas_equal_batch_lag(spark, tmp_path):
-    path = str(tmp_path / "snap")
-    fx.wait_snapshots(spark, SF_SMALL).write.parquet(path)
-    s = ST.file_stream(spark, f"{path}/*.parquet", spark.read.parquet(path).schema)
-    got = ST.run_available_now(ST.stateful_deltas(s), "t-deltas")
-    # batch form: previous snapshot of the same metric, same guards
-    from pyspark.sql import Window
-    from opslake.functions.semantics import datediff
-    b = spark.read.parquet(path)
-    w = Window.partitionBy("server_name", "wait_type").orderBy("check_date")
-    b = (b.withColumn("p", F.lag("check_date").over(w)).withColumn("pw", F.lag("wait_time_ms").over(w))
-         .filter(F.col("p").isNotNull() & datediff("minute", F.col("p"), F.col("check_date")).between(1, 60)
-                 & (F.col("wait_time_ms") >= F.col("pw"))))
-    assert got.count() == b.count() > 0
-    assert got.agg(F.sum("wait_time_ms_delta")).first()[0] == b.agg(F.sum(F.col("wait_time_ms") - F.col("pw"))).first()[0]
-
-
 def test_tumbling_windows_close_with_watermark(spark):
     s = fx.findings_from(ST.table_stream(spark, SF_SMALL, "events"))
     got = ST.run_available_now(ST.tumbling_counts(s, "check_date", ["priority"], "1 day", "1 hour"), "t-tumble")
