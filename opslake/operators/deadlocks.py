@@ -36,8 +36,9 @@ _RES = ("struct<_dbid: bigint, _objectname: string, _indexname: string, _mode: s
         "`waiter-list`: struct<waiter: array<struct<_id: string, _mode: string, _requestType: string>>>>")
 _SECTIONS = {
     "victims": "`victim-list`: struct<victimProcess: array<struct<_id: string>>>",
-    "processes": ("`process-list`: struct<process: array<struct<_id: string, _spid: bigint, _currentdbname: string, "
-                  "_isolationlevel: string, _status: string, _clientapp: string, _hostname: string, _loginname: string, "
+    "processes": ("`process-list`: struct<process: array<struct<_id: string, _spid: bigint, _currentdb: bigint, _currentdbname: string, "
+                  "_priority: bigint, _logused: bigint, _waitresource: string, _lasttranstarted: string, "
+                  "_lastbatchstarted: string, _lastbatchcompleted: string, _isolationlevel: string, _status: string, _clientapp: string, _hostname: string, _loginname: string, "
                   "_waittime: bigint, _lockMode: string, _trancount: bigint, _transactionname: string, "
                   "_clientoption1: bigint, _clientoption2: bigint, "
                   "executionStack: struct<frame: array<struct<_procname: string, _sqlhandle: string>>>>>>"),
@@ -57,14 +58,18 @@ SCHEMA = schema_for()
 def parse(df: DataFrame, xml_col: str = "deadlock_graph", sections=ALL_SECTIONS) -> DataFrame:
     """Parse each deadlock graph once, keeping only the ``sections`` a query reads.
 
-    Keeps ``event_id``/``event_date`` and the parsed struct ``d``.
+    Keeps ``event_id``, ``event_name``, ``event_date`` and the parsed struct ``d``.
     """
-    return df.select("event_id", "event_date", F.from_xml(F.col(xml_col), schema_for(sections)).alias("d"))
+    return df.select("event_id", "event_name", "event_date", F.from_xml(F.col(xml_col), schema_for(sections)).alias("d"))
 
 
-def event_filter(parsed: DataFrame, start: str, end: str, database: str | None = None) -> DataFrame:
-    """Events in ``[start, end)``, optionally only those with a process in ``database``."""
-    p = (F.col("event_date") >= F.lit(start).cast("timestamp_ntz")) & (F.col("event_date") < F.lit(end).cast("timestamp_ntz"))
+# Event names that carry a deadlock graph.
+GRAPH_EVENTS = ("xml_deadlock_report", "database_xml_deadlock_report", "xml_deadlock_report_filtered")
+
+
+def event_filter(parsed: DataFrame, start: str, end: str, database: str | None = None, names=GRAPH_EVENTS) -> DataFrame:
+    """Events of the given names in ``[start, end)``, optionally only those with a process in ``database``."""
+    p = F.col("event_name").isin(*names) & (F.col("event_date") >= F.lit(start).cast("timestamp_ntz")) & (F.col("event_date") < F.lit(end).cast("timestamp_ntz"))
     if database is not None:
         p = p & F.exists(F.col("d.`process-list`.process"), lambda x: x["_currentdbname"] == database)
     return parsed.filter(p).select("event_id", "event_date",
@@ -76,10 +81,12 @@ def processes(parsed: DataFrame) -> DataFrame:
     x = parsed.select("event_id", "event_date",
                       F.transform(F.col("d.`victim-list`.victimProcess"), lambda v: v["_id"]).alias("victims"),
                       F.explode("d.`process-list`.process").alias("p"))
-    names = ["spid", "currentdbname", "isolationlevel", "status", "clientapp", "hostname", "loginname",
-             "waittime", "trancount", "transactionname", "clientoption1", "clientoption2"]
+    names = ["spid", "currentdb", "currentdbname", "priority", "logused", "waitresource", "isolationlevel", "status", "clientapp",
+             "hostname", "loginname", "waittime", "trancount", "transactionname", "clientoption1", "clientoption2"]
     return x.select("event_id", "event_date", F.col("p._id").alias("process_id"),
-                    *[F.col(f"p._{n}").alias(n) for n in names], F.col("p._lockMode").alias("lockmode"),
+                    *[F.col(f"p._{n}").alias(n) for n in names],
+                    *[F.col(f"p._{n}").cast("timestamp_ntz").alias(n) for n in ("lasttranstarted", "lastbatchstarted", "lastbatchcompleted")],
+                    F.col("p._lockMode").alias("lockmode"),
                     F.array_contains("victims", F.col("p._id")).alias("is_victim"),
                     F.col("p.executionStack.frame").alias("frames"))
 
@@ -92,6 +99,17 @@ def frames(parsed: DataFrame) -> DataFrame:
                     F.col("f._sqlhandle").alias("sqlhandle")).distinct())
 
 
+def _tagged_resources() -> Column:
+    """All lock resources of a parsed document as one array of (kind, resource)."""
+    empty = F.array().cast(f"array<{_RES}>")
+
+    def tag(kind):      # one-argument lambda: transform() reads a second argument as the index
+        return lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("r"))
+
+    return F.flatten(F.array(*[
+        F.transform(F.coalesce(F.col(f"d.`resource-list`.{k}"), empty), tag(k)) for k in LOCK_KINDS]))
+
+
 def owner_waiter(parsed: DataFrame) -> DataFrame:
     """Lock resources of all six kinds with their owner and waiter (one row per owner-waiter pair
     of a resource; a resource lists only the few processes of its deadlock).
@@ -99,14 +117,7 @@ def owner_waiter(parsed: DataFrame) -> DataFrame:
     The six per-kind arrays are merged into one tagged array, so each parsed
     document is exploded once (no union of six passes over the input).
     """
-    empty = F.array().cast(f"array<{_RES}>")
-
-    def tag(kind):      # one-argument lambda: transform() reads a second argument as the index
-        return lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("r"))
-
-    tagged = F.flatten(F.array(*[
-        F.transform(F.coalesce(F.col(f"d.`resource-list`.{k}"), empty), tag(k)) for k in LOCK_KINDS]))
-    r = parsed.select("event_id", "event_date", F.explode(tagged).alias("t"))
+    r = parsed.select("event_id", "event_date", F.explode(_tagged_resources()).alias("t"))
     return (r.select("event_id", "event_date", F.col("t.kind").alias("lock_kind"), F.col("t.r._dbid").alias("dbid"),
                      F.col("t.r._objectname").alias("objectname"), F.col("t.r._indexname").alias("indexname"),
                      F.col("t.r._mode").alias("mode"), F.col("t.r._associatedObjectId").alias("associated_object_id"),
@@ -124,29 +135,135 @@ def bit_names(c: Column, table: list[tuple[int, str]]) -> Column:
     return F.array_join(F.filter(parts, lambda x: x.isNotNull()), ", ")
 
 
-def distinct_counts(parts: list[DataFrame], keys: list[str], counted: str = "k", out: str = "events") -> DataFrame:
-    """One ``countDistinct`` aggregation over stacked (keys..., counted) rows from many sources.
+# Findings and dimension counts: every fact of a document is made inside its row, so all checks
+# cost one scan, one explode and one aggregation with partial distinct counts.
+HEAP_KINDS = ("ridlock",)
+#: an agent job's step in the client application's name
+AGENT_STEP = r"^SQLAgent - \w+ JobStep \(Job 0x([0-9A-Fa-f]+) : Step (\d+)\)$"
+
+
+def _many(array: Column, make) -> Column:
+    """``make(x)`` gives a list of columns for each element; null ones are left out."""
+    return F.flatten(F.transform(array, lambda x: F.array_compact(F.array(*make(x)))))
+
+
+def _documents(parsed: DataFrame, key: str, process_facts, frame_facts=None, resource_facts=None) -> DataFrame:
+    """One row (key, fact) for every distinct fact of every document."""
+    procs = F.coalesce(F.col("d.`process-list`.process"), F.array().cast(_process_type()))
+    parts = [_many(procs, process_facts)] if process_facts else []
+    if frame_facts:
+        parts.append(F.flatten(F.transform(procs, lambda p: _many(
+            F.coalesce(p["executionStack"]["frame"], F.array().cast("array<struct<_procname: string, _sqlhandle: string>>")),
+            lambda f: frame_facts(p, f)))))
+    if resource_facts:
+        parts.append(_many(_tagged_resources(), lambda t: resource_facts(t["kind"], t["r"])))
+    return parsed.select(F.col(key).alias("__k"), F.explode(F.array_distinct(F.concat(*parts))).alias("f"))
+
+
+def _process_type() -> str:
+    return _SECTIONS["processes"].split("process: ", 1)[1][:-1]
+
 
-    Each part is already filtered and projected to the same columns; the
-    union is narrow, so all checks share one shuffle instead of one each.
+def _modes(r: Column) -> Column:
+    """Lock, owner and waiter modes of a resource."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(r["_mode"]), *[F.coalesce(F.transform(r[side][item], lambda x: x["_mode"]), none)
+                                           for side, item in (("owner-list", "owner"), ("waiter-list", "waiter"))])
+
+
+def findings(parsed: DataFrame) -> DataFrame:
+    """Deadlock findings: (check_id, finding_group, database_name, object_name, events).
+
+    Counts distinct event dates; check 9 counts distinct processes.  A group
+    without events has no row.
+    """
+    def fact(check, group, db, obj, key=None):
+        key = F.lit(None).cast("string") if key is None else key
+        return F.struct(F.lit(check).alias("check_id"), F.lit(group).alias("finding_group"), db.alias("database_name"),
+                        obj.alias("object_name"), key.alias("own"))
+
+    dash = F.lit("-")
+
+    def of_process(p):
+        db = p["_currentdbname"]
+        agent = p["_clientapp"].rlike(AGENT_STEP)
+        who = [F.coalesce(p[f"_{c}"], F.lit("UNKNOWN")) for c in ("loginname", "clientapp", "hostname")]
+        return [
+            fact(1, "Total Database Deadlocks", db, dash),
+            F.when(p["_isolationlevel"].startswith("serializable"), fact(4, "Serializable Deadlocking", db, dash)),
+            F.when(p["_isolationlevel"].startswith("repeatable"), fact(5, "Repeatable Read Deadlocking", db, dash)),
+            fact(6, "Login, App, and Host deadlocks", db, F.concat_ws(" / ", *who)),
+            F.when(agent, fact(13, "Agent Job Deadlocks", db, F.concat(
+                F.lit("Job: "), F.regexp_extract(p["_clientapp"], AGENT_STEP, 1), F.lit(" Step: "),
+                F.regexp_extract(p["_clientapp"], AGENT_STEP, 2)))),
+            F.when(p["_status"] == "sleeping", fact(15, "Total deadlocks involving sleeping sessions", dash, dash)),
+            F.when(p["_status"] == "background", fact(15, "Total deadlocks involving background processes", dash, dash)),
+            F.when(p["_transactionname"] == "implicit_transaction", fact(16, "Total implicit transaction deadlocks", dash, dash)),
+        ]
+
+    def of_frame(p, f):
+        return [F.when(f["_procname"] != "adhoc", fact(9, "Stored Procedure Deadlocks", p["_currentdbname"], f["_procname"], p["_id"]))]
+
+    def of_resource(kind, r):
+        db = F.split_part(r["_objectname"], F.lit("."), F.lit(1))
+        heap = kind.isin(*HEAP_KINDS)
+        return [
+            F.when(F.exists(_modes(r), lambda m: m.isin("S", "IS")), fact(2, "Total Deadlocks Involving Selects", db, dash)),
+            fact(3, "Total Object Deadlocks", db, F.coalesce(r["_objectname"], F.lit("UNKNOWN"))),
+            F.when(~heap & r["_indexname"].isNotNull(), fact(3, "Total Index Deadlocks", db, r["_indexname"])),
+            F.when(heap, fact(3, "Total Heap Deadlocks", db, r["_indexname"])),
+            F.when(kind == "exchangeEvent", fact(14, "Total parallel deadlocks", dash, dash)),
+        ]
+
+    keys = ["check_id", "finding_group", "database_name", "object_name"]
+    each = _documents(parsed, "event_date", of_process, of_frame, of_resource)
+    return (each.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys])
+            .agg(F.countDistinct(F.coalesce(F.col("f.own"), F.col("__k").cast("string"))).alias("events")))
+
+
+def dimension_counts(parsed: DataFrame) -> DataFrame:
+    """Distinct events by dimension: (dimension, database_name, value, events), with a total per database.
+
+    Each fact carries its database; ``GROUPING SETS`` counts it by value and by
+    database in the same aggregation, where a null value is the total.
     """
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-    return stacked.groupBy(*keys).agg(F.countDistinct(counted).alias(out))
+    def fact(name, db, value):
+        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("dimension"), db.alias("database_name"), value.alias("value")))
 
+    def of_process(p):
+        db = p["_currentdbname"]
+        who = F.concat_ws(" / ", *[F.coalesce(p[f"_{c}"], F.lit("UNKNOWN")) for c in ("loginname", "clientapp", "hostname")])
+        return [fact(c, db, p[f"_{c}"]) for c in ("loginname", "clientapp", "hostname", "isolationlevel")] + [
+            fact("login/app/host", db, who),
+            fact("agent job", db, F.when(p["_clientapp"].rlike(AGENT_STEP), F.regexp_extract(p["_clientapp"], AGENT_STEP, 1)))]
 
-def dims_long(df: DataFrame, dims: list[str], id_col: str = "event_id") -> DataFrame:
-    """(dimension, value, id) rows for several dimension columns in one pass (explode of an array)."""
-    arr = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dims])
-    return (df.select(F.col(id_col).alias("k"), F.explode(arr).alias("d"))
-            .select("d.dimension", "d.value", "k").filter(F.col("value").isNotNull()))
+    def of_resource(kind, r):
+        db = F.split_part(r["_objectname"], F.lit("."), F.lit(1))
+        heap = kind.isin(*HEAP_KINDS)
+        return [fact("object", db, r["_objectname"]), fact("index", db, F.when(~heap, r["_indexname"])),
+                fact("heap", db, F.when(heap, r["_indexname"]))]
 
+    each = _documents(parsed, "event_id", of_process, None, of_resource).select("__k", "f.*")
+    d, db, v = F.col("dimension"), F.col("database_name"), F.col("value")
+    return each.groupingSets([[d, db, v], [d, db]], d, db, v).agg(F.countDistinct("__k").alias("events"))
 
-def count_events_by(df: DataFrame, dim: str, label: str, value_col: str = "value") -> DataFrame:
-    """Distinct deadlock events per value of a dimension (one kernel for every dimension)."""
-    return (df.filter(F.col(dim).isNotNull()).groupBy(F.col(dim).alias(value_col))
-            .agg(F.countDistinct("event_id").alias("events")).withColumn("dimension", F.lit(label)))
+
+def waits(parsed: DataFrame) -> DataFrame:
+    """Total wait by object and by database: (database_name, objectname, wait_ms); a null object is the database's total.
+
+    The waiter's wait time is looked up within its document, so no join is needed.
+    """
+    procs = F.coalesce(F.col("d.`process-list`.process"), F.array().cast(_process_type()))
+    pairs = _tagged_resources()
+    each = (parsed.select(F.map_from_entries(F.transform(procs, lambda p: F.struct(p["_id"], p["_waittime"]))).alias("wait"),
+                          F.explode(pairs).alias("t"))
+            .select("wait", F.col("t.r._objectname").alias("objectname"),
+                    F.greatest(F.size(F.coalesce(F.col("t.r.`owner-list`.owner"), F.array())), F.lit(1)).alias("owners"),
+                    F.explode("t.r.`waiter-list`.waiter").alias("w"))
+            .select("objectname", F.split_part("objectname", F.lit("."), F.lit(1)).alias("database_name"),
+                    (F.try_element_at("wait", F.col("w._id")) * F.col("owners")).alias("ms")))
+    db, o = F.col("database_name"), F.col("objectname")
+    return each.groupingSets([[db, o], [db]], db, o).agg(F.sum("ms").alias("wait_ms"))
 
 
 def with_event_number(procs: DataFrame) -> DataFrame:

@@ -161,7 +161,14 @@ FIX["x6"] = f"""
               ELSE 'read committed (2)' END AS isolationlevel,
          CASE WHEN l_quantity > 45 THEN 'background' WHEN l_linestatus = 'O' THEN 'suspended'
               ELSE 'sleeping' END AS status,
-         'app' || (l_partkey % 3) AS clientapp, 'host' || (l_suppkey % 4) AS hostname,
+         l_partkey % 5 + 5 AS currentdb, CAST(l_linenumber % 4 - 2 AS BIGINT) AS priority, {c('l_extendedprice')} % 9973 AS logused,
+         'KEY: ' || (l_partkey % 5 + 5) || ':' || (l_partkey * 1000 + l_suppkey) AS waitresource,
+         o_orderdate AS lasttranstarted, l_shipdate AS lastbatchstarted,
+         l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS lastbatchcompleted,
+         CASE WHEN l_orderkey % 7 = 0 THEN 'lock_deadlock' WHEN l_orderkey % 3 = 0 THEN 'database_xml_deadlock_report'
+              WHEN l_orderkey % 5 = 0 THEN 'xml_deadlock_report_filtered' ELSE 'xml_deadlock_report' END AS event_name,
+         CASE WHEN l_partkey % 17 = 0 THEN 'SQLAgent - TSQL JobStep (Job 0x' || lpad(CAST(l_partkey % 40 AS VARCHAR), 32, '0')
+              || ' : Step ' || l_linenumber || ')' ELSE 'app' || (l_partkey % 3) END AS clientapp, 'host' || (l_suppkey % 4) AS hostname,
          'login' || (l_suppkey % 6) AS loginname, {c('l_quantity')} AS waittime,
          CASE WHEN l_discount < 0.03 THEN 'S' WHEN l_discount < 0.06 THEN 'U' ELSE 'X' END AS lockmode,
          l_linenumber % 3 AS trancount,

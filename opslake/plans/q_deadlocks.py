@@ -30,12 +30,14 @@ def _parsed(spark, d, sections=X.ALL_SECTIONS):
 @query("xml_event_filter", f"""WITH {ctes('x6')}
 SELECT event_id, event_date, COUNT(*) AS processes FROM x6
 WHERE event_date >= TIMESTAMP '1997-01-01 00:00:00' AND event_date < TIMESTAMP '1998-01-01 00:00:00'
+  AND event_name <> 'lock_deadlock'
 GROUP BY event_id, event_date HAVING bool_or(currentdbname = 'db3')""")
 def event_filter(spark, d):
     return X.event_filter(_parsed(spark, d, ("processes",)), "1997-01-01 00:00:00", "1998-01-01 00:00:00", "db3")
 
 
-_PCOLS = ("event_id, event_date, process_id, spid, currentdbname, isolationlevel, status, clientapp, hostname, "
+_PCOLS = ("event_id, event_date, process_id, spid, currentdb, currentdbname, priority, logused, waitresource, "
+          "lasttranstarted, lastbatchstarted, lastbatchcompleted, isolationlevel, status, clientapp, hostname, "
           "loginname, waittime, CAST(trancount AS BIGINT) AS trancount, transactionname, clientoption1, "
           "clientoption2, lockmode, is_victim")
 
@@ -55,57 +57,38 @@ def xml_owner_waiter(spark, d):
     return X.owner_waiter(_parsed(spark, d, ("resources",)))
 
 
-@query("deadlock_findings", _OW + """,
-sel AS (SELECT DISTINCT event_id, split_part(objectname, '.', 1) AS db FROM ow
-        WHERE owner_mode IN ('S', 'IS') OR waiter_mode IN ('S', 'IS')),
-fr AS (SELECT DISTINCT event_id, process_id, procname FROM x6 WHERE procname <> 'adhoc'),
-f AS (
-  SELECT 1 AS check_id, 'Total database locks' AS finding_group, currentdbname AS finding, COUNT(DISTINCT event_id) AS events
-  FROM x6 GROUP BY currentdbname
-  UNION ALL SELECT 2, 'Total database deadlocks involving selects', db, COUNT(DISTINCT event_id) FROM sel GROUP BY db
-  UNION ALL SELECT 3, 'Total object deadlocks', objectname, COUNT(DISTINCT event_id) FROM ow GROUP BY objectname
-  UNION ALL SELECT 4, 'Serializable deadlocks', currentdbname, COUNT(DISTINCT event_id) FROM x6
-            WHERE isolationlevel LIKE 'serializable%' GROUP BY currentdbname
-  UNION ALL SELECT 5, 'Repeatable read deadlocks', currentdbname, COUNT(DISTINCT event_id) FROM x6
-            WHERE isolationlevel LIKE 'repeatable%' GROUP BY currentdbname
-  UNION ALL SELECT 9, 'Stored procedure deadlocks', procname, COUNT(DISTINCT process_id) FROM fr GROUP BY procname
-  UNION ALL SELECT 13, 'Login deadlocks', loginname, COUNT(DISTINCT event_id) FROM x6 GROUP BY loginname
-  UNION ALL SELECT 14, 'Parallel deadlocks', 'exchangeEvent', COUNT(DISTINCT event_id) FROM ow WHERE lock_kind = 'exchangeEvent'
-  UNION ALL SELECT 15, 'Sleeping deadlocks', 'sleeping', COUNT(DISTINCT event_id) FROM x6 WHERE status = 'sleeping'
-  UNION ALL SELECT 15, 'Background deadlocks', 'background', COUNT(DISTINCT event_id) FROM x6 WHERE status = 'background'
-  UNION ALL SELECT 16, 'Implicit transaction deadlocks', 'implicit_transaction', COUNT(DISTINCT event_id) FROM x6
-            WHERE transactionname = 'implicit_transaction')
-SELECT * FROM f WHERE check_id NOT IN (14, 15, 16) OR events > 0""")
+_WHO = "concat_ws(' / ', loginname, clientapp, hostname)"
+_JOB = "regexp_extract(clientapp, 'Job 0x([0-9]+) : Step ([0-9]+)', {})"
+_OWN_DB = "split_part(objectname, '.', 1)"
+
+
+@query("deadlock_findings", _OW + f""",
+sel AS (SELECT DISTINCT event_date, {_OWN_DB} AS db FROM ow
+        WHERE owner_mode IN ('S', 'IS') OR waiter_mode IN ('S', 'IS') OR mode IN ('S', 'IS')),
+fr AS (SELECT DISTINCT currentdbname, process_id, procname FROM x6 WHERE procname <> 'adhoc')
+SELECT 1 AS check_id, 'Total Database Deadlocks' AS finding_group, currentdbname AS database_name, '-' AS object_name,
+       COUNT(DISTINCT event_date) AS events FROM x6 GROUP BY ALL
+UNION ALL SELECT 2, 'Total Deadlocks Involving Selects', db, '-', COUNT(*) FROM sel GROUP BY ALL
+UNION ALL SELECT 3, 'Total Object Deadlocks', {_OWN_DB}, objectname, COUNT(DISTINCT event_date) FROM ow GROUP BY ALL
+UNION ALL SELECT 3, 'Total Index Deadlocks', {_OWN_DB}, indexname, COUNT(DISTINCT event_date) FROM ow WHERE lock_kind <> 'ridlock' GROUP BY ALL
+UNION ALL SELECT 3, 'Total Heap Deadlocks', {_OWN_DB}, indexname, COUNT(DISTINCT event_date) FROM ow WHERE lock_kind = 'ridlock' GROUP BY ALL
+UNION ALL SELECT 4, 'Serializable Deadlocking', currentdbname, '-', COUNT(DISTINCT event_date) FROM x6
+          WHERE isolationlevel LIKE 'serializable%' GROUP BY ALL
+UNION ALL SELECT 5, 'Repeatable Read Deadlocking', currentdbname, '-', COUNT(DISTINCT event_date) FROM x6
+          WHERE isolationlevel LIKE 'repeatable%' GROUP BY ALL
+UNION ALL SELECT 6, 'Login, App, and Host deadlocks', currentdbname, {_WHO}, COUNT(DISTINCT event_date) FROM x6 GROUP BY ALL
+UNION ALL SELECT 9, 'Stored Procedure Deadlocks', currentdbname, procname, COUNT(DISTINCT process_id) FROM fr GROUP BY ALL
+UNION ALL SELECT 13, 'Agent Job Deadlocks', currentdbname, 'Job: ' || {_JOB.format(1)} || ' Step: ' || {_JOB.format(2)},
+          COUNT(DISTINCT event_date) FROM x6 WHERE clientapp LIKE 'SQLAgent%' GROUP BY ALL
+UNION ALL SELECT 14, 'Total parallel deadlocks', '-', '-', COUNT(DISTINCT event_date) FROM ow WHERE lock_kind = 'exchangeEvent' HAVING COUNT(*) > 0
+UNION ALL SELECT 15, 'Total deadlocks involving sleeping sessions', '-', '-', COUNT(DISTINCT event_date) FROM x6
+          WHERE status = 'sleeping' HAVING COUNT(*) > 0
+UNION ALL SELECT 15, 'Total deadlocks involving background processes', '-', '-', COUNT(DISTINCT event_date) FROM x6
+          WHERE status = 'background' HAVING COUNT(*) > 0
+UNION ALL SELECT 16, 'Total implicit transaction deadlocks', '-', '-', COUNT(DISTINCT event_date) FROM x6
+          WHERE transactionname = 'implicit_transaction' HAVING COUNT(*) > 0""")
 def deadlock_findings(spark, d):
-    parsed = materialize(_parsed(spark, d), "deadlocks")
-    p = X.processes(parsed)
-    ow = X.owner_waiter(parsed)
-    fr = X.frames(parsed).filter(F.col("procname") != "adhoc")
-
-    def part(df, check, group, finding, counted="event_id"):
-        return df.select(F.lit(check).alias("check_id"), F.lit(group).alias("finding_group"),
-                         finding.alias("finding"), F.col(counted).cast("string").alias("k"))
-
-    sel = ow.filter(F.col("owner_mode").isin("S", "IS") | F.col("waiter_mode").isin("S", "IS"))
-    parts = [
-        part(p, 1, "Total database locks", F.col("currentdbname")),
-        part(sel, 2, "Total database deadlocks involving selects", F.split_part("objectname", F.lit("."), F.lit(1))),
-        part(ow, 3, "Total object deadlocks", F.col("objectname")),
-        part(p.filter(F.col("isolationlevel").startswith("serializable")), 4, "Serializable deadlocks",
-             F.col("currentdbname")),
-        part(p.filter(F.col("isolationlevel").startswith("repeatable")), 5, "Repeatable read deadlocks",
-             F.col("currentdbname")),
-        part(fr, 9, "Stored procedure deadlocks", F.col("procname"), "process_id"),
-        part(p, 13, "Login deadlocks", F.col("loginname")),
-        # single-finding checks: a finding with no rows is simply absent (kept only when > 0)
-        part(ow.filter(F.col("lock_kind") == "exchangeEvent"), 14, "Parallel deadlocks", F.lit("exchangeEvent")),
-        part(p.filter(F.col("status") == "sleeping"), 15, "Sleeping deadlocks", F.lit("sleeping")),
-        part(p.filter(F.col("status") == "background"), 15, "Background deadlocks", F.lit("background")),
-        part(p.filter(F.col("transactionname") == "implicit_transaction"), 16, "Implicit transaction deadlocks",
-             F.lit("implicit_transaction")),
-    ]
-    # one shuffle for all checks (the shared distinct-count kernel)
-    return X.distinct_counts(parts, ["check_id", "finding_group", "finding"])
+    return X.findings(_parsed(spark, d, ("processes", "resources")))
 
 
 @query("lock_types_text", _OW + """
@@ -159,36 +142,34 @@ def event_numbering(spark, d):
     return X.event_numbers(X.processes(_parsed(spark, d, ("victims", "processes"))))
 
 
-_DIMS = ["currentdbname", "loginname", "clientapp", "hostname", "isolationlevel"]
+_DIMS = {"loginname": "loginname", "clientapp": "clientapp", "hostname": "hostname", "isolationlevel": "isolationlevel",
+         "login/app/host": _WHO, "agent job": f"CASE WHEN clientapp LIKE 'SQLAgent%' THEN {_JOB.format(1)} END"}
+_LOCK_DIMS = {"object": "objectname", "index": "CASE WHEN lock_kind <> 'ridlock' THEN indexname END",
+              "heap": "CASE WHEN lock_kind = 'ridlock' THEN indexname END"}
 
 
-@query("event_counts_by_dim", _OW + " " + " UNION ALL ".join(
-    [f"SELECT {c} AS value, COUNT(DISTINCT event_id) AS events, '{c}' AS dimension FROM x6 GROUP BY {c}" for c in _DIMS]
-    + [f"SELECT {c} AS value, COUNT(DISTINCT event_id) AS events, '{c}' AS dimension FROM ow GROUP BY {c}"
-       for c in ("objectname", "indexname")]))
+@query("event_counts_by_dim", _OW + ", l AS (" + " UNION ALL ".join(
+    [f"SELECT '{n}' AS dimension, currentdbname AS database_name, {e} AS value, event_id FROM x6" for n, e in _DIMS.items()]
+    + [f"SELECT '{n}', {_OWN_DB}, {e}, event_id FROM ow" for n, e in _LOCK_DIMS.items()]) + """)
+SELECT dimension, database_name, value, COUNT(DISTINCT event_id) AS events FROM l WHERE value IS NOT NULL GROUP BY ALL
+UNION ALL SELECT dimension, database_name, NULL, COUNT(DISTINCT event_id) FROM l WHERE value IS NOT NULL GROUP BY ALL""")
 def event_counts(spark, d):
-    parsed = materialize(_parsed(spark, d), "deadlocks")
-    p, ow = X.processes(parsed), X.owner_waiter(parsed)
-    long = X.dims_long(p, _DIMS).unionByName(X.dims_long(ow, ["objectname", "indexname"]))
-    return X.distinct_counts([long], ["dimension", "value"])
+    return X.dimension_counts(_parsed(spark, d, ("processes", "resources")))
 
 
 _WT = "lpad(CAST({x} AS VARCHAR), {n}, '0')"
 
 
 @query("wait_by_object", _OW + f""",
-t AS (SELECT ow.objectname, CAST(SUM(p.waittime) AS BIGINT) AS wait_ms FROM ow
-      JOIN x6 p ON p.event_id = ow.event_id AND p.process_id = ow.waiter_id GROUP BY ow.objectname)
-SELECT objectname, wait_ms,
+o AS (SELECT split_part(ow.objectname, '.', 1) AS database_name, ow.objectname, CAST(SUM(p.waittime) AS BIGINT) AS wait_ms FROM ow
+      JOIN x6 p ON p.event_id = ow.event_id AND p.process_id = ow.waiter_id GROUP BY ALL),
+t AS (SELECT * FROM o UNION ALL SELECT database_name, NULL, CAST(SUM(wait_ms) AS BIGINT) FROM o GROUP BY ALL)
+SELECT database_name, objectname, wait_ms,
        {_WT.format(x='wait_ms // 86400000', n=2)} || ' ' || {_WT.format(x='(wait_ms // 3600000) % 24', n=2)} || ':' ||
        {_WT.format(x='(wait_ms // 60000) % 60', n=2)} || ':' || {_WT.format(x='(wait_ms // 1000) % 60', n=2)} || ':' ||
        {_WT.format(x='wait_ms % 1000', n=3)} AS wait_text FROM t""")
 def wait_by_object(spark, d):
-    parsed = materialize(_parsed(spark, d), "deadlocks")
-    p, ow = X.processes(parsed), X.owner_waiter(parsed)
-    j = ow.join(p.select("event_id", F.col("process_id").alias("waiter_id"), "waittime"), ["event_id", "waiter_id"])
-    t = j.groupBy("objectname").agg(F.sum("waittime").alias("wait_ms"))
-    return t.withColumn("wait_text", wait_text("wait_ms"))
+    return X.waits(_parsed(spark, d, ("processes", "resources"))).withColumn("wait_text", wait_text("wait_ms"))
 
 
 @query("or_join_split", _OW + """

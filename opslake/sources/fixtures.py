@@ -294,9 +294,18 @@ def deadlock_xml(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("db.dbo.proc"), (F.col("l_partkey") % 20).cast("string")))
     process = F.concat(
         F.lit("<process"), _attr("id", pid), _attr("spid", F.col("l_suppkey")),
+        _attr("currentdb", F.col("l_partkey") % 5 + 5),
         _attr("currentdbname", F.concat(F.lit("db"), (F.col("l_partkey") % 5).cast("string"))),
+        _attr("priority", F.col("l_linenumber") % 4 - 2), _attr("logused", cents("l_extendedprice") % 9973),
+        _attr("waitresource", F.concat(F.lit("KEY: "), (F.col("l_partkey") % 5 + 5).cast("string"), F.lit(":"),
+                                       (F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("string"))),
+        _attr("lasttranstarted", F.col("o_orderdate")), _attr("lastbatchstarted", F.col("l_shipdate")),
+        _attr("lastbatchcompleted", F.timestamp_add("HOUR", F.col("l_linenumber"), F.col("l_shipdate"))),
         _attr("isolationlevel", iso), _attr("status", status),
-        _attr("clientapp", F.concat(F.lit("app"), (F.col("l_partkey") % 3).cast("string"))),
+        _attr("clientapp", F.when(F.col("l_partkey") % 17 == 0, F.concat(
+            F.lit("SQLAgent - TSQL JobStep (Job 0x"), F.lpad((F.col("l_partkey") % 40).cast("string"), 32, "0"),
+            F.lit(" : Step "), F.col("l_linenumber").cast("string"), F.lit(")")))
+            .otherwise(F.concat(F.lit("app"), (F.col("l_partkey") % 3).cast("string")))),
         _attr("hostname", F.concat(F.lit("host"), (F.col("l_suppkey") % 4).cast("string"))),
         _attr("loginname", F.concat(F.lit("login"), (F.col("l_suppkey") % 6).cast("string"))),
         _attr("waittime", cents("l_quantity")), _attr("lockMode", mode),
@@ -334,7 +343,9 @@ def deadlock_xml(spark: SparkSession, d: str) -> DataFrame:
         F.lit("</process-list><resource-list>"),
         F.array_join(F.transform("items", lambda s: s.getField("resource")), ""),
         F.lit("</resource-list></deadlock>"))
-    return g.select(F.col("l_orderkey").alias("event_id"),
+    name = (F.when(F.col("l_orderkey") % 7 == 0, "lock_deadlock").when(F.col("l_orderkey") % 3 == 0, "database_xml_deadlock_report")
+            .when(F.col("l_orderkey") % 5 == 0, "xml_deadlock_report_filtered").otherwise("xml_deadlock_report"))
+    return g.select(F.col("l_orderkey").alias("event_id"), name.alias("event_name"),
                     F.col("o_orderdate").alias("event_date"), doc.alias("deadlock_graph"))
 
 
