@@ -201,6 +201,16 @@ FIX["x7"] = f"""
          MIN({c('l_extendedprice')}) AS min_price, MAX({c('l_extendedprice')}) AS max_price
   FROM lineitem GROUP BY l_partkey"""
 
+FIX["x7h"] = f"""
+  SELECT l_partkey AS query_hash, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS check_date, COUNT(*) AS execution_count,
+         CAST(SUM(CAST(l_quantity AS BIGINT)) * 1000 AS BIGINT) AS total_worker_time,
+         CAST(SUM({c('l_extendedprice')}) AS BIGINT) AS total_logical_reads,
+         CAST(SUM({c('l_tax')}) AS BIGINT) AS total_logical_writes,
+         CAST(SUM(CAST(l_quantity AS BIGINT) * 1000 + l_linenumber * 500) AS BIGINT) AS total_elapsed_time,
+         CAST(MAX(l_linenumber) * 1024 AS BIGINT) AS max_grant_kb,
+         CAST(SUM(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END) AS BIGINT) AS total_spills
+  FROM lineitem GROUP BY ALL"""
+
 FIX["x9g"] = """
   SELECT 'r' || r_regionkey AS "user", '%' AS host, r_regionkey % 2 = 0 AS select_priv,
          r_regionkey % 3 = 0 AS insert_priv, r_regionkey = 4 AS update_priv, r_regionkey = 3 AS delete_priv

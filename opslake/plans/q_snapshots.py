@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opslake.functions.semantics import ts_lit
 from opslake.operators import aggregate as A
+from opslake.operators import ranking as R
 from opslake.operators import snapshots as T
 from opslake.plans.oracle_fixtures import ctes, sql_round_div
 from opslake.plans.registry import query
@@ -287,23 +288,6 @@ def topn_per_snapshot(spark, d):
                            / F.col("waiting_tasks_count_delta").cast("double")).alias("avg_ms_per_event"), "rk")
 
 
-@query("dual_rank", _WD + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY check_date ORDER BY wait_time_ms_delta DESC, server_name, wait_type)
-                AS date_rank,
-              row_number() OVER (ORDER BY wait_time_ms_delta DESC, server_name, check_date, wait_type) AS overall_rank
-      FROM wd WHERE wait_time_ms_delta > 0)
-SELECT server_name, check_date, wait_type, wait_time_ms_delta, date_rank, overall_rank FROM r WHERE overall_rank <= 20""")
-def dual_rank(spark, d):
-    w = _wd(spark, d).filter(F.col("wait_time_ms_delta") > 0)
-    order = [F.col("wait_time_ms_delta").desc(), "server_name", "check_date", "wait_type"]
-    # the rows before one of the global top 20 within its date are among the 20 themselves
-    top = w.orderBy(*order).limit(20)
-    top = T.top_n_per(top, ["check_date"], [F.col("wait_time_ms_delta").desc(), "server_name", "wait_type"], 20, "date_rank")
-    top = top.withColumn("__one", F.lit(1))
-    return T.top_n_per(top, ["__one"], order, 20, "overall_rank").select(
-        "server_name", "check_date", "wait_type", "wait_time_ms_delta", "date_rank", "overall_rank")
-
-
 METRICS = {"cpu": "total_worker_time", "reads": "total_logical_reads", "writes": "total_logical_writes",
            "duration": "total_elapsed_time", "executions": "execution_count", "memory_grant": "max_grant_kb",
            "spills": "total_spills"}
@@ -314,11 +298,15 @@ METRICS = {"cpu": "total_worker_time", "reads": "total_logical_reads", "writes":
         row_number() OVER (ORDER BY {c} DESC, query_hash) AS rk FROM x7) WHERE rk <= 10"""
     for m, c in METRICS.items()))
 def multi_metric(spark, d):
-    x7 = fx.query_stats(spark, d)
-    out = None
-    for m, c in METRICS.items():
-        top = (x7.select(F.lit(m).alias("metric"), "query_hash", F.col(c).cast("bigint").alias("metric_value"))
-               .orderBy(F.col("metric_value").desc(), "query_hash").limit(10).withColumn("__one", F.lit(1)))
-        top = T.top_n_per(top, ["__one"], [F.col("metric_value").desc(), "query_hash"], 10).drop("__one")
-        out = top if out is None else out.unionByName(top)
-    return out
+    return R.top_by_metrics(fx.query_stats(spark, d), {m: F.col(c) for m, c in METRICS.items()}, 10, ["query_hash"], dtype="bigint")
+
+
+@query("dual_rank", f"WITH {ctes('x7h')} " + " UNION ALL ".join(
+    f"""SELECT '{m}' AS metric, check_date, query_hash, {c} AS metric_value, date_rank, overall_rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY check_date ORDER BY {c} DESC, query_hash) AS date_rank,
+               row_number() OVER (ORDER BY {c} DESC, query_hash, check_date) AS overall_rank FROM x7h WHERE {c} > 0)
+        WHERE overall_rank <= 20""" for m, c in METRICS.items()))
+def dual_rank(spark, d):
+    """Overall and within-snapshot rank of the logged queries, for each of the seven metrics."""
+    return R.dual_rank(fx.query_history(spark, d), {m: F.col(c) for m, c in METRICS.items()}, 20, "check_date", ["query_hash"]).select(
+        "metric", "check_date", "query_hash", "metric_value", "date_rank", "overall_rank")

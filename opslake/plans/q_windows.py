@@ -58,6 +58,32 @@ def rank_xpm(spark, d):
     return R.rank_by(fx.query_stats(spark, d), "xpm", 20)
 
 
+_ALIVE = "greatest(date_diff('minute', creation_time, last_execution_time), 1)"
+_CACHED = f"""CASE WHEN execution_count > 1 THEN CASE
+    WHEN date_diff('minute', creation_time, TIMESTAMP '{fx.AS_OF_EVENTS}') > 0
+      THEN execution_count / date_diff('minute', creation_time, TIMESTAMP '{fx.AS_OF_EVENTS}')
+    WHEN date_diff('minute', creation_time, last_execution_time) > 0
+      THEN execution_count / date_diff('minute', creation_time, last_execution_time) ELSE 0 END ELSE 0 END"""
+_SORTS = {"cpu": "total_worker_time", "reads": "total_logical_reads", "writes": "total_logical_writes",
+          "duration": "total_elapsed_time", "spills": "total_spills", "rows": "total_rows", "memory grant": "max_grant_kb",
+          "avg cpu": "total_worker_time / execution_count", "avg reads": "total_logical_reads / execution_count",
+          "avg writes": "total_logical_writes / execution_count", "avg duration": "total_elapsed_time / execution_count",
+          "avg spills": "total_spills / execution_count", "avg rows": "total_rows / execution_count",
+          "avg memory grant": "max_grant_kb / execution_count", "executions": "execution_count", "avg executions": _CACHED,
+          "xpm": f"execution_count / {_ALIVE}", "unused grant": "max_grant_kb - max_used_grant_kb",
+          "compiles": "epoch(creation_time)", "recent compilations": "epoch(creation_time)",
+          "duplicate": "CASE WHEN plan_count > 1 THEN total_worker_time END"}
+
+
+@query("rank_by_all", f"WITH {ctes('x7')} " + " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{m}' AS sort_name, query_hash, CAST({c} AS DOUBLE) AS sort_value,
+        row_number() OVER (ORDER BY CAST({c} AS DOUBLE) DESC NULLS LAST, query_hash) AS rk FROM x7) WHERE rk <= 10"""
+    for m, c in _SORTS.items()))
+def rank_all(spark, d):
+    """Every sort name's top ten in one pass."""
+    return R.top_by_metrics(fx.query_stats(spark, d), R.sort_keys(fx.AS_OF_EVENTS), 10, ["query_hash"], name="sort_name", value="sort_value")
+
+
 PTS = {"cpu": "total_worker_time", "reads": "total_logical_reads", "writes": "total_logical_writes",
        "duration": "total_elapsed_time"}
 

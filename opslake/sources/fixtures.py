@@ -374,6 +374,17 @@ def query_stats(spark: SparkSession, d: str) -> DataFrame:
                  F.max(cents("l_extendedprice")).alias("max_price")))
 
 
+def query_history(spark: SparkSession, d: str) -> DataFrame:
+    """Logged query statistics: one row per query and monthly snapshot."""
+    q = F.col("l_quantity").cast("bigint")
+    return (table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("query_hash"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("check_date"))
+            .agg(F.count(F.lit(1)).alias("execution_count"), (F.sum(q) * 1000).alias("total_worker_time"),
+                 F.sum(cents("l_extendedprice")).alias("total_logical_reads"), F.sum(cents("l_tax")).alias("total_logical_writes"),
+                 F.sum(q * 1000 + F.col("l_linenumber") * 500).alias("total_elapsed_time"),
+                 (F.max("l_linenumber") * 1024).alias("max_grant_kb"),
+                 F.sum(F.when(F.col("l_discount") >= 0.09, 1).otherwise(0)).alias("total_spills")))
+
+
 # X9 ---------------------------------------------------------------------------
 def global_grants(spark, d):
     r = table(spark, d, "region")
