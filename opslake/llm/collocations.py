@@ -37,8 +37,8 @@ from opslake.sources.sinks import materialize
 
 #: bits of a bitmap: 4 MiB, whatever the input
 BITS = 1 << 25
-#: phrases that a task holds before it sums equal ones
-HELD = 1 << 21
+#: phrases or words that a task holds before it sums equal ones
+HELD = 1 << 19
 SCALE = 2_000_000
 
 BREAKS = np.zeros(256, bool)
@@ -70,20 +70,59 @@ def _words(b: pa.RecordBatch, seed: int):
     return w, follows, code[doc] if len(doc) else doc, start, end, raw, langs.dictionary
 
 
+def _texts(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The lower-cased words at the spans as a string column."""
+    offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
+    at = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(textops.LOWER[raw[at]]))
+
+
+def _differ(raw, start, size, code, first, which) -> np.ndarray:
+    """Places of words whose language or bytes are not those of the first word of their key."""
+    other = first[which]
+    odd = (size != size[other]) | (code != code[other])
+    same = np.flatnonzero(~odd)
+    n = size[same]
+    begin = np.cumsum(n) - n
+    step = np.arange(int(n.sum())) - np.repeat(begin, n)
+    unlike = textops.LOWER[raw[np.repeat(start[same], n) + step]] != textops.LOWER[raw[np.repeat(start[other[same]], n) + step]]
+    odd[same[np.repeat(np.arange(len(same)), n)[unlike]]] = True
+    return np.flatnonzero(odd)
+
+
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """(w, lang, word, f) of every word."""
+    """(w, lang, word, f) of every word; a key that two words share has a row of each."""
+    def summed(held):
+        t = pa.Table.from_batches(held).group_by(["w", "lang", "word"]).aggregate([("f", "sum")])
+        return t.rename_columns(["w", "lang", "word", "f"])
+
     def run(batches):
+        held, n = [], 0
         for b in textops.slices(batches):
             w, _, code, start, end, raw, langs = _words(b, seed)
             if not len(w):
                 continue
-            _, first, count = np.unique(w, return_index=True, return_counts=True)
-            size = end[first] - start[first]
-            offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
-            at = np.repeat(start[first] - offsets[:-1], size) + np.arange(offsets[-1])
-            text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(textops.LOWER[raw[at]]))
-            yield pa.RecordBatch.from_arrays([pa.array(w[first]), langs.take(pa.array(code[first])).cast(pa.string()),
-                                              text.cast(pa.string()), pa.array(count)], ["w", "lang", "word", "f"])
+            _, first, which, count = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
+            odd = _differ(raw, start, end - start, code, first, which)
+            at = np.r_[first, odd]
+            held.append(pa.RecordBatch.from_arrays(
+                [pa.array(w[at]), langs.take(pa.array(code[at])).cast(pa.large_string()), _texts(raw, start[at], (end - start)[at]),
+                 pa.array(np.r_[count, np.zeros(len(odd), np.int64)])], ["w", "lang", "word", "f"]))
+            n += len(at)
+            if n > HELD:
+                t = summed(held)
+                held, n = t.to_batches(), t.num_rows
+                if n > HELD // 2:
+                    yield from out(t)
+                    held, n = [], 0
+        if held:
+            yield from out(summed(held))
+
+    def out(t):
+        schema = pa.schema([("w", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())])
+        for b in t.to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema)
+
     # equal keys meet once; the check for two words of one key needs no further shuffle
     return (docs.mapInArrow(run, "w long, lang string, word string, f long").repartition("w")
             .groupBy("w", "lang", "word").agg(F.sum("f").alias("f")))
