@@ -5,8 +5,8 @@ name): the same name may live on several servers, and a database dropped and
 created again under its old name has a new guid.  Its backups form one stream
 ordered by LSN / time.  "Latest full before this log", "previous backup" and
 "next full" are look-backs over that stream (``timeseries.fill_last``),
-partitioned by (database, day or LSN range) so a database holding most of the
-history does not become one task.
+partitioned by (database, range of time or LSN with a bounded number of rows) so
+a database holding most of the history does not become one task.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.semantics import datediff, ts_lit
-from opslake.operators.timeseries import fill_last, prev_row
+from opslake.operators.timeseries import bounded_buckets, fill_last, prev_row
 
 FULL, DIFF, LOG = "D", "I", "L"
-LSN_BUCKET = 10_000_000      # LSN range per look-back bucket
 KEY = ["server_name", "database_guid", "database_name"]
 
 
@@ -33,8 +32,7 @@ def _seconds():
 def gaps(b: DataFrame) -> DataFrame:
     """Minutes between consecutive backups (by finish time, then id) of each database."""
     p = prev_row(b.select(*KEY, "backup_set_id", "backup_finish_date"), KEY,
-                 ["backup_finish_date", "backup_set_id"], ["backup_set_id", "backup_finish_date"],
-                 F.date_trunc("day", "backup_finish_date"))
+                 ["backup_finish_date", "backup_set_id"], ["backup_set_id", "backup_finish_date"])
     return (p.filter(F.col("prev_backup_set_id").isNotNull())
             .withColumn("gap_minutes", datediff("minute", F.col("prev_backup_finish_date"),
                                                 F.col("backup_finish_date"))))
@@ -51,18 +49,16 @@ def rpo_worst(b: DataFrame) -> DataFrame:
                     F.col("w.backup_set_id").alias("gap_end_id")))
 
 
-def with_base_full(b: DataFrame) -> DataFrame:
+def with_base_full(b: DataFrame, bucket=None) -> DataFrame:
     """Add ``base_full_id``: the latest full backup with a smaller LSN in the same database."""
     v = F.when(F.col("type") == FULL, F.col("backup_set_id"))
-    bucket = F.call_function("div", F.col("first_lsn"), F.lit(LSN_BUCKET))
     return fill_last(b, KEY, ["first_lsn", "backup_set_id"], v, bucket, "base_full_id", strict=True)
 
 
 def next_full(b: DataFrame) -> DataFrame:
     """For every full backup, the next full of the database (none for the last)."""
     f = b.filter(F.col("type") == FULL).select(*KEY, "backup_set_id", "backup_start_date", "first_lsn")
-    p = prev_row(f, KEY, ["first_lsn", "backup_set_id"], ["backup_set_id"],
-                 F.call_function("div", F.col("first_lsn"), F.lit(LSN_BUCKET)))
+    p = prev_row(f, KEY, ["first_lsn", "backup_set_id"], ["backup_set_id"])
     nxt = p.filter(F.col("prev_backup_set_id").isNotNull()).select(
         *KEY, F.col("prev_backup_set_id").alias("backup_set_id"), F.col("backup_set_id").alias("next_full_id"),
         F.col("backup_start_date").alias("next_full_start"))
@@ -99,9 +95,9 @@ def chains(b: DataFrame) -> DataFrame:
     """
     kind, lsn = F.col("type"), F.col("first_lsn")
     rows = b.select(*KEY, "backup_set_id", "type", "first_lsn", _mb().alias("mb"), _seconds().alias("secs"))
-    head = F.when(kind.isin(FULL, DIFF), F.struct("backup_set_id", "type", "first_lsn"))
-    cut = fill_last(rows, KEY, ["first_lsn", "backup_set_id"], head,
-                    F.call_function("div", lsn, F.lit(LSN_BUCKET)), "head").filter(F.col("head").isNotNull())
+    rows = bounded_buckets(rows, KEY, "first_lsn", "range")  # both look-backs use the same ranges
+    head = F.when(kind.isin(FULL, DIFF), F.struct("backup_set_id", "type", "first_lsn", "range"))
+    cut = fill_last(rows, KEY, ["first_lsn", "backup_set_id"], head, F.col("range"), "head").drop("range").filter(F.col("head").isNotNull())
     own = F.col("backup_set_id") == F.col("head.backup_set_id")
     after = (kind == LOG) & ((F.col("head.type") == FULL) | (lsn > F.col("head.first_lsn")))
     segments = cut.groupBy(*KEY, "head").agg(
@@ -111,7 +107,7 @@ def chains(b: DataFrame) -> DataFrame:
         F.max(F.when(after, F.col("mb"))).alias("after_worst")).select("*", "head.*").drop("head")
     # a full heads its own chain and ends the chain of the full before it
     place = lambda full_id, ends: F.struct(F.col(full_id).alias("full_id"), F.lit(ends).alias("ends"))
-    placed = (with_base_full(segments)
+    placed = (with_base_full(segments, F.col("range"))
               .select("*", F.inline(F.when(kind == FULL, F.array(place("backup_set_id", False), place("base_full_id", True)))
                                     .otherwise(F.array(place("base_full_id", False)))))
               .filter(F.col("full_id").isNotNull()))

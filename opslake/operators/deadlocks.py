@@ -269,7 +269,7 @@ def waits(parsed: DataFrame) -> DataFrame:
 def with_event_number(procs: DataFrame) -> DataFrame:
     """Add ``event_number``: dense rank of the event time, computed on the distinct times."""
     dates = procs.select("event_date").distinct()
-    ranked = dates.withColumn("event_number", F.dense_rank().over(Window.orderBy("event_date")).cast("bigint"))
+    ranked = row_number(dates, [], ["event_date"], out="event_number")
     return procs.join(ranked, "event_date")
 
 
@@ -277,15 +277,14 @@ def event_numbers(procs: DataFrame) -> DataFrame:
     """Event number (dense rank of the event time), zero-based query number within an event,
     and a running number per session id.
 
-    The dense rank is computed on the distinct event times (one row per time,
-    broadcast after a size check) instead of a window over every process row.
+    The dense rank is computed on the distinct event times (one row per time)
+    instead of a window over every process row.
     """
     p = with_event_number(procs)
     wq = Window.partitionBy("event_id").orderBy("process_id")       # a deadlock has few processes
     p = p.withColumn("query_number", (F.row_number().over(wq) - 1).cast("bigint"))
-    # one session id can appear in a large share of all deadlocks: number it per (spid, month)
-    p = row_number(p, ["spid"], ["event_date", "event_id", "process_id"], F.date_trunc("month", "event_date"),
-                   "id_number")
+    # one session id can appear in a large share of all deadlocks
+    p = row_number(p, ["spid"], ["event_date", "event_id", "process_id"], out="id_number")
     return p.select("event_number", "event_id", "event_date", "process_id", "spid", "query_number", "id_number")
 
 

@@ -137,9 +137,8 @@ SELECT server_name, AVG(wait_time_ms_delta) AS middle_avg_ms, COUNT(*) AS middle
 WHERE tile = 2 GROUP BY server_name""")
 def ntile_mid(spark, d):
     wd = _wd(spark, d)
-    # ntile per server without a per-server task: bucket the ordering measure by its magnitude
-    t = TS.ntile(wd, ["server_name"], ["wait_time_ms_delta", "check_date", "wait_type"],
-                 F.floor(F.log2(F.greatest(F.col("wait_time_ms_delta"), F.lit(1)))), 3).filter("tile = 2")
+    # ntile per server without a per-server task
+    t = TS.ntile(wd, ["server_name"], ["wait_time_ms_delta", "check_date", "wait_type"], None, 3).filter("tile = 2")
     return t.groupBy("server_name").agg(F.avg("wait_time_ms_delta").alias("middle_avg_ms"),
                                         F.count(F.lit(1)).alias("middle_rows"))
 
@@ -174,9 +173,8 @@ SELECT database_name, table_name, index_type, MIN(index_id) AS first_id, MAX(ind
 FROM n GROUP BY database_name, table_name, index_type, grp""")
 def islands(spark, d):
     x5 = fx.index_inventory(spark, d)
-    w1 = Window.partitionBy("database_name", "table_name").orderBy("index_id")
-    w2 = Window.partitionBy("database_name", "table_name", "index_type").orderBy("index_id")
-    n = x5.withColumn("grp", F.row_number().over(w1) - F.row_number().over(w2))
+    n = TS.row_number(x5.select("database_name", "table_name", "index_type", "index_id"), ["database_name", "table_name"], ["index_id"], out="rn")
+    n = TS.row_number(n, ["database_name", "table_name", "index_type"], ["index_id"], out="rt").withColumn("grp", F.col("rn") - F.col("rt"))
     return n.groupBy("database_name", "table_name", "index_type", "grp").agg(
         F.min("index_id").alias("first_id"), F.max("index_id").alias("last_id"),
         F.count(F.lit(1)).alias("members")).drop("grp")
@@ -213,8 +211,8 @@ def restore_rank(spark, d):
                                               F.concat(F.col("p").cast("string"), F.lit(".bak"))).alias("file_name"))
     stamp = F.regexp_extract("file_name", r"_(\d{14})_", 1)
     f = f.withColumn("__stamp", stamp)
-    # dense rank per database, bucketed by day of the stamp (skew-safe for a database with most files)
-    return TS.dense_rank(f, BACKUP_KEY, "__stamp", F.substring("__stamp", 1, 8), "file_rank").drop("__stamp")
+    f = f.withColumn("__stamp", F.col("__stamp").cast("bigint"))
+    return TS.dense_rank(f, BACKUP_KEY, "__stamp", out="file_rank").drop("__stamp")
 
 
 @query("report_group_breaks", f"""WITH {ctes('xfi')},
@@ -228,15 +226,14 @@ SELECT *, coalesce(lag(priority) OVER (ORDER BY rownum) <> priority, true) AS ne
 FROM r""")
 def report_breaks(spark, d):
     a = fx.findings_log(spark, d).groupBy("priority", "findings_group", "finding").agg(F.count(F.lit(1)).alias("n"))
-    # the findings summary is small (one row per distinct finding): one ordered window is fine
-    r = R.rank_rows(a, ["priority", "findings_group", "finding"], "rownum")
-    w = Window.partitionBy(F.lit(1)).orderBy("rownum")
-    lp, lg = F.lag("priority").over(w), F.lag("findings_group").over(w)
-    np_, ng = F.lead("priority").over(w), F.lead("findings_group").over(w)
-    return r.select("*", F.coalesce(lp != F.col("priority"), F.lit(True)).alias("new_priority"),
-                    F.coalesce((lg != F.col("findings_group")) | (lp != F.col("priority")), F.lit(True)).alias("new_group"),
-                    F.coalesce((ng != F.col("findings_group")) | (np_ != F.col("priority")), F.lit(True))
-                    .alias("last_in_group"))
+    r = TS.row_number(a, [], ["priority", "findings_group", "finding"], out="rownum")
+    # in this order a break is the first or last row of its priority or group: two small aggregates, no look at neighbours
+    groups = a.groupBy("priority", "findings_group").agg(F.min("finding").alias("first"), F.max("finding").alias("last"))
+    tops = groups.groupBy("priority").agg(F.min("findings_group").alias("top"))
+    r = r.join(groups, ["priority", "findings_group"]).join(tops, "priority")
+    first = F.col("finding") == F.col("first")
+    return r.select("priority", "findings_group", "finding", "n", "rownum", (first & (F.col("findings_group") == F.col("top"))).alias("new_priority"),
+                    first.alias("new_group"), (F.col("finding") == F.col("last")).alias("last_in_group"))
 
 
 @query("worst_interval_topn", """

@@ -138,21 +138,22 @@ def cdc_foreach_batch(changes: DataFrame, base: DataFrame, keys: list[str], orde
 
 
 # late rows --------------------------------------------------------------------
-def late_rows(df: DataFrame, arrival: str, ts: str, delay_seconds: int, bucket_rows: int = 100_000) -> DataFrame:
+def late_rows(df: DataFrame, arrival: str, ts: str, delay_seconds: int) -> DataFrame:
     """Rows whose event time is older than (latest event time seen before them - delay).
 
     The "seen before" maximum is a running maximum in arrival order, computed
-    per arrival bucket and carried across buckets through a one-row-per-bucket
-    table, so no single task sorts the whole input.
+    per arrival range of a bounded number of rows and carried across ranges
+    through a one-row-per-range table, so no single task sorts the whole input.
     """
     from pyspark.sql import Window
-    b = F.floor(F.col(arrival) / F.lit(bucket_rows)).alias("__b")
-    d = df.withColumn("__b", b)
+
+    from opslake.operators.timeseries import bounded_buckets
+    d = bounded_buckets(df, [], arrival)
     w_in = Window.partitionBy("__b").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__local", F.max(ts).over(w_in))
     per = d.groupBy("__b").agg(F.max(ts).alias("__bm"))
-    w_b = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    w_b = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as borders
     carry = per.withColumn("__carry", F.max("__bm").over(w_b)).select("__b", "__carry")
+    d = d.withColumn("__local", F.max(ts).over(w_in))
     seen = F.greatest(F.col("__local"), F.col("__carry"))
     bound = F.timestamp_add("SECOND", F.lit(-delay_seconds), seen)
     return (d.join(carry, "__b", "left").withColumn("watermark_bound", bound)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from opslake.operators import timeseries as TS
 from opslake.operators.timeseries import asof_join, fill_last, prev_row
 
 
@@ -63,3 +64,40 @@ def test_skew_safe_numbering_matches_windows(spark):
     a = sorted(tuple(r) for r in want.collect())
     b = sorted(tuple(r) for r in got.select("id", "rn", "tile", "drk").collect())
     assert a == b
+
+
+def _one_day(spark):
+    """One group with 60 % of all rows, half of them within one day; a null group; ties."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(20_000):
+        g = "hot" if rnd.random() < 0.6 else rnd.choice(["a", "b", None])
+        t = 86_400 * 40 + rnd.randrange(86_400) if rnd.random() < 0.5 else rnd.randrange(86_400 * 100)
+        rows.append((g, t, i, i if rnd.random() < 0.2 else None))
+    return spark.createDataFrame(rows, "g string, t bigint, id bigint, v bigint").withColumn(
+        "ts", F.timestamp_add("SECOND", F.col("t").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")))
+
+
+def test_sketched_buckets_are_bounded(spark):
+    df = _one_day(spark)
+    for by, col in ((["g"], "ts"), ([], "t"), (["g"], "id")):
+        b = TS.bounded_buckets(df, by, col, "b", rows=500)
+        assert b.groupBy(*by, "b").count().agg(F.max("count")).first()[0] <= 1000
+        w = Window.partitionBy(*by).orderBy(col)  # never falls within a group
+        assert b.withColumn("p", F.lag("b").over(w)).where("p > b").count() == 0
+    assert TS.bounded_buckets(df, ["g"], "ts", "b").select("b").distinct().count() == 1  # small groups are one bucket
+
+
+def test_sketched_look_backs_equal_windows(spark, monkeypatch):
+    monkeypatch.setattr(TS, "ROWS", 500)
+    df = _one_day(spark).cache()
+    w = Window.partitionBy("g").orderBy("ts", "id")
+    cols = ["id", "x"]
+    rows = lambda d: sorted(((r[0], r[1]) for r in d.select(*cols).collect()), key=lambda r: r[0])
+    assert rows(fill_last(df, ["g"], ["ts", "id"], "v", None, "x")) == rows(df.withColumn("x", F.last("v", ignorenulls=True).over(w)))
+    assert rows(prev_row(df, ["g"], ["ts", "id"], ["id"]).withColumnRenamed("prev_id", "x")) == rows(df.withColumn("x", F.lag("id").over(w)))
+    assert rows(TS.row_number(df, ["g"], ["ts", "id"], out="x")) == rows(df.withColumn("x", F.row_number().over(w)))
+    assert rows(TS.row_number(df, [], ["ts", "id"], out="x")) == rows(df.withColumn("x", F.row_number().over(Window.orderBy("ts", "id"))))
+    wd = Window.partitionBy("g").orderBy("ts")
+    assert rows(TS.dense_rank(df, ["g"], "ts", out="x")) == rows(df.withColumn("x", F.dense_rank().over(wd)))
+    assert rows(TS.ntile(df, ["g"], ["ts", "id"], None, 7, "x")) == rows(df.withColumn("x", F.ntile(7).over(w)))
