@@ -13,7 +13,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ["extract", "purge", "filters", "joins", "aggregates", "windows", "snapshots",
-           "backups", "sessions", "deadlocks", "rules", "grants", "scalars", "streams"]
+           "backups", "sessions", "deadlocks", "rules", "grants", "scalars", "streams", "planxml"]
 
 
 def query(name: str, oracle: str | None = None):

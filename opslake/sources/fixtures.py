@@ -349,6 +349,56 @@ def deadlock_xml(spark: SparkSession, d: str) -> DataFrame:
                     F.col("o_orderdate").alias("event_date"), doc.alias("deadlock_graph"))
 
 
+def plan_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One execution plan per order: line n is an operator below line n - 1, some with a lookup as a second child."""
+    x = deadlock_lines(spark, d)
+    io, cpu = F.col("l_quantity").cast("int"), cents("l_tax").cast("int")
+    leaf = F.col("l_partkey") % 4 == 0
+    below = (Window.partitionBy("l_orderkey").orderBy(F.col("rn").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("subtree", F.sum(io + cpu + F.when(leaf, F.col("l_linenumber")).otherwise(0)).over(below))
+    k = (F.col("l_partkey") % 6 + 1).cast("int")
+
+    def pick(*names):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), k)
+
+    inner = pick("Sort", "NestedLoops", "RemoteQuery", "Spool", "Hash", "Spool")
+    lookup = F.when(leaf, F.concat(
+        F.lit("<RelOp"), _attr("NodeId", 1000 + F.col("rn")), F.lit(' PhysicalOp="Clustered Index Seek" LogicalOp="Key Lookup" EstimateIO="0"'),
+        _attr("EstimateCPU", F.col("l_linenumber")), F.lit(' EstimateRows="1000000"'), _attr("EstimatedTotalSubtreeCost", F.col("l_linenumber")),
+        F.lit('><IndexScan Lookup="1"><Object'), _attr("Table", F.when(F.col("l_suppkey") % 5 == 0, "[@tv]").otherwise("[t]")),
+        F.lit("/></IndexScan></RelOp>"))).otherwise("")
+    opening = F.concat(
+        F.lit("<RelOp"), _attr("NodeId", F.col("rn")), _attr("PhysicalOp", pick("Sort", "Nested Loops", "Remote Query", "Index Spool", "Hash Match", "Table Spool")),
+        _attr("LogicalOp", pick("Sort", "Inner Join", "Remote Query", "Eager Spool", "Aggregate", "Lazy Spool")),
+        _attr("EstimateIO", io), _attr("EstimateCPU", cpu), _attr("EstimateRows", F.col("l_partkey") % 9),
+        _attr("EstimateRewinds", F.col("l_suppkey") * 7), _attr("EstimateRebinds", F.col("l_partkey") % 50),
+        _attr("EstimatedTotalSubtreeCost", F.col("subtree")), F.lit(">"),
+        F.when(F.col("l_discount") == 0.05, '<Warnings NoJoinPredicate="1"/>').otherwise(""), F.lit("<"), inner, F.lit(">"),
+        F.when(F.col("l_suppkey") % 7 == 0, '<DefinedValue><UserDefinedFunction FunctionName="[f]"/></DefinedValue>').otherwise(""), lookup)
+    closing = F.concat(F.lit("</"), inner, F.lit("></RelOp>"))
+    g = (x.select("l_orderkey", "rn", opening.alias("o"), closing.alias("c")).groupBy(F.col("l_orderkey").alias("plan_id"))
+         .agg(F.array_sort(F.collect_list(F.struct("rn", "o", "c"))).alias("ops")))
+    p = F.col("plan_id")
+    reason = F.when(p % 10 == 0, "TimeOut").when(p % 10 == 1, "MemoryLimitExceeded").otherwise("")
+    doc = F.concat(
+        F.lit('<ShowPlanXML xmlns="urn:plan"><BatchSequence><Batch><Statements><StmtSimple'), _attr("StatementOptmEarlyAbortReason", reason),
+        _attr("StatementType", F.when(p % 9 == 0, "CREATE INDEX").otherwise("SELECT")), F.lit("><QueryPlan>"),
+        F.when(p % 4 == 0, F.concat(F.lit("<MissingIndexes><MissingIndexGroup"), _attr("Impact", p % 100), F.lit("/></MissingIndexes>"))).otherwise(""),
+        F.when(p % 6 == 0, F.concat(F.lit("<Warnings><PlanAffectingConvert"), _attr("Expression", F.when(
+            p % 12 == 0, "CONVERT_IMPLICIT(int,[a]&lt;5 &amp; 1)").otherwise("CONVERT(int,[a])")), F.lit("/></Warnings>"))).otherwise(""),
+        F.array_join(F.transform("ops", lambda s: s["o"]), ""), F.array_join(F.transform(F.reverse("ops"), lambda s: s["c"]), ""),
+        F.lit("</QueryPlan></StmtSimple></Statements></Batch></BatchSequence></ShowPlanXML>"))
+    return g.select("plan_id", doc.alias("query_plan"))
+
+
+def version_list(spark: SparkSession, d: str) -> DataFrame:
+    """Listed builds: (major_version, minor_version, branch, release_date); a build may be released again."""
+    p = table(spark, d, "part")
+    return p.select((10 + F.col("p_size") % 7).cast("int").alias("major_version"), ((F.col("p_partkey") * 29) % 4000).cast("int").alias("minor_version"),
+                    F.concat_ws(" ", "p_type", "p_brand").alias("branch"),
+                    F.timestamp_add("DAY", F.col("p_partkey").cast("int"), ts_lit("2008-01-01 00:00:00")).alias("release_date"))
+
+
 # X7 ---------------------------------------------------------------------------
 def query_stats(spark: SparkSession, d: str) -> DataFrame:
     """Plan-cache statistics: one cached query per part."""
