@@ -75,9 +75,12 @@ def distinct_text(df: DataFrame, key: list[str], value: str, sep: str = ", ") ->
 
 
 def majority_and_others(df: DataFrame, key: list[str], actor: str, exclude: list[str] = (),
-                        min_count: int = 2) -> DataFrame:
-    """Actors other than the most common one per key (tie: smallest name), with their count."""
-    cnt = df.groupBy(*key, actor).agg(F.count(F.lit(1)).alias("n"))
+                        min_count: int = 2, counts: str | None = None) -> DataFrame:
+    """Actors other than the most common one per key (tie: smallest name), with their count.
+
+    ``counts`` names the count column of an input that has one row per key and actor already.
+    """
+    cnt = df.groupBy(*key, actor).agg(F.count(F.lit(1)).alias("n")) if counts is None else df.select(*key, actor, F.col(counts).alias("n"))
     w = Window.partitionBy(*key).orderBy(F.col("n").desc(), F.col(actor))
     ranked = cnt.withColumn("__r", F.row_number().over(w))
     majority = ranked.filter("__r = 1").select(*key, F.col(actor).alias("majority_" + actor))

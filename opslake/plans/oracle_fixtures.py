@@ -113,7 +113,7 @@ FIX["x4"] = f"""
   FROM events"""
 
 FIX["x5"] = f"""
-  SELECT 'db' || (p_size % 3) AS database_name, 'dbo' AS schema_name, p_brand AS table_name,
+  SELECT 'db' || (p_size % 3) AS database_name, CASE WHEN p_partkey % 6 = 0 THEN 'audit' ELSE 'dbo' END AS schema_name, p_brand AS table_name,
          p_partkey AS index_id, 'ix_' || p_partkey AS index_name,
          p_type || ',' || p_size AS key_columns, p_type AS first_key_column,
          CASE WHEN p_partkey % 3 = 0 THEN p_name END AS include_columns,
@@ -140,7 +140,7 @@ FIX["x5"] = f"""
   FROM part"""
 
 FIX["x5c"] = """
-  SELECT 'db' || (p_size % 3) AS database_name, p_brand AS table_name,
+  SELECT 'db' || (p_size % 3) AS database_name, CASE WHEN p_partkey % 6 = 0 THEN 'audit' ELSE 'dbo' END AS schema_name, p_brand AS table_name,
          p_name || '_' || p_partkey AS column_name,
          CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'nvarchar' ELSE 'int' END AS data_type,
          p_size % 2 = 0 AS is_nullable, p_size * 10 AS max_length

@@ -18,25 +18,26 @@ TS = f"TIMESTAMP '{AS_OF}'"
 READS = "(user_seeks + user_scans + user_lookups)"
 NEW = f"(create_date >= {TS} - INTERVAL 7 DAY AND modify_date >= {TS} - INTERVAL 2 DAY)"
 FWD = "(forwarded_fetch_count / uptime_days > 1000)"
-OBJ = "table_name || '.' || index_name"
+OBJ = "schema_name || '.' || table_name || '.' || index_name"
+TAB = "schema_name || '.' || table_name"
 ACTIVE_HEAP = f"index_type = 'HEAP' AND ({READS} > 0 OR user_updates > 0) AND NOT {FWD}"
-SHAPE = """(SELECT database_name, table_name, COUNT(*) AS n, SUM(CASE WHEN NOT is_nullable THEN 1 ELSE 0 END) AS not_null,
+SHAPE = """(SELECT database_name, schema_name, table_name, COUNT(*) AS n, SUM(CASE WHEN NOT is_nullable THEN 1 ELSE 0 END) AS not_null,
        SUM(CASE WHEN data_type NOT IN ('nvarchar', 'varchar', 'char', 'nchar') THEN 1 ELSE 0 END) AS non_string,
        SUM(max_length) AS width FROM x5c GROUP BY ALL)"""
 
 # oracle SQL per (check_id, finding): columns scope, object_name, details, details_num
 INDEX_SQL = {
-    1: """SELECT database_name, table_name, key_columns, COUNT(*) FROM x5 WHERE NOT is_primary_key AND NOT is_disabled
+    1: f"""SELECT database_name, {TAB}, key_columns, COUNT(*) FROM x5 WHERE NOT is_primary_key AND NOT is_disabled
           AND index_type IN ('CLUSTERED', 'NONCLUSTERED') AND total_pages * 8 >= 250 * 1024
           GROUP BY database_name, schema_name, table_name, key_columns HAVING COUNT(*) > 1""",
     2: f"""SELECT database_name, {OBJ}, key_columns, NULL FROM x5 a WHERE EXISTS (SELECT 1 FROM x5 b
-          WHERE b.database_name = a.database_name AND b.table_name = a.table_name
+          WHERE b.database_name = a.database_name AND b.schema_name = a.schema_name AND b.table_name = a.table_name
           AND b.first_key_column = a.first_key_column AND b.key_columns <> a.key_columns)""",
     11: f"""SELECT database_name, {OBJ}, 'row + page lock wait ms', row_lock_wait_ms + page_lock_wait_ms FROM x5
            WHERE row_lock_wait_ms + page_lock_wait_ms > 300000""",
-    20: """SELECT database_name, table_name, 'nonclustered indexes', COUNT(*) FROM x5 WHERE index_type = 'NONCLUSTERED'
+    20: f"""SELECT database_name, {TAB}, 'nonclustered indexes', COUNT(*) FROM x5 WHERE index_type = 'NONCLUSTERED'
            GROUP BY 1, 2 HAVING COUNT(*) >= 10""",
-    21: f"""SELECT database_name, table_name, 'percent of nonclustered indexes unused',
+    21: f"""SELECT database_name, {TAB}, 'percent of nonclustered indexes unused',
            SUM(CASE WHEN {READS} = 0 THEN 1 ELSE 0 END) * CAST(100 AS DOUBLE) / COUNT(*) FROM x5
            WHERE index_type = 'NONCLUSTERED' AND NOT {NEW} GROUP BY 1, 2
            HAVING SUM(CASE WHEN {READS} = 0 THEN 1 ELSE 0 END) * 100 >= COUNT(*) * 5""",
@@ -54,7 +55,7 @@ INDEX_SQL = {
     46: f"SELECT database_name, {OBJ}, 'rows', row_count FROM x5 WHERE {ACTIVE_HEAP} AND row_count >= 0 AND row_count < 10000",
     47: f"""SELECT database_name, {OBJ}, 'nonclustered primary key on a heap', NULL FROM x5 a
            WHERE is_primary_key AND index_type = 'NONCLUSTERED' AND EXISTS (SELECT 1 FROM x5 h
-           WHERE h.index_type = 'HEAP' AND h.database_name = a.database_name AND h.table_name = a.table_name)""",
+           WHERE h.index_type = 'HEAP' AND h.database_name = a.database_name AND h.schema_name = a.schema_name AND h.table_name = a.table_name)""",
     48: f"""SELECT database_name, {OBJ}, 'writes per read', user_updates / {READS} FROM x5
            WHERE index_type = 'NONCLUSTERED' AND {READS} > 0 AND {READS} < 10000 AND user_updates >= 10000
            AND {READS} * 10 < user_updates""",
@@ -70,9 +71,9 @@ INDEX_SQL = {
     91: f"""SELECT database_name, {OBJ}, 'percent sampled', rows_sampled * CAST(100 AS DOUBLE) / row_count FROM x5
            WHERE (row_count BETWEEN 10000 AND 1000000 AND rows_sampled * 100 < row_count * 10)
               OR (row_count > 1000000 AND rows_sampled * 100 < row_count)""",
-    25: f"SELECT database_name, table_name, 'columns', n FROM {SHAPE} WHERE not_null < 2 AND n > 3",
-    26: f"SELECT database_name, table_name, 'summed column length', width FROM {SHAPE} WHERE n >= 35 OR width >= 2000",
-    27: f"SELECT database_name, table_name, 'columns', n FROM {SHAPE} WHERE non_string <= 1 AND n > 3",
+    25: f"SELECT database_name, {TAB}, 'columns', n FROM {SHAPE} WHERE not_null < 2 AND n > 3",
+    26: f"SELECT database_name, {TAB}, 'summed column length', width FROM {SHAPE} WHERE n >= 35 OR width >= 2000",
+    27: f"SELECT database_name, {TAB}, 'columns', n FROM {SHAPE} WHERE non_string <= 1 AND n > 3",
 }
 
 RECENT = f"backup_start_date >= {TS} - INTERVAL 30 DAY"
@@ -120,7 +121,7 @@ BACKUP_SQL = {
 
 def _pack_sql(rules, sql_of, max_priority=None):
     parts = []
-    for r in rules:
+    for r in (c for pack in rules for c in pack.checks):
         if max_priority is not None and r.priority > max_priority:
             continue
         body = sql_of(r)
@@ -136,7 +137,7 @@ def _idx_inputs(spark, d):
 
 
 def _index_query(ids):
-    rules = [r for r in INDEX_RULES if r.check_id in ids]
+    rules = [p for p in (pack.only(lambda c: c.check_id in ids) for pack in INDEX_RULES) if p.checks]
     sql = f"WITH {ctes('x5', 'x5c')} " + _pack_sql(rules, lambda r: INDEX_SQL[r.check_id])
 
     def fn(spark, d):
@@ -175,7 +176,7 @@ def findings_engine(spark, d):
         F.concat(F.lit("db"), (k % 4).cast("string"))).alias("scope"),
         F.when(k % 12 == 1, F.lit(None)).otherwise(k % 13 + 1).cast("int").alias("check_id"))
     inputs = dict(_idx_inputs(spark, d), backups=fx.backups(spark, d))
-    # one engine run over both packs: each input is materialised once
+    # one engine run over all packs: each input is read once for its groups and once for its rows
     return RE.run_rules(inputs, INDEX_RULES + BACKUP_RULES, AS_OF, skip, CEILING)
 
 

@@ -216,7 +216,7 @@ def index_inventory(spark: SparkSession, d: str) -> DataFrame:
     zero = (k % 4 == 0)
     created = _add("DAY", -(k % 40), ts_lit(AS_OF_EVENTS))
     return p.select(
-        _s("db", F.col("p_size") % 3).alias("database_name"), F.lit("dbo").alias("schema_name"),
+        _s("db", F.col("p_size") % 3).alias("database_name"), F.when(k % 6 == 0, "audit").otherwise("dbo").alias("schema_name"),
         F.col("p_brand").alias("table_name"), k.alias("index_id"), _s("ix_", k).alias("index_name"),
         F.concat(F.col("p_type"), F.lit(","), F.col("p_size").cast("string")).alias("key_columns"),
         F.col("p_type").alias("first_key_column"),
@@ -248,7 +248,8 @@ def column_inventory(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     k = F.col("p_partkey")
     return p.select(
-        _s("db", F.col("p_size") % 3).alias("database_name"), F.col("p_brand").alias("table_name"),
+        _s("db", F.col("p_size") % 3).alias("database_name"), F.when(k % 6 == 0, "audit").otherwise("dbo").alias("schema_name"),
+        F.col("p_brand").alias("table_name"),
         F.concat(F.col("p_name"), F.lit("_"), k.cast("string")).alias("column_name"),
         F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "nvarchar").otherwise("int").alias("data_type"),
         (F.col("p_size") % 2 == 0).alias("is_nullable"),

@@ -44,3 +44,27 @@ def test_grant_inheritance(spark):
     got = sorted((r.service, r.table_name, r.privileges.split(",")[0]) for r in G.expand_grant_specs(specs).collect())
     assert ("c", "a", "SELECT") in got and ("c", "w1", "SELECT") in got        # parent's lists, parent writes readable
     assert [g for g in got if g[0] == "d"] == [("d", "w1", "SELECT"), ("d", "w2", "SELECT"), ("d", "x", "SELECT")]
+
+
+def test_a_pack_reads_its_input_twice(spark, tmp_path):
+    from opslake.operators.rulepacks.index_rules import index_pack
+    from opslake.sources import fixtures as fx
+    path = str(tmp_path / "indexes")
+    fx.index_inventory(spark, "/root/testdata/sf0.001").write.parquet(path)
+    # the group pass has run by the time the plan is there; what is left reads the rows once
+    plan = RE.run_rules({"indexes": spark.read.parquet(path)}, [index_pack()], "2024-01-31 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and str(tmp_path) in line for line in plan.splitlines()) == 1
+
+
+def test_schemas_are_kept_apart(spark):
+    """Two tables of one name in two schemas: neither duplicates nor a heap of the other count."""
+    from opslake.operators.rulepacks.index_rules import index_pack
+    from opslake.sources import fixtures as fx
+    one = fx.index_inventory(spark, "/root/testdata/sf0.001").limit(1).withColumns({
+        "index_type": F.lit("NONCLUSTERED"), "is_primary_key": F.lit(True), "is_disabled": F.lit(False), "total_pages": F.lit(1 << 40),
+        "key_columns": F.lit("a,b"), "first_key_column": F.lit("a")})
+    rows = (one.withColumn("schema_name", F.lit("s1")).union(one.withColumn("schema_name", F.lit("s2")).withColumn("index_type", F.lit("HEAP")))
+            .union(one.withColumn("schema_name", F.lit("s2")).withColumn("is_primary_key", F.lit(False)))
+            .union(one.withColumn("schema_name", F.lit("s1")).withColumn("is_primary_key", F.lit(False)).withColumn("key_columns", F.lit("a,c"))))
+    got = RE.run_rules({"indexes": rows}, [index_pack()], "2024-01-31 00:00:00").where("check_id in (1, 2, 47)").collect()
+    assert {(r["check_id"], r["object_name"].split(".")[0]) for r in got} == {(2, "s1")}
