@@ -34,15 +34,94 @@ _UNP = " UNION ALL ".join(
     f"FROM {{src}} WHERE {p}_priv" for p in G.PRIVS)
 
 
-@query("principal_permissions", f"""WITH {ctes('x9g', 'x9d', 'x9t')}
-{_UNP.format(kind='server', obj="'*'", src='x9g')}
+# further object kinds: schemas, functions, sequences and roles
+_ROLE = "'role_' || lower(r_name)"
+_OBJ_SQL = f"""
+sch AS (SELECT 'n' || n_nationkey AS grantee, 'db' || n_regionkey || '.s' || (n_nationkey % 3) AS object_name FROM nation),
+fun AS (SELECT 's' || (s_suppkey % 20) AS grantee, 'db' || (s_nationkey % 5) || '.f' || s_suppkey AS object_name FROM supplier),
+seq AS (SELECT 's' || (p_partkey % 20) AS grantee, 'db' || (p_size % 5) || '.seq' || p_partkey AS object_name FROM part),
+rol AS (SELECT {_ROLE} AS role, 'n' || n_nationkey AS member FROM region JOIN nation ON n_regionkey = r_regionkey
+        UNION ALL SELECT 'role_' || lower(u.r_name), 'role_' || lower(m.r_name) FROM region m JOIN region u
+                  ON u.r_regionkey = m.r_regionkey + 1 OR (m.r_regionkey = 4 AND u.r_regionkey = 3))"""
+
+
+def _objects(spark, d):
+    n, s, p = (table(spark, d, t) for t in ("nation", "supplier", "part"))
+    name = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    schemas = n.select(name("n", F.col("n_nationkey")).alias("grantee"), name("db", F.col("n_regionkey"), ".s", F.col("n_nationkey") % 3).alias("object_name"))
+    functions = s.select(name("s", F.col("s_suppkey") % 20).alias("grantee"), name("db", F.col("s_nationkey") % 5, ".f", F.col("s_suppkey")).alias("object_name"))
+    sequences = p.select(name("s", F.col("p_partkey") % 20).alias("grantee"), name("db", F.col("p_size") % 5, ".seq", F.col("p_partkey")).alias("object_name"))
+    roles = _members(spark, d).select(F.col("member").alias("grantee"), F.col("role").alias("object_name"))
+    return {"schema": (schemas, "USAGE"), "function": (functions, "EXECUTE"), "sequence": (sequences, "USAGE"), "role": (roles, "MEMBER")}
+
+
+def _members(spark, d):
+    """Users in the role of their region, and roles in roles: a chain of four whose last two are in each other."""
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    role = F.concat(F.lit("role_"), F.lower("r_name"))
+    users = r.join(n, n.n_regionkey == r.r_regionkey).select(role.alias("role"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("member"))
+    low = r.select(role.alias("member"), F.explode(F.when(F.col("r_regionkey") == 4, F.array(F.lit(3), F.lit(5))).otherwise(
+        F.array(F.col("r_regionkey") + 1))).alias("up"))
+    nested = low.join(r.select(role.alias("role"), F.col("r_regionkey").alias("up")), "up").select("role", "member")
+    return users.unionByName(nested)
+
+
+_ALL_SQL = f"""{_UNP.format(kind='server', obj="'*'", src='x9g')}
 UNION ALL {_UNP.format(kind='database', obj='db', src='x9d')}
 UNION ALL SELECT "user", 'table', db || '.' || table_name, unnest(string_split(upper(table_priv), ',')) FROM x9t
 UNION ALL SELECT 's' || (p_partkey % 20), 'column', 'db' || (p_size % 5) || '.t' || (p_partkey % 10) || '.' || p_name,
-                 'SELECT' FROM part""")
-def principal_permissions(spark, d):
+                 'SELECT' FROM part
+UNION ALL SELECT grantee, 'schema', object_name, 'USAGE' FROM sch UNION ALL SELECT grantee, 'function', object_name, 'EXECUTE' FROM fun
+UNION ALL SELECT grantee, 'sequence', object_name, 'USAGE' FROM seq UNION ALL SELECT member, 'role', role, 'MEMBER' FROM rol"""
+
+
+def _permissions(spark, d):
     return G.principal_permissions(fx.global_grants(spark, d), fx.db_grants(spark, d), fx.table_grants(spark, d),
-                                   _column_grants(spark, d))
+                                   _column_grants(spark, d), _objects(spark, d))
+
+
+@query("principal_permissions", f"WITH {ctes('x9g', 'x9d', 'x9t')}, {_OBJ_SQL} {_ALL_SQL}")
+def principal_permissions(spark, d):
+    return _permissions(spark, d)
+
+
+@query("effective_permissions", f"""WITH RECURSIVE {ctes('x9g', 'x9d', 'x9t')}, {_OBJ_SQL},
+grants AS ({_ALL_SQL} UNION ALL SELECT 'role_' || lower(r_name), 'table', 'db' || r_regionkey || '.t' || c_custkey % 10, 'SELECT'
+           FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+reach AS (SELECT member, role FROM rol UNION SELECT reach.member, rol.role FROM reach JOIN rol ON rol.member = reach.role)
+SELECT DISTINCT grantee, object_kind, object_name, privilege, CAST(NULL AS VARCHAR) AS via FROM grants
+UNION ALL SELECT DISTINCT reach.member, object_kind, object_name, privilege, reach.role FROM grants JOIN reach ON reach.role = grants.grantee
+          WHERE reach.member <> reach.role""")
+def effective_permissions(spark, d):
+    """Own permissions and those through nested roles, two of which are members of each other."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    to_roles = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
+        F.concat(F.lit("role_"), F.lower("r_name")).alias("grantee"), F.lit("table").alias("object_kind"),
+        F.concat(F.lit("db"), F.col("r_regionkey").cast("string"), F.lit(".t"), (F.col("c_custkey") % 10).cast("string")).alias("object_name"),
+        F.lit("SELECT").alias("privilege")))
+    return G.effective_permissions(_permissions(spark, d).unionByName(to_roles), _members(spark, d), lambda c: F.startswith(c, F.lit("role_")))
+
+
+@query("permission_listing", """
+WITH g AS (SELECT s_suppkey AS grant_no, s_nationkey AS principal_id, CASE s_suppkey % 4 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'EXECUTE' WHEN 2 THEN 'ALTER'
+                  ELSE 'CONTROL' END AS permission, CASE WHEN s_suppkey % 9 = 0 THEN 'DENY' ELSE 'GRANT' END AS state, s_suppkey % 40 AS object_id FROM supplier)
+SELECT 'n' || n_nationkey AS user_name, CASE WHEN n_nationkey % 2 = 0 THEN 'SQL_USER' ELSE 'WINDOWS_USER' END AS user_kind, permission, state,
+       'o' || o.object_id AS object_name, o.object_kind
+FROM g JOIN nation ON n_nationkey = principal_id
+LEFT JOIN (SELECT c_custkey AS object_id, CASE WHEN c_custkey % 3 = 0 THEN 'VIEW' ELSE 'USER_TABLE' END AS object_kind FROM customer
+           WHERE c_custkey % 5 <> 0) o ON o.object_id = g.object_id""")
+def permission_listing(spark, d):
+    """All grants of the database; those on the database itself have no object."""
+    k = F.col("s_suppkey")
+    grants = table(spark, d, "supplier").select(
+        F.col("s_nationkey").alias("principal_id"), F.when(k % 4 == 0, "SELECT").when(k % 4 == 1, "EXECUTE").when(k % 4 == 2, "ALTER").otherwise("CONTROL").alias("permission"),
+        F.when(k % 9 == 0, "DENY").otherwise("GRANT").alias("state"), (k % 40).alias("object_id"))
+    n, c = F.col("n_nationkey"), F.col("c_custkey")
+    principals = table(spark, d, "nation").select(n.alias("principal_id"), F.concat(F.lit("n"), n.cast("string")).alias("user_name"),
+                                                  F.when(n % 2 == 0, "SQL_USER").otherwise("WINDOWS_USER").alias("user_kind"))
+    objects = table(spark, d, "customer").where(c % 5 != 0).select(c.alias("object_id"), F.concat(F.lit("o"), c.cast("string")).alias("object_name"),
+                                                                  F.when(c % 3 == 0, "VIEW").otherwise("USER_TABLE").alias("object_kind"))
+    return G.permission_listing(grants, principals, objects)
 
 
 def _acls(spark, d):

@@ -68,3 +68,15 @@ def test_schemas_are_kept_apart(spark):
             .union(one.withColumn("schema_name", F.lit("s1")).withColumn("is_primary_key", F.lit(False)).withColumn("key_columns", F.lit("a,c"))))
     got = RE.run_rules({"indexes": rows}, [index_pack()], "2024-01-31 00:00:00").where("check_id in (1, 2, 47)").collect()
     assert {(r["check_id"], r["object_name"].split(".")[0]) for r in got} == {(2, "s1")}
+
+
+def test_effective_permissions_through_nested_and_cyclic_roles(spark):
+    members = spark.createDataFrame([("r1", "u"), ("r2", "r1"), ("r3", "r2"), ("r4", "r3"), ("r3", "r4"), ("r9", "r9"), ("r9", "v")], "role string, member string")
+    assert sorted(tuple(r) for r in G.role_closure(members.where("member like 'r%'")).collect()) == [
+        ("r1", "r2"), ("r1", "r3"), ("r1", "r4"), ("r2", "r3"), ("r2", "r4"), ("r3", "r4"), ("r4", "r3")]
+    own = spark.createDataFrame([("r3", "table", "t", "SELECT"), ("r3", "table", "t", "SELECT"), ("u", "table", "x", "SELECT"), ("r9", "table", "y", "SELECT")],
+                                "grantee string, object_kind string, object_name string, privilege string")
+    got = G.effective_permissions(own, members, lambda c: F.startswith(c, F.lit("r")))
+    assert sorted((r["grantee"], r["object_name"], r["via"]) for r in got.where("via is not null").collect()) == [
+        ("r1", "t", "r3"), ("r2", "t", "r3"), ("r4", "t", "r3"), ("u", "t", "r3"), ("v", "y", "r9")]
+    assert got.where("via is null").count() == 3
