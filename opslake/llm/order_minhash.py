@@ -1,7 +1,8 @@
 """Order MinHash fingerprints in DataFrame operations only.
 
-A text is cut into tokens (at most 16 non-blank code points with the blanks behind
-them); the k-mer of a position is the hash of the token and its k - 1 successors, and
+A text is cut into tokens: a run of up to 16 non-blank code points with the blanks
+behind it, and in a longer run every code point on its own, so that an inserted or
+deleted character never shifts the cuts of what follows it; the k-mer of a position is the hash of the token and its k - 1 successors, and
 equal k-mers are numbered by occurrence.  Every numbered k-mer falls into one of
 2**BIN_BITS bins by the high bits of its hash (one permutation serves all bins).  A
 bin keeps its ORDER smallest ones, retains their text order and hashes their k-mers as
@@ -9,7 +10,7 @@ a tuple.  Two texts agree in a bin only if the same k-mers were selected in the
 order, so the share of agreeing bins falls with the edit distance.
 
 Positions take the low POS_BITS of a 64-bit word, so that plain long arrays are
-sorted; positions of longer texts wrap round, which equal texts do alike.
+sorted; no array is longer than that.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"\S{1,16}\s*|\s+"
-KMER, BIN_BITS, ORDER, POS_BITS = 3, 5, 2, 24
+TOKEN = r"(?<!\S)\S{1,16}+(?!\S)\s*|\S\s*|\s+"
+KMER, BIN_BITS, ORDER, POS_BITS = 3, 5, 2, 31
 _POS = (1 << POS_BITS) - 1
 
 
