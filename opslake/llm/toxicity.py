@@ -70,16 +70,19 @@ def _near(length: int, symbol: int, up: float, down: float):
 TRANSDUCERS = [_scope(NEGATION, 4, 0.3), _scope(REPORT, 0, 0.5), _near(3, INSULT, 1.5, 1.0), _near(4, THREAT, 1.0, 0.4)]
 
 
-def compose() -> tuple[list, list]:
-    """next[state][symbol] and factor[state][symbol] of the product automaton; state 0 is the start."""
+def compose() -> tuple[list, list, list]:
+    """next[state][symbol], factor[state][symbol] and flags[state] of the product automaton; state 0 is the start.
+
+    The flags tell which transducers are open: (negated or reported, a target is near an insult, near a threat).
+    """
     states = list(product(*(range(n) for n, _, _ in TRANSDUCERS)))
     number = {s: i for i, s in enumerate(states)}
     nxt = [[number[tuple(t[1](p, x) for t, p in zip(TRANSDUCERS, s, strict=True))] for x in range(6)] for s in states]
     fac = [[float(np.prod([t[2](p, x) for t, p in zip(TRANSDUCERS, s, strict=True)])) for x in range(6)] for s in states]
-    return nxt, fac
+    return nxt, fac, [(bool(s[0] or s[1]), bool(s[2]), bool(s[3])) for s in states]
 
 
-_NEXT, _FACTOR = compose()
+_NEXT, _FACTOR, _FLAGS = compose()
 
 
 def clause_score(symbols: list[int], weights: list[float]) -> tuple[float, bool, bool, bool]:
@@ -91,11 +94,12 @@ def clause_score(symbols: list[int], weights: list[float]) -> tuple[float, bool,
     for x, w in zip(symbols, weights, strict=True):
         if x in (INSULT, THREAT):
             f = _FACTOR[state][x]
+            softened, by_target, threat_by_target = _FLAGS[state]
             total += f * w
-            soft |= f < 0.4 if x == THREAT else f < 1
-            targeted |= x == INSULT and f in (1.5, 0.75, 0.45, 0.225)
+            soft |= softened
+            targeted |= x == INSULT and by_target
             if x == THREAT:
-                threat, open_threat, left = True, 0.6 * w * f / 0.4 if f in (0.4, 0.2, 0.12, 0.06) else 0.0, 5
+                threat, open_threat, left = True, 0.0 if threat_by_target else 0.6 * w * f / 0.4, 5
         elif x == TARGET and left and open_threat:
             total, targeted, open_threat = total + open_threat, True, 0.0
         left = max(0, left - 1)
@@ -150,8 +154,7 @@ def features(text: pa.Array, lex: Lexicon) -> np.ndarray:
         for size in STEMS:
             at, key = _look_up(lex.stems, T.stem_hashes(raw, s, e, size))
             symbol[at], weight[at] = INSULT, np.maximum(weight[at], lex.stem_weights[key])
-        out[:, 7] = np.bincount(doc[symbol == INSULT], minlength=len(out))
-        out[:, 8] = out[:, 7] >= 2
+    stemmed = symbol == INSULT
     at, key = _look_up(lex.hashes, h)
     symbol[at], weight[at] = lex.symbols[key], lex.weights[key]
     clause = np.r_[0, np.cumsum(_SPLIT[raw])][s] + doc  # a document border also ends a clause
@@ -163,6 +166,9 @@ def features(text: pa.Array, lex: Lexicon) -> np.ndarray:
         row = out[doc[a]]
         row[[0, 2, 3, 4, 5]] += (w, 1, target, threat, soft)
         row[1] = max(row[1], w)
+        if not soft:  # learned stems count in clauses that are neither negated nor reported
+            row[7] += stemmed[a:b].sum()
+    out[:, 8] = out[:, 7] >= 2
     out[:, 6] = 100 * out[:, 0] / np.maximum(n_words, 20)
     return np.log1p(out)
 
