@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from opslake.llm import (chat, collocations, decontaminate, jaccard_join, lang_i
 from opslake.sources.tables import table
 
 #: vocabulary file of the packing query; a parameter, never copied into the repository
-TOKENIZER = os.environ.get("OPSLAKE_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def crc_mod(n: int):
@@ -20,10 +19,15 @@ def crc_mod(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def held(n: int, r: int):
+    """Whether a row is held out; one without doc_id is not."""
+    return F.coalesce(crc_mod(n) == r, F.lit(False)).alias("held_out")
+
+
 def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lang_id.fit(docs.where(crc_mod(4) != 2).select("doc_id", "text", "lang"))
-    return lang_id.identify(docs, model).select("doc_id", (crc_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return lang_id.identify(docs, model).select("doc_id", held(4, 2), "lang_pred", "score", "rejected")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def _labels(spark: SparkSession, sf_dir: str, col: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality_scores(table(spark, sf_dir, "documents"), _labels(spark, sf_dir, "quality"))
-    return got.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return got.select("doc_id", held(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), _labels(spark, sf_dir, "toxic"))
-    return got.select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    return got.select("doc_id", held(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                       "matched_clauses")
 
 
