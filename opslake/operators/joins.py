@@ -55,7 +55,7 @@ def prefix_join(left: DataFrame, left_col: str, patterns: DataFrame, pattern_col
     plain = left.filter(F.col(left_col).isNull() | ~wild)
     out = plain.join(pref, plain[left_col] == pref["__prefix"], how).drop("__prefix")
     special = left.filter(wild)
-    lk = special.join(F.broadcast(patterns),
+    lk = special.join(patterns,
                       F.call_function("like", patterns[pattern_col], F.concat(special[left_col], F.lit("%"))), how)
     return out.unionByName(lk)
 
@@ -77,7 +77,6 @@ def anti_skip_list(df: DataFrame, skip: DataFrame, keys: list[str]) -> DataFrame
             cond = c if cond is None else cond & c
         part = skip.filter(cond).select(*set_keys)
         if not set_keys:
-            # an all-NULL row skips every row
             # an all-NULL row skips every row: a scalar flag, not a join
             out = out.filter(~part.select((F.count(F.lit(1)) > 0).alias("f")).scalar())
         else:

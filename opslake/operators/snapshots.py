@@ -71,8 +71,8 @@ def categories(spark) -> DataFrame:
 
 
 def with_category(df: DataFrame, cats: DataFrame, key: str = "wait_type") -> DataFrame:
-    """Category lookup with default ``Other`` / not ignorable (lookup table broadcast)."""
-    return (df.join(F.broadcast(cats), key, "left")
+    """Category lookup with default ``Other`` / not ignorable ."""
+    return (df.join(cats, key, "left")
             .withColumn("wait_category", F.coalesce("wait_category", F.lit("Other")))
             .withColumn("ignorable", F.coalesce("ignorable", F.lit(False))))
 

@@ -14,7 +14,7 @@ def c(x: str) -> str:
 
 
 FIX = {}
-DEPS = {"x1w": ["x1"], "x1f": ["x1"], "x1c": ["x1"], "x2b": ["x2"], "x6": ["x6l"]}
+DEPS = {"x1w": ["x1"], "x1f": ["x1"], "x1c": ["x1"], "x2s": ["x2"], "x2b": ["x2s", "x2"], "x6": ["x6l"]}
 
 FIX["x1"] = f"""
   SELECT 'srv' || server_id AS server_name, check_date, metric,
@@ -66,10 +66,16 @@ FIX["x2"] = f"""
               WHEN c_custkey % 3 = 0 THEN 'sleeping' ELSE 'running' END AS status
   FROM customer"""
 
+FIX["x2s"] = """
+  SELECT *, 'srv0' AS server_name FROM x2 UNION ALL BY NAME
+  SELECT * REPLACE (CASE WHEN session_id > 2 AND session_id % 5 <> 0 THEN session_id // 3 END AS blocking_session_id,
+                    cpu_time + 1 AS cpu_time, writes + 2 AS writes), 'srv1' AS server_name FROM x2"""
+
 FIX["x2b"] = """
-  SELECT * REPLACE (cpu_time + (session_id % 23) * 5 AS cpu_time, reads + session_id % 100 AS reads,
+  SELECT * REPLACE (cpu_time + (session_id % 23) * 5 AS cpu_time,
+                    reads + CASE WHEN server_name = 'srv0' THEN session_id % 100 ELSE session_id % 50 END AS reads,
                     writes + session_id % 9 AS writes, tempdb_pages + 1 AS tempdb_pages)
-  FROM x2 WHERE session_id % 4 <> 0"""
+  FROM x2s WHERE CASE WHEN server_name = 'srv0' THEN session_id % 4 <> 0 ELSE session_id % 6 <> 0 END"""
 
 FIX["x3"] = f"""
   SELECT 'srv' || (user_id % 3) AS server_name, 'guid' || ((user_id // 60) % 2) AS database_guid,

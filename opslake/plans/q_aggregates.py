@@ -206,10 +206,12 @@ def duplicate_keys(spark, d):
     x5 = fx.index_inventory(spark, d).filter(
         ~F.col("is_primary_key") & ~F.col("is_disabled") & F.col("index_type").isin("CLUSTERED", "NONCLUSTERED")
         & (F.col("total_pages") * 8 >= 250 * 1024))
-    g = x5.groupBy("database_name", "schema_name", "table_name", "key_columns").agg(
-        F.count(F.lit(1)).alias("dup_count"), F.array_sort(F.collect_list("index_id")).alias("ids"))
-    return g.filter(F.col("dup_count") > 1).select(
-        "database_name", "schema_name", "table_name", "key_columns", "dup_count",
+    keys = ["database_name", "schema_name", "table_name", "key_columns"]
+    # counted first: only the ids of duplicates are put into lists
+    dup = x5.groupBy(*keys).agg(F.count(F.lit(1)).alias("dup_count")).filter(F.col("dup_count") > 1)
+    g = x5.join(dup, keys).groupBy(*keys, "dup_count").agg(F.array_sort(F.collect_list("index_id")).alias("ids"))
+    return g.select(
+        *keys, "dup_count",
         F.array_join(F.transform("ids", lambda x: x.cast("string")), ", ").alias("index_ids"))
 
 

@@ -127,13 +127,21 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
          .otherwise("running").alias("status"))
 
 
+def server_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of two servers under the same ids; on the second, k is blocked by k div 3 unless k % 5 = 0."""
+    s, k = sessions(spark, d), F.col("session_id")
+    other = s.withColumns({"blocking_session_id": F.when((k > 2) & (k % 5 != 0), F.call_function("div", k, F.lit(3))),
+                           "cpu_time": F.col("cpu_time") + 1, "writes": F.col("writes") + 2})
+    return s.withColumn("server_name", F.lit("srv0")).unionByName(other.withColumn("server_name", F.lit("srv1")))
+
+
 def sessions_pass2(spark: SparkSession, d: str) -> DataFrame:
-    """Second sample of the sessions: one in four has ended, the rest did more work."""
-    s = sessions(spark, d)
-    k = F.col("session_id")
-    return (s.filter(k % 4 != 0)
+    """Second sample of the sessions of both servers: one in four has ended (one in six on the second), the rest did more work."""
+    s = server_sessions(spark, d)
+    k, first = F.col("session_id"), F.col("server_name") == "srv0"
+    return (s.filter(F.when(first, k % 4 != 0).otherwise(k % 6 != 0))
             .withColumn("cpu_time", F.col("cpu_time") + (k % 23) * 5)
-            .withColumn("reads", F.col("reads") + k % 100)
+            .withColumn("reads", F.col("reads") + F.when(first, k % 100).otherwise(k % 50))
             .withColumn("writes", F.col("writes") + k % 9)
             .withColumn("tempdb_pages", F.col("tempdb_pages") + 1))
 

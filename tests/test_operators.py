@@ -27,6 +27,13 @@ def test_purge_cycle_conserves_rows(spark, tmp_path):
     assert all(a.max_id < b.min_id for a, b in zip(log, log[1:]))
 
 
+def test_sessions_of_two_servers_are_kept_apart(spark):
+    rows = [("a", 51, None), ("a", 52, 51), ("a", 53, 52), ("b", 51, 52), ("b", 52, None), ("b", 60, None), ("b", 60, 51)]
+    s = spark.createDataFrame(rows, "server_name string, session_id long, blocking_session_id long")
+    got = {(r.server_name, r.leader_session_id): (r.blocked_count, r.max_depth) for r in S.block_leaders(s, by=("server_name",)).collect()}
+    assert got == {("a", 51): (2, 2), ("b", 52): (2, 2)}  # a session with a blocked request is blocked
+
+
 def test_block_leaders_with_cycle(spark):
     # 1 <- 2 <- 3, 1 <- 4; 5 <-> 6 cycle; 7 blocked by 6 (under the cycle); 8 alone
     rows = [(1, None), (2, 1), (3, 2), (4, 1), (5, 6), (6, 5), (7, 6), (8, None)]
