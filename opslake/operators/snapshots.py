@@ -16,15 +16,6 @@ from pyspark.sql import functions as F
 
 from opslake.functions.semantics import datediff, round_div
 
-# Wait-type categories of the lookup table (type -> category, ignorable).
-WAIT_CATEGORIES = [
-    ("click", "CPU", False),
-    ("purchase", "Buffer IO", False),
-    ("error", "Lock", False),
-    ("view", "Network IO", True),
-]
-
-
 def snapshot_pairs(df: DataFrame, server: str = "server_name", date: str = "check_date") -> DataFrame:
     """(server, check_date, prev_check_date) for every snapshot after a server's first."""
     w = Window.partitionBy(server).orderBy(date)
@@ -66,17 +57,19 @@ def snapshot_delta(df: DataFrame, keys: list[str], counters: list[str], monotoni
         *[(F.col(c) - F.col(f"__p_{c}")).alias(f"{c}_delta") for c in counters])
 
 
-def categories(spark) -> DataFrame:
-    return spark.createDataFrame(WAIT_CATEGORIES, "wait_type string, wait_category string, ignorable boolean")
-
-
 def with_category(df: DataFrame, cats: DataFrame, key: str = "wait_type") -> DataFrame:
-    """Category lookup with default ``Other`` / not ignorable ."""
+    """Category lookup (``cats``: key, wait_category, ignorable) with default ``Other`` / not ignorable."""
     return (df.join(cats, key, "left")
             .withColumn("wait_category", F.coalesce("wait_category", F.lit("Other")))
             .withColumn("ignorable", F.coalesce("ignorable", F.lit(False))))
 
 
+def never_acceptable(deltas: DataFrame, listed: DataFrame, over_ms: int = 1000, key: str = "wait_type") -> DataFrame:
+    """Growth of more than ``over_ms`` of a wait on the list (``listed``: key), by server: snapshots and the largest growth."""
+    hit = deltas.filter(F.col("wait_time_ms_delta") > over_ms).join(listed.select(key).distinct(), key, "left_semi")
+    return hit.groupBy("server_name", key).agg(F.count(F.lit(1)).alias("snapshots"), F.max("wait_time_ms_delta").alias("max_delta_ms"))
+
+
 def wait_deltas(waits: DataFrame, cats: DataFrame) -> DataFrame:
     """Wait deltas with minutes, minutes per minute and category (restart and gap guards)."""
     d = snapshot_delta(waits, ["wait_type"], ["wait_time_ms", "signal_wait_time_ms", "waiting_tasks_count"],

@@ -35,6 +35,10 @@ FIX["x1w"] = """
   SELECT server_name, check_date, metric AS wait_type, wait_time_ms * 256 AS wait_time_ms,
          signal_wait_time_ms * 256 AS signal_wait_time_ms, waiting_tasks_count, num_of_writes FROM x1"""
 
+FIX["wl"] = """
+  SELECT event_type AS wait_type, 'Category ' || length(event_type) % 3 AS wait_category, length(event_type) = 4 AS ignorable,
+         event_type LIKE '%r%' AS never_acceptable FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'signup')"""
+
 FIX["x1f"] = """
   SELECT server_name, check_date, metric AS file_name,
          CASE WHEN metric IN ('error', 'view') THEN 'LOG' ELSE 'ROWS' END AS type_desc,
@@ -203,7 +207,7 @@ FIX["x7"] = f"""
          MAX(l_linenumber) * 1024 AS max_grant_kb, MIN(l_linenumber) * 1024 AS max_used_grant_kb,
          CAST(SUM(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END) AS BIGINT) AS total_spills,
          MIN(l_shipdate) AS creation_time, MAX(l_shipdate) AS last_execution_time,
-         COUNT(DISTINCT l_suppkey) AS plan_count, MAX(l_linenumber) * 800 AS avg_compile_ms,
+         MAX(l_linenumber) * 3 AS query_cost, COUNT(DISTINCT l_suppkey) AS plan_count, MAX(l_linenumber) * 800 AS avg_compile_ms,
          MIN({c('l_extendedprice')}) AS min_price, MAX({c('l_extendedprice')}) AS max_price
   FROM lineitem GROUP BY l_partkey"""
 

@@ -197,24 +197,23 @@ def unindexed_fk(spark, d):
     return fk.join(lead, ["database_name", "table_name", "column_name"], "left_anti")
 
 
-MI_AS_OF = "2002-01-01 00:00:00"
-
-
-@query("missing_index_value", f"""WITH {ctes('x7')},
-v AS (SELECT query_hash, (execution_count + plan_count) * total_worker_time * (total_spills + 1) AS magic_benefit,
-             greatest(date_diff('day', creation_time, TIMESTAMP '{MI_AS_OF}'), 1) AS days FROM x7)
-SELECT query_hash, magic_benefit, days, magic_benefit / days AS benefit_per_day,
-       row_number() OVER (ORDER BY magic_benefit / days DESC, query_hash) AS rk
+@query("missing_index_value", """
+WITH m AS (SELECT p_partkey AS index_handle, p_brand || '.' || p_type AS object_name,
+                  CAST((p_partkey % 13) * 100 + (p_partkey % 7) * 20 AS BIGINT) AS uses,
+                  CAST(round(p_retailprice * 100) AS BIGINT) * (p_size * 20) AS unit, least(1 + p_partkey % 40, 1 + p_partkey % 9 * 5) AS days FROM part),
+v AS (SELECT index_handle, object_name, uses * unit / CAST(1000 AS DOUBLE) AS magic_benefit, days FROM m)
+SELECT *, magic_benefit / days AS benefit_per_day, row_number() OVER (ORDER BY magic_benefit DESC, index_handle) AS rk
 FROM v WHERE magic_benefit / days >= 100000 QUALIFY rk <= 20""")
 def missing_index(spark, d):
+    """Requests worth at least 100,000 a day, by (seeks + scans) x cost x impact; days: of the table or of uptime, if shorter."""
     from opslake.operators.ranking import top_n
-    x7 = fx.query_stats(spark, d)
-    v = x7.select("query_hash",
-                  ((F.col("execution_count") + F.col("plan_count")) * F.col("total_worker_time")
-                   * (F.col("total_spills") + 1)).alias("magic_benefit"),
-                  F.greatest(datediff("day", F.col("creation_time"), ts_lit(MI_AS_OF)), F.lit(1)).alias("days"))
+    m = fx.missing_index_requests(spark, d)
+    uses = (F.col("user_seeks") + F.col("user_scans")).cast("bigint")
+    v = m.select("index_handle", "object_name",
+                 (uses * F.col("avg_total_user_cost_hundredths") * F.col("avg_user_impact_tenths") / F.lit(1000.0)).alias("magic_benefit"),
+                 F.least("create_days", "uptime_days").alias("days"))
     v = v.withColumn("benefit_per_day", F.col("magic_benefit") / F.col("days")).filter(F.col("benefit_per_day") >= 100000)
-    return top_n(v, F.col("benefit_per_day"), "query_hash", 20)
+    return top_n(v, F.col("magic_benefit"), "index_handle", 20)
 
 
 @query("identity_headroom", """
@@ -251,11 +250,12 @@ SELECT query_hash,
          AND total_logical_reads > 100000 * execution_count AS parameter_sensitive,
        total_elapsed_time > 300000000 * execution_count AS long_running,
        max_grant_kb > 0 AND max_used_grant_kb * 100 <= max_grant_kb * 10 AS unused_grant,
-       total_elapsed_time * 10 > total_worker_time * 11 AS low_cpu_long_duration
+       total_elapsed_time * 10 > total_worker_time * 11 AS low_cpu_long_duration,
+       query_cost <= 10 AND total_worker_time > 25000 * execution_count AS low_cost_high_cpu
 FROM x7""")
 def query_flags(spark, d, overrides: dict | None = None):
     cfg = {"frequent_per_minute": 1000, "sensitive_pct": 30, "sensitive_reads": 100000,
-           "long_running_us": 300_000_000, "unused_grant_pct": 10}
+           "long_running_us": 300_000_000, "unused_grant_pct": 10, "low_cost": 10, "high_cpu_us": 25_000}
     cfg.update(overrides or {})
     x7 = fx.query_stats(spark, d)
     e, w = F.col("execution_count"), F.col("total_worker_time")
@@ -268,7 +268,8 @@ def query_flags(spark, d, overrides: dict | None = None):
         (F.col("total_elapsed_time") > e * cfg["long_running_us"]).alias("long_running"),
         ((F.col("max_grant_kb") > 0) & (F.col("max_used_grant_kb") * 100 <= F.col("max_grant_kb") * cfg["unused_grant_pct"]))
         .alias("unused_grant"),
-        (F.col("total_elapsed_time") * 10 > w * 11).alias("low_cpu_long_duration"))
+        (F.col("total_elapsed_time") * 10 > w * 11).alias("low_cpu_long_duration"),
+        ((F.col("query_cost") <= cfg["low_cost"]) & (w > e * cfg["high_cpu_us"])).alias("low_cost_high_cpu"))
 
 
 @query("plan_stability_flags", f"""WITH {ctes('x7')}

@@ -15,8 +15,7 @@ from opslake.sources.tables import table
 
 D = "CAST({} AS DOUBLE)"
 CORES = 8
-CATS_SQL = "(VALUES " + ", ".join(f"('{t}', '{c}', {str(i).lower()})" for t, c, i in T.WAIT_CATEGORIES) + \
-    ") AS wc(wait_type, wait_category, ignorable)"
+CATS_SQL = "wl AS wc"
 
 
 def sql_pairs(src: str) -> str:
@@ -39,7 +38,7 @@ def sql_delta(src: str, keys: list[str], counters: list[str], monotonic=(), carr
       WHERE {' AND '.join(cond)}"""
 
 
-_WD = f"""WITH {ctes('x1w')},
+_WD = f"""WITH {ctes('x1w', 'wl')},
 dd AS ({sql_delta('x1w', ['wait_type'], ['wait_time_ms', 'signal_wait_time_ms', 'waiting_tasks_count'],
                   monotonic=['wait_time_ms'])}),
 wd AS (SELECT dd.server_name, dd.check_date, dd.wait_type, coalesce(wc.wait_category, 'Other') AS wait_category,
@@ -51,8 +50,12 @@ wd AS (SELECT dd.server_name, dd.check_date, dd.wait_type, coalesce(wc.wait_cate
        FROM dd LEFT JOIN {CATS_SQL} ON wc.wait_type = dd.wait_type)"""
 
 
+def _cats(spark, d):
+    return fx.wait_lookup(spark, d).select("wait_type", "wait_category", "ignorable")
+
+
 def _wd(spark, d):
-    return T.wait_deltas(fx.wait_snapshots(spark, d), T.categories(spark))
+    return T.wait_deltas(fx.wait_snapshots(spark, d), _cats(spark, d))
 
 
 @query("snapshot_pairs", f"WITH {ctes('x1w')} SELECT * FROM {sql_pairs('x1w')}")
@@ -65,11 +68,11 @@ def wait_deltas(spark, d):
     return _wd(spark, d)
 
 
-@query("wait_category_lookup", f"""WITH {ctes('x1w')}
+@query("wait_category_lookup", f"""WITH {ctes('x1w', 'wl')}
 SELECT x1w.*, coalesce(wc.wait_category, 'Other') AS wait_category, coalesce(wc.ignorable, false) AS ignorable
 FROM x1w LEFT JOIN {CATS_SQL} ON wc.wait_type = x1w.wait_type""")
 def wait_category(spark, d):
-    return T.with_category(fx.wait_snapshots(spark, d), T.categories(spark))
+    return T.with_category(fx.wait_snapshots(spark, d), _cats(spark, d))
 
 
 _FD = f"""WITH {ctes('x1f')},
@@ -154,16 +157,11 @@ def two_pass(spark, d):
         "server_name", "check_date", "wait_type", "wait_time_ms_delta", "elapsed_seconds", "rk")
 
 
-POISON = ["error", "purchase"]
-
-
 @query("poison_events", _WD + """
-SELECT server_name, wait_type, COUNT(*) AS snapshots, MAX(wait_time_ms_delta) AS max_delta_ms
-FROM wd WHERE wait_type IN ('error', 'purchase') AND wait_time_ms_delta > 1000 GROUP BY ALL""")
+SELECT server_name, wd.wait_type, COUNT(*) AS snapshots, MAX(wait_time_ms_delta) AS max_delta_ms
+FROM wd JOIN wl ON wl.wait_type = wd.wait_type WHERE wl.never_acceptable AND wait_time_ms_delta > 1000 GROUP BY ALL""")
 def poison(spark, d):
-    w = _wd(spark, d).filter(F.col("wait_type").isin(POISON) & (F.col("wait_time_ms_delta") > 1000))
-    return w.groupBy("server_name", "wait_type").agg(F.count(F.lit(1)).alias("snapshots"),
-                                                    F.max("wait_time_ms_delta").alias("max_delta_ms"))
+    return T.never_acceptable(_wd(spark, d), fx.wait_lookup(spark, d).where("never_acceptable"))
 
 
 @query("slow_files", _FD + """,

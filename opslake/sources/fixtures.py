@@ -63,6 +63,14 @@ def wait_snapshots(spark, d):
             .withColumn("signal_wait_time_ms", F.col("signal_wait_time_ms") * 256))
 
 
+def wait_lookup(spark, d):
+    """Lookup of wait types: category, ignorable, never acceptable; one type is not listed."""
+    t = F.col("event_type")
+    return (table(spark, d, "events").select("event_type").distinct().where(t != "signup").select(
+        t.alias("wait_type"), F.concat(F.lit("Category "), (F.length(t) % 3).cast("string")).alias("wait_category"),
+        (F.length(t) == 4).alias("ignorable"), F.contains(t, F.lit("r")).alias("never_acceptable")))
+
+
 def file_snapshots(spark, d):
     s = snapshots(spark, d)
     log = F.col("metric").isin("error", "view")
@@ -427,12 +435,22 @@ def query_stats(spark: SparkSession, d: str) -> DataFrame:
                  F.sum(F.when(F.col("l_discount") >= 0.09, 1).otherwise(0)).alias("total_spills"),
                  F.min("l_shipdate").alias("creation_time"),
                  F.max("l_shipdate").alias("last_execution_time"),
+                 (F.max("l_linenumber") * 3).alias("query_cost"),
                  F.countDistinct("l_suppkey").alias("plan_count"),
                  (F.max("l_linenumber") * 800).alias("avg_compile_ms"),
                  F.min(cents("l_extendedprice")).alias("min_price"),
                  F.max(cents("l_extendedprice")).alias("max_price")))
 
 
+def missing_index_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Missing-index requests: one per part; costs in hundredths, impact in tenths of a percent."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(
+        k.alias("index_handle"), F.concat_ws(".", "p_brand", "p_type").alias("object_name"), ((k % 13) * 100).alias("user_seeks"),
+        ((k % 7) * 20).alias("user_scans"), cents("p_retailprice").alias("avg_total_user_cost_hundredths"),
+        (F.col("p_size") * 20).cast("bigint").alias("avg_user_impact_tenths"), (1 + k % 40).alias("create_days"), (1 + k % 9 * 5).alias("uptime_days"))
+
+
 def query_history(spark: SparkSession, d: str) -> DataFrame:
     """Logged query statistics: one row per query and monthly snapshot."""
     q = F.col("l_quantity").cast("bigint")

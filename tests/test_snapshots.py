@@ -5,6 +5,10 @@ import datetime as dt
 from opslake.operators import snapshots as T
 
 
+def _cats(spark):
+    return spark.createDataFrame([("click", "CPU", False), ("view", "Network IO", True)], "wait_type string, wait_category string, ignorable boolean")
+
+
 def _rows(spark, rows):
     return spark.createDataFrame(rows, "server_name string, check_date timestamp_ntz, wait_type string, "
                                        "wait_time_ms bigint, signal_wait_time_ms bigint, waiting_tasks_count bigint")
@@ -25,14 +29,14 @@ def test_deltas_guards(spark):
         ("s", t(3, 1, ), "D", 1, 0, 1),
         ("s", t(3, 31), "A", 95, 2, 6), ("s", t(3, 31), "C", 4, 1, 2),
     ]
-    d = T.wait_deltas(_rows(spark, rows), T.categories(spark)).collect()
+    d = T.wait_deltas(_rows(spark, rows), _cats(spark)).collect()
     got = sorted((r.check_date.hour, r.check_date.minute, r.wait_type, r.wait_time_ms_delta) for r in d)
     assert got == [(1, 0, "A", 60), (3, 31, "A", 5), (3, 31, "C", 3)]
 
 
 def test_deltas_sum_to_last_minus_first(spark):
     rows = [("s", t(h), "A", 100 * h * h, h, h) for h in range(6)]
-    d = T.wait_deltas(_rows(spark, rows), T.categories(spark))
+    d = T.wait_deltas(_rows(spark, rows), _cats(spark))
     assert d.agg({"wait_time_ms_delta": "sum"}).first()[0] == 2500
     assert d.first().wait_category == "Other"
 
@@ -41,5 +45,5 @@ def test_category_lookup_default(spark):
     rows = [("s", t(0), "click", 1, 0, 1), ("s", t(1), "click", 5, 0, 2), ("s", t(0), "zzz", 1, 0, 1),
             ("s", t(1), "zzz", 2, 0, 2)]
     d = {r.wait_type: (r.wait_category, r.ignorable)
-         for r in T.wait_deltas(_rows(spark, rows), T.categories(spark)).collect()}
+         for r in T.wait_deltas(_rows(spark, rows), _cats(spark)).collect()}
     assert d == {"click": ("CPU", False), "zzz": ("Other", False)}
