@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from opslake.functions.semantics import datediff, ts_lit
 from opslake.operators.timeseries import bounded_buckets, fill_last, prev_row
+from opslake.sources.sinks import materialize
 
 FULL, DIFF, LOG = "D", "I", "L"
 KEY = ["server_name", "database_guid", "database_name"]
@@ -95,7 +96,8 @@ def chains(b: DataFrame) -> DataFrame:
     """
     kind, lsn = F.col("type"), F.col("first_lsn")
     rows = b.select(*KEY, "backup_set_id", "type", "first_lsn", _mb().alias("mb"), _seconds().alias("secs"))
-    rows = bounded_buckets(rows, KEY, "first_lsn", "range")  # both look-backs use the same ranges
+    # both look-backs use the same ranges; written once, as each reads its rows twice
+    rows = materialize(bounded_buckets(rows, KEY, "first_lsn", "range"), "chain-rows")
     head = F.when(kind.isin(FULL, DIFF), F.struct("backup_set_id", "type", "first_lsn", "range"))
     cut = fill_last(rows, KEY, ["first_lsn", "backup_set_id"], head, F.col("range"), "head").drop("range").filter(F.col("head").isNotNull())
     own = F.col("backup_set_id") == F.col("head.backup_set_id")

@@ -39,9 +39,12 @@ def known_states(spark) -> DataFrame:
 
 
 def prefix_join(left: DataFrame, left_col: str, patterns: DataFrame, pattern_col: str,
-                how: str = "left") -> DataFrame:
+                how: str = "left", dedupe: bool = False) -> DataFrame:
     """``JOIN patterns ON pattern LIKE CONCAT(left_col, '%')`` without a nested loop.
 
+    With ``dedupe`` a left row meets one of the patterns that it matches, the shortest
+    (then the first by name); an empty value, which matches all, does not fan out.
+
     Every pattern is exploded into all its prefixes ('' included, which
     matches every pattern as the LIKE does); the join is then an equi join on
     the prefix.  Left values holding LIKE wildcards (``%``, ``_``) are matched
@@ -51,12 +54,23 @@ def prefix_join(left: DataFrame, left_col: str, patterns: DataFrame, pattern_col
             .withColumn("__i", F.explode(F.sequence(F.lit(0), F.length(pattern_col))))
             .withColumn("__prefix", F.expr(f"substring({pattern_col}, 1, __i)"))
             .drop("__i"))
+    if dedupe:
+        cols = patterns.columns
+        best = F.min(F.struct(F.length(pattern_col).alias("__n"), F.col(pattern_col).alias("__p"), F.struct(*cols).alias("__r")))
+        pref = pref.groupBy("__prefix").agg(best.alias("__b")).select("__prefix", *[F.col(f"__b.__r.{c}").alias(c) for c in cols])
     wild = F.col(left_col).contains("%") | F.col(left_col).contains("_")
     plain = left.filter(F.col(left_col).isNull() | ~wild)
     out = plain.join(pref, plain[left_col] == pref["__prefix"], how).drop("__prefix")
     special = left.filter(wild)
-    lk = special.join(patterns,
-                      F.call_function("like", patterns[pattern_col], F.concat(special[left_col], F.lit("%"))), how)
+    if dedupe:  # one pattern for each distinct value with wildcards
+        values = special.select(F.col(left_col).alias("__v")).distinct()
+        hit = values.join(patterns, F.call_function("like", F.col(pattern_col), F.concat("__v", F.lit("%"))), "left")
+        best = F.min(F.struct(F.length(pattern_col).alias("__n"), F.col(pattern_col).alias("__p"), F.struct(*patterns.columns).alias("__r")))
+        hit = hit.groupBy("__v").agg(best.alias("__b")).select("__v", *[F.col(f"__b.__r.{c}").alias(c) for c in patterns.columns])
+        lk = special.join(hit, F.col(left_col) == F.col("__v"), how).drop("__v")
+    else:
+        lk = special.join(patterns,
+                          F.call_function("like", patterns[pattern_col], F.concat(special[left_col], F.lit("%"))), how)
     return out.unionByName(lk)
 
 

@@ -10,7 +10,7 @@ registry.load_all()
 
 # Nested loops allowed only where the build side is small configuration data:
 # the LIKE-with-wildcard branch joins against the fixed replication-state table.
-NESTED_LOOP_OK = {"state_pattern_join", "replica_lag_status", "replica_lag_alert"}
+NESTED_LOOP_OK = {"state_pattern_join", "state_pattern_dedupe", "replica_lag_status", "replica_lag_alert"}
 
 
 def test_no_cartesian_products(spark):
@@ -35,3 +35,11 @@ def test_scans_of_chain_totals(spark):
     for name in ("chain_totals", "rto_worst"):
         plan = registry.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") <= 4, (name, plan.count("Relation ["))
+
+
+def test_one_pass_queries(spark):
+    """Checks, dimensions and metrics share one scan of their input (two tables make a deadlock document)."""
+    for name, scans in (("deadlock_findings", 2), ("event_counts_by_dim", 2), ("wait_by_object", 2), ("multi_metric_topn", 1),
+                        ("points_topn", 1), ("rank_by_all", 1), ("greedy_topn", 1), ("dual_rank", 1)):
+        plan = registry.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == scans, (name, plan.count("Relation ["))
