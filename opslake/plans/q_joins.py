@@ -69,6 +69,19 @@ def state_pattern(spark, d):
     return J.prefix_join(pl, "state", ks, "known_state")
 
 
+@query("state_pattern_dedupe", f"""WITH {ctes('x4')}
+SELECT p.id, p."user", p.command, p.state, ks.state AS known_state, ks.state_type
+FROM x4 p LEFT JOIN {STATES_SQL} ON ks.state LIKE p.state || '%'
+WHERE p."user" = 'system user' OR p.command = 'Binlog Dump'
+QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY length(ks.state), ks.state) = 1""")
+def state_pattern_dedupe(spark, d):
+    """One known state a process, however many its state is a prefix of."""
+    pl = (fx.processlist(spark, d).filter((F.col("user") == "system user") | (F.col("command") == "Binlog Dump"))
+          .select("id", "user", "command", "state"))
+    ks = J.known_states(spark).withColumnRenamed("state", "known_state")
+    return J.prefix_join(pl, "state", ks, "known_state", dedupe=True)
+
+
 @query("permission_resolve", """
 WITH p AS (SELECT s_suppkey AS permission_id, s_nationkey AS grantee_principal_id,
                   CASE s_suppkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS class,
