@@ -11,19 +11,25 @@ overlap are verified, by intersecting the exact hash sets.
 
 Hot groups.  Equal sets are one class (one point) from the start.  Members of a
 bucket are first tried against its two extreme members; what that connects is one
-component, and a bucket of one component needs nothing more.  The rest goes to the
+component, and a bucket of one component needs nothing more.  Of buckets with the
+same members one is kept.  The rest goes to the
 R-tree, which only looks for pairs of different components; a bucket of more than
 ``bucket_rows`` points is cut into blocks that are searched block against block.  A
 search reports a forest of the pairs that pass the bound; buckets whose forest has a
 pair that fails the exact test are searched again with the exact test inside, by
 families of components that such forests connect, in blocks of the same size.  No pair
 is capped or sampled, and no group's pairs are all written out.
+
+Texts are never shuffled and hash sets are stored only for sets of a pair to be
+verified: a pass over the documents makes them again where a bitmap of fixed size has
+the set's id.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from contextlib import contextmanager
 from fractions import Fraction
 from functools import lru_cache
 
@@ -50,8 +56,10 @@ def _bounds(upto: int) -> list[int]:
 
 _BOUNDS = _bounds(1 << 40)
 BOUNDS = np.array(_BOUNDS, np.int64)
-#: number of a set's cells and size class travel as one number: cells * KC + class
+#: the low bits of a cell's key are its size class
 KC = 128
+#: bits of the map of wanted set ids: 2 MiB, whatever the input
+WANTED_BITS = 1 << 24
 
 
 def _fine(t: Fraction) -> int:
@@ -90,23 +98,26 @@ def _edges(s: np.ndarray, m: int) -> np.ndarray:
     return np.searchsorted(g, np.arange(m + 1, dtype=np.uint64))
 
 
-def _cells(s: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, size classes) of a set's cells: one per size class and non-empty group (empty groups only if more than the spare)."""
-    out, of = [np.empty(0, np.uint64)], [0]
+def _cells(s: np.ndarray, t: Fraction) -> np.ndarray:
+    """Keys of a set's cells: one per size class and non-empty group (empty groups only if more than the spare)."""
+    out = [np.empty(0, np.uint64)]
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(T.mix(s + np.uint64(77)), out=sums[1:])
-    classes = _classes(len(s), t)
-    for c in classes:
+    for c in _classes(len(s), t):
         m, spare = _groups(c, t)
         if m == 1:  # no difference is allowed: only equal sets link, and they are one class already
-            of.append(0)
             continue
         at = _edges(s, m)
         n = np.diff(at)
-        keys = T.mix((sums[at[1:]] - sums[at[:-1]]) ^ _names(c, m))
+        keys = T.mix((sums[at[1:]] - sums[at[:-1]]) ^ _names(c, m)) & ~np.uint64(KC - 1) | np.uint64(c)
         out.append(keys if (n == 0).sum() > spare else keys[n > 0])
-        of.append(len(out[-1]))
-    return np.concatenate(out).view(np.int64), np.repeat(np.array([0, *classes], np.int64), of)
+    return np.concatenate(out).view(np.int64)
+
+
+@lru_cache(1 << 16)
+def _cell_count(n: int, t: Fraction) -> int:
+    """About as many cells as a set of ``n`` shingles has."""
+    return sum(m for m in (_groups(c, t)[0] for c in _classes(n, t)) if m > 1) if n else 0
 
 
 def _hash_sets(b: pa.RecordBatch, k: int):
@@ -126,43 +137,98 @@ def _set_id(s: np.ndarray) -> int | None:
     return int(T.mix(T.mix(T.mix(f[:1]) + f[1:2]) + f[2:]).view(np.int64)[0])
 
 
-def _signatures(k: int):
+def _signatures(k: int, t: Fraction):
     def run(batches):
         for b in T.slices(batches):
             sets = [(len(s), _set_id(s)) for s in _hash_sets(b, k)]
             yield pa.record_batch([
                 b.column("doc_id"), b.column("text_hash"), pa.array([n for n, _ in sets], pa.int64()),
-                pa.array([c for _, c in sets], pa.int64())], ["doc_id", "text_hash", "n_shingles", "cid"])
+                pa.array([c for _, c in sets], pa.int64()), pa.array([_cell_count(n, t) for n, _ in sets], pa.int64())],
+                ["doc_id", "text_hash", "n_shingles", "cid", "k"])
     return run
 
 
-def _cell_rows(k: int, t: Fraction, remember: int = 200_000):
-    """One row per set and cell; a task leaves out sets it has emitted before, as far as it remembers them."""
+def _distinct_sets(batches, k: int, remember: int = 200_000):
+    """(id, hashes) of every non-empty set, slice by slice; a set that the task has given before is left out, as far as it remembers."""
+    seen: set[int] = set()
+    for b in T.slices(batches):
+        out = []
+        for s in _hash_sets(b, k):
+            cid = _set_id(s)
+            if cid is not None and cid not in seen:
+                if len(seen) >= remember:
+                    seen.clear()
+                seen.add(cid)
+                out.append((cid, s))
+        yield out
+
+
+def _cell_rows(k: int, t: Fraction):
+    """One row per set and cell."""
     def run(batches):
-        seen: set[int] = set()
-        for b in T.slices(batches):
-            cids, cells, kc = [], [], []
-            for s in _hash_sets(b, k):
-                cid = _set_id(s)
-                if cid is not None and cid not in seen:
-                    if len(seen) >= remember:
-                        seen.clear()
-                    seen.add(cid)
-                    keys, classes = _cells(s, t)
-                    cids.append(np.full(len(keys), cid, np.int64))
-                    cells.append(keys)
-                    kc.append(len(keys) * KC + classes)
-            yield pa.record_batch([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (cids, kc, cells)],
-                                  ["cid", "kc", "cell"])
+        for sets in _distinct_sets(batches, k):
+            cells = [_cells(s, t) for _, s in sets]
+            cids = np.repeat(np.array([c for c, _ in sets], np.int64), [len(x) for x in cells])
+            yield pa.record_batch([pa.array(cids), pa.array(np.concatenate([np.empty(0, np.int64), *cells]))], ["cid", "cell"])
     return run
 
 
-def _sets(k: int):
+def _spots(cid: np.ndarray) -> np.ndarray:
+    return (T.mix(cid.view(np.uint64)) % np.uint64(WANTED_BITS)).astype(np.int64)
+
+
+def _wanted(ids: DataFrame):
+    """Broadcast bitmap of the set ids (column cid); the driver gets its words, never the ids."""
     def run(batches):
-        for b in T.slices(batches):
-            yield pa.record_batch([b.column("cid"), b.column("copies"),
-                                   pa.array([x.tobytes() for x in _hash_sets(b, k)], pa.binary())], ["cid", "copies", "hashes"])
-    return run
+        bits = np.zeros(WANTED_BITS // 64, np.uint64)
+        for b in batches:
+            at = _spots(b.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        at = np.flatnonzero(bits)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(bits[at].view(np.int64))], ["at", "bits"])
+    got = ids.select("cid").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(WANTED_BITS // 64, np.uint64)
+    bits[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _remade(src: DataFrame, ids: DataFrame, k: int, make, schema: str, keys: list[str]) -> DataFrame:
+    """``make(cid, hashes)`` -> rows, for the sets with the given ids (and a few more, by chance of the bitmap), each once."""
+    bits = _wanted(ids)
+    kinds = [f.split()[1] for f in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        have = bits.value
+        for sets in _distinct_sets(batches, k):
+            rows = []
+            if sets:
+                at = _spots(np.array([c for c, _ in sets], np.int64))
+                hit = (have[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+                for i in np.flatnonzero(hit):
+                    rows += make(*sets[i])
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.record_batch([pa.array(c, types[x]) for c, x in zip(cols, kinds, strict=True)], names)
+
+    made = src.select("text").mapInArrow(run, schema)
+    return made.dropDuplicates(keys)
+
+
+def _set_row(cid: int, s: np.ndarray):
+    return [(cid, s.tobytes())]
+
+
+@contextmanager
+def _small_batches(spark, rows: int = 512):
+    """Rows with hash sets go to Python a few at a time, so that a batch of them stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _verify(num: int, den: int):
@@ -290,21 +356,10 @@ def _search(num: int, den: int, exact: bool):
 
 
 def _vectors(t: Fraction):
-    """Points of every set, one for each of its size classes."""
-    def run(batches):
-        for b in batches:
-            cid, cls, n, vec = [], [], [], []
-            for i, x in zip(b.column("cid").to_pylist(), b.column("hashes"), strict=True):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                for c in _classes(len(s), t):
-                    counts = _counts(s, _fine(t) * _groups(c, t)[0])
-                    cid.append(i)
-                    cls.append(c)
-                    n.append(len(s))
-                    vec.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
-            yield pa.record_batch([pa.array(cid, pa.int64()), pa.array(cls, pa.int32()), pa.array(n, pa.int64()),
-                                   pa.array(vec, pa.binary())], ["cid", "c", "n", "vec"])
-    return run
+    """Points of a set, one for each of its size classes."""
+    def make(cid: int, s: np.ndarray):
+        return [(cid, c, len(s), np.minimum(_counts(s, _fine(t) * _groups(c, t)[0]), 255).astype(np.uint8).tobytes()) for c in _classes(len(s), t)]
+    return make
 
 
 def _in_blocks(rows: DataFrame, bucket_rows: int) -> DataFrame:
@@ -351,46 +406,42 @@ def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int)
     t = Fraction(str(similarity))
     num, den = t.numerator, t.denominator
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sig = materialize(src.mapInArrow(_signatures(ngram), "doc_id long, text_hash long, n_shingles long, cid long"), "jaccard-sig")
-    reps = (sig.where("cid is not null").groupBy("cid", "doc_id", "text_hash")
-            .agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n")))
-    reps = materialize(reps.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"),
-                                               F.min(F.struct("doc_id", "text_hash", "copies")).alias("rep")), "jaccard-class")
+    spark = docs.sparkSession
+    sig = materialize(src.mapInArrow(_signatures(ngram, t), "doc_id long, text_hash long, n_shingles long, cid long, k long"), "jaccard-sig")
+    reps = materialize(sig.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("k").alias("k")), "jaccard-class")
 
     # cells are never stored: of all of them only those that several sets share are written
     w = Window.partitionBy("cell")
-    multi = (src.select("text").mapInArrow(_cell_rows(ngram, t), "cid long, kc long, cell long")
+    multi = (src.select("text").mapInArrow(_cell_rows(ngram, t), "cid long, cell long")
              .select("*", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"))
-             .where("lo <> hi").dropDuplicates(["cid", "cell"])
-            .select("cid", "cell", "lo", "hi", F.expr(f"kc div {KC}").alias("k"), (F.col("kc") % KC).cast("int").alias("c")))
+             .where("lo <> hi").dropDuplicates(["cid", "cell"]))
     multi = materialize(multi, "jaccard-cells")
-    # written first, so that Spark knows its size when it chooses the join that follows
-    need = materialize(multi.select("cid").distinct().join(reps, "cid").select(
-        "cid", F.col("rep.doc_id").alias("rid"), F.col("rep.text_hash").alias("rhash"), F.col("rep.copies").alias("copies")), "jaccard-need")
-    sets = src.join(need, F.col("doc_id").eqNullSafe(F.col("rid")) & (F.col("text_hash") == F.col("rhash")))
-    sets = materialize(sets.select("cid", "copies", "text").mapInArrow(_sets(ngram), "cid long, copies long, hashes binary"),
-                       "jaccard-sets")
-    twice = sets.where("copies > 1")
-    if not twice.isEmpty():  # rows repeated in full give the same set twice
-        sets = materialize(sets.where("copies = 1").unionByName(twice.dropDuplicates(["cid"])), "jaccard-sets")
+
+    def verified(pairs):
+        """The pairs with ``ok``; the sets are made again for these pairs only."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        sets = materialize(_remade(src, ends, ngram, _set_row, "cid long, hashes binary", ["cid"]), "jaccard-sets")
+        with _small_batches(spark):
+            return materialize(_pairs_with_sets(pairs, sets).mapInArrow(_verify(num, den), "a long, b long, ok boolean"), "jaccard-links")
 
     # only likely pairs are tried here (an eighth of the cells shared); the R-tree search looks at all others
-    star = multi.select(F.col("cid").alias("a"), "k", F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
-    star = star.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("k").alias("k")).where("8 * shared >= k")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = "a long, b long, ok boolean"
-    links = _pairs_with_sets(star, sets).mapInArrow(_verify(num, den), tested).where("ok").select("a", "b")
-    links = materialize(links, "jaccard-links")
+    star = multi.select(F.col("cid").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+    star = star.groupBy("a", "b").agg(F.count("*").alias("shared")).join(reps.select(F.col("cid").alias("a"), "k"), "a").where("8 * shared >= k")
+    star = materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-star")
+    links = verified(star).where("ok").select("a", "b")
     comp = connected_components(links)
 
-    comped = (multi.select("cid", "cell", "c").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
-              .select("cid", "cell", "c", F.coalesce("label", "cid").alias("comp")))
-    left = (comped.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"),
-                          F.count("*").over(w).alias("m")).where("lo <> hi").drop("lo", "hi"))
-    left = materialize(left, "jaccard-left")
-    left = _in_blocks(left, bucket_rows)
-    vec = materialize(sets.mapInArrow(_vectors(t), "cid long, c int, n long, vec binary"), "jaccard-points")
-    points = left.join(vec, ["cid", "c"]).select("cell", "i", "j", "side", "cid", "comp", "n", "vec")
+    comped = (multi.select("cid", "cell").join(comp.withColumnRenamed("id", "cid"), "cid", "left")
+              .select("cid", "cell", F.coalesce("label", "cid").alias("comp")))
+    comped = materialize(comped, "jaccard-comped")
+    # buckets of several components; of those with the same members (and class) the one of the smallest key
+    per = (comped.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"),
+                                      F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("y")).where("lo <> hi"))
+    once = per.groupBy((F.col("cell").bitwiseAND(KC - 1)).cast("int").alias("c"), "m", "x", "y").agg(F.min("cell").alias("cell"))
+    left = materialize(comped.join(once.select("cell", "c", "m"), "cell"), "jaccard-left")
+    vec = _remade(src, left.select("cid").distinct(), ngram, _vectors(t), "cid long, c int, n long, vec binary", ["cid", "c"])
+    vec = materialize(vec, "jaccard-points")
+    points = _in_blocks(left, bucket_rows).join(vec, ["cid", "c"]).select("cell", "i", "j", "side", "cid", "comp", "n", "vec")
     pair = "cell long, i int, j int, a long, b long, ca long, cb long"
 
     def search(rows, exact):
@@ -398,7 +449,7 @@ def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int)
         return rows.mapInArrow(_search(num, den, exact), pair)
     # forests of the pairs that pass the bound; if all pairs of a bucket's forest are links, the bucket is settled
     cand = materialize(search(points, False), "jaccard-forest")
-    more = materialize(_pairs_with_sets(cand.select("a", "b").distinct(), sets).mapInArrow(_verify(num, den), tested), "jaccard-links")
+    more = verified(cand.select("a", "b").distinct())
     # buckets with a pair that is no link are searched again with the exact test inside.  Pairs that pass the bound lie
     # between components that the bucket's forest connects, so the search goes by such families: a set travels once
     # for its family, not once for every bucket
@@ -406,11 +457,14 @@ def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int)
     again = materialize(cand.join(again, ["cell", "i", "j"]).select("cell", "i", "j", "ca", "cb").distinct(), "jaccard-again")
     family = connected_components(again, "ca", "cb").select(F.col("id").alias("comp"), F.col("label").alias("cell"))
     ends = again.select("cell", "i", "j", F.explode(F.array("ca", "cb")).alias("comp")).distinct()
-    members = left.join(ends, ["cell", "i", "j", "comp"]).select("cid", "comp").distinct().join(family, "comp")
-    members = _in_blocks(members.select("*", F.count("*").over(w).alias("m")), bucket_rows)
+    blocks = _in_blocks(left, bucket_rows)
+    members = materialize(blocks.join(ends, ["cell", "i", "j", "comp"]).select("cid", "comp").distinct().join(family, "comp"), "jaccard-members")
+    sets = materialize(_remade(src, members.select("cid").distinct(), ngram, _set_row, "cid long, hashes binary", ["cid"]), "jaccard-sets")
+    members = _in_blocks(members.join(members.groupBy("cell").agg(F.count("*").alias("m")), "cell"), bucket_rows)
     redo = members.join(sets, "cid").select("cell", "i", "j", "side", "cid", "comp", "hashes",
                                             F.expr("octet_length(hashes) div 8").alias("n"))
-    redo = materialize(search(redo, True).select("a", "b").distinct(), "jaccard-links")
+    with _small_batches(spark):
+        redo = materialize(search(redo, True).select("a", "b").distinct(), "jaccard-links")
     more = more.where("ok").select("a", "b").unionByName(redo)
     hook = comp.select(F.col("id").alias("a"), F.col("label").alias("b"))
     final = connected_components(hook.unionByName(more)).withColumnRenamed("id", "cid")

@@ -137,7 +137,7 @@ def test_cells_never_miss_a_pair():
                     break
                 b = c
             same = np.array_equal(a, b)
-            assert same or len(np.intersect1d(jaccard_join._cells(a, f)[0], jaccard_join._cells(b, f)[0]))
+            assert same or len(np.intersect1d(jaccard_join._cells(a, f), jaccard_join._cells(b, f)))
 
 
 def test_connected_components(spark):
@@ -365,6 +365,17 @@ def test_toxicity_grammar():
     assert score("i will kill you") > score("kill the process") > 0 == score("a fine day")
 
 
+def test_toxicity_flags():
+    """Each flag alone and under negation and report, where factors multiply to inexact products."""
+    kinds = {"T": toxicity.TARGET, "N": toxicity.NEGATION, "R": toxicity.REPORT, "I": toxicity.INSULT, "K": toxicity.THREAT, "o": toxicity.OTHER}
+    want = {"I": (False, False, False), "TI": (True, False, False), "TNI": (True, False, True), "TRI": (True, False, True),
+            "TRNI": (True, False, True), "NI": (False, False, True), "TooooI": (False, False, False), "K": (False, True, False),
+            "TK": (False, True, False), "TRK": (False, True, True), "NK": (False, True, True), "KT": (True, True, False),
+            "NKT": (True, True, True), "RKoT": (True, True, True), "KooooooT": (False, True, False), "NooooI": (False, False, False)}
+    for text, flags in want.items():
+        assert toxicity.clause_score([kinds[x] for x in text], [1.0] * len(text))[1:] == flags, text
+
+
 def test_toxicity(spark, docs, none):
     r = random.Random(12)
     rows = []
@@ -404,11 +415,28 @@ def test_order_minhash(spark, docs, none):
     assert alone["near_next"] == 1 and alone["edited"] == "Äpfel, Öl!"[:8] + "Äp"
 
 
+def test_order_minhash_is_sensitive_to_edits_only(spark):
+    """One character inserted, deleted or changed, in front or inside, with and without blanks."""
+    r = random.Random(8)
+    texts = [prose(r, 700), "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(4000)),
+             "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(3000)), "x" * 40 + " " + prose(r, 300) + " " + "".join(r.choice("acgt") for _ in range(2000))]
+    rows = []
+    for t in texts:
+        for at in (0, 1, 17, len(t) // 2):
+            rows += [(t, t[:at] + "Q" + t[at:]), (t, t[:at] + t[at + 1:]), (t, t[:at] + "Q" + t[at + 1:])]
+        rows.append((t, "".join(r.sample(t, len(t)))))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, b string")
+    got = [x[0] for x in df.orderBy("i").select(order_minhash.likeness(order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b")))).collect()]
+    for k in range(len(texts)):
+        part = got[13 * k:13 * k + 13]
+        assert min(part[:12]) > 0.8 and part[12] < 0.5, (k, part)
+
+
 def test_order_minhash_brute_force(spark):
     """The native expression against a plain version built on the same k-mer hashes."""
     words = "a b a b a b c d e f g h i j k l m n o p a b a".split()
     df = spark.createDataFrame([(0, " ".join(words))], "doc_id long, text string")
-    tok = re.findall(r"\S{1,16}\s*|\s+", " ".join(words))
+    tok = re.findall(r"(?<!\S)\S{1,16}(?!\S)\s*|\S\s*|\s+", " ".join(words))
     hs = [r[0] for r in spark.createDataFrame([(i, *(tok[i + k] if i + k < len(tok) else None for k in range(3))) for i in range(len(tok))],
                                               "i int, a string, b string, c string").orderBy("i").select(F.xxhash64("a", "b", "c")).collect()]
     pos = (1 << order_minhash.POS_BITS) - 1
