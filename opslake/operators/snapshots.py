@@ -117,36 +117,27 @@ def counter_actuals(counters: DataFrame, raw: int, rate: int, fraction: int, bas
                     base_of: dict[str, str]) -> DataFrame:
     """Counter values by type: raw value, per-second rate, fraction of a base, average per base.
 
-    ``base_of`` maps a fraction/average counter name to its base counter name.
+    ``base_of`` maps a fraction/average counter name to its base counter name; a
+    row whose base is absent has no value.  The bases of an object instance's
+    snapshot are laid beside its rows (one window over the counters of that
+    instance), and rates and averages share one delta.
     """
-    spark = counters.sparkSession
-    key = ["server_name", "check_date", "object_name", "instance_name"]
-    out_cols = ["server_name", "check_date", "object_name", "counter_name", "instance_name", "cntr_type", "value"]
-    raw_v = counters.filter(F.col("cntr_type") == raw).withColumn("value", F.col("cntr_value").cast("double"))
-    pairs = snapshot_pairs(counters)
-    rate_v = (counter_deltas(counters.filter(F.col("cntr_type") == rate), pairs)
-              .withColumn("value", F.col("cntr_value_per_second")))
-    bmap = spark.createDataFrame(list(base_of.items()), "counter_name string, base_name string")
-    bases = counters.filter(F.col("cntr_type") == base).select(
-        *key, F.col("counter_name").alias("base_name"), F.col("cntr_value").alias("base_value"))
-    frac = (counters.filter(F.col("cntr_type") == fraction).join(F.broadcast(bmap), "counter_name")
-            .join(bases, key + ["base_name"])
-            .withColumn("value", F.when(F.col("base_value") != 0,
-                                        F.col("cntr_value") * F.lit(100.0) / F.col("base_value"))))
-    av = counters.filter(F.col("cntr_type") == average).join(F.broadcast(bmap), "counter_name")
-    bases_c = counters.filter(F.col("cntr_type") == base).select(
-        "server_name", "check_date", "object_name", "instance_name",
-        F.col("counter_name").alias("base_name"), F.col("cntr_value").alias("base_value"))
-    pair = av.join(bases_c, key + ["base_name"])
-    dd = snapshot_delta(pair, ["object_name", "counter_name", "instance_name"], ["cntr_value", "base_value"],
-                        carry=["cntr_type"], pairs=pairs)
-    avg_v = dd.withColumn("value", F.when(F.col("base_value_delta") != 0,
-                                          F.col("cntr_value_delta") / F.col("base_value_delta").cast("double")))
-    parts = [raw_v, rate_v, frac, avg_v]
-    out = parts[0].select(*out_cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*out_cols))
-    return out
+    keys = ["object_name", "counter_name", "instance_name"]
+    own = Window.partitionBy("server_name", "check_date", "object_name", "instance_name")
+    here = F.collect_list(F.when(F.col("cntr_type") == base, F.struct("counter_name", "cntr_value"))).over(own)
+    name = F.create_map(*[F.lit(x) for pair in base_of.items() for x in pair])[F.col("counter_name")]
+    c = counters.withColumn("__bases", here).withColumn("__base", name)
+    c = c.withColumn("base_value", F.get(F.filter("__bases", lambda x: x["counter_name"] == F.col("__base")), 0)["cntr_value"]).drop("__bases", "__base")
+    kind, based = F.col("cntr_type"), F.col("base_value").isNotNull()
+    value = (F.when(kind == raw, F.col("cntr_value").cast("double"))
+             .when(F.col("base_value") != 0, F.col("cntr_value") * F.lit(100.0) / F.col("base_value")))
+    now = c.filter((kind == raw) | ((kind == fraction) & based)).select("server_name", "check_date", *keys, "cntr_type", value.alias("value"))
+    d = snapshot_delta(c.filter((kind == rate) | ((kind == average) & based)), keys, ["cntr_value", "base_value"], carry=["cntr_type"],
+                       pairs=snapshot_pairs(counters))
+    change = F.col("cntr_value_delta")
+    value = (F.when(kind == rate, F.try_divide(change.cast("double"), F.col("elapsed_seconds")))
+             .when(F.col("base_value_delta") != 0, change / F.col("base_value_delta").cast("double")))
+    return now.unionByName(d.select("server_name", "check_date", *keys, "cntr_type", value.alias("value")))
 
 
 def latest_pair(deltas: DataFrame, server: str = "server_name", date: str = "check_date") -> DataFrame:
