@@ -22,7 +22,7 @@ is capped or sampled, and no group's pairs are all written out.
 
 Texts are never shuffled and hash sets are stored only for sets of a pair to be
 verified: a pass over the documents makes them again where a bitmap of fixed size has
-the set's id.
+the text's hash.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ _BOUNDS = _bounds(1 << 40)
 BOUNDS = np.array(_BOUNDS, np.int64)
 #: the low bits of a cell's key are its size class
 KC = 128
-#: bits of the map of wanted set ids: 2 MiB, whatever the input
+#: bits of the map of wanted texts: 2 MiB, whatever the input
 WANTED_BITS = 1 << 24
 
 
@@ -177,8 +177,8 @@ def _spots(cid: np.ndarray) -> np.ndarray:
     return (T.mix(cid.view(np.uint64)) % np.uint64(WANTED_BITS)).astype(np.int64)
 
 
-def _wanted(ids: DataFrame):
-    """Broadcast bitmap of the set ids (column cid); the driver gets its words, never the ids."""
+def _wanted(hashes: DataFrame):
+    """Broadcast bitmap of a column of hashes; the driver gets its words, never the hashes."""
     def run(batches):
         bits = np.zeros(WANTED_BITS // 64, np.uint64)
         for b in batches:
@@ -186,32 +186,35 @@ def _wanted(ids: DataFrame):
             np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         at = np.flatnonzero(bits)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(bits[at].view(np.int64))], ["at", "bits"])
-    got = ids.select("cid").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    got = hashes.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(WANTED_BITS // 64, np.uint64)
     bits[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return ids.sparkSession.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
-def _remade(src: DataFrame, ids: DataFrame, k: int, make, schema: str, keys: list[str]) -> DataFrame:
-    """``make(cid, hashes)`` -> rows, for the sets with the given ids (and a few more, by chance of the bitmap), each once."""
-    bits = _wanted(ids)
+def _remade(src: DataFrame, reps: DataFrame, ids: DataFrame, k: int, make, schema: str, keys: list[str]) -> DataFrame:
+    """``make(cid, hashes)`` -> rows, for the sets with the given ids (and a few more, by chance of the bitmap), each once.
+
+    A text is looked up by its hash before it is read, so only texts with a wanted set are cut into words.
+    """
+    bits = _wanted(reps.join(ids, "cid", "left_semi").select("text_hash"))
     kinds = [f.split()[1] for f in schema.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     names = [f.split()[0] for f in schema.split(", ")]
 
-    def run(batches):
+    def wanted(batches):
         have = bits.value
-        for sets in _distinct_sets(batches, k):
-            rows = []
-            if sets:
-                at = _spots(np.array([c for c, _ in sets], np.int64))
-                hit = (have[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-                for i in np.flatnonzero(hit):
-                    rows += make(*sets[i])
+        for b in batches:
+            at = _spots(b.column("text_hash").to_numpy())
+            yield b.filter(pa.array((have[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0))
+
+    def run(batches):
+        for sets in _distinct_sets(wanted(batches), k):
+            rows = [row for s in sets for row in make(*s)]
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, types[x]) for c, x in zip(cols, kinds, strict=True)], names)
 
-    made = src.select("text").mapInArrow(run, schema)
+    made = src.select("text", "text_hash").mapInArrow(run, schema)
     return made.dropDuplicates(keys)
 
 
@@ -408,7 +411,8 @@ def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int)
     src = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     spark = docs.sparkSession
     sig = materialize(src.mapInArrow(_signatures(ngram, t), "doc_id long, text_hash long, n_shingles long, cid long, k long"), "jaccard-sig")
-    reps = materialize(sig.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("k").alias("k")), "jaccard-class")
+    reps = materialize(sig.where("cid is not null").groupBy("cid").agg(
+        F.min("doc_id").alias("first_id"), F.first("k").alias("k"), F.min("text_hash").alias("text_hash")), "jaccard-class")
 
     # cells are never stored: of all of them only those that several sets share are written
     w = Window.partitionBy("cell")
@@ -420,7 +424,7 @@ def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int)
     def verified(pairs):
         """The pairs with ``ok``; the sets are made again for these pairs only."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets = materialize(_remade(src, ends, ngram, _set_row, "cid long, hashes binary", ["cid"]), "jaccard-sets")
+        sets = materialize(_remade(src, reps, ends, ngram, _set_row, "cid long, hashes binary", ["cid"]), "jaccard-sets")
         with _small_batches(spark):
             return materialize(_pairs_with_sets(pairs, sets).mapInArrow(_verify(num, den), "a long, b long, ok boolean"), "jaccard-links")
 
@@ -439,7 +443,7 @@ def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int)
                                       F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(7))).alias("y")).where("lo <> hi"))
     once = per.groupBy((F.col("cell").bitwiseAND(KC - 1)).cast("int").alias("c"), "m", "x", "y").agg(F.min("cell").alias("cell"))
     left = materialize(comped.join(once.select("cell", "c", "m"), "cell"), "jaccard-left")
-    vec = _remade(src, left.select("cid").distinct(), ngram, _vectors(t), "cid long, c int, n long, vec binary", ["cid", "c"])
+    vec = _remade(src, reps, left.select("cid").distinct(), ngram, _vectors(t), "cid long, c int, n long, vec binary", ["cid", "c"])
     vec = materialize(vec, "jaccard-points")
     points = _in_blocks(left, bucket_rows).join(vec, ["cid", "c"]).select("cell", "i", "j", "side", "cid", "comp", "n", "vec")
     pair = "cell long, i int, j int, a long, b long, ca long, cb long"
@@ -459,7 +463,7 @@ def _labelled(docs: DataFrame, ngram: int, similarity: float, bucket_rows: int)
     ends = again.select("cell", "i", "j", F.explode(F.array("ca", "cb")).alias("comp")).distinct()
     blocks = _in_blocks(left, bucket_rows)
     members = materialize(blocks.join(ends, ["cell", "i", "j", "comp"]).select("cid", "comp").distinct().join(family, "comp"), "jaccard-members")
-    sets = materialize(_remade(src, members.select("cid").distinct(), ngram, _set_row, "cid long, hashes binary", ["cid"]), "jaccard-sets")
+    sets = materialize(_remade(src, reps, members.select("cid").distinct(), ngram, _set_row, "cid long, hashes binary", ["cid"]), "jaccard-sets")
     members = _in_blocks(members.join(members.groupBy("cell").agg(F.count("*").alias("m")), "cell"), bucket_rows)
     redo = members.join(sets, "cid").select("cell", "i", "j", "side", "cid", "comp", "hashes",
                                             F.expr("octet_length(hashes) div 8").alias("n"))

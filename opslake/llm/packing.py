@@ -27,7 +27,7 @@ from opslake.sources.sinks import materialize
 #: left is NFC already, and its lower case does not depend on context
 _ODD = r"[^\t\n\v\f\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}]"
 #: bounds the memory of a worker's cache; chunks beyond it are encoded for each slice anew
-_CACHE_WORDS = 700_000
+_CACHE_WORDS = 250_000
 
 
 class WordTokenizer:

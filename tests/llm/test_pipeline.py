@@ -35,4 +35,4 @@ def _one(text):
 
 def test_registered():
     names = entry.queries()
-    assert {"pipeline", *(f"op{i}_" for i in range(1, 11))} <= {n if n == "pipeline" else n.split("_")[0] + "_" for n in names}
+    assert {"pipeline", *(f"op{i}_" for i in range(1, 14))} <= {n if n == "pipeline" else n.split("_")[0] + "_" for n in names}
