@@ -27,25 +27,60 @@ NODE_SCHEMA = ("plan_id long, node int, parent int, depth int, element string, p
 RULE_SCHEMA = "rule_name string, element string, path_end string, attr string, test string, wanted string, measure string, of string, agg string, at_least double"
 
 
-def _elements(text: str) -> list[tuple]:
-    """(node, parent, depth, element, path, ancestors, attributes) of every element, in document order."""
-    out, chain, names = [], [], []
-
-    def start(name, attrs):
-        name = name.rsplit(":", 1)[-1]
-        node = len(out)
-        out.append((node, chain[-1] if chain else None, len(chain), name, "/".join([*names, name]), [*chain, node], list(attrs.items())))
-        chain.append(node)
-        names.append(name)
-
-    def end(_):
-        chain.pop()
-        names.pop()
-
-    p = expat.ParserCreate()
-    p.StartElementHandler, p.EndElementHandler = start, end
-    p.Parse(text, True)
-    return out
+class _Columns:
+    """Elements of the plans of a batch, column by column; lists and maps as flat values with their ends."""
+
+    def __init__(self):
+        self.plan, self.node, self.parent, self.depth, self.element, self.path = ([] for _ in range(6))
+        self.ancestors, self.keys, self.values = [], [], []
+        self.ancestor_ends, self.attr_ends = [0], [0]
+
+    def read(self, plan: int, text: str) -> None:
+        """Append the elements of one plan in document order; a broken plan leaves nothing behind and raises."""
+        first, chain, paths = len(self.node), [], [""]
+        ancestors, keys, values = self.ancestors, self.keys, self.values
+
+        def start(name, attrs):
+            name = name.rsplit(":", 1)[-1]
+            node = len(self.node) - first
+            self.plan.append(plan)
+            self.node.append(node)
+            self.parent.append(chain[-1] if chain else None)
+            self.depth.append(len(chain))
+            self.element.append(name)
+            path = paths[-1] + name
+            self.path.append(path)
+            chain.append(node)
+            paths.append(path + "/")
+            ancestors.extend(chain)
+            self.ancestor_ends.append(len(ancestors))
+            keys.extend(attrs[::2])
+            values.extend(attrs[1::2])
+            self.attr_ends.append(len(keys))
+
+        def end(_):
+            chain.pop()
+            paths.pop()
+
+        p = expat.ParserCreate()
+        p.ordered_attributes = True
+        p.StartElementHandler, p.EndElementHandler = start, end
+        try:
+            p.Parse(text, True)
+        except expat.ExpatError:
+            for c in (self.plan, self.node, self.parent, self.depth, self.element, self.path):
+                del c[first:]
+            for ends in (self.ancestor_ends, self.attr_ends):
+                del ends[first + 1:]
+            del ancestors[self.ancestor_ends[-1]:], keys[self.attr_ends[-1]:], values[self.attr_ends[-1]:]
+            raise
+
+    def batch(self) -> pa.RecordBatch:
+        plain = [pa.array(c, f.type) for c, f in zip((self.plan, self.node, self.parent, self.depth, self.element, self.path), _NODE)]
+        chains = pa.ListArray.from_arrays(pa.array(self.ancestor_ends, pa.int32()), pa.array(self.ancestors, pa.int32()))
+        attrs = pa.MapArray.from_arrays(pa.array(self.attr_ends, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        return pa.RecordBatch.from_arrays([*plain, chains.cast(_NODE.field("ancestors").type), attrs.cast(_NODE.field("attrs").type),
+                                           pa.nulls(len(self.node), pa.string())], schema=_NODE)
 
 
 def nodes(plans: DataFrame, id_col: str = "plan_id", xml_col: str = "query_plan") -> DataFrame:
@@ -56,22 +91,23 @@ def nodes(plans: DataFrame, id_col: str = "plan_id", xml_col: str = "query_plan"
     """
     def run(batches):
         for b in batches:
-            rows, size = [], 0
+            found, broken, size = _Columns(), [], 0
             for plan, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
                 if text is None:
                     continue
                 try:
-                    found = [(plan, *e, None) for e in _elements(text)]
+                    found.read(plan, text)
                 except expat.ExpatError as e:
-                    found = [(plan, None, None, None, None, None, None, None, str(e))]
-                rows += found
+                    broken.append((plan, None, None, None, None, None, None, None, str(e)))
                 size += len(text)
                 if size > 1 << 20:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
+                    yield found.batch()
+                    found, size = _Columns(), 0
+            if found.node:
+                yield found.batch()
+            if broken:
+                yield _batch(broken)
 
     return plans.select(F.col(id_col).cast("long").alias("plan_id"), F.col(xml_col).cast("string")).mapInArrow(run, NODE_SCHEMA)
 
@@ -124,12 +160,19 @@ def evaluate(found: DataFrame, rules: DataFrame) -> DataFrame:
     passes = (F.when(F.col("test") == "equals", a == F.col("wanted")).when(F.col("test") == "contains", F.contains(a, F.col("wanted")))
               .when(F.col("test") == "begins", F.startswith(a, F.col("wanted"))).otherwise(True))
     hit = hit.where(passes & (F.col("path_end").isNull() | F.endswith("path", F.col("path_end"))))
-    # the node a measure is read from: one equi join for the rules that look at the parent
-    source = found.select(F.col("plan_id").alias("p"), F.col("node").alias("n"), F.col("attrs").alias("source"))
-    at = F.when(F.col("of") == "parent", F.col("parent")).otherwise(F.col("node"))
-    hit = hit.withColumn("at", at).join(source, (F.col("plan_id") == F.col("p")) & (F.col("at") == F.col("n")), "left")
-    value = F.aggregate(F.split(F.coalesce("measure", F.lit("")), ","), F.lit(0.0),
-                        lambda s, name: s + F.coalesce(F.try_element_at("source", name).try_cast("double"), F.lit(0.0)))
+    # the attributes of a measure that a node has, added up; null if it has none
+    parts = F.filter(F.transform(F.split(F.coalesce("measure", F.lit("")), ","), lambda name: F.try_element_at("attrs", name).try_cast("double")),
+                     lambda x: x.isNotNull())
+    own = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
+    # a node has its own value at hand; only a rule that looks at the node above joins, with the values of the nodes that have one
+    above = F.coalesce(F.col("of") == "parent", F.lit(False))
+    hit = hit.select("plan_id", "rule_name", "agg", "at_least", F.when(above, F.col("parent")).alias("at"),
+                     F.when(above, F.col("measure")).alias("sought"), F.when(~above, own).alias("own"))
+    sought = rules.where(above & F.col("measure").isNotNull()).select(F.collect_set("measure")).scalar()
+    source = (found.select("plan_id", "node", "attrs", F.explode(sought).alias("measure"))
+              .select(F.col("plan_id").alias("p"), F.col("node").alias("n"), F.col("measure").alias("m"), own.alias("theirs")).where("theirs IS NOT NULL"))
+    hit = hit.join(source, (F.col("plan_id") == F.col("p")) & (F.col("at") == F.col("n")) & (F.col("sought") == F.col("m")), "left")
+    value = F.coalesce("own", "theirs", F.lit(0.0))
     g = hit.withColumn("v", value).groupBy("plan_id", "rule_name", "agg", "at_least").agg(
         F.count(F.lit(1)).alias("hits"), F.max("v").alias("m"), F.sum("v").alias("s"))
     out = g.withColumn("value", F.when(F.col("agg") == "max", F.col("m")).when(F.col("agg") == "sum", F.col("s"))

@@ -65,7 +65,7 @@ SELECT plan_id, CAST(rn AS INTEGER) AS node_id, CAST(l_suppkey * 7 + l_partkey %
        CAST(l_partkey % 9 AS DOUBLE) AS estimated_rows
 FROM s WHERE (l_suppkey * 7 + l_partkey % 50 + 1) / CAST(100 AS DOUBLE) > l_partkey % 9""")
 def plan_busy_loops(spark, d):
-    return P.busy_loops(_nodes(spark, d))
+    return P.busy_loops(P.nodes(fx.plan_documents(spark, d)))      # read once: nothing to write
 
 
 _VERSIONS = """v0 AS (SELECT CAST(10 + p_size % 7 AS INTEGER) AS major_version, CAST((p_partkey * 29) % 4000 AS INTEGER) AS minor_version,

@@ -2,6 +2,7 @@
 
 import pytest
 from opslake.operators import deadlocks as X
+from opslake.operators import plan_xml as P
 from opslake.plans import registry
 from opslake.sources import fixtures as fx
 
@@ -71,3 +72,14 @@ def test_narrow_parse_gives_the_same_rows(spark):
     assert X.owner_waiter(few, cols).collect() == X.owner_waiter(full).select("event_id", "event_date", *cols).collect()
     p = ["process_id", "is_victim"]
     assert X.processes(few, p).collect() == X.processes(full).select("event_id", "event_date", *p).collect()
+
+
+def test_a_rule_reads_its_own_node_without_a_join(spark):
+    """A plan without id keeps its values; a broken plan between two others leaves no elements."""
+    docs = [(None, '<x a="5"/>'), (1, '<x a="7"><y/></x>'), (2, '<x a="9"><y b="1"></x>'), (3, '<x><y c="2"/></x>')]
+    n = P.nodes(spark.createDataFrame(docs, "plan_id long, query_plan string").coalesce(1))
+    got = {(r["plan_id"], r["element"]): dict(r["attrs"]) for r in n.where("element is not null").collect()}
+    assert got == {(None, "x"): {"a": "5"}, (1, "x"): {"a": "7"}, (1, "y"): {}, (3, "x"): {}, (3, "y"): {"c": "2"}}
+    rules = spark.createDataFrame([("own", "x", None, None, "present", None, "a", "self", "max", 1.0),
+                                   ("above", "y", None, None, "present", None, "a", "parent", "max", 0.0)], P.RULE_SCHEMA)
+    assert {tuple(r) for r in P.evaluate(n, rules).collect()} == {(None, "own", 1, 5.0), (1, "own", 1, 7.0), (1, "above", 1, 7.0), (3, "above", 1, 0.0)}
