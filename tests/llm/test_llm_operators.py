@@ -140,6 +140,66 @@ def test_cells_never_miss_a_pair():
             assert same or len(np.intersect1d(jaccard_join._cells(a, f), jaccard_join._cells(b, f)))
 
 
+def test_jaccard_batches_are_bounded_in_bytes(spark):
+    rows = spark.range(0, 300, 1, 1).selectExpr("id", "repeat('x', 100000) AS text")
+
+    def size(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+    with jaccard_join._small_batches(spark):
+        got = [r["n"] for r in rows.mapInArrow(size, "n long").collect()]
+    assert sum(got) >= 30_000_000 and max(got) < 5_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_jaccard_sums_of_counts():
+    r = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 8), (5, 1031), (4, 2100)):
+        for x in (r.integers(0, 256, (n, m)), np.full((n, m), 255), r.integers(0, 70_000, (n, m))):
+            assert jaccard_join._sums(jaccard_join._as_points(x.astype(np.int32))).tolist() == x.sum(1).tolist()
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_jaccard_search_in_pieces(exact):
+    """Buckets that come in several batches, searched whole and as two blocks: every pair that passes is connected."""
+    r = np.random.default_rng(3)
+    sets, t = [], jaccard_join.Fraction("0.8")
+    while len(sets) < 120:
+        x = r.integers(0, 1 << 63, 250, np.uint64)
+        sets += [np.unique(np.r_[x[k:], r.integers(0, 1 << 63, k, np.uint64)]) for k in (0, 9, 70)]
+    pts = [jaccard_join._counts(x, 61).astype(np.uint8) for x in sets]
+
+    def passes(i, j):
+        if exact:
+            return jaccard_join._similar(sets[i], sets[j], 4, 5)
+        return 9 * int(np.minimum(pts[i], pts[j]).astype(int).sum()) >= 4 * (len(sets[i]) + len(sets[j]))
+    for sides in (np.full(120, 2), np.arange(120) % 2):
+        want = brute_links([(i, j) for i in range(120) for j in range(i) if (sides[i] == 2 or sides[i] != sides[j]) and passes(i, j)])
+        cols = [pa.array(x) for x in ([7] * 120, [0] * 120, [1] * 120)]
+        b = pa.record_batch([pa.array(cols[0], pa.int64()), cols[1].cast(pa.int32()), cols[2].cast(pa.int32()), pa.array(sides.astype(np.int32)),
+                             pa.array(range(120)), pa.array(range(120)), pa.array([len(x) for x in sets]),
+                             pa.array([x.tobytes() for x in (sets if exact else pts)], pa.binary())],
+                            ["cell", "i", "j", "side", "cid", "comp", "n", "hashes" if exact else "vec"])
+        out = list(jaccard_join._search(t.numerator, t.denominator, exact)([b.slice(0, 50), b.slice(50, 3), b.slice(53)]))
+        got = [(x["a"], x["b"]) for o in out for x in o.to_pylist()]
+        assert brute_links(got) == want and want and len(got) == sum(len(x) - 1 for x in want)
+
+
+def brute_links(pairs):
+    groups = []
+    for a, b in pairs:
+        near = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in near] + [{a, b}.union(*near)]
+    return sorted(map(sorted, groups))
+
+
+def test_jaccard_long_points_count_for_more_rows(spark):
+    t = jaccard_join.Fraction("0.8")
+    got = spark.createDataFrame([(1,), (20,), (28,), (44,)], "c int").select(jaccard_join._point_rows(t).alias("n")).collect()
+    n = [r["n"] for r in got]
+    assert n[:3] == [1, 1, 1] and n[3] > 50  # 44: some four million shingles
+
+
 def test_connected_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r["id"]: r["label"] for r in graph.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
