@@ -43,8 +43,7 @@ class WordTokenizer:
         import json
 
         import regex
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole, self._parts = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm = [(x["type"], x.get("pattern"), x.get("content")) for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -58,14 +57,33 @@ class WordTokenizer:
             self.word_end = np.zeros(max(vocab.values()) + 1, bool)
             self.word_end[[v for k, v in vocab.items() if k.endswith(spec["model"]["end_of_word_suffix"])]] = True
             self.split = regex.compile(pre[0]["pattern"]["Regex"]).findall
-            # the words' own model, without the steps that are done by then
-            self.parts = Tokenizer.from_file(path)
-            self.parts.normalizer = normalizers.Sequence([])
-            self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(
-                add_prefix_space=False, use_regex=False)])
-        self.place: dict[int, int] = {}  # chunk hash -> row of the pool
+        # chunk hashes, rising, and their rows of the pool: arrays take a tenth of a dict's memory
+        self.known, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.pool, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    @property
+    def whole(self):
+        if self._whole is None:
+            from tokenizers import Tokenizer
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
+    @property
+    def parts(self):
+        """The words' own model, without the steps that are done by then."""
+        if self._parts is None:
+            from tokenizers import Tokenizer, normalizers, pre_tokenizers
+            self._parts = Tokenizer.from_file(self.path)
+            self._parts.normalizer = normalizers.Sequence([])
+            self._parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(
+                add_prefix_space=False, use_regex=False)])
+        return self._parts
+
+    def close(self) -> None:
+        """Drops the loaded models, which are read again when needed; the words stay."""
+        self._whole = self._parts = None
+        T.give_back()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -93,16 +111,19 @@ class WordTokenizer:
         raw, off = T.flat(pc.utf8_lower(pc.if_else(odd, "", texts)))
         doc, start, end, h = T.words(raw, off, lower=False)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        place = self.place
-        row = np.array([place.get(x, -1) for x in uniq.tolist()], np.int64)
+        spot = np.searchsorted(self.known, uniq)
+        row = np.full(len(uniq), -1, np.int64)
+        hit = np.flatnonzero(np.r_[self.known, np.uint64(0)][spot] == uniq)
+        hit = hit[spot[hit] < len(self.known)]
+        row[hit] = self.place[spot[hit]]
         miss = np.flatnonzero(row < 0)
         pool, at = self.pool, self.at
         if len(miss):
             ids, ends = self._learn([raw[start[i]:end[i]].tobytes().decode() for i in first[miss]])
             row[miss] = np.arange(len(at) - 1, len(at) - 1 + len(miss))
             pool, at = np.r_[pool, ids], np.r_[at, at[-1] + ends]
-            if len(place) < _CACHE_WORDS:
-                place.update(zip(uniq[miss].tolist(), row[miss].tolist(), strict=True))
+            if len(self.known) < _CACHE_WORDS:
+                self.known, self.place = np.insert(self.known, spot[miss], uniq[miss]), np.insert(self.place, spot[miss], row[miss])
                 self.pool, self.at = pool, at
         row = row[inverse]
         size = at[row + 1] - at[row]
@@ -120,7 +141,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker, kept with its word cache."""
+    """One per Python worker, kept with its word cache; its models are loaded for each task."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -168,6 +189,7 @@ def _pieces(path: str, end_id: int, capacity: int, waste: float):
             yield pa.record_batch([b.column("doc_id").take(pa.array(row, pa.int32())), pa.array(start, pa.int64()),
                                    pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(kind, pa.int32()),
                                    pa.array(data, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "class", "ids"])
+        tok.close()
     return run
 
 

@@ -551,3 +551,38 @@ def test_connected_components_match_union_find(spark):
                 parent[b] = a
         got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
         assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in parent)
+
+
+def test_one_per_group_shuffles_no_text_that_stays(spark):
+    r = random.Random(8)
+    base = [prose(r, 40) for _ in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(base)] + [(100 + i, base[i], "de") for i in range(3)] + [(0, base[0], "fr"), (None, base[1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    kept = jaccard_join.one_per_group(df)
+    got = kept.collect()
+    assert kept.schema == df.schema
+    assert sorted((x["doc_id"], x["text"]) for x in got if x["doc_id"] is not None) == list(enumerate(base))
+    assert [x["text"] for x in got if x["doc_id"] is None] == [base[1]]
+    # every anti join has a filter by the bitmap below it, on the side of the documents
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    anti = [i for i, x in enumerate(plan) if "Join LeftAnti" in x]
+    assert anti and all("getbit" in "".join(plan[i:i + 5]) for i in anti)
+
+
+def test_worker_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(textops, "give_back", lambda: calls.append(1))
+    b = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], ["doc_id", "text"])
+    assert sum(x.num_rows for x in textops.slices(iter([b, b]))) == 4 and calls == [1]
+    monkeypatch.setattr(packing, "_tokenizers", {})
+    first = [x.to_pydict() for x in packing._pieces(TOKENIZER, 1, 2048, 0.02)(iter([b]))]
+    tok = packing.tokenizer(TOKENIZER)
+    assert tok._whole is None and tok._parts is None and len(tok.known) == 2
+    assert first == [x.to_pydict() for x in packing._pieces(TOKENIZER, 1, 2048, 0.02)(iter([b]))]
+
+
+def test_tokenizer_beyond_its_cache(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 5)
+    tok = packing.WordTokenizer(TOKENIZER)
+    for part in (texts()[:14], texts()[14:40], texts()[10:]):
+        assert tok.ids(pa.array(part, pa.string())) == tok._encode([x or "" for x in part])
