@@ -5,6 +5,8 @@ Part of the subpackage ``opslake.llm`` (registered as query ``pipeline``).
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +43,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
 
 
-STAGES = [("quality", keep_quality), ("language", keep_languages), ("near_copies", drop_near_copies),
-          ("benchmark", drop_benchmark), ("packing", pack)]
+def bounded(stage):
+    """``stage`` with texts that reach Python in batches of a few MB.
+
+    Spark's limit of 64 MB is held several times over by every task, in the executor and in its Python worker.  The
+    setting stays after the call, as rows are computed then; one that the session has already is left as it is.
+    """
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        conf = docs.sparkSession.conf
+        if conf.get(jaccard_join.BATCH_SETTING, None) is None:
+            conf.set(jaccard_join.BATCH_SETTING, str(jaccard_join.BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [(name, bounded(stage)) for name, stage in [
+    ("quality", keep_quality), ("language", keep_languages), ("near_copies", drop_near_copies),
+    ("benchmark", drop_benchmark), ("packing", pack)]]
 
 #: the stages learn models and tokenise, which SQL does not express; see tests/llm/test_pipeline.py
 ORACLE_SQL = None
@@ -50,6 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with jaccard_join._small_batches(spark):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

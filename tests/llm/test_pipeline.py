@@ -36,3 +36,24 @@ def _one(text):
 def test_registered():
     names = entry.queries()
     assert {"pipeline", *(f"op{i}_" for i in range(1, 14))} <= {n if n == "pipeline" else n.split("_")[0] + "_" for n in names}
+
+
+def test_every_stage_bounds_its_batches(spark):
+    import pyarrow as pa
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('x', 100000) AS text")
+
+    def size(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], ["n"])
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        got = corpus_pipeline.bounded(lambda s, d, p: d.mapInArrow(size, "n long"))(spark, docs, SF)
+        assert max(r["n"] for r in got.collect()) < 5_000_000
+        spark.conf.set(name, "9000000")  # the session's own value is kept
+        corpus_pipeline.bounded(lambda s, d, p: d)(spark, docs, SF)
+        assert spark.conf.get(name) == "9000000"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
