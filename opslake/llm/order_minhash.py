@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 TOKEN = r"(?<!\S)\S{1,16}+(?!\S)\s*|\S\s*|\s+"
 KMER, BIN_BITS, ORDER, POS_BITS = 3, 5, 2, 31
 _POS = (1 << POS_BITS) - 1
+#: of a long text, about so many words a bin are sorted for its smallest
+SOME = 16
 
 
 def _let(value: Column, body) -> Column:
@@ -33,19 +35,50 @@ def _bin(x: Column) -> Column:
 
 
 def _packed(high: Column, pos: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(high, POS_BITS), POS_BITS).bitwiseOR(pos.cast("long").bitwiseAND(F.lit(_POS)))
+    """High bits of one long above the position in another."""
+    return high.bitwiseAND(F.lit(~_POS)).bitwiseOR(pos)
+
+
+def _differ(x: Column, y: Column, low: int) -> Column:
+    """Whether two words differ above their ``low`` low bits; null if one is null."""
+    return F.shiftrightunsigned(x.bitwiseXOR(y), low) != 0
+
+
+def _starts(v: Column, low: int) -> Column:
+    """Indices of a sorted array at which runs of words begin that are equal above their ``low`` low bits."""
+    return F.filter(F.transform(v, lambda x, j: F.when((j == 0) | _differ(x, F.get(v, j - 1), low), j)), lambda j: j.isNotNull())
 
 
 def _numbered(kmers: Column) -> Column:
-    """Sorted longs: selection hash of every occurrence-numbered k-mer above its position."""
+    """Longs in no order: selection hash of every occurrence-numbered k-mer above its position."""
+    high = lambda x: F.shiftrightunsigned(x, POS_BITS)
+
     def number(v: Column) -> Column:
         # v: sorted (k-mer hash, position) words; runs of one hash are the occurrences of a k-mer in text order
-        high = lambda x: F.shiftrightunsigned(x, POS_BITS)
-        begins = F.filter(F.transform(v, lambda x, j: F.when((j == 0) | (high(x) != high(F.get(v, j - 1))), j)), lambda j: j.isNotNull())
-        return _let(begins, lambda st: F.flatten(F.transform(st, lambda a, q: F.transform(
-            F.sequence(a, F.coalesce(F.get(st, q + 1), F.size(v)) - 1),
-            lambda j: _packed(F.xxhash64(high(F.get(v, j)), j - a), F.get(v, j))))))
-    return F.sort_array(_let(F.sort_array(F.transform(kmers, lambda x, i: _packed(x, i))), number))
+        def join(again: Column) -> Column:
+            # most k-mers come once: only what follows the first of a run is counted
+            first = F.when(F.size(again) == 0, v).otherwise(F.filter(v, lambda x, j: (j == 0) | _differ(x, F.get(v, j - 1), POS_BITS)))
+            later = _let(_starts(again, POS_BITS), lambda st: F.flatten(F.transform(st, lambda a, q: F.transform(
+                F.sequence(a, F.coalesce(F.get(st, q + 1), F.size(again)) - 1),
+                lambda j: _packed(F.xxhash64(high(F.get(again, j)), j - a + 1), F.get(again, j).bitwiseAND(F.lit(_POS)))))))
+            return F.concat(F.transform(first, lambda x: _packed(F.xxhash64(high(x), F.lit(0)), x.bitwiseAND(F.lit(_POS)))), later)
+        return _let(F.filter(v, lambda x, j: ~_differ(x, F.get(v, j - 1), POS_BITS)), join)
+    return _let(F.sort_array(F.transform(kmers, lambda x, i: _packed(x, i.cast("long")))), number)
+
+
+def _least(words: Column) -> Column:
+    """The ORDER smallest words of every bin, sorted."""
+    low = 64 - BIN_BITS
+
+    def of(v: Column) -> Column:
+        return _let(F.sort_array(v), lambda s: F.filter(s, lambda x, j: F.coalesce(_differ(x, F.get(s, j - ORDER), low), F.lit(True))))
+
+    def some(v: Column) -> Column:
+        # words below a limit that leaves some SOME a bin; unless every bin is full, all words are looked at
+        limit = (F.lit(float(SOME << 64)) / F.size(v)).cast("long")
+        few = _let(limit, lambda t: F.filter(v, lambda x: x.bitwiseAND(F.lit((1 << low) - 1)) < t))
+        return _let(of(few), lambda k: F.when(F.size(k) == ORDER << BIN_BITS, k).otherwise(of(v)))
+    return _let(words, lambda v: F.when(F.size(v) > 4 * SOME << BIN_BITS, some(v)).otherwise(of(v)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -54,15 +87,13 @@ def fingerprint(text: Column) -> Column:
 
     def of(h: Column) -> Column:
         def sketch(v: Column) -> Column:
-            starts = F.filter(F.transform(v, lambda x, j: F.when((j == 0) | (_bin(x) != _bin(F.get(v, j - 1))), j)), lambda j: j.isNotNull())
-
             def entry(j: Column) -> Column:
                 kept = F.filter(F.slice(v, j + 1, ORDER), lambda y: _bin(y) == _bin(F.get(v, j)))
                 in_order = F.sort_array(F.transform(kept, lambda y: y.bitwiseAND(F.lit(_POS))))
                 code = F.xxhash64(F.transform(in_order, lambda i: F.get(h, i.cast("int"))))
                 return F.concat(F.lpad(F.hex(_bin(F.get(v, j))), 2, "0"), F.right(F.lpad(F.hex(code), 16, "0"), F.lit(8)))
-            return F.concat_ws(" ", F.transform(starts, entry))
-        return _let(_numbered(h), sketch)
+            return F.concat_ws(" ", F.transform(_starts(v, 64 - BIN_BITS), entry))
+        return _let(_least(_numbered(h)), sketch)
     kmers = _let(tokens, lambda t: F.transform(t, lambda x, i: F.xxhash64(x, *[F.get(t, i + k) for k in range(1, KMER)])))
     return F.lower(_let(kmers, of))
 
@@ -92,7 +123,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 200, max_buckets: int = 1
         cut = rows.agg(F.percentile_approx("ord", [i / k for i in range(1, k)], F.lit(max(10_000, 20 * k)))).first()[0]
         bounds = sorted({x for x in cut if x > least})
     step = 256
-    arr = F.array_sort(F.from_json(F.lit(str(bounds)), "array<bigint>"))
+    # folded to a literal as it is (already sorted); a sort here would run for every row
+    arr = F.from_json(F.lit(str(bounds)), "array<bigint>")
     coarse = F.from_json(F.lit(str(bounds[::step])), "array<bigint>")
     at = F.greatest(F.size(F.filter(coarse, lambda b: b <= F.col("ord"))) - 1, F.lit(0)) * step
     rows = rows.withColumn("at", at).withColumn("bucket", F.col("at") + F.size(F.filter(F.slice(arr, F.col("at") + 1, step), lambda b: b <= F.col("ord"))))

@@ -518,6 +518,30 @@ def test_order_minhash_brute_force(spark):
     assert set(df.select(order_minhash.fingerprint(F.col("text"))).first()[0].split()) == want
 
 
+def test_order_minhash_ranges(spark):
+    """The table's range borders are a literal, sorted once and not for every row; ranges and copies are those of the sorted ids."""
+    ids = [None, *random.Random(4).sample(range(-500, 500), 400)]
+    df = spark.createDataFrame([(i, f"t {i}") for i in ids], "doc_id long, text string").repartition(3)
+    rows, w = order_minhash.with_next(df, rows_per_bucket=5)
+    assert "array_sort" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = rows.withColumn("after", F.lead("doc_id").over(w)).where("not extra").collect()
+    order = sorted((i for i in ids if i is not None)) + [None]
+    assert len(got) == len(ids) and len({r["bucket"] for r in got}) > 50
+    assert {r["doc_id"]: r["after"] for r in got} == dict(zip([None, *order[:-1]], order, strict=True))
+
+
+def test_order_minhash_of_long_and_repeated_texts(spark, monkeypatch):
+    """Few words a bin are sorted for long texts, and all of them where a bin has too few: the same fingerprint."""
+    r = random.Random(6)
+    texts = ["a " * 3000, " ".join(r.choice("abcd") for _ in range(3000)), prose(r, 5000), "\n".join([prose(r, 40)] * 60), prose(r, 300) * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i")
+    some = [x[0] for x in df.select(order_minhash.fingerprint(F.col("text"))).collect()]
+    monkeypatch.setattr(order_minhash, "SOME", 1 << 20)   # every text is short: all words are sorted
+    assert some == [x[0] for x in df.select(order_minhash.fingerprint(F.col("text"))).collect()]
+    monkeypatch.setattr(order_minhash, "SOME", 1)         # too few: bins are not full
+    assert some == [x[0] for x in df.select(order_minhash.fingerprint(F.col("text"))).collect()]
+
+
 def test_words_of_long_texts(monkeypatch):
     text = " ".join(f"w{i}" for i in range(5000))
     raw, off = textops.flat(pa.array([text, None, "a b"]))
