@@ -2,11 +2,12 @@
 
 A plan is a tree of nested operators of any depth, which no fixed schema
 holds.  Each document is parsed once, in its Arrow batch, into one row per
-element: (plan, node in document order, parent, depth, path, attributes and the
-chain of its ancestors).  Everything after that is joins and aggregates of
-those rows: subtree sums group the exploded ancestor chains, and a rule is a
-row of a table that names an element, a test of one attribute and a measure, so
-all rules are evaluated by one join on the element's name and one aggregate.
+element: (plan, node in document order, parent, depth, path, attributes, the
+chain of its ancestors and the attributes of the node above).  Everything after
+that is joins and aggregates of those rows: subtree sums group the exploded
+ancestor chains, and a rule is a row of a table that names an element,
+a test of one attribute and a measure, so all rules are evaluated by one join on
+the element's name and one aggregate.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 _NODE = pa.schema([("plan_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
                    ("element", pa.string()), ("path", pa.string()), ("ancestors", pa.list_(pa.int32())),
-                   ("attrs", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
+                   ("attrs", pa.map_(pa.string(), pa.string())), ("error", pa.string()), ("above", pa.map_(pa.string(), pa.string()))])
 NODE_SCHEMA = ("plan_id long, node int, parent int, depth int, element string, path string, ancestors array<int>, "
                "attrs map<string,string>, error string")
 
@@ -32,7 +33,7 @@ class _Columns:
 
     def __init__(self):
         self.plan, self.node, self.parent, self.depth, self.element, self.path = ([] for _ in range(6))
-        self.ancestors, self.keys, self.values = [], [], []
+        self.ancestors, self.keys, self.values, self.up = [], [], [], []
         self.ancestor_ends, self.attr_ends = [0], [0]
 
     def read(self, plan: int, text: str) -> None:
@@ -46,6 +47,7 @@ class _Columns:
             self.plan.append(plan)
             self.node.append(node)
             self.parent.append(chain[-1] if chain else None)
+            self.up.append(first + chain[-1] if chain else None)
             self.depth.append(len(chain))
             self.element.append(name)
             path = paths[-1] + name
@@ -68,27 +70,34 @@ class _Columns:
         try:
             p.Parse(text, True)
         except expat.ExpatError:
-            for c in (self.plan, self.node, self.parent, self.depth, self.element, self.path):
+            for c in (self.plan, self.node, self.parent, self.depth, self.element, self.path, self.up):
                 del c[first:]
             for ends in (self.ancestor_ends, self.attr_ends):
                 del ends[first + 1:]
             del ancestors[self.ancestor_ends[-1]:], keys[self.attr_ends[-1]:], values[self.attr_ends[-1]:]
             raise
 
-    def batch(self) -> pa.RecordBatch:
+    def batch(self, columns: list[str]) -> pa.RecordBatch:
         plain = [pa.array(c, f.type) for c, f in zip((self.plan, self.node, self.parent, self.depth, self.element, self.path), _NODE)]
         chains = pa.ListArray.from_arrays(pa.array(self.ancestor_ends, pa.int32()), pa.array(self.ancestors, pa.int32()))
         attrs = pa.MapArray.from_arrays(pa.array(self.attr_ends, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
-        return pa.RecordBatch.from_arrays([*plain, chains.cast(_NODE.field("ancestors").type), attrs.cast(_NODE.field("attrs").type),
-                                           pa.nulls(len(self.node), pa.string())], schema=_NODE)
+        attrs = attrs.cast(_NODE.field("attrs").type)
+        cols = [*plain, chains.cast(_NODE.field("ancestors").type), attrs, pa.nulls(len(self.node), pa.string())]
+        if "above" in columns:
+            cols.append(attrs.take(pa.array(self.up, pa.int32())))
+        return pa.RecordBatch.from_arrays(cols, schema=pa.schema([_NODE.field(c) for c in columns]))
 
 
-def nodes(plans: DataFrame, id_col: str = "plan_id", xml_col: str = "query_plan") -> DataFrame:
+def nodes(plans: DataFrame, id_col: str = "plan_id", xml_col: str = "query_plan", above: bool = True) -> DataFrame:
     """One row per element of every plan.
 
+    The column ``above``, which ``evaluate`` needs, has the attributes of the element above; it is left out if not ``above``.
+
     A null plan has no rows; one that is no well-formed XML has one row without
     element that holds the parser's message.
     """
+    columns = [c for c in _NODE.names if above or c != "above"]
+
     def run(batches):
         for b in batches:
             found, broken, size = _Columns(), [], 0
@@ -99,17 +108,18 @@ def nodes(plans: DataFrame, id_col: str = "plan_id", xml_col: str = "query_plan"
                 try:
                     found.read(plan, text)
                 except expat.ExpatError as e:
-                    broken.append((plan, None, None, None, None, None, None, None, str(e)))
+                    broken.append((plan, None, None, None, None, None, None, None, str(e), None))
                 size += len(text)
                 if size > 1 << 20:
-                    yield found.batch()
+                    yield found.batch(columns)
                     found, size = _Columns(), 0
             if found.node:
-                yield found.batch()
+                yield found.batch(columns)
             if broken:
-                yield _batch(broken)
+                yield _batch(broken).select(columns)
 
-    return plans.select(F.col(id_col).cast("long").alias("plan_id"), F.col(xml_col).cast("string")).mapInArrow(run, NODE_SCHEMA)
+    return plans.select(F.col(id_col).cast("long").alias("plan_id"), F.col(xml_col).cast("string")).mapInArrow(
+        run, NODE_SCHEMA + (", above map<string,string>" if above else ""))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,25 +164,17 @@ def evaluate(found: DataFrame, rules: DataFrame) -> DataFrame:
     up) of the node itself or, with ``of`` = ``parent``, of the node above; the rule
     holds if that is at least ``at_least``.
     """
-    r = rules.withColumnRenamed("element", "wanted_element")
+    r = F.broadcast(rules.withColumnRenamed("element", "wanted_element"))
     hit = found.join(r, found["element"] == r["wanted_element"])
     a = F.coalesce(F.try_element_at("attrs", F.col("attr")), F.lit(""))
     passes = (F.when(F.col("test") == "equals", a == F.col("wanted")).when(F.col("test") == "contains", F.contains(a, F.col("wanted")))
               .when(F.col("test") == "begins", F.startswith(a, F.col("wanted"))).otherwise(True))
     hit = hit.where(passes & (F.col("path_end").isNull() | F.endswith("path", F.col("path_end"))))
-    # the attributes of a measure that a node has, added up; null if it has none
-    parts = F.filter(F.transform(F.split(F.coalesce("measure", F.lit("")), ","), lambda name: F.try_element_at("attrs", name).try_cast("double")),
+    # the attributes of a measure that the node or the one above has, added up; null if it has none. A plan without id has no node above
+    source = F.when(F.col("of") == "parent", F.when(F.col("plan_id").isNotNull(), F.col("above"))).otherwise(F.col("attrs"))
+    parts = F.filter(F.transform(F.split(F.coalesce("measure", F.lit("")), ","), lambda name: F.try_element_at(source, name).try_cast("double")),
                      lambda x: x.isNotNull())
-    own = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x))
-    # a node has its own value at hand; only a rule that looks at the node above joins, with the values of the nodes that have one
-    above = F.coalesce(F.col("of") == "parent", F.lit(False))
-    hit = hit.select("plan_id", "rule_name", "agg", "at_least", F.when(above, F.col("parent")).alias("at"),
-                     F.when(above, F.col("measure")).alias("sought"), F.when(~above, own).alias("own"))
-    sought = rules.where(above & F.col("measure").isNotNull()).select(F.collect_set("measure")).scalar()
-    source = (found.select("plan_id", "node", "attrs", F.explode(sought).alias("measure"))
-              .select(F.col("plan_id").alias("p"), F.col("node").alias("n"), F.col("measure").alias("m"), own.alias("theirs")).where("theirs IS NOT NULL"))
-    hit = hit.join(source, (F.col("plan_id") == F.col("p")) & (F.col("at") == F.col("n")) & (F.col("sought") == F.col("m")), "left")
-    value = F.coalesce("own", "theirs", F.lit(0.0))
+    value = F.coalesce(F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)), F.lit(0.0))
     g = hit.withColumn("v", value).groupBy("plan_id", "rule_name", "agg", "at_least").agg(
         F.count(F.lit(1)).alias("hits"), F.max("v").alias("m"), F.sum("v").alias("s"))
     out = g.withColumn("value", F.when(F.col("agg") == "max", F.col("m")).when(F.col("agg") == "sum", F.col("s"))

@@ -12,7 +12,6 @@ from opslake.operators import versions as V
 from opslake.plans.oracle_fixtures import ctes
 from opslake.plans.registry import query
 from opslake.sources import fixtures as fx
-from opslake.sources.sinks import materialize
 from opslake.sources.tables import table
 
 # one row per operator: the line's own and, for some, a lookup below it
@@ -24,9 +23,9 @@ s AS (SELECT *, SUM(io + cpu + CASE WHEN leaf THEN leaf_cost ELSE 0 END)
 _PHYS = "['Sort', 'Nested Loops', 'Remote Query', 'Index Spool', 'Hash Match', 'Table Spool'][l_partkey % 6 + 1]"
 
 
-def _nodes(spark, d):
-    """The flattened plans, written once: every plan is parsed once however often its nodes are read."""
-    return materialize(P.nodes(fx.plan_documents(spark, d)), "plan-nodes")
+def _nodes(spark, d, above=False):
+    """The flattened plans; every operator reads them once, so nothing is written."""
+    return P.nodes(fx.plan_documents(spark, d), above=above)
 
 
 @query("plan_operators", _OPS + f"""
@@ -57,7 +56,7 @@ _RULES = [
 
 @query("plan_node_rules", _OPS + " " + " UNION ALL ".join(_RULES))
 def plan_node_rules(spark, d):
-    return P.evaluate(_nodes(spark, d), spark.createDataFrame(P.PLAN_RULES, P.RULE_SCHEMA))
+    return P.evaluate(_nodes(spark, d, above=True), spark.createDataFrame(P.PLAN_RULES, P.RULE_SCHEMA))
 
 
 @query("plan_busy_loops", _OPS + """
@@ -65,7 +64,7 @@ SELECT plan_id, CAST(rn AS INTEGER) AS node_id, CAST(l_suppkey * 7 + l_partkey %
        CAST(l_partkey % 9 AS DOUBLE) AS estimated_rows
 FROM s WHERE (l_suppkey * 7 + l_partkey % 50 + 1) / CAST(100 AS DOUBLE) > l_partkey % 9""")
 def plan_busy_loops(spark, d):
-    return P.busy_loops(P.nodes(fx.plan_documents(spark, d)))      # read once: nothing to write
+    return P.busy_loops(_nodes(spark, d))
 
 
 _VERSIONS = """v0 AS (SELECT CAST(10 + p_size % 7 AS INTEGER) AS major_version, CAST((p_partkey * 29) % 4000 AS INTEGER) AS minor_version,

@@ -36,6 +36,25 @@ def test_rules_are_data(spark):
     assert sorted(tuple(r) for r in P.evaluate(n, rules).collect()) == [(1, "all", 4, 15.0), (1, "amp", 1, 1.0), (1, "lookup", 1, 4.0)]
 
 
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rules_on_the_node_above_need_no_join(spark):
+    """Only the final aggregate is shuffled; sums over the node above, broken and missing plans among the batch."""
+    tree = '<S Cost="1"><A Cost="2" More="0.5"><X/><X/><Y><X Cost="9"/></Y></A><X/><Z><X/></Z></S>'
+    df = spark.createDataFrame([(1, tree), (5, "<S><X/>"), (6, None), (None, tree), (2, "<X/>"), (3, tree.replace("2", "z"))],
+                               "plan_id long, query_plan string").coalesce(2)
+    rules = spark.createDataFrame([
+        ("above", "X", None, None, "present", None, "Cost,More", "parent", "sum", 0.0), ("own", "X", None, None, "present", None, "Cost", "self", "max", 1.0),
+        ("named", "X", "A/X", None, "present", None, "Cost", "parent", "max", None)], P.RULE_SCHEMA)
+    got = P.evaluate(P.nodes(df), rules)
+    assert _exchanges(got) == 1
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [
+        (1, "above", 5, 6.0), (1, "own", 5, 9.0), (1, "named", 2, 2.0), (2, "above", 1, 0.0), (3, "above", 5, 2.0), (3, "own", 5, 9.0), (3, "named", 2, 0.0),
+        (None, "above", 5, 0.0), (None, "own", 5, 9.0), (None, "named", 2, 0.0)]))
+
+
 def test_build_lookup(spark):
     v = spark.createDataFrame([(16, 1000, "RTM", "2022-11-15"), (16, 4003, "CU1", "2023-02-16"), (16, 4003, "CU1 again", "2023-02-20"), (15, 7, "x", "2019-01-01")],
                               "major_version int, minor_version int, branch string, d string").withColumn("release_date", F.col("d").cast("timestamp_ntz"))
