@@ -4,8 +4,8 @@ A plan is a tree of nested operators of any depth, which no fixed schema
 holds.  Each document is parsed once, in its Arrow batch, into one row per
 element: (plan, node in document order, parent, depth, path, attributes, the
 chain of its ancestors and the attributes of the node above).  Everything after
-that is joins and aggregates of those rows: subtree sums group the exploded
-ancestor chains, and a rule is a row of a table that names an element,
+that reads those rows once: operators are dealt by plan in one shuffle and their
+chains exploded behind it, and a rule is a row of a table that names an element,
 a test of one attribute and a measure, so all rules are evaluated by one join on
 the element's name and one aggregate.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _NODE = pa.schema([("plan_id", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
@@ -137,17 +137,22 @@ def operators(found: DataFrame) -> DataFrame:
     an operator's own cost is its I/O plus CPU estimate, its subtree's the sum
     over all operators below it.
     """
-    ops = found.where(F.col("element") == "RelOp").withColumn(
-        "own", F.coalesce(_number("EstimateIO"), F.lit(0.0)) + F.coalesce(_number("EstimateCPU"), F.lit(0.0)))
-    above = ops.select("plan_id", "own", F.col("node").alias("below"), F.explode("ancestors").alias("node"))
-    # ancestors that are no operators drop out at the join back
-    sums = above.groupBy("plan_id", "node").agg(F.sum("own").alias("subtree_cost"))
-    ids = ops.select("plan_id", F.col("node").alias("at"), _id().alias("parent_id"))
-    chain = (ops.select("plan_id", "node", F.explode("ancestors").alias("at")).where("at <> node").join(ids, ["plan_id", "at"])
-             .groupBy("plan_id", "node").agg(F.max_by("parent_id", "at").alias("parent_id"), F.count(F.lit(1)).alias("op_depth")))
-    return (ops.join(sums, ["plan_id", "node"]).join(chain, ["plan_id", "node"], "left")
-            .select("plan_id", _id().alias("node_id"), "parent_id", F.coalesce("op_depth", F.lit(0)).cast("int").alias("op_depth"),
-                    F.try_element_at("attrs", F.lit("PhysicalOp")).alias("physical_op"), F.col("own").alias("own_cost"), "subtree_cost"))
+    own = F.coalesce(_number("EstimateIO"), F.lit(0.0)) + F.coalesce(_number("EstimateCPU"), F.lit(0.0))
+    # the operators among the ancestors, itself last: a path names every ancestor
+    chain = F.transform(F.array(F.split("path", "/")), lambda names: F.filter("ancestors", lambda _, i: F.get(names, i) == "RelOp"))[0]
+    # dealt once by plan; chains are exploded behind that, and both windows keep this partitioning
+    ops = (found.where((F.col("element") == "RelOp") & F.col("plan_id").isNotNull())
+           .select("plan_id", "node", chain.alias("chain"), own.alias("own_cost"), _id().alias("node_id"),
+                   F.try_element_at("attrs", F.lit("PhysicalOp")).alias("physical_op")).repartition("plan_id"))
+    itself = F.col("at") == F.col("node")
+    at = ops.select("plan_id", "node", "own_cost", "node_id", "physical_op", (F.size("chain") - 1).alias("op_depth"),
+                    F.get("chain", F.size("chain") - 2).alias("parent"), F.explode("chain").alias("at"))
+    w = Window.partitionBy("plan_id", "at")
+    at = (at.withColumn("subtree_cost", F.sum("own_cost").over(w)).withColumn("at_id", F.max(F.when(itself, F.col("node_id"))).over(w))
+          .where(itself | (F.col("at") == F.col("parent"))))
+    parent = F.max(F.when(~itself, F.col("at_id"))).over(Window.partitionBy("plan_id", "node"))
+    return (at.withColumn("parent_id", parent).where(itself)
+            .select("plan_id", "node_id", "parent_id", "op_depth", "physical_op", "own_cost", "subtree_cost"))
 
 
 def _id():

@@ -1,7 +1,9 @@
 """Plan documents of any depth: flattening, sums, rules as data, broken documents; the build lookup."""
 
+from conftest import SF_SMALL
 from opslake.operators import plan_xml as P
 from opslake.operators.versions import build_lookup
+from opslake.plans import q_planxml as Q
 from pyspark.sql import functions as F
 
 DOC = ('<p:Show xmlns:p="urn:x"><p:RelOp NodeId="0" EstimateIO="1" EstimateCPU="2" PhysicalOp="A"><p:In>'
@@ -40,6 +42,20 @@ def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+def test_operators_are_dealt_once(spark):
+    """One shuffle by plan and nothing written; operators far apart in the tree, without ids, and plans without id."""
+    tree = ('<S><RelOp NodeId="7" EstimateIO="1"><A><B><RelOp EstimateCPU="2"><C><RelOp NodeId="9" EstimateIO="4"/></C></RelOp></B></A>'
+            '<RelOp NodeId="8" EstimateIO="8"/></RelOp><RelOp NodeId="3" EstimateIO="16"/></S>')
+    df = spark.createDataFrame([(1, tree), (None, tree), (2, "<S/>"), (3, "<S>"), (4, tree)], "plan_id long, query_plan string")
+    ops = P.operators(P.nodes(df))
+    assert _exchanges(ops) == 1
+    want = [(7, None, 0, 1.0, 15.0), (None, 7, 1, 2.0, 6.0), (9, None, 2, 4.0, 4.0), (8, 7, 1, 8.0, 8.0), (3, None, 0, 16.0, 16.0)]
+    got = [(r["plan_id"], r["node_id"], r["parent_id"], r["op_depth"], r["own_cost"], r["subtree_cost"]) for r in ops.collect()]
+    assert sorted(map(repr, got)) == sorted(repr((p, *x)) for p in (1, 4) for x in want)
+    written = Q.plan_operators(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "plan-nodes" not in written
+
+
 def test_rules_on_the_node_above_need_no_join(spark):
     """Only the final aggregate is shuffled; sums over the node above, broken and missing plans among the batch."""
     tree = '<S Cost="1"><A Cost="2" More="0.5"><X/><X/><Y><X Cost="9"/></Y></A><X/><Z><X/></Z></S>'
